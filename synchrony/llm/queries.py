@@ -6,20 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, quality, secrets, sharding, toxicity
+import corpus_pipeline
+
+from . import mixing, njoin, pieces, quality, revisits, secrets, sharding, substrings, topk, toxicity
 from .common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": lambda s, d: topk.op1_topk_search(table(s, d, "embeddings")),
         "op2_secret_scans": lambda s, d: secrets.op2_secret_scans(table(s, d, "documents")),
+        "op3_substring_dedup": lambda s, d: substrings.op3_substring_dedup(table(s, d, "documents")),
         "op4_mixing_weights": lambda s, d: mixing.op4_mixing_weights(table(s, d, "documents")),
         "op5_toxicity": lambda s, d: toxicity.op5_toxicity(table(s, d, "documents"), table(s, d, "labels")),
         "op6_sentencepiece": lambda s, d: pieces.op6_sentencepiece(table(s, d, "documents")),
         "op7_quality_rules": lambda s, d: quality.op7_quality_rules(table(s, d, "documents")),
         "op8_sharding": lambda s, d: sharding.op8_sharding(table(s, d, "documents")),
+        "op9_ngram_jaccard_join": lambda s, d: njoin.op9_ngram_jaccard_join(table(s, d, "documents")),
+        "op10_warc_revisits": lambda s, d: revisits.op10_warc_revisits(table(s, d, "pages")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scans": secrets.ORACLE, "op8_sharding": sharding.ORACLE}
+    return {
+        "op1_topk_search": topk.ORACLE,
+        "op2_secret_scans": secrets.ORACLE,
+        "op3_substring_dedup": substrings.ORACLE,
+        "op8_sharding": sharding.ORACLE,
+        "op10_warc_revisits": revisits.ORACLE,
+    }
