@@ -130,10 +130,12 @@ def distance() -> Column:
 def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The robust estimate per group: m0..m2, c00..c22, scale (median distance over its expectation), n."""
 
-    def joined(table: DataFrame) -> DataFrame:
+    def joined(table: DataFrame, rows: DataFrame = rows) -> DataFrame:
         right = table.withColumnsRenamed({k: f"{k}_" for k in keys})
         on = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.lit(True))
-        return rows.join(F.broadcast(right) if not keys else right, on)
+        if not keys:  # a single row
+            return rows.withColumn("one", F.lit(0)).join(F.broadcast(right.withColumn("one_", F.lit(0))), F.col("one") == F.col("one_")).drop("one", "one_")
+        return rows.join(right, on)
 
     middle = rows.groupBy(*keys).agg(*[F.percentile_approx(d, 0.5, 1000).alias(f"m{i}") for i, d in enumerate(DIMS)])
     spread = joined(middle).groupBy(*keys).agg(
@@ -142,11 +144,9 @@ def estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     now = spread.select(*keys, "m0", "m1", "m2", *[(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2).alias(f"c{i}{i}") for i in range(3)], *[F.lit(0.0).alias(c) for c in ("c01", "c02", "c12")])
     for _ in range(STEPS):
-        near = joined(now).withColumn("d2", distance()).drop("m0", "m1", "m2", "c00", "c01", "c02", "c11", "c12", "c22", *[f"{k}_" for k in keys])
+        near = joined(now).select(*keys, *DIMS, distance().alias("d2"))
         limit = near.groupBy(*keys).agg(F.percentile_approx("d2", SUPPORT, 1000).alias("h"))
-        right = limit.withColumnsRenamed({k: f"{k}_" for k in keys})
-        on = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.lit(True))
-        now = written(moments(near.join(right, on).select(*keys, *DIMS, "d2", "h").where("d2 <= h"), keys), "mcd-step")
+        now = written(moments(joined(limit, near).select(*keys, *DIMS, "d2", "h").where("d2 <= h"), keys), "mcd-step")
     return joined(now).withColumn("d2", distance()).groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in ("m0", "m1", "m2", "c00", "c01", "c02", "c11", "c12", "c22")], (F.percentile_approx("d2", 0.5, 1000) / CHI3_MEDIAN).alias("scale"), F.count(F.lit(1)).alias("n"))
 
 
@@ -160,8 +160,8 @@ def judged(docs: DataFrame, keys: tuple[str, ...] = ("lang", "source"), cutoff:
     fields = ("m0", "m1", "m2", "c00", "c01", "c02", "c11", "c12", "c22", "scale")
     right = groups.select(*[F.col(k).alias(f"{k}_") for k in keys], *[F.col(c).alias(f"g_{c}") for c in fields])
     on = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"{k}_")), keys, F.lit(True))
-    # one row, joined with the group table of a few rows, not with the documents' groups
-    out = stats.join(right, on, "left").join(F.broadcast(overall.select(*[F.col(c).alias(f"o_{c}") for c in fields])), how="left")
+    one = overall.select(F.lit(0).alias("one_"), *[F.col(c).alias(f"o_{c}") for c in fields])  # a single row
+    out = stats.join(right, on, "left").withColumn("one", F.lit(0)).join(F.broadcast(one), F.col("one") == F.col("one_"), "left")
     out = out.withColumns({c: F.coalesce(f"g_{c}", f"o_{c}") for c in fields})
     d2 = distance() / F.greatest(F.coalesce("scale", F.lit(1.0)), F.lit(1.0))
     kept = ~F.col("base_failed") & F.coalesce(d2 <= cutoff, F.lit(True))

@@ -6,7 +6,7 @@ class-balanced sample of labelled rows, with a penalty on how much the score cha
 sentence is swapped for another one or for a neutral word, so that the mere mention of a group carries no evidence.
 
 Defined cases: null and empty texts score by the intercept alone; labels that are null, or differ for one id, are not
-used; with one class or no label left, every score is that of the share of label 1; repeated rows score
+used; with one class or no label left, every score is the same, by the share of label 1 among them; repeated rows score
 alike; labels, lang, source and doc_id never enter a score.
 """
 
@@ -54,25 +54,23 @@ def held_out() -> Column:
 
 
 def sample_ids(labels: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, toxic of at most ``size`` rows of each class; and prior: the share of label 1 among usable labels."""
+    """doc_id, toxic of at most ``size`` rows of each class."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top")).where("toxic = top").drop("top")
     order = F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")
     picked = [usable.where(F.col("toxic") == y).orderBy(*order).limit(size) for y in (0, 1)]
-    prior = usable.agg(F.avg("toxic").alias("prior"))
-    return picked[0].unionByName(picked[1]), prior
+    return picked[0].unionByName(picked[1])
 
 
 def features(word: str) -> list[str]:
     return [f"={word}", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
 
 
-def fit(words: list[list[str]], toxic: list[int], prior: float) -> tuple[dict[str, float], float]:
+def fit(words: list[list[str]], toxic: list[int]) -> tuple[dict[str, float], float]:
     """Weights by feature and the intercept."""
     y = np.array(toxic, dtype=float)
-    share = min(max(prior, 1e-6), 1 - 1e-6)
     if len(y) == 0 or y.min() == y.max():
-        return {}, math.log(share / (1 - share))
+        return {}, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     known: dict[str, list[str]] = {}
     docs = []
     for ws in words:
@@ -143,20 +141,20 @@ def fit(words: list[list[str]], toxic: list[int], prior: float) -> tuple[dict[st
 
 def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, seed: int = 11) -> DataFrame:
     """feature, weight; the intercept under the empty feature. Fitted by one task, on the bounded sample."""
-    ids, prior = sample_ids(labels.select("doc_id", "toxic"), size, seed)
+    ids = sample_ids(labels.select("doc_id", "toxic"), size, seed)
     ids = ids.withColumnRenamed("doc_id", "id_")
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).crossJoin(F.broadcast(prior))
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id_"))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"words": [sorted(set(WORDS((t or "").lower()))) for t in pdf["text"]], "toxic": pdf["toxic"], "prior": pdf["prior"]})
+            yield pd.DataFrame({"words": [sorted(set(WORDS((t or "").lower()))) for t in pdf["text"]], "toxic": pdf["toxic"]})
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(key=[" ".join(w) for w in group["words"]]).sort_values(["key", "toxic"])  # any order of arrival gives the same fit
-        weights, b = fit([list(w) for w in group["words"]], [int(t) for t in group["toxic"]], float(group["prior"].iloc[0]))
+        weights, b = fit([list(w) for w in group["words"]], [int(t) for t in group["toxic"]])
         return pd.DataFrame({"feature": ["", *weights], "weight": [b, *weights.values()]})
 
-    rows = sample.select("text", "toxic", "prior").mapInPandas(words, "words array<string>, toxic int, prior double")
+    rows = sample.select("text", "toxic").mapInPandas(words, "words array<string>, toxic int")
     return rows.groupBy(F.lit(0).alias("all")).applyInPandas(train, "feature string, weight double")
 
 
