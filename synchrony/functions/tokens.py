@@ -28,7 +28,6 @@ def jaccard_distance(a: Column, b: Column) -> Column:
 
 def indel_ratio(a: Column, b: Column) -> Column:
     """2 LCS / (len a + len b), by a row-wise dynamic programme over arrays; 1 if both are empty."""
-    chars_b = F.split(b, "")
 
     def row(prev: Column, x: Column) -> Column:
         start = F.array(F.lit(0))
@@ -43,7 +42,6 @@ def indel_ratio(a: Column, b: Column) -> Column:
     first = F.array_repeat(F.lit(0), F.length(b) + 1)
     lcs = F.element_at(F.aggregate(F.split(a, ""), first, row), -1)
     empty = (F.length(a) == 0) | (F.length(b) == 0)
-    del chars_b
     return F.when((F.length(a) == 0) & (F.length(b) == 0), 1.0).when(empty, 0.0).otherwise(2 * lcs / (F.length(a) + F.length(b)))
 
 
@@ -64,12 +62,15 @@ def ratio(a: str, b: str) -> float:
     return 2 * _lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-@F.pandas_udf("double")
-def indel_ratio_arrow(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same ratio on Arrow batches; faster for long tokens."""
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)], dtype=float)
 
 
+def indel_ratio_arrow(a: Column | str, b: Column | str) -> Column:
+    """The same ratio on Arrow batches; faster for long tokens."""
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
 def set_ratio(a: str, b: str) -> float:
     """Token-set ratio, 0 to 100: the best of three ratios between the shared words and the shared words with either
     rest."""
@@ -84,10 +85,13 @@ def set_ratio(a: str, b: str) -> float:
     return max(100 * ratio(p, q) for p, q in pairs)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """A part of the other counts as 100."""
+def _set_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a.fillna("").str.lower(), b.fillna("").str.lower()):
         out.append(100.0 if x and y and (x in y or y in x) else set_ratio(x, y))
     return pd.Series(out, dtype=float)
+
+
+def token_set_ratio(a: Column | str, b: Column | str) -> Column:
+    """Token-set ratio, 0 to 100; a text that is part of the other counts as 100."""
+    return F.pandas_udf(_set_ratios, "double")(a, b)

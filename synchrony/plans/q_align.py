@@ -1 +1,123 @@
+"""Queries on alignment."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import align as A
+from .registry import register
+
+KW = "(SELECT *, 'HIGH' AS groundability FROM fx_keywords WHERE keyword_id % 5 <> 0 UNION ALL SELECT *, 'LOW' AS groundability FROM fx_keywords WHERE keyword_id % 5 = 0)"
+
+
+def keywords(s):
+    return s("fx_keywords").withColumn("groundability", F.when(F.col("keyword_id") % 5 == 0, "LOW").otherwise("HIGH"))
+
+
+def able(s):
+    return keywords(s).where("groundability <> 'LOW'")
+
+
+def parts(s):
+    ocr = s("fx_ocr")
+    k = able(s)
+    return k, ocr, s("fx_scenes"), A.token_hits(k, ocr, None)
+
+
+#: One-word keywords and exact tokens: the cases in SQL.
+BASE = f"""WITH k AS (SELECT * FROM {KW} x WHERE groundability <> 'LOW'), sc AS (SELECT * FROM fx_scenes),
+cur AS (SELECT video_id, keyword_id, keyword_text, t_narr, scene_id, t_start, t_end FROM (SELECT k.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY k.video_id, k.keyword_id ORDER BY CASE WHEN k.t_narr BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN k.t_narr BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-k.t_narr) END, s.scene_id) AS rn FROM k JOIN sc s USING (video_id)) WHERE rn = 1),
+a AS (SELECT cur.video_id, cur.keyword_id, cur.t_narr, min(o.frame_time) AS t_vis, cur.scene_id, cur.t_start, cur.t_end FROM cur JOIN fx_ocr o ON o.video_id=cur.video_id AND o.tok=cur.keyword_text AND o.frame_time BETWEEN cur.t_start AND cur.t_end GROUP BY ALL),
+bf AS (SELECT k.video_id, k.keyword_id, k.keyword_text, k.t_narr, min(o.frame_time) AS seen FROM k JOIN fx_ocr o ON o.video_id=k.video_id AND o.tok=k.keyword_text AND o.frame_time BETWEEN k.t_narr+1 AND k.t_narr+10 GROUP BY ALL),
+bs AS (SELECT * FROM (SELECT bf.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY bf.video_id, bf.keyword_id ORDER BY CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-seen) END, s.scene_id) AS rn FROM bf JOIN sc s USING (video_id)) WHERE rn = 1),
+fr AS (SELECT DISTINCT video_id, frame_time FROM fx_ocr),
+bn AS (SELECT * FROM (SELECT bs.*, f.frame_time AS sf, row_number() OVER (PARTITION BY bs.video_id, bs.keyword_id ORDER BY abs(f.frame_time-bs.t_start), f.frame_time) AS r2 FROM bs LEFT JOIN fr f ON f.video_id=bs.video_id AND f.frame_time BETWEEN bs.t_start-1 AND bs.t_start+1) WHERE r2 = 1),
+b AS (SELECT bn.video_id, bn.keyword_id, bn.t_narr, CASE WHEN EXISTS (SELECT 1 FROM fx_ocr o WHERE o.video_id=bn.video_id AND o.frame_time=bn.sf AND o.tok=bn.keyword_text) THEN t_start ELSE seen END AS t_vis, scene_id, t_start, t_end FROM bn),
+cf AS (SELECT k.video_id, k.keyword_id, k.t_narr, max(o.frame_time) AS seen FROM k JOIN fx_ocr o ON o.video_id=k.video_id AND o.tok=k.keyword_text AND o.frame_time >= k.t_narr-10 AND o.frame_time < k.t_narr-1 GROUP BY ALL),
+c AS (SELECT video_id, keyword_id, t_narr, seen AS t_vis, scene_id, t_start, t_end FROM (SELECT cf.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY cf.video_id, cf.keyword_id ORDER BY CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-seen) END, s.scene_id) AS rn FROM cf JOIN sc s USING (video_id)) WHERE rn = 1 AND t_end < t_narr),
+e AS (SELECT video_id, keyword_id, t_narr, arg_min(t_start, scene_id) AS t_vis, min(scene_id) AS scene_id, arg_min(t_start, scene_id) AS t_start, arg_min(t_end, scene_id) AS t_end FROM (SELECT k.video_id, k.keyword_id, k.t_narr, x.scene_id, x.t_start, x.t_end FROM k JOIN fx_concepts x ON x.video_id=k.video_id AND x.t_keyframe BETWEEN k.t_narr-10 AND k.t_narr+10 AND (contains(x.concept, k.keyword_text) OR contains(k.keyword_text, x.concept))) GROUP BY 1, 2, 3) """
+COLS = ["video_id", "keyword_id", "t_vis", "delta_t", "match_case", "alpha", "scene_id"]
+
+
+def case_sql(t: str, case: str, alpha: str, delta: str = "t_vis - t_narr") -> str:
+    return f"SELECT video_id, keyword_id, t_vis, {delta} AS delta_t, {case} AS match_case, {alpha} AS alpha, scene_id FROM {t}"
+
+
+AD = case_sql("a", "CASE WHEN t_vis <= t_start + 1 THEN 'A' ELSE 'D' END", "1e0")
+register("a1_case_a_d", BASE + AD, "t_vis delta_t alpha")(lambda s: A.case_a_d(*parts(s)).select(*COLS))
+register("a2_case_b_forward", BASE + case_sql("b", "'B'", "1e0"), "t_vis delta_t alpha")(lambda s: A.case_b_forward(*parts(s)).select(*COLS))
+register("a3_case_c_backward", BASE + case_sql("c", "'C'", "0.8e0", "10e0"), "t_vis delta_t alpha")(lambda s: A.case_c_backward(*parts(s)).select(*COLS))
+register("a4_case_e_concept", BASE + case_sql("e", "'E'", "0.9e0"), "t_vis delta_t alpha")(lambda s: A.case_e_concept(able(s), s("fx_concepts"), exact_only=True).select(*COLS))
+register(
+    "a6_no_match_reason",
+    f"SELECT k.video_id, k.keyword_id, CASE WHEN groundability='LOW' THEN 'low_groundability' WHEN t_narr IS NULL THEN 'no_t_narr' WHEN NOT EXISTS (SELECT 1 FROM fx_ocr o WHERE o.video_id=k.video_id AND o.frame_time BETWEEN k.t_narr-10 AND k.t_narr+10) THEN 'no_ocr_nearby' ELSE 'ocr_vocabulary_mismatch' END AS match_method FROM {KW} k",
+)(lambda s: A.no_match_reason(keywords(s), s("fx_ocr")).select("video_id", "keyword_id", "match_method"))
+register(
+    "a7_cascade",
+    BASE
+    + f", u AS (SELECT *, 0 AS r FROM ({AD}) UNION ALL SELECT *, 1 FROM ({case_sql('b', chr(39) + 'B' + chr(39), '1e0')}) UNION ALL SELECT *, 2 FROM ({case_sql('c', chr(39) + 'C' + chr(39), '0.8e0', '10e0')}) UNION ALL SELECT *, 3 FROM ({case_sql('e', chr(39) + 'E' + chr(39), '0.9e0')}) UNION ALL SELECT video_id, keyword_id, NULL, NULL, 'F', 0e0, NULL, 9 FROM {KW} z), q AS (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY r) AS rn FROM u) SELECT {', '.join(COLS)} FROM q WHERE rn = 1",
+    "t_vis delta_t alpha",
+)(lambda s: A.align_keywords(keywords(s), s("fx_ocr"), s("fx_scenes"), s("fx_concepts"), threshold=None).select(*COLS))
+register("a7_cascade_fuzzy")(lambda s: A.align_keywords(keywords(s), s("fx_ocr"), s("fx_scenes")).select(*COLS))
+register("j8_fuzzy_word_match")(lambda s: A.fuzzy_word_match(A.keyword_parts(able(s)), s("fx_ocr")))
+
+
+def vector_keywords(s):
+    f = s("fx_frames")
+    k = f.where(F.col("frame_idx") % 3 == 0).select("video_id", F.col("frame_idx").cast("long").alias("keyword_id"), F.col("frame_time").alias("t_narr"), F.transform("embedding", lambda x: x * 4).alias("embedding"), F.when(F.col("frame_idx") % 9 == 0, "LOW").otherwise("HIGH").alias("groundability"))
+    c = f.where(F.col("frame_idx") % 4 == 1).select("video_id", F.col("frame_idx").alias("scene_id"), (F.col("frame_time") - 1).alias("t_start"), (F.col("frame_time") + 1).alias("t_end"), F.col("frame_time").alias("t_keyframe"), "embedding", (F.col("frame_idx") % 8 == 1).alias("has_words"))
+    return k, c
+
+
+VEC = "k AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS keyword_id, frame_time AS t_narr, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS kv FROM fx_frames WHERE frame_idx % 3 = 0 AND frame_idx % 9 <> 0), c AS (SELECT video_id, frame_idx AS scene_id, frame_time - 1 AS t_start, frame_time AS t_keyframe, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS sv, frame_idx % 8 = 1 AS has_words FROM fx_frames WHERE frame_idx % 4 = 1)"
+register(
+    "a5_case_g_vector",
+    f"WITH {VEC}, p AS (SELECT k.video_id, k.keyword_id, k.t_narr, c.*  EXCLUDE (video_id), 1/(1+exp(-4*list_dot_product(kv, sv))) AS sim FROM k JOIN c ON c.video_id=k.video_id AND c.t_keyframe BETWEEN k.t_narr-10 AND k.t_narr+10), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY sim*exp(-0.5e0*power((t_keyframe-t_narr)/5e0, 2)) DESC, scene_id) AS rn FROM p) SELECT video_id, keyword_id, t_start AS t_vis, t_start-t_narr AS delta_t, 'G' AS match_case, greatest(0.1e0, least(0.5e0, (CASE WHEN has_words THEN 0.25e0 ELSE 0.4e0 END)*least(1e0, (sim-0.55e0)/0.05e0))) AS alpha, scene_id FROM r WHERE rn=1 AND sim >= 0.55e0",
+    "t_vis delta_t alpha",
+)(lambda s: A.case_g_vector(*vector_keywords(s)).select(*COLS))
+SW = "sw AS (SELECT s.video_id, s.scene_id, s.t_start AS t_vis, o.tok FROM fx_scenes s JOIN fx_ocr o ON o.video_id=s.video_id AND o.frame_time=s.t_start), w AS (SELECT video_id, keyword_text AS tok, t_narr AS t FROM fx_keywords), p AS (SELECT sw.*, w.t, row_number() OVER (PARTITION BY sw.video_id, sw.scene_id, sw.tok ORDER BY abs(w.t-sw.t_vis), w.t) AS rn FROM sw JOIN w ON w.video_id=sw.video_id AND w.tok=sw.tok AND abs(w.t-sw.t_vis) <= 30), ta AS (SELECT video_id, scene_id, t_vis, median(t-t_vis) AS delta_narr_vis, string_agg(tok, ' ' ORDER BY tok) AS matched_words FROM p WHERE rn=1 GROUP BY 1,2,3)"
+
+
+def scene_tokens(s):
+    rows = s("fx_scenes").select("video_id", "scene_id", F.col("t_start").alias("t_vis"))
+    return rows.join(s("fx_ocr").withColumnRenamed("frame_time", "t_vis"), ["video_id", "t_vis"])
+
+
+def spoken(s):
+    return s("fx_keywords").select("video_id", F.col("keyword_text").alias("tok"), F.col("t_narr").alias("t"))
+
+
+register("j7_a9_scene_track_a", f"WITH {SW} SELECT *, 'A' AS match_track, 1e0 AS alpha FROM ta", "t_vis delta_narr_vis alpha")(lambda s: A.scene_track_a(scene_tokens(s), spoken(s)))
+register("j7_first_in_window", f"WITH {SW}, f AS (SELECT sw.video_id, sw.scene_id, sw.t_vis, w.t, w.tok, row_number() OVER (PARTITION BY sw.video_id, sw.scene_id ORDER BY w.t, w.tok) AS r FROM sw JOIN w ON w.video_id=sw.video_id AND w.tok=sw.tok AND abs(w.t-sw.t_vis) <= 60) SELECT video_id, scene_id, t_vis, t-t_vis AS delta_narr_vis, tok AS matched_words FROM f WHERE r=1", "t_vis delta_narr_vis")(
+    lambda s: A.first_in_window(scene_tokens(s), spoken(s))
+)
+
+
+def vector_scenes(s):
+    f = s("fx_frames")
+    a = f.where(F.col("frame_idx") % 4 == 1).select("video_id", F.col("frame_idx").alias("scene_id"), F.col("frame_time").alias("t_vis"), "embedding", (F.col("frame_idx") % 12 != 1).alias("is_content"))
+    b = f.where(F.col("frame_idx") % 3 == 0).select("video_id", F.col("frame_idx").cast("long").alias("segment_id"), F.col("frame_time").alias("t_mid"), "embedding")
+    return a, b
+
+
+TV = "a AS (SELECT video_id, frame_idx AS scene_id, frame_time AS t_vis, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, frame_idx % 12 <> 1 AS is_content FROM fx_frames WHERE frame_idx % 4 = 1), b AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS segment_id, frame_time AS t_mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM fx_frames WHERE frame_idx % 3 = 0), p AS (SELECT a.video_id, scene_id, t_vis, segment_id, t_mid, list_cosine_similarity(v, u) AS sim FROM a JOIN b USING (video_id)), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY sim*exp(-0.5e0*power((t_mid-t_vis)/15e0, 2)) DESC, segment_id) AS rn FROM p), tv AS (SELECT video_id, scene_id, t_vis, segment_id, t_mid-t_vis AS delta_narr_vis, 'vector' AS match_track, 0.5e0+0.5e0*least(greatest((sim-0.2e0)/0.8e0, 0), 1) AS alpha FROM r WHERE rn=1 AND sim >= 0.2e0)"
+register("a10_scene_track_vector", f"WITH {TV} SELECT * FROM tv", "t_vis delta_narr_vis alpha")(lambda s: A.scene_track_vector(*vector_scenes(s)))
+register(
+    "a11_scene_cascade",
+    f"WITH {TV} SELECT a.video_id, a.scene_id, CASE WHEN NOT is_content THEN 'non_content' WHEN tv.scene_id IS NULL THEN 'no_match' ELSE 'match' END AS match_type, CASE WHEN is_content THEN delta_narr_vis END AS delta_narr_vis, CASE WHEN is_content THEN match_track END AS match_track, CASE WHEN is_content THEN coalesce(alpha, 0e0) END AS alpha FROM a LEFT JOIN tv USING (video_id, scene_id)",
+    "delta_narr_vis alpha",
+)(lambda s: A.scene_cascade(vector_scenes(s)[0].select("video_id", "scene_id", "is_content"), [A.scene_track_vector(*vector_scenes(s)), A.scene_track_vector(*vector_scenes(s), least=0.9, track="text")]))
+
+
+def grounding(s):
+    k, ocr, _, hits = parts(s)
+    near = lambda m, f: k.where(F.col("keyword_id") % m == 0).select("video_id", "keyword_id", (F.col("t_narr") + 5).alias("t"), f.alias("value"))
+    asked = k.where(F.col("keyword_id") % 4 == 0).select("video_id", "keyword_id", F.col("t_narr").alias("t"), F.lit(True).alias("yes"))
+    return A.keyword_grounding(keywords(s), hits, ocr, near(7, F.lit(0.5)), near(9, F.col("keyword_id") % 10 / 10), asked)
+
+
+register("a12_keyword_grounding")(grounding)
+register(
+    "w23_monotonic_violations",
+    "WITH v AS (SELECT *, coalesce(t_narr < lag(t_narr) OVER (PARTITION BY video_id ORDER BY t_vis, keyword_id, segment_id, t_narr, alpha) - 10, FALSE) AS v FROM fx_align WHERE match_case <> 'F') SELECT video_id, count(*) FILTER (v) AS n_violations, count(*) AS n FROM v GROUP BY 1",
+)(lambda s: A.monotonic_violations(s("fx_align").where("match_case <> 'F'")).groupBy("video_id").agg(F.count_if("violates").alias("n_violations"), F.count(F.lit(1)).alias("n")))
