@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 
-MATCHED = F.col("match_case") != "F"
+def is_matched() -> Column:
+    return F.col("match_case") != "F"
 
 
 def matched(align: DataFrame) -> DataFrame:
-    return align.where(MATCHED)
+    return align.where(is_matched())
 
 
 def unmatched(align: DataFrame) -> DataFrame:
-    return align.where(~MATCHED)
+    return align.where(~is_matched())
 
 
 def groundable(keywords: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def scored(align: DataFrame, importance: DataFrame, **options) -> DataFrame:
 
 
 def when_matched(c: Column | str) -> Column:
-    return F.when(MATCHED, F.col(c) if isinstance(c, str) else c)
+    return F.when(is_matched(), F.col(c) if isinstance(c, str) else c)
 
 
 def weighted_mean(value: str, *weights: Column) -> Column:
@@ -82,31 +83,38 @@ def weighted_mean(value: str, *weights: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(v * w), F.sum(when_matched(w))), F.avg(v))
 
 
-ALPHA = F.coalesce(F.col("alpha"), F.lit(1.0))
-COMBINED = ALPHA * F.coalesce(F.col("importance_weight"), F.lit(1.0))
-N_MATCHED = F.count_if(MATCHED)
+def confidence() -> Column:
+    return F.coalesce(F.col("alpha"), F.lit(1.0))
+
+
+def combined_weight() -> Column:
+    return confidence() * F.coalesce(F.col("importance_weight"), F.lit(1.0))
+
+
+def count_matched() -> Column:
+    return F.count_if(is_matched())
 
 
 def score_segments(rows: DataFrame) -> DataFrame:
     """One row per segment, also for segments without a match."""
     m = when_matched
-    high = MATCHED & (F.col("alpha") >= 0.8)
-    some = N_MATCHED > 0
+    high = is_matched() & (F.col("alpha") >= 0.8)
+    some = count_matched() > 0
     return rows.groupBy("video_id", "segment_id").agg(
         F.count(F.lit(1)).alias("n_keywords"),
-        N_MATCHED.alias("n_matched"),
-        F.count_if(~MATCHED).alias("n_unmatched"),
-        (N_MATCHED / F.count(F.lit(1))).alias("match_rate"),
-        weighted_mean("S_temporal", ALPHA).alias("mean_S_temporal"),
+        count_matched().alias("n_matched"),
+        F.count_if(~is_matched()).alias("n_unmatched"),
+        (count_matched() / F.count(F.lit(1))).alias("match_rate"),
+        weighted_mean("S_temporal", confidence()).alias("mean_S_temporal"),
         F.median(m("S_temporal")).alias("median_S_temporal"),
-        weighted_mean("S_piecewise", ALPHA).alias("mean_S_piecewise"),
+        weighted_mean("S_piecewise", confidence()).alias("mean_S_piecewise"),
         F.avg(m("delta_t")).alias("mean_delta_t"),
         F.median(m("delta_t")).alias("median_delta_t"),
         F.min(m("delta_t")).alias("min_delta_t"),
         F.max(m("delta_t")).alias("max_delta_t"),
-        *[F.count_if(MATCHED & (F.col("zone") == z)).alias(f"n_{z}") for z in S.ZONES],
+        *[F.count_if(is_matched() & (F.col("zone") == z)).alias(f"n_{z}") for z in S.ZONES],
         F.count_if(high).alias("n_high_confidence"),
-        F.count_if(MATCHED & (F.col("alpha") < 0.8)).alias("n_medium_confidence"),
+        F.count_if(is_matched() & (F.col("alpha") < 0.8)).alias("n_medium_confidence"),
         F.avg(F.when(high, F.col("S_temporal"))).alias("mean_S_high_conf"),
         F.when(some, F.mode(m("importance"), True)).otherwise(F.mode("importance", True)).alias("importance"),
         F.when(some, F.avg(m("importance_weight"))).otherwise(F.avg("importance_weight")).alias("importance_weight"),
@@ -118,17 +126,17 @@ def score_segments(rows: DataFrame) -> DataFrame:
 def video_results(rows: DataFrame) -> DataFrame:
     """Keyword-level metrics of each recording."""
     m = when_matched
-    d, high = m("delta_t"), MATCHED & (F.col("alpha") >= 0.8)
+    d, high = m("delta_t"), is_matched() & (F.col("alpha") >= 0.8)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     tier = lambda hit, c: F.avg(F.when(hit, F.col(c)))
     share = lambda test: 100 * F.avg(m(test.cast("double")))
-    medium = MATCHED & (F.col("alpha") < 0.8)
+    medium = is_matched() & (F.col("alpha") < 0.8)
     return rows.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(F.col("groundability") != "LOW").alias("n_groundable"),
-        N_MATCHED.alias("n_matched"),
-        (N_MATCHED / F.count(F.lit(1))).alias("match_rate"),
-        *[weighted_mean(f"S_{k}", ALPHA).alias(f"mean_S_{k}_weighted") for k in ("gaussian", "piecewise", "temporal")],
+        count_matched().alias("n_matched"),
+        (count_matched() / F.count(F.lit(1))).alias("match_rate"),
+        *[weighted_mean(f"S_{k}", confidence()).alias(f"mean_S_{k}_weighted") for k in ("gaussian", "piecewise", "temporal")],
         *[F.avg(m(zero(f"S_{k}"))).alias(f"mean_S_{k}_unweighted") for k in ("gaussian", "piecewise", "temporal")],
         F.median(m("S_temporal")).alias("median_S_temporal"),
         F.avg(d).alias("mean_delta_t"),
@@ -138,8 +146,8 @@ def video_results(rows: DataFrame) -> DataFrame:
         F.max(d).alias("max_delta_t"),
         share(F.col("delta_t") <= 0).alias("pct_negative_delta_t"),
         share(F.abs("delta_t") <= 1).alias("pct_within_1s"),
-        F.avg(m(ALPHA)).alias("mean_alpha"),
-        share(ALPHA >= 0.8).alias("pct_high_confidence"),
+        F.avg(m(confidence())).alias("mean_alpha"),
+        share(confidence() >= 0.8).alias("pct_high_confidence"),
         *[share(F.col("zone") == z).alias(f"pct_{z}") for z in S.ZONES],
         F.count_if(high).alias("n_high"),
         tier(high, "S_temporal").alias("high_mean_S"),
@@ -152,11 +160,11 @@ def video_results(rows: DataFrame) -> DataFrame:
 
 def overall_score(rows: DataFrame) -> DataFrame:
     out = rows.groupBy("video_id").agg(
-        N_MATCHED.alias("n_matched"),
-        weighted_mean("S_temporal", COMBINED).alias("overall_score"),
-        weighted_mean("S_temporal", ALPHA).alias("overall_score_alpha_only"),
+        count_matched().alias("n_matched"),
+        weighted_mean("S_temporal", combined_weight()).alias("overall_score"),
+        weighted_mean("S_temporal", confidence()).alias("overall_score_alpha_only"),
         F.avg(when_matched(F.coalesce("S_temporal", F.lit(0.0)))).alias("overall_score_unweighted"),
-        weighted_mean("S_piecewise", COMBINED).alias("overall_score_piecewise"),
+        weighted_mean("S_piecewise", combined_weight()).alias("overall_score_piecewise"),
     )
     return out.withColumns({"overall_grade": S.grade(F.col("overall_score")), "overall_grade_piecewise": S.grade(F.col("overall_score_piecewise"))})
 
@@ -164,7 +172,7 @@ def overall_score(rows: DataFrame) -> DataFrame:
 def coverage(rows: DataFrame) -> DataFrame:
     """Share of groundable keywords that found a visual, alone and times the overall score."""
     rate = F.col("n_matched") / F.greatest("n_groundable", F.lit(1))
-    out = rows.groupBy("video_id").agg(F.count_if(F.col("groundability") != "LOW").alias("n_groundable"), N_MATCHED.alias("n_matched"), weighted_mean("S_temporal", COMBINED).alias("overall_score"))
+    out = rows.groupBy("video_id").agg(F.count_if(F.col("groundability") != "LOW").alias("n_groundable"), count_matched().alias("n_matched"), weighted_mean("S_temporal", combined_weight()).alias("overall_score"))
     return out.select("video_id", "n_groundable", "n_matched", rate.alias("coverage_rate"), (F.coalesce("overall_score", F.lit(0.0)) * rate).alias("coverage_adjusted"))
 
 
@@ -279,13 +287,13 @@ def weighted_median(rows: DataFrame, value: str, weight: str, keys: tuple[str, .
 
 
 def condition_stats(rows: DataFrame) -> DataFrame:
-    dwelt = MATCHED & F.col("visual_on_screen") & (F.col("delta_t") <= 0)
+    dwelt = is_matched() & F.col("visual_on_screen") & (F.col("delta_t") <= 0)
     return rows.groupBy("video_id").agg(
         F.avg(F.when(dwelt, -F.col("delta_t"))).alias("mean_dwell"),
-        F.count_if(MATCHED & (F.col("delta_t") < 0)).alias("n_before"),
-        F.count_if(MATCHED & (F.col("delta_t") == 0)).alias("n_same"),
-        F.count_if(MATCHED & (F.col("delta_t") > 0)).alias("n_after"),
-        *[F.count_if(MATCHED & (F.col("zone") == z)).alias(f"n_{z}") for z in S.ZONES],
+        F.count_if(is_matched() & (F.col("delta_t") < 0)).alias("n_before"),
+        F.count_if(is_matched() & (F.col("delta_t") == 0)).alias("n_same"),
+        F.count_if(is_matched() & (F.col("delta_t") > 0)).alias("n_after"),
+        *[F.count_if(is_matched() & (F.col("zone") == z)).alias(f"n_{z}") for z in S.ZONES],
     )
 
 
@@ -303,8 +311,8 @@ def segment_alignment(segments: DataFrame, align: DataFrame) -> DataFrame:
     agg = align.groupBy("video_id", "segment_id").agg(
         F.count(F.lit(1)).alias("n_keywords"),
         *cases,
-        (N_MATCHED / F.count(F.lit(1))).alias("match_rate"),
-        F.try_divide(F.sum(m(F.col("delta_t") * ALPHA)), F.sum(m(ALPHA))).alias("mean_delta_t"),
+        (count_matched() / F.count(F.lit(1))).alias("match_rate"),
+        F.try_divide(F.sum(m(F.col("delta_t") * confidence())), F.sum(m(confidence()))).alias("mean_delta_t"),
         F.median(m("delta_t")).alias("median_delta_t"),
         F.min(m("delta_t")).alias("min_delta_t"),
         F.max(m("delta_t")).alias("max_delta_t"),

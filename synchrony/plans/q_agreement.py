@@ -112,9 +112,9 @@ register("i18_version_compare", OVERALL + f", pw AS (SELECT video_id, overall_sc
 def scoreboard(s):
     """One wide row per recording, from three roll-ups of one scored table."""
     rows = kw(s)
-    late, n = F.count_if(F.col("match_case").isin("B", "C")), O.N_MATCHED
+    late, n = F.count_if(F.col("match_case").isin("B", "C")), O.count_matched()
     base = rows.groupBy("video_id").agg(
-        O.weighted_mean("S_temporal", O.COMBINED).alias("overall_score"), (100 * n / F.greatest(F.count_if(F.col("groundability") != "LOW"), F.lit(1))).alias("coverage_pct"), (100 * F.count_if(F.col("match_case") == "A") / F.greatest(n, F.lit(1))).alias("case_a_pct"),
+        O.weighted_mean("S_temporal", O.combined_weight()).alias("overall_score"), (100 * n / F.greatest(F.count_if(F.col("groundability") != "LOW"), F.lit(1))).alias("coverage_pct"), (100 * F.count_if(F.col("match_case") == "A") / F.greatest(n, F.lit(1))).alias("case_a_pct"),
         (100 * late / F.greatest(n, F.lit(1))).alias("late_pct"), (100 * F.count_if(F.col("match_method") == "ocr_vocabulary_mismatch") / F.greatest(F.count_if(F.col("match_case") == "F"), F.lit(1))).alias("mismatch_pct"), F.median(F.when(F.col("match_case").isin("A", "D"), -F.col("delta_t"))).alias("median_lead"),
     )
     segs = O.segment_level(O.score_segments(rows)).select("video_id", (100 * F.col("n_with_matches") / F.col("n_total")).alias("segment_pct"))
