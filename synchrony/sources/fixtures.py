@@ -98,11 +98,15 @@ def with_views(sql: str, engine: str = "duckdb") -> str:
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"
 
 
+def over(spark: SparkSession, name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """A fixture view over given tables, which may be streams."""
+    sql = with_views(f"SELECT * FROM {name}", "spark").replace("{", "{{").replace("}", "}}")
+    for t in tables:
+        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+    return spark.sql(sql, **tables)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view over the tables in a folder."""
-    sql = with_views(f"SELECT * FROM {name}", "spark")
-    used = [t for t in TABLES if re.search(rf"\b{t}\b", sql)]
-    sql = sql.replace("{", "{{").replace("}", "}}")
-    for t in used:
-        sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    used = [t for t in TABLES if re.search(rf"\b{t}\b", with_views(f"SELECT * FROM {name}", "spark"))]
+    return over(spark, name, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
