@@ -275,7 +275,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = rows.select("band", "value", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), "rep", "block", "sig")
     survivors = written(rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(prune, CANDIDATES), "njoin-survivors")
     wanted = survivors.where("kind = 0").select("lo", "hi", F.col("id")).distinct()
-    texts = narrow.join(wanted, F.col("doc_id") == F.col("id")).select("lo", "hi", F.lit(0).alias("kind"), "id", "text", F.array().cast("array<long>").alias("others"))
+    # text is dealt by doc_id at every size, so the plan stays the same as tables grow
+    texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("lo", "hi", F.lit(0).alias("kind"), "id", "text", F.array().cast("array<long>").alias("others"))
     pairs = survivors.where("kind = 1").select("lo", "hi", "kind", "id", F.lit(None).cast("string").alias("text"), "others")
     cells = texts.unionByName(pairs).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
     linked = written(cells.mapInArrow(verify, "id long, links long, root long"), "njoin-links")
