@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.tokens import jaccard
+from ..sources.shared import settled
 from .timejoin import bucketed_range_join
 
 
@@ -68,11 +69,11 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
     order = lambda side: Window.partitionBy("set_name", side).orderBy(F.col("score").desc(), "a_id", "b_id")
     for _ in count():
         ranked = rest.withColumn("ra", F.row_number().over(order("a_id"))).withColumn("rb", F.row_number().over(order("b_id")))
-        now = ranked.where("ra = 1 and rb = 1").drop("ra", "rb").cache()
+        now = settled(ranked.where("ra = 1 and rb = 1").drop("ra", "rb"), "mutual-best")
         if now.isEmpty():
             return taken if taken is not None else now
         taken = now if taken is None else taken.unionByName(now)
-        rest = rest.join(now.select("set_name", "a_id"), ["set_name", "a_id"], "left_anti").join(now.select("set_name", "b_id"), ["set_name", "b_id"], "left_anti").cache()
+        rest = settled(rest.join(now.select("set_name", "a_id"), ["set_name", "a_id"], "left_anti").join(now.select("set_name", "b_id"), ["set_name", "b_id"], "left_anti"), "mutual-rest")
 
 
 def group_leftovers(scenes: DataFrame, least: float = 0.3, reach: float = 30.0) -> DataFrame:

@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import fixtures
+from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .q_scoring import OVERALL
 from .q_series import TR
 from .registry import REGISTRY, Query
 
 
-def shared_dir(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="synchrony-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def stream_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and reads its sink: files in the shared folder, written batch by batch."""
-    spark, path = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, path = stream.sparkSession, stream_dir(stream.sparkSession)
     write = "append" if mode == "append" else "overwrite"
 
     def put(batch: DataFrame, _: int) -> None:
@@ -52,7 +48,7 @@ class Stream(Query):
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The difference series as a stream of files, with an event time."""
-    path = shared_dir(spark)
+    path = stream_dir(spark)
     s = fixtures.view(spark, sf_dir, "fx_series").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t"))).select("video_id", "frame_idx", "t", "mad", "ts")
     s.write.parquet(path)
     return stream_of(spark, path)
