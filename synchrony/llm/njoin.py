@@ -127,12 +127,14 @@ def bounds(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
 
 
 CELL = ("band", "value", "i", "j")
-CANDIDATES = "lo long, hi long, kind int, id long, others array<long>"
+#: Either a pair of blocks with the surviving pairs of their texts, or (with null blocks) a text that has a survivor.
+CANDIDATES = "lo long, hi long, id long, firsts array<long>, seconds array<long>"
+FIELDS = ["lo", "hi", "id", "firsts", "seconds"]
 
 
 def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets, sorted by bucket -> per pair of blocks: the surviving partners of each text (kind 1) and the
-    texts needed (kind 0)."""
+    """Rows of buckets, sorted by bucket -> a row per pair of blocks with all surviving pairs, and a row per text that has
+    one."""
     need = least_matches()
     for table in groups_of(batches, CELL):
         table = table.combine_chunks()
@@ -178,33 +180,34 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kept:
             x, y = (np.concatenate(z) for z in zip(*kept))
             lo, hi = np.minimum(block[x], block[y]), np.maximum(block[x], block[y])
-            order = np.lexsort((rep[y], rep[x], hi, lo))
+            order = np.lexsort((hi, lo))
             lo, hi, a, b = lo[order], hi[order], rep[x][order], rep[y][order]
             new = np.ones(len(lo), bool)
-            new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (a[1:] != a[:-1])
+            new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
             heads = np.flatnonzero(new)
-            others = pa.ListArray.from_arrays(pa.array(np.append(heads, len(lo)).astype(np.int32)), pa.array(b))
-            yield pa.RecordBatch.from_arrays([pa.array(lo[heads]), pa.array(hi[heads]), pa.array(np.ones(len(heads), np.int32)), pa.array(a[heads]), others], ["lo", "hi", "kind", "id", "others"])
-            wanted = np.unique(np.stack([np.concatenate([lo, lo]), np.concatenate([hi, hi]), np.concatenate([a, b])]), axis=1)
-            none = pa.ListArray.from_arrays(pa.array(np.zeros(wanted.shape[1] + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, wanted[:2]), pa.array(np.zeros(wanted.shape[1], np.int32)), pa.array(wanted[2]), none], ["lo", "hi", "kind", "id", "others"])
+            offsets = pa.array(np.append(heads, len(lo)).astype(np.int32))
+            texts = np.unique(np.concatenate([a, b]))
+            n, m = len(heads), len(texts)
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(m + 1, np.int32)), pa.array(np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(lo[heads]), pa.array(hi[heads]), pa.nulls(n, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(a)), pa.ListArray.from_arrays(offsets, pa.array(b))], FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(texts), none, none], FIELDS)
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts (kind 0) and pairs (kind 1) of blocks, sorted by block pair -> id, links, root of the block pair."""
+    """Texts and pairs of blocks, sorted by block pair -> id, links, root inside the block pair."""
     from xxhash import xxh3_128_hexdigest
 
     keys = ("lo", "hi")
     for table in groups_of(batches, keys):
         edges = bounds(table, keys)
-        kind, ids, texts, others = (table.column(c).to_pylist() for c in ("kind", "id", "text", "others"))
+        ids, texts, firsts, seconds = (table.column(c).to_pylist() for c in ("id", "text", "firsts", "seconds"))
         out: tuple[list, list, list] = ([], [], [])
         for start, stop in zip(edges, edges[1:]):
             chosen: dict[int, str] = {}
-            pairs: dict[int, set] = {}
+            pairs: set[tuple[int, int]] = set()
             for r in range(start, stop):
-                if kind[r]:
-                    pairs.setdefault(ids[r], set()).update(others[r])
+                if ids[r] is None:
+                    pairs.update(zip(firsts[r], seconds[r]))
                 else:
                     text = texts[r] or ""
                     other = chosen.get(ids[r])
@@ -219,17 +222,16 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = root[x]
                 return x
 
-            for a, partners in pairs.items():
-                for b in partners:
-                    n, m = len(sets[a]), len(sets[b])
-                    if min(n, m) < THRESHOLD * max(n, m):
-                        continue
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if both >= THRESHOLD * (n + m - both):
-                        links[a] += 1
-                        links[b] += 1
-                        x, y = find(a), find(b)
-                        root[max(x, y)] = min(x, y)
+            for a, b in pairs:
+                n, m = len(sets[a]), len(sets[b])
+                if min(n, m) < THRESHOLD * max(n, m):
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= THRESHOLD * (n + m - both):
+                    links[a] += 1
+                    links[b] += 1
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
             for i, n in links.items():
                 if n:
                     out[0].append(i), out[1].append(n), out[2].append(find(i))
@@ -274,10 +276,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("band", "value", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), "rep", "block", "sig")
     survivors = written(rows.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(prune, CANDIDATES), "njoin-survivors")
-    wanted = survivors.where("kind = 0").select("lo", "hi", F.col("id")).distinct()
+    pairs = survivors.where("lo is not null").select("lo", "hi", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "firsts", "seconds")
+    # the texts of a pair of blocks are those members of either that have a survivor
+    members = placed.select("rep", "block").join(survivors.where("id is not null").select(F.col("id").alias("rep")).distinct(), "rep", "left_semi")
+    sides = pairs.select("lo", "hi").distinct().withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
+    wanted = members.join(sides, "block").select("lo", "hi", F.col("rep").alias("id"))
     # text is dealt by doc_id at every size, so the plan stays the same as tables grow
-    texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("lo", "hi", F.lit(0).alias("kind"), "id", "text", F.array().cast("array<long>").alias("others"))
-    pairs = survivors.where("kind = 1").select("lo", "hi", "kind", "id", F.lit(None).cast("string").alias("text"), "others")
+    texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"))
+    empty = F.array().cast("array<long>")
+    texts = texts.select("lo", "hi", "id", "text", empty.alias("firsts"), empty.alias("seconds"))
     cells = texts.unionByName(pairs).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
     linked = written(cells.mapInArrow(verify, "id long, links long, root long"), "njoin-links")
     links = linked.groupBy("id").agg(F.sum("links").alias("links"))
