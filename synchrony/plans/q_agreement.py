@@ -42,8 +42,8 @@ register("i2_importance_score", f"WITH {FEAT} SELECT video_id, segment_id, " + "
 register("i3_percentile_bin", f"WITH {swept(PERT[:1])} SELECT video_id, segment_id, importance FROM im")(lambda s: I.percentile_bin(features(s).withColumn("score", I.importance_score()), "score", ["video_id"]).select("video_id", "segment_id", "importance"))
 register(
     "i4_merge_double_run",
-    "WITH a AS (SELECT doc_id AS segment_id, CAST(1 + doc_id % 5 AS INT) AS r1 FROM documents), b AS (SELECT doc_id AS segment_id, CAST(1 + doc_id % 3 AS INT) AS r2 FROM documents WHERE doc_id % 4 <> 0) SELECT segment_id, CAST(round_even((r1+coalesce(r2, r1))/2, 0) AS INT) AS merged, abs(r1-coalesce(r2, r1)) <= 1 AS is_reliable, r1 AS run1_rating, coalesce(r2, r1) AS run2_rating FROM a LEFT JOIN b USING (segment_id)",
-)(lambda s: I.merge_double_run(s("documents").select(F.col("doc_id").alias("segment_id"), (1 + F.col("doc_id") % 5).cast("int").alias("importance")), s("documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("segment_id"), (1 + F.col("doc_id") % 3).cast("int").alias("importance"))))
+    "WITH a AS (SELECT doc_id AS segment_id, CAST(1 + doc_id % 5 AS INT) AS r1 FROM documents), b AS (SELECT doc_id AS segment_id, CAST(1 + doc_id % 3 AS INT) AS r2 FROM labels) SELECT segment_id, CAST(round_even((r1+coalesce(r2, r1))/2, 0) AS INT) AS merged, abs(r1-coalesce(r2, r1)) <= 1 AS is_reliable, r1 AS run1_rating, coalesce(r2, r1) AS run2_rating FROM a LEFT JOIN b USING (segment_id)",
+)(lambda s: I.merge_double_run(s("documents").select(F.col("doc_id").alias("segment_id"), (1 + F.col("doc_id") % 5).cast("int").alias("importance")), s("labels").select(F.col("doc_id").alias("segment_id"), (1 + F.col("doc_id") % 3).cast("int").alias("importance"))))
 SOME_TIERS = "NOT (tier='t1' AND video_id IN ('v1','v2')) AND NOT (tier='t2' AND video_id='v2')"
 register("i5_tier_fallback", f"WITH r AS (SELECT *, CASE tier WHEN 't1' THEN 0 WHEN 't2' THEN 1 ELSE 2 END AS k FROM fx_tiers WHERE {SOME_TIERS}), m AS (SELECT *, min(k) OVER (PARTITION BY video_id) AS b FROM r) SELECT video_id, segment_id, tier, importance FROM m WHERE k=b")(
     lambda s: I.tier_fallback(s("fx_tiers").where(SOME_TIERS), ["t1", "t2", "t3"])
@@ -142,13 +142,13 @@ INS = [
 register("i19_insights", BOARD + " " + " UNION ALL ".join(f"SELECT {n} AS finding, CAST({v} AS DOUBLE) AS value, {w} AS video_id FROM sb HAVING {t}" for n, t, v, w in INS), "value")(lambda s: G.insights(scoreboard(s)))
 register(
     "i20_recommendations",
-    SCORED + """, s AS (SELECT video_id, segment_id, count(*) AS n_keywords, count(*) FILTER (m) AS nm, max(importance) AS importance FROM k WHERE keyword_id % 3 = 0 GROUP BY 1, 2), z AS (SELECT * FROM k WHERE keyword_id % 3 = 0)
+    SCORED + """, s AS (SELECT video_id, segment_id, count(*) AS n_keywords, count(*) FILTER (m) AS nm, max(importance) AS importance FROM k GROUP BY 1, 2), z AS (SELECT * FROM k)
 SELECT video_id, 'important_unsupported' AS rule, segment_id AS subject, CAST(n_keywords AS DOUBLE) AS value FROM s WHERE nm=0 AND importance>=4
 UNION ALL SELECT video_id, CASE WHEN delta_t>3 THEN 'late_visual' ELSE 'minor_lag' END, keyword_id, delta_t FROM z WHERE match_case IN ('B','C') AND delta_t>1
 UNION ALL SELECT video_id, CASE match_method WHEN 'no_ocr_nearby' THEN 'visual_coverage' ELSE 'vocabulary_mismatch' END, NULL, CAST(count(*) AS DOUBLE) FROM z WHERE match_case='F' AND match_method IN ('no_ocr_nearby','ocr_vocabulary_mismatch') GROUP BY 1, match_method
 UNION ALL SELECT video_id, 'pacing', NULL, 100*avg(CASE WHEN -delta_t>10 THEN 1e0 ELSE 0e0 END) FROM z WHERE match_case IN ('A','D') GROUP BY 1 HAVING 100*avg(CASE WHEN -delta_t>10 THEN 1e0 ELSE 0e0 END) > 20""".replace(", s AS (", ", sgm AS (").replace("FROM s WHERE nm", "FROM sgm WHERE nm"),
     "value",
-)(lambda s: (lambda r: G.recommendations(r, O.score_segments(r)))(kw(s).where("keyword_id % 3 = 0")))
+)(lambda s: (lambda r: G.recommendations(r, O.score_segments(r)))(kw(s)))
 
 # --- study ------------------------------------------------------------------------------------------------------------
 LEVEL = "SELECT rater, rating, CAST([0, 1, 3, 5][CAST(substring(item, 2) AS INT) % 4 + 1] AS INT) AS delay_level, item FROM fx_ratings"

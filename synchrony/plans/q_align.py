@@ -64,12 +64,12 @@ register("j8_fuzzy_word_match")(lambda s: A.fuzzy_word_match(A.keyword_parts(abl
 
 def vector_keywords(s):
     f = s("fx_frames")
-    k = f.where(F.col("frame_idx") % 3 == 0).select("video_id", F.col("frame_idx").cast("long").alias("keyword_id"), F.col("frame_time").alias("t_narr"), F.transform("embedding", lambda x: x * 4).alias("embedding"), F.when(F.col("frame_idx") % 9 == 0, "LOW").otherwise("HIGH").alias("groundability"))
-    c = f.where(F.col("frame_idx") % 4 == 1).select("video_id", F.col("frame_idx").alias("scene_id"), (F.col("frame_time") - 1).alias("t_start"), (F.col("frame_time") + 1).alias("t_end"), F.col("frame_time").alias("t_keyframe"), "embedding", (F.col("frame_idx") % 8 == 1).alias("has_words"))
+    k = f.select("video_id", F.col("frame_idx").cast("long").alias("keyword_id"), F.col("frame_time").alias("t_narr"), F.transform("embedding", lambda x: x * 4).alias("embedding"), F.when(F.col("frame_idx") % 9 == 0, "LOW").otherwise("HIGH").alias("groundability"))
+    c = f.select("video_id", F.col("frame_idx").alias("scene_id"), (F.col("frame_time") - 1).alias("t_start"), (F.col("frame_time") + 1).alias("t_end"), F.col("frame_time").alias("t_keyframe"), "embedding", (F.col("frame_idx") % 8 == 1).alias("has_words"))
     return k, c
 
 
-VEC = "k AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS keyword_id, frame_time AS t_narr, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS kv FROM fx_frames WHERE frame_idx % 3 = 0 AND frame_idx % 9 <> 0), c AS (SELECT video_id, frame_idx AS scene_id, frame_time - 1 AS t_start, frame_time AS t_keyframe, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS sv, frame_idx % 8 = 1 AS has_words FROM fx_frames WHERE frame_idx % 4 = 1)"
+VEC = "k AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS keyword_id, frame_time AS t_narr, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS kv FROM fx_frames WHERE frame_idx % 9 <> 0), c AS (SELECT video_id, frame_idx AS scene_id, frame_time - 1 AS t_start, frame_time AS t_keyframe, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS sv, frame_idx % 8 = 1 AS has_words FROM fx_frames)"
 register(
     "a5_case_g_vector",
     f"WITH {VEC}, p AS (SELECT k.video_id, k.keyword_id, k.t_narr, c.*  EXCLUDE (video_id), 1/(1+exp(-4*list_dot_product(kv, sv))) AS sim FROM k JOIN c ON c.video_id=k.video_id AND c.t_keyframe BETWEEN k.t_narr-10 AND k.t_narr+10), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY sim*exp(-0.5e0*power((t_keyframe-t_narr)/5e0, 2)) DESC, scene_id) AS rn FROM p) SELECT video_id, keyword_id, t_start AS t_vis, t_start-t_narr AS delta_t, 'G' AS match_case, greatest(0.1e0, least(0.5e0, (CASE WHEN has_words THEN 0.25e0 ELSE 0.4e0 END)*least(1e0, (sim-0.55e0)/0.05e0))) AS alpha, scene_id FROM r WHERE rn=1 AND sim >= 0.55e0",
@@ -95,12 +95,12 @@ register("j7_first_in_window", f"WITH {SW}, f AS (SELECT sw.video_id, sw.scene_i
 
 def vector_scenes(s):
     f = s("fx_frames")
-    a = f.where(F.col("frame_idx") % 4 == 1).select("video_id", F.col("frame_idx").alias("scene_id"), F.col("frame_time").alias("t_vis"), "embedding", (F.col("frame_idx") % 12 != 1).alias("is_content"))
-    b = f.where(F.col("frame_idx") % 3 == 0).select("video_id", F.col("frame_idx").cast("long").alias("segment_id"), F.col("frame_time").alias("t_mid"), "embedding")
+    a = f.select("video_id", F.col("frame_idx").alias("scene_id"), F.col("frame_time").alias("t_vis"), "embedding", (F.col("frame_idx") % 12 != 1).alias("is_content"))
+    b = f.select("video_id", F.col("frame_idx").cast("long").alias("segment_id"), F.col("frame_time").alias("t_mid"), "embedding")
     return a, b
 
 
-TV = "a AS (SELECT video_id, frame_idx AS scene_id, frame_time AS t_vis, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, frame_idx % 12 <> 1 AS is_content FROM fx_frames WHERE frame_idx % 4 = 1), b AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS segment_id, frame_time AS t_mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM fx_frames WHERE frame_idx % 3 = 0), p AS (SELECT a.video_id, scene_id, t_vis, segment_id, t_mid, list_cosine_similarity(v, u) AS sim FROM a JOIN b USING (video_id)), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY sim*exp(-0.5e0*power((t_mid-t_vis)/15e0, 2)) DESC, segment_id) AS rn FROM p), tv AS (SELECT video_id, scene_id, t_vis, segment_id, t_mid-t_vis AS delta_narr_vis, 'vector' AS match_track, 0.5e0+0.5e0*least(greatest((sim-0.2e0)/0.8e0, 0), 1) AS alpha FROM r WHERE rn=1 AND sim >= 0.2e0)"
+TV = "a AS (SELECT video_id, frame_idx AS scene_id, frame_time AS t_vis, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, frame_idx % 12 <> 1 AS is_content FROM fx_frames), b AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS segment_id, frame_time AS t_mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM fx_frames), p AS (SELECT a.video_id, scene_id, t_vis, segment_id, t_mid, list_cosine_similarity(v, u) AS sim FROM a JOIN b USING (video_id)), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY sim*exp(-0.5e0*power((t_mid-t_vis)/15e0, 2)) DESC, segment_id) AS rn FROM p), tv AS (SELECT video_id, scene_id, t_vis, segment_id, t_mid-t_vis AS delta_narr_vis, 'vector' AS match_track, 0.5e0+0.5e0*least(greatest((sim-0.2e0)/0.8e0, 0), 1) AS alpha FROM r WHERE rn=1 AND sim >= 0.2e0)"
 register("a10_scene_track_vector", f"WITH {TV} SELECT * FROM tv", "t_vis delta_narr_vis alpha")(lambda s: A.scene_track_vector(*vector_scenes(s)))
 register(
     "a11_scene_cascade",

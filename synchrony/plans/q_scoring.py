@@ -156,9 +156,9 @@ register(
 )(lambda s: O.scene_rollup(s("fx_align").select("video_id", F.col("segment_id").alias("scene_id")).distinct(), s("fx_align").withColumn("scene_id", F.col("segment_id") % 30)))
 register(
     "a8_segment_alignment",
-    f"WITH g AS (SELECT video_id, segment_id, count(*) AS n_keywords, {', '.join(f'''count(*) FILTER (match_case='{c}') AS n_case_{c}''' for c in 'ABCDEFG')}, count(*) FILTER (match_case<>'F')/count(*) AS match_rate, sum(delta_t*alpha)/nullif(sum(alpha) FILTER (match_case<>'F'), 0) AS mean_delta_t, median(delta_t) AS median_delta_t, min(delta_t) AS min_delta_t, max(delta_t) AS max_delta_t FROM fx_align WHERE segment_id % 5 <> 0 GROUP BY 1,2), s AS (SELECT DISTINCT video_id, segment_id FROM fx_align) SELECT video_id, segment_id, coalesce(n_keywords, 0) AS n_keywords, {', '.join(f'coalesce(n_case_{c}, 0) AS n_case_{c}' for c in 'ABCDEFG')}, coalesce(match_rate, 0e0) AS match_rate, mean_delta_t, median_delta_t, min_delta_t, max_delta_t FROM s LEFT JOIN g USING (video_id, segment_id)",
+    f"WITH g AS (SELECT video_id, segment_id, count(*) AS n_keywords, {', '.join(f'''count(*) FILTER (match_case='{c}') AS n_case_{c}''' for c in 'ABCDEFG')}, count(*) FILTER (match_case<>'F')/count(*) AS match_rate, sum(delta_t*alpha)/nullif(sum(alpha) FILTER (match_case<>'F'), 0) AS mean_delta_t, median(delta_t) AS median_delta_t, min(delta_t) AS min_delta_t, max(delta_t) AS max_delta_t FROM fx_align WHERE match_case = 'F' OR alpha < 0.65e0 GROUP BY 1,2), s AS (SELECT DISTINCT video_id, segment_id FROM fx_align) SELECT video_id, segment_id, coalesce(n_keywords, 0) AS n_keywords, {', '.join(f'coalesce(n_case_{c}, 0) AS n_case_{c}' for c in 'ABCDEFG')}, coalesce(match_rate, 0e0) AS match_rate, mean_delta_t, median_delta_t, min_delta_t, max_delta_t FROM s LEFT JOIN g USING (video_id, segment_id)",
     "match_rate mean_delta_t median_delta_t min_delta_t max_delta_t",
-)(lambda s: O.segment_alignment(s("fx_align").select("video_id", "segment_id").distinct(), s("fx_align").where(F.col("segment_id") % 5 != 0)))
+)(lambda s: O.segment_alignment(s("fx_align").select("video_id", "segment_id").distinct(), s("fx_align").where("match_case = 'F' or alpha < 0.65")))
 register(
     "f10_f18_scalars",
     f"SELECT video_id, sum(100e0*exp(-0.5e0*power(delta_t/2.5e0,2))) AS bell, sum(1/(1+exp(-delta_t))) AS sig, sum(least(greatest((alpha-0.2e0)/0.6e0,0),1)) AS lin, sum(0.5e0+0.5e0*least(greatest((alpha-0.2e0)/0.6e0,0),1)) AS half, max({grade_sql('delta_t')}) AS grade, max(printf('%d:%02d', CAST(floor(t_narr/60) AS INT), CAST(floor(t_narr) AS INT) % 60)) AS shown, count(*) FILTER (delta_t <= 0 OR abs(delta_t) <= 1) AS n_report_optimal FROM fx_align GROUP BY 1",

@@ -167,9 +167,9 @@ register(
 )(lambda s: W.best_offset(all_pairs(s, 0.0), all_pairs(s, 1.0)))
 register(
     "w25_check_expected_delay",
-    f"WITH {DIPS}, es AS (SELECT video_id, t + 0.2e0 AS t_est, 2e0 AS expected FROM fx_series WHERE frame_idx % 7 = 3), m AS (SELECT es.*, dp.center, dp.duration AS dip_duration, row_number() OVER (PARTITION BY es.video_id, es.t_est ORDER BY abs(center-t_est), center) AS rn FROM es LEFT JOIN dp ON dp.video_id=es.video_id AND dp.center BETWEEN t_est-1 AND t_est+1) SELECT video_id, t_est, expected, center, dip_duration, CASE WHEN center IS NULL THEN 'NO_DIP' WHEN abs(dip_duration-expected) <= 1.5e0 THEN 'OK' ELSE 'CHECK' END AS tag FROM m WHERE rn=1",
+    f"WITH {DIPS}, es AS (SELECT video_id, t + 0.2e0 AS t_est, 2e0 AS expected FROM fx_series), m AS (SELECT es.*, dp.center, dp.duration AS dip_duration, row_number() OVER (PARTITION BY es.video_id, es.t_est ORDER BY abs(center-t_est), center) AS rn FROM es LEFT JOIN dp ON dp.video_id=es.video_id AND dp.center BETWEEN t_est-1 AND t_est+1) SELECT video_id, t_est, expected, center, dip_duration, CASE WHEN center IS NULL THEN 'NO_DIP' WHEN abs(dip_duration-expected) <= 1.5e0 THEN 'OK' ELSE 'CHECK' END AS tag FROM m WHERE rn=1",
     "t_est expected center dip_duration",
-)(lambda s: W.check_expected_delay(W.dip_regions(s("fx_series")), s("fx_series").where(F.col("frame_idx") % 7 == 3).select("video_id", (F.col("t") + 0.2).alias("t_est"), F.lit(2.0).alias("expected"))))
+)(lambda s: W.check_expected_delay(W.dip_regions(s("fx_series")), s("fx_series").select("video_id", (F.col("t") + 0.2).alias("t_est"), F.lit(2.0).alias("expected"))))
 register(
     "w26_rebase_timeline",
     "SELECT e.video_id, e.keyword_id AS event_id, e.t_narr AS t, e.t_narr - coalesce((SELECT sum(d.delay) FROM (SELECT video_id, delay_level*1e0 AS delay, 100e0*delay_level AS t_delay FROM fx_variants) d WHERE d.video_id=e.video_id AND d.t_delay < e.t_narr), 0) AS t_base FROM fx_align e",

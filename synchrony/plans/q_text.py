@@ -155,9 +155,20 @@ register("j14_lookup_first", "WITH f AS (SELECT video_id, segment_id, arg_min(ke
 register("j15_unmatched", "SELECT video_id, segment_id FROM fx_segments g ANTI JOIN fx_keywords k USING (video_id, segment_id)")(lambda s: J.without_partner(s("fx_segments").select("video_id", "segment_id"), s("fx_keywords"), ["video_id", "segment_id"]))
 
 # --- scalars ----------------------------------------------------------------------------------------------------------
-register("f1_f3_token_sets", "WITH t AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split_regex(trim(substring(text, 1, 200)), '\\s+'), lambda w: regexp_replace(lower(w), '[^a-z0-9]', '', 'g')), lambda w: length(w) >= 3))) AS a, list_sort(list_distinct(list_filter(list_transform(string_split_regex(trim(substring(text, 101, 200)), '\\s+'), lambda w: regexp_replace(lower(w), '[^a-z0-9]', '', 'g')), lambda w: length(w) >= 3))) AS b FROM documents), u AS (SELECT *, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS n FROM t) SELECT doc_id, array_to_string(a, ' ') AS tokens, coalesce(i / nullif(n, 0), 0e0) AS similarity, CASE WHEN n = 0 THEN 0e0 ELSE 1 - i / n END AS distance FROM u", "similarity distance")(
-    lambda s: s("documents").select("doc_id", K.token_set(F.substring("text", 1, 200)).alias("a"), K.token_set(F.substring("text", 101, 200)).alias("b")).select("doc_id", F.array_join("a", " ").alias("tokens"), K.jaccard(F.col("a"), F.col("b")).alias("similarity"), K.jaccard_distance(F.col("a"), F.col("b")).alias("distance"))
-)
+TOKENS = "list_sort(list_distinct(list_filter(list_transform(string_split_regex(trim({}), '\\s+'), lambda w: regexp_replace(lower(w), '[^a-z0-9]', '', 'g')), lambda w: length(w) >= 3)))"
+
+
+def with_previous(s):
+    """Token sets of every text and of the text with the id before."""
+    d = s("documents").select("doc_id", K.token_set(F.col("text")).alias("a"))
+    return d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+
+
+register(
+    "f1_f3_token_sets",
+    f"WITH s AS (SELECT doc_id, coalesce({TOKENS.format('text')}, []) AS a FROM documents), t AS (SELECT x.doc_id, x.a, y.a AS b FROM s x JOIN s y ON y.doc_id + 1 = x.doc_id), u AS (SELECT *, len(list_intersect(a, b)) AS i, len(list_distinct(list_concat(a, b))) AS n FROM t) SELECT doc_id, array_to_string(a, ' ') AS tokens, coalesce(i / nullif(n, 0), 0e0) AS similarity, CASE WHEN n = 0 THEN 0e0 ELSE 1 - i / n END AS distance FROM u",
+    "similarity distance",
+)(lambda s: with_previous(s).select("doc_id", F.array_join("a", " ").alias("tokens"), K.jaccard(F.col("a"), F.col("b")).alias("similarity"), K.jaccard_distance(F.col("a"), F.col("b")).alias("distance")))
 
 
 def token_pairs(s):
@@ -173,8 +184,8 @@ register(
     "s7_parse_rating_json",
     """WITH r AS (SELECT doc_id, regexp_extract(response, '(?s)\\[.*\\]', 0) AS j FROM fx_llm) SELECT doc_id, try_cast(json_extract_string(nullif(j, ''), '$[0].segment_id') AS BIGINT) AS segment_id, CASE WHEN j = '' THEN NULL ELSE least(greatest(coalesce(try_cast(json_extract_string(nullif(j, ''), '$[0].importance') AS INT), 3), 1), 5) END AS importance, CASE WHEN j <> '' THEN json_extract_string(nullif(j, ''), '$[0].reason') END AS reason, j <> '' AS parsed FROM r""",
 )(lambda s: tables.rating_rows(s("fx_llm")))
-register("s8_parse_concepts", "SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(substring(text, 1, 300), '[\\n,]'), lambda x: lower(trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])\\s*', '')))), lambda x: x <> '')) AS concept FROM documents WHERE NOT starts_with(text, '[')")(
-    lambda s: s("documents").where(~F.col("text").startswith("[")).select("doc_id", F.explode(tables.parse_concepts(F.substring("text", 1, 300))).alias("concept"))
+register("s8_parse_concepts", "SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[\\n,]'), lambda x: lower(trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])\\s*', '')))), lambda x: x <> '')) AS concept FROM documents WHERE NOT starts_with(text, '[')")(
+    lambda s: s("documents").where(~F.col("text").startswith("[")).select("doc_id", F.explode(tables.parse_concepts(F.col("text"))).alias("concept"))
 )
 register("s9_clean_description")(lambda s: s("documents").select("doc_id", tables.clean_description(F.col("text")).alias("text")))
 register("s6_discover_variants", "SELECT substring(p, 1, 2) AS set_name, CAST(substring(p, 3, 1) AS INT) AS delay_level, p || '.mp4' AS path FROM (SELECT DISTINCT set_name || delay_level AS p FROM fx_variants)")(
