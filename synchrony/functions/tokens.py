@@ -45,6 +45,13 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) & (F.length(b) == 0), 1.0).when(empty, 0.0).otherwise(2 * lcs / (F.length(a) + F.length(b)))
 
 
+def may_reach(a: Column, b: Column, threshold: float) -> Column:
+    """False only where the characters that either text lacks in the other keep the ratio under the threshold: a bound
+    that stays in the JVM and spares most distances."""
+    inside = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    return 2 * F.least(inside(a, b), inside(b, a)) >= threshold * (F.length(a) + F.length(b)) - 1e-9
+
+
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one bit per character of ``a``."""
     masks: dict[str, int] = {}

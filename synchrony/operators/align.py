@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
-from ..functions.tokens import indel_ratio_arrow, normalize_word, token_set_ratio
+from ..functions.tokens import indel_ratio_arrow, may_reach, normalize_word, token_set_ratio
+from ..sources.shared import settled
 from .timejoin import bucketed_range_join, nearest_frame, nearest_segment, scene_at
 
 CASES = ("A", "B", "C", "E", "G", "F")
@@ -20,13 +21,13 @@ RESULT = ["video_id", "keyword_id", "t_narr", "t_vis", "delta_t", "match_case",
 
 def fuzzy_word_match(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of distinct tokens (part, tok) of a recording whose similarity is above the threshold. Tokens meet by length:
-    the ratio cannot pass where the lengths differ too much. Equal tokens need no distance."""
+    the ratio cannot pass where the lengths or the characters differ too much. Equal tokens need no distance."""
     a, b = left.select("video_id", "part").distinct(), right.select("video_id", "tok").distinct()
     same = a.join(b, (a["video_id"] == b["video_id"]) & (a["part"] == b["tok"])).select(a["video_id"], "part", "tok", F.lit(1.0).alias("ratio"))
     n = F.length("part")
     low, high = F.floor(n * threshold / (2 - threshold)).cast("int"), F.ceil(n * (2 - threshold) / threshold).cast("int")
     spread = a.withColumn("len_", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
-    near = spread.join(b.withColumn("len_", F.length("tok")), ["video_id", "len_"]).where(F.col("part") != F.col("tok"))
+    near = spread.join(b.withColumn("len_", F.length("tok")), ["video_id", "len_"]).where((F.col("part") != F.col("tok")) & may_reach(F.col("part"), F.col("tok"), threshold))
     far = near.select("video_id", "part", "tok", indel_ratio_arrow("part", "tok").alias("ratio")).where(F.col("ratio") > threshold)
     return same.unionByName(far)
 
@@ -172,7 +173,7 @@ def cascade(cases: list[DataFrame], keys: tuple[str, ...] = ("video_id", "keywor
 def align_keywords(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, concepts: DataFrame | None = None, vectors: tuple[DataFrame, DataFrame] | None = None, threshold: float | None = 0.8) -> DataFrame:
     """The whole cascade A/D, B, C, E, G, F. Keywords of LOW groundability go straight to F."""
     able = keywords.where((F.col("groundability") != "LOW") & F.col("t_narr").isNotNull())
-    hits = token_hits(able, ocr, threshold)
+    hits = settled(token_hits(able, ocr, threshold), "token-hits")  # three cases read it
     cases = [case_a_d(able, ocr, scenes, hits), case_b_forward(able, ocr, scenes, hits), case_c_backward(able, ocr, scenes, hits)]
     if concepts is not None:
         cases.append(case_e_concept(able, concepts, exact_only=threshold is None))

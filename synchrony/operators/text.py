@@ -227,13 +227,13 @@ def vocabulary(words: DataFrame, least: int = 3) -> DataFrame:
 def correct_tokens(tokens: DataFrame, vocab: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Adds, for tokens outside the vocabulary, the most similar word if it reaches the threshold; ties to the smallest.
     Tokens and words meet by recording and by length, so a token is compared with words within 30 % of its length."""
-    from ..functions.tokens import indel_ratio_arrow
+    from ..functions.tokens import indel_ratio_arrow, may_reach
 
     odd = tokens.join(vocab, ["video_id", "tok"], "left_anti").select("video_id", "tok").distinct()
     span = F.sequence(F.ceil(F.length("tok") * 0.7).cast("int"), F.floor(F.length("tok") / 0.7).cast("int"))
     left = odd.withColumn("len_", F.explode(span))
     right = vocab.select("video_id", F.col("tok").alias("word"), F.length("tok").alias("len_"))
-    pairs = left.join(right, ["video_id", "len_"]).withColumn("ratio", indel_ratio_arrow("tok", "word")).where(F.col("ratio") >= threshold)
+    pairs = left.join(right, ["video_id", "len_"]).where(may_reach(F.col("tok"), F.col("word"), threshold)).withColumn("ratio", indel_ratio_arrow("tok", "word")).where(F.col("ratio") >= threshold)
     best = pairs.groupBy("video_id", "tok").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "word")).alias("b")).select("video_id", "tok", F.col("b.word").alias("word"))
     extra = tokens.join(best, ["video_id", "tok"]).drop("tok").withColumnRenamed("word", "tok")
     return tokens.unionByName(extra.select(*tokens.columns)).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align as A
+from ..sources.shared import settled
+from . import sqltext
 from .registry import register
 
 KW = "(SELECT *, 'HIGH' AS groundability FROM fx_keywords WHERE keyword_id % 5 <> 0 UNION ALL SELECT *, 'LOW' AS groundability FROM fx_keywords WHERE keyword_id % 5 = 0)"
@@ -18,6 +20,11 @@ def able(s):
     return keywords(s).where("groundability <> 'LOW'")
 
 
+def tables(s):
+    """The tables of the cascade, derived once: its cases read them many times."""
+    return [settled(df, "cascade") for df in (keywords(s), s("fx_ocr"), s("fx_scenes"))]
+
+
 def parts(s):
     ocr = s("fx_ocr")
     k = able(s)
@@ -57,9 +64,18 @@ register(
     BASE
     + f", u AS (SELECT *, 0 AS r FROM ({AD}) UNION ALL SELECT *, 1 FROM ({case_sql('b', chr(39) + 'B' + chr(39), '1e0')}) UNION ALL SELECT *, 2 FROM ({case_sql('c', chr(39) + 'C' + chr(39), '0.8e0', '10e0')}) UNION ALL SELECT *, 3 FROM ({case_sql('e', chr(39) + 'E' + chr(39), '0.9e0')}) UNION ALL SELECT video_id, keyword_id, NULL, NULL, 'F', 0e0, NULL, 9 FROM {KW} z), q AS (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY r) AS rn FROM u) SELECT {', '.join(COLS)} FROM q WHERE rn = 1",
     "t_vis delta_t alpha",
-)(lambda s: A.align_keywords(keywords(s), s("fx_ocr"), s("fx_scenes"), s("fx_concepts"), threshold=None).select(*COLS))
-register("a7_cascade_fuzzy")(lambda s: A.align_keywords(keywords(s), s("fx_ocr"), s("fx_scenes")).select(*COLS))
-register("j8_fuzzy_word_match")(lambda s: A.fuzzy_word_match(A.keyword_parts(able(s)), s("fx_ocr")))
+)(lambda s: A.align_keywords(*tables(s), s("fx_concepts"), threshold=None).select(*COLS))
+#: Pairs of spoken and shown tokens above the similarity of the cascade, and what is shown named by what it matches.
+PAIRS = f"""pv AS (SELECT DISTINCT k.video_id, k.keyword_text AS a, o.tok AS b FROM (SELECT DISTINCT video_id, keyword_text FROM {KW} x WHERE groundability <> 'LOW') k JOIN (SELECT DISTINCT video_id, tok FROM fx_ocr) o USING (video_id)),
+sm AS (SELECT pv.video_id, pv.a AS part, pv.b AS tok, g.r AS ratio FROM pv JOIN {sqltext.similar('pv', 0.8, '>')} g ON g.a=pv.a AND g.b=pv.b)"""
+FUZZY = BASE.replace("JOIN fx_ocr o", "JOIN oc o").replace("FROM fx_ocr o WHERE", "FROM oc o WHERE").replace("WITH k AS", f"WITH {PAIRS}, oc AS (SELECT DISTINCT o.video_id, o.frame_time, sm.part AS tok FROM fx_ocr o JOIN sm USING (video_id, tok)), k AS")
+register(
+    "a7_cascade_fuzzy",
+    FUZZY
+    + f", u AS (SELECT *, 0 AS r FROM ({AD}) UNION ALL SELECT *, 1 FROM ({case_sql('b', chr(39) + 'B' + chr(39), '1e0')}) UNION ALL SELECT *, 2 FROM ({case_sql('c', chr(39) + 'C' + chr(39), '0.8e0', '10e0')}) UNION ALL SELECT video_id, keyword_id, NULL, NULL, 'F', 0e0, NULL, 9 FROM {KW} z), q AS (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY r) AS rn FROM u) SELECT {', '.join(COLS)} FROM q WHERE rn = 1",
+    "t_vis delta_t alpha",
+)(lambda s: A.align_keywords(*tables(s)).select(*COLS))
+register("j8_fuzzy_word_match", f"WITH {PAIRS} SELECT video_id, part, tok, ratio FROM sm", "ratio")(lambda s: A.fuzzy_word_match(A.keyword_parts(able(s)), s("fx_ocr")))
 
 
 def vector_keywords(s):

@@ -8,6 +8,7 @@ from ..functions import tokens as K
 from ..operators import text as T
 from ..operators import timejoin as J
 from ..sources import tables
+from . import sqltext
 from .registry import register
 
 N = "lower(regexp_replace({}, '[^A-Za-z0-9]', '', 'g'))"
@@ -83,7 +84,12 @@ register(
 SELECT k.video_id, k.keyword_id, k.tok IS NOT NULL AND NOT (f.t0 < k.t_narr AND k.t_narr - f.t0 <= 60) AS is_first_mention FROM k LEFT JOIN f ON f.video_id = k.video_id AND f.tok = k.tok""",
 )(lambda s: T.first_mention(s("fx_keywords")).select("video_id", "keyword_id", "is_first_mention"))
 register("t9_vocabulary", f"SELECT DISTINCT video_id, {N.format('word')} AS tok FROM fx_words WHERE length({N.format('word')}) >= 3")(lambda s: T.vocabulary(s("fx_words")))
-register("t10_correct_tokens")(lambda s: T.correct_tokens(s("fx_ocr").select("video_id", F.concat("tok", F.when(F.length("tok") > 6, F.lit("x")).otherwise(F.lit(""))).alias("tok")).distinct(), T.vocabulary(s("fx_words"))))
+register(
+    "t10_correct_tokens",
+    f"""WITH o AS (SELECT DISTINCT video_id, CASE WHEN length(tok) > 6 THEN tok || 'x' ELSE tok END AS tok FROM fx_ocr), v AS (SELECT DISTINCT video_id, {N.format('word')} AS word FROM fx_words WHERE length({N.format('word')}) >= 3),
+odd AS (SELECT o.* FROM o ANTI JOIN v ON v.video_id = o.video_id AND v.word = o.tok), c AS (SELECT odd.video_id, odd.tok AS a, v.word AS b FROM odd JOIN v USING (video_id) WHERE length(word) BETWEEN ceil(length(tok)*0.7e0) AND floor(length(tok)/0.7e0)),
+g AS (SELECT c.video_id, c.a, c.b, g.r FROM c JOIN {sqltext.similar('c', 0.75, '>=')} g ON g.a = c.a AND g.b = c.b), w AS (SELECT *, row_number() OVER (PARTITION BY video_id, a ORDER BY r DESC, b) AS rn FROM g) SELECT * FROM o UNION SELECT video_id, b FROM w WHERE rn = 1""",
+)(lambda s: T.correct_tokens(s("fx_ocr").select("video_id", F.concat("tok", F.when(F.length("tok") > 6, F.lit("x")).otherwise(F.lit(""))).alias("tok")).distinct(), T.vocabulary(s("fx_words"))))
 register(
     "t11_abbreviation_variants",
     """WITH c AS (SELECT DISTINCT video_id, lower(w) AS w FROM (SELECT video_id, regexp_replace(word, '[^A-Za-z0-9]', '', 'g') AS w FROM fx_words) WHERE length(w) >= 2 AND w = upper(w) AND regexp_matches(w, '[A-Z]')),
@@ -176,8 +182,29 @@ def token_pairs(s):
     return k.join(k.select("video_id", (F.col("keyword_id") - 6).alias("keyword_id"), F.col("keyword_text").alias("other")), ["video_id", "keyword_id"])
 
 
-register("f5_indel_ratio")(lambda s: token_pairs(s).withColumns({"ratio": K.indel_ratio(F.col("keyword_text"), F.col("other")), "ratio_arrow": K.indel_ratio_arrow("keyword_text", "other")}))
-register("f7_token_set_ratio")(lambda s: token_pairs(s).withColumn("ratio", K.token_set_ratio(F.concat_ws(" ", "keyword_text", "other"), "other")))
+THREE = "tp AS (SELECT a.video_id, a.keyword_id, a.keyword_text, b.keyword_text AS other, c.keyword_text AS third FROM fx_keywords a JOIN fx_keywords b ON b.video_id=a.video_id AND b.keyword_id=a.keyword_id+6 LEFT JOIN fx_keywords c ON c.video_id=a.video_id AND c.keyword_id=a.keyword_id+12)"
+register("f5_indel_ratio", f"WITH {THREE}, d AS (SELECT DISTINCT keyword_text AS a, other AS b FROM tp), r AS (SELECT a, b, {sqltext.ratio('a', 'b')} AS r FROM d) SELECT video_id, keyword_id, keyword_text, other, r AS ratio, r AS ratio_arrow FROM tp JOIN r ON a = keyword_text AND b = other", "ratio ratio_arrow")(
+    lambda s: token_pairs(s).withColumns({"ratio": K.indel_ratio(F.col("keyword_text"), F.col("other")), "ratio_arrow": K.indel_ratio_arrow("keyword_text", "other")})
+)
+
+
+def phrase_pairs(s):
+    """A keyword with its next one, against the next one with the one after it."""
+    third = s("fx_keywords").select("video_id", (F.col("keyword_id") - 12).alias("keyword_id"), F.col("keyword_text").alias("third"))
+    p = token_pairs(s).join(third, ["video_id", "keyword_id"], "left")
+    return p.select("video_id", "keyword_id", F.concat_ws(" ", "keyword_text", "other").alias("one"), F.concat_ws(" ", "third", "other").alias("two"))
+
+
+WORDS_OF = "list_sort(list_distinct(string_split({}, ' ')))"
+REST = "array_to_string(list_filter({}, lambda w: NOT list_contains({}, w)), ' ')"
+register(
+    "f7_token_set_ratio",
+    f"""WITH {THREE}, p AS (SELECT video_id, keyword_id, keyword_text || ' ' || other AS one, concat_ws(' ', third, other) AS two FROM tp), d AS (SELECT DISTINCT one, two, {WORDS_OF.format('one')} AS x, {WORDS_OF.format('two')} AS y FROM p),
+e AS (SELECT one, two, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS common, {REST.format('x', 'y')} AS l, {REST.format('y', 'x')} AS r FROM d), f AS (SELECT *, trim(common || ' ' || l) AS ol, trim(common || ' ' || r) AS o2 FROM e),
+g AS (SELECT one, two, CASE WHEN contains(one, two) OR contains(two, one) OR (common <> '' AND (l = '' OR r = '')) THEN 100e0 ELSE greatest(100*({sqltext.ratio('ol', 'o2')}), CASE WHEN common = '' THEN 0e0 ELSE 100*({sqltext.ratio('common', 'ol')}) END, CASE WHEN common = '' THEN 0e0 ELSE 100*({sqltext.ratio('common', 'o2')}) END) END AS ratio FROM f)
+SELECT video_id, keyword_id, one, two, ratio FROM p JOIN g USING (one, two)""",
+    "ratio",
+)(lambda s: phrase_pairs(s).withColumn("ratio", K.token_set_ratio("one", "two")))
 
 # --- sources ----------------------------------------------------------------------------------------------------------
 register(
@@ -187,7 +214,11 @@ register(
 register("s8_parse_concepts", "SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[\\n,]'), lambda x: lower(trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])\\s*', '')))), lambda x: x <> '')) AS concept FROM documents WHERE NOT starts_with(text, '[')")(
     lambda s: s("documents").where(~F.col("text").startswith("[")).select("doc_id", F.explode(tables.parse_concepts(F.col("text"))).alias("concept"))
 )
-register("s9_clean_description")(lambda s: s("documents").select("doc_id", tables.clean_description(F.col("text")).alias("text")))
+LINES = f"string_split(regexp_replace(regexp_replace(text, '{tables.BOILERPLATE.replace(chr(39), chr(39) * 2)}', '', 'g'), '[*_`#]+', '', 'g'), chr(10))"
+register(
+    "s9_clean_description",
+    f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{'|'.join(tables.NON_CONTENT)}') THEN NULL ELSE array_to_string(list_filter(list_transform({LINES}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), ' ') END AS text FROM documents",
+)(lambda s: s("documents").select("doc_id", tables.clean_description(F.col("text")).alias("text")))
 register("s6_discover_variants", "SELECT substring(p, 1, 2) AS set_name, CAST(substring(p, 3, 1) AS INT) AS delay_level, p || '.mp4' AS path FROM (SELECT DISTINCT set_name || delay_level AS p FROM fx_variants)")(
     lambda s: tables.discover_variants(s("fx_variants").select(F.concat("set_name", F.col("delay_level").cast("string"), F.lit(".mp4")).alias("path")).distinct(), r"^(.*[A-Za-z][0-9]?)([0-9])\.mp4$")
 )
