@@ -99,7 +99,13 @@ def short_scenes(s):
     return f.select("video_id", F.col("frame_idx").alias("scene_id"), F.col("frame_time").alias("t_start"), (F.col("frame_time") + 0.5).alias("t_end"), "embedding", F.array(F.concat(F.lit("w"), (F.col("frame_idx") % 5).cast("string"))).alias("words"))
 
 
-register("w11_merge_similar_short")(lambda s: W.merge_similar_short(short_scenes(s), 2.0, 0.1).select("video_id", "scene_id", "t_start", "t_end", F.array_join("words", " ").alias("words")))
+register(
+    "w11_merge_similar_short",
+    "WITH g AS (SELECT video_id, list([{'a': frame_time, 'e': frame_time+0.5e0, 'v': list_transform(embedding, lambda q: CAST(q AS DOUBLE)), 'w': [concat('w', frame_idx % 5)]}] ORDER BY frame_idx) AS l FROM fx_frames GROUP BY 1), "
+    "f AS (SELECT video_id, list_reduce(l, lambda acc, x: CASE WHEN x[1].e - x[1].a < 2 AND list_cosine_similarity(acc[-1].v, x[1].v) > 0.1e0 THEN list_append(acc[:-2], {'a': acc[-1].a, 'e': x[1].e, 'v': acc[-1].v, 'w': list_distinct(list_concat(acc[-1].w, x[1].w))}) ELSE list_append(acc, x[1]) END) AS s FROM g), "
+    "u AS (SELECT video_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS i FROM f) SELECT video_id, CAST(i AS INT) AS scene_id, s.a AS t_start, s.e AS t_end, array_to_string(list_sort(s.w), ' ') AS words FROM u",
+    "t_start t_end",
+)(lambda s: W.merge_similar_short(short_scenes(s), 2.0, 0.1).select("video_id", "scene_id", "t_start", "t_end", F.array_join("words", " ").alias("words")))
 register(
     "w12_force_split",
     f"WITH {BUILT}, lg AS (SELECT *, start_idx+greatest(1, CAST(floor((end_idx-start_idx)/10) AS INT)) AS lo, end_idx-greatest(1, CAST(floor((end_idx-start_idx)/10) AS INT)) AS hi FROM bsn WHERE duration > 10 AND end_idx-start_idx >= 4), pk AS (SELECT lg.video_id, lg.scene_id, s.frame_idx, s.t, row_number() OVER (PARTITION BY lg.video_id, lg.scene_id ORDER BY round(0.6e0*mad+0.4e0*ssim, 12) DESC, s.frame_idx) AS rn FROM lg JOIN fx_series s ON s.video_id=lg.video_id AND s.frame_idx BETWEEN lo AND hi), c AS (SELECT b.*, p.frame_idx AS ci, p.t AS ct FROM bsn b LEFT JOIN pk p ON p.video_id=b.video_id AND p.scene_id=b.scene_id AND p.rn=1), u AS (SELECT video_id, start_idx, coalesce(ci, end_idx) AS end_idx, t_start, coalesce(ct, t_end) AS t_end FROM c UNION ALL SELECT video_id, ci, end_idx, ct, t_end FROM c WHERE ci IS NOT NULL) SELECT video_id, start_idx, end_idx, t_start, t_end, CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_idx, end_idx)-1 AS INT) AS scene_id, t_end-t_start AS duration FROM u",
@@ -204,8 +210,18 @@ def side(s, r):
 
 FP = "o AS (SELECT video_id, frame_time, list_sort(list(DISTINCT tok)) AS w FROM fx_ocr WHERE frame_time % 8 = 4 GROUP BY 1, 2), l AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS a_id, frame_time AS a_t, list_filter(w, lambda x: length(x) % 3 <> 0) AS aw FROM o), r AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS b_id, frame_time+1 AS b_t, list_filter(w, lambda x: length(x) % 3 <> 1) AS bw FROM o), p AS (SELECT *, len(list_intersect(aw, bw)) AS i, len(list_distinct(list_concat(aw, bw))) AS u, exp(-0.5e0*power((b_t-a_t)/15e0, 2)) AS n FROM l JOIN r USING (set_name) WHERE abs(b_t-a_t) <= 30), fp AS (SELECT set_name, a_id, b_id, a_t, b_t, round(CASE WHEN u=0 THEN CASE WHEN abs(b_t-a_t) <= 5 THEN 0.5e0*n ELSE 0 END WHEN i/u < 0.1e0 THEN 0 ELSE i/u*n END, 12) AS score FROM p)"
 register("a13_fingerprint_pairs", f"WITH {FP} SELECT * FROM fp WHERE score > 0.05e0", "a_t b_t score")(lambda s: V.fingerprint_pairs(side(s, 0), side(s, 1)))
-register("a13_scene_fingerprint_match")(lambda s: V.mutual_best(V.fingerprint_pairs(side(s, 0), side(s, 1))))
-register("a14_group_leftovers")(lambda s: V.group_leftovers(side(s, 0).withColumn("video_id", F.concat(F.lit("x"), (F.col("scene_id") % 3).cast("string")))))
+register(
+    "a13_scene_fingerprint_match",
+    f"WITH {FP}, ls AS (SELECT set_name, list([{{'a': a_id, 'b': b_id, 'at': a_t, 'bt': b_t, 's': score}}] ORDER BY score DESC, a_id, b_id) AS l FROM fp WHERE score > 0.05e0 GROUP BY 1), mt AS (SELECT set_name, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: q.a = x[1].a OR q.b = x[1].b)) > 0 THEN acc ELSE list_append(acc, x[1]) END)) AS m FROM ls) SELECT set_name, m.a AS a_id, m.b AS b_id, m.at AS a_t, m.bt AS b_t, m.s AS score FROM mt",
+    "a_t b_t score",
+)(lambda s: V.mutual_best(V.fingerprint_pairs(side(s, 0), side(s, 1))))
+register(
+    "a14_group_leftovers",
+    f"WITH {FP}, ls AS (SELECT set_name, list([{{'w': aw, 't': a_t, 'v': concat('x', a_id % 3), 'i': a_id, 'g': CAST(0 AS BIGINT), 'h': TRUE}}] ORDER BY a_t, concat('x', a_id % 3), a_id) AS l FROM l GROUP BY 1), "
+    "gr AS (SELECT set_name, unnest(list_reduce(l, lambda acc, x: list_append(acc, {'w': x[1].w, 't': x[1].t, 'v': x[1].v, 'i': x[1].i, "
+    "'g': coalesce(list_filter(acc, lambda q: q.h AND abs(q.t - x[1].t) <= 30 AND len(list_intersect(q.w, x[1].w)) >= 0.3e0*len(list_distinct(list_concat(q.w, x[1].w))) AND len(q.w) + len(x[1].w) > 0)[1].g, len(list_filter(acc, lambda q: q.h))), "
+    "'h': len(list_filter(acc, lambda q: q.h AND abs(q.t - x[1].t) <= 30 AND len(list_intersect(q.w, x[1].w)) >= 0.3e0*len(list_distinct(list_concat(q.w, x[1].w))) AND len(q.w) + len(x[1].w) > 0)) = 0}))) AS m FROM ls) SELECT set_name, m.v AS video_id, m.i AS scene_id, m.g AS group_id FROM gr",
+)(lambda s: V.group_leftovers(side(s, 0).withColumn("video_id", F.concat(F.lit("x"), (F.col("scene_id") % 3).cast("string")))))
 
 
 def groups(s):

@@ -22,7 +22,7 @@ def stream_dir(spark: SparkSession) -> str:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there and reads its sink: files in the shared folder, written batch by batch."""
     spark, path = stream.sparkSession, stream_dir(stream.sparkSession)
-    write = "append" if mode == "append" else "overwrite"
+    write = "overwrite" if mode == "complete" else "append"
 
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode(write).parquet(f"{path}/out")
@@ -65,6 +65,17 @@ def word_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("rate"))
 
 
+def rater_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rating as a posted form, each posted again a minute later."""
+    path = stream_dir(spark)
+    r = fixtures.view(spark, sf_dir, "fx_ratings").withColumn("ts", F.col("ts").cast("timestamp"))
+    posts = r.select(F.to_json(F.struct("rater", F.col("item").alias("video"))).alias("json"), F.explode(F.array("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))).alias("ts"))
+    posts.write.parquet(path)
+    out = drained(jobs.stream_rater_progress(stream_of(spark, path)), "update")
+    return out.groupBy("rater", "video").agg(F.min("first_ts").cast("timestamp_ntz").alias("first_ts"))
+
+
+REGISTRY["r3_stream_rater_progress"] = Stream(rater_progress, "SELECT rater, item AS video, CAST(min(ts) AS TIMESTAMP) AS first_ts FROM fx_ratings GROUP BY 1, 2")
 REGISTRY["r1_stream_freeze_runs"] = Stream(lambda spark, d: drained(jobs.stream_freeze_runs(frames(spark, d)), "append"))
 REGISTRY["r2_stream_transitions"] = Stream(lambda spark, d: drained(jobs.stream_transitions(frames(spark, d)), "append"), f"WITH {TR} SELECT video_id, frame_idx, t, event FROM tr WHERE event IS NOT NULL", "t")
 REGISTRY["r4_stream_keyword_score"] = Stream(keyword_score, OVERALL + "SELECT video_id, n_matched, overall_score FROM o", "overall_score")

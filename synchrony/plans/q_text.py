@@ -39,7 +39,15 @@ register(
     SENT + ", o AS (SELECT *, sum(CASE WHEN n_words >= 4 OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY segment_id) - 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY segment_id) AS rn FROM r)) SELECT video_id, CAST(n AS BIGINT) AS segment_id, string_agg(text, ' ' ORDER BY segment_id) AS text, min(start_time) AS start_time, max(end_time) AS end_time, CAST(sum(n_words) AS BIGINT) AS n_words FROM o GROUP BY video_id, n",
     "start_time end_time",
 )(lambda s: T.merge_short_segments(T.resegment_sentences(s("fx_words"))))
-register("t3_split_long_segments")(lambda s: T.split_long_segments(T.sentence_numbers(s("fx_words")), 12))
+register(
+    "t3_split_long_segments",
+    f"""SELECT * FROM (WITH RECURSIVE b AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM fx_words),
+q AS (SELECT video_id, g, list(word ORDER BY word_id) AS w, list(start_time ORDER BY word_id) AS a, list(end_time ORDER BY word_id) AS e FROM b GROUP BY 1, 2),
+p AS (SELECT video_id, g, CAST(0 AS BIGINT) AS lo, CAST(len(w) AS BIGINT) AS hi FROM q UNION ALL SELECT video_id, g, CASE WHEN h = 0 THEN lo ELSE cut END, CASE WHEN h = 0 THEN cut ELSE hi END FROM
+ (SELECT p.*, coalesce(list_min(list_transform(list_filter(range(lo + 1, hi), lambda i: right(w[i], 1) IN (',', ';') OR list_contains({sql_list(T.CONJUNCTIONS)}, lower(w[i + 1]))), lambda i: {{'d': abs(i - (lo + hi) // 2), 'i': i}})).i, (lo + hi) // 2) AS cut FROM p JOIN q USING (video_id, g) WHERE hi - lo > 12) x, (SELECT unnest([0, 1]) AS h) y)
+SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY g, lo) - 1 AS segment_id, array_to_string(w[lo + 1:hi], ' ') AS text, list_min(a[lo + 1:hi]) AS start_time, list_max(e[lo + 1:hi]) AS end_time, hi - lo AS n_words FROM p JOIN q USING (video_id, g) WHERE hi - lo <= 12) z""",
+    "start_time end_time",
+)(lambda s: T.split_long_segments(T.sentence_numbers(s("fx_words")), 12))
 WITH_SEG = "(SELECT *, CAST(floor(word_id/12) AS BIGINT) AS segment_id FROM fx_words)"
 register(
     "t4_word_windows",

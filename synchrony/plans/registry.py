@@ -59,4 +59,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def load() -> None:
-    from . import q_agreement, q_align, q_scoring, q_series, q_streams, q_text  # noqa: F401
+    from . import q_agreement, q_align, q_scoring, q_series, q_sources, q_streams, q_text  # noqa: F401
