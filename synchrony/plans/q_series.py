@@ -71,7 +71,20 @@ def guarded(s):
     return W.density_guard(series, W.otsu_threshold(series))
 
 
-register("w8_density_guard")(guarded)
+register(
+    "w8_density_guard",
+    f"""WITH {OTSU}, ss AS (SELECT video_id, max(t) AS last_t, min(t) AS first_t, max(t)-min(t) AS dur, avg(mad)+0.5e0*stddev_pop(mad) AS soft FROM fx_series GROUP BY 1),
+ts AS (SELECT video_id, last_t, first_t, dur, threshold AS base, unnest([0, 1, 2, 3, 4]) AS k, unnest([threshold, threshold*0.75e0, threshold*0.5e0, threshold*0.25e0, soft]) AS thr FROM ss JOIN ot USING (video_id)),
+ht AS (SELECT s.video_id, k, frame_idx, s.t, mad, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY s.video_id, k ORDER BY frame_idx) <= 2 THEN 0 ELSE 1 END AS nw FROM fx_series s JOIN ts USING (video_id) WHERE mad >= thr),
+is1 AS (SELECT *, sum(nw) OVER (PARTITION BY video_id, k ORDER BY frame_idx) AS isl FROM ht), bd AS (SELECT video_id, k, frame_idx, t, mad AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id, k, isl ORDER BY mad DESC, frame_idx) AS rn FROM is1) WHERE rn = 1),
+gp AS (SELECT video_id, k, count(*) AS n, max(gap) AS g, min(t) AS t0, max(t) AS t1 FROM (SELECT *, t - lag(t) OVER (PARTITION BY video_id, k ORDER BY t) AS gap FROM bd) GROUP BY 1, 2),
+rw AS (SELECT ts.*, coalesce(n, 0) AS n, 4e0*dur/60 AS expected, greatest(coalesce(g, 0e0), coalesce(t0-first_t, dur), coalesce(last_t-t1, dur)) AS longest FROM ts LEFT JOIN gp USING (video_id, k)),
+md AS (SELECT *, max(n) FILTER (k = 0) OVER (PARTITION BY video_id) AS n0, max(thr) FILTER (k = 4) OVER (PARTITION BY video_id) AS thr4 FROM rw),
+mo AS (SELECT *, CASE WHEN n0+1 < 0.5e0*expected THEN 'density-forced' WHEN n0 < 3 AND dur > 60 AND thr4 < base THEN 'fallback' ELSE 'natural' END AS mode FROM md),
+pk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN longest <= 30 OR n >= 0.8e0*expected THEN k ELSE 10-k END) AS rn FROM mo WHERE CASE mode WHEN 'density-forced' THEN k IN (1, 2, 3) WHEN 'fallback' THEN k = 4 ELSE k = 0 END)
+SELECT pk.video_id, pk.mode, pk.thr AS threshold, bd.frame_idx, bd.t, bd.score FROM pk LEFT JOIN bd ON bd.video_id=pk.video_id AND bd.k=pk.k WHERE rn = 1""",
+    "threshold t score",
+)(guarded)
 BUILT = BOUNDS.format(src="fx_series", col="mad", thr="0.8e0") + ", en AS (SELECT video_id, min(frame_idx) AS f0, min(t) AS t0, max(frame_idx) AS f1, max(t) AS t1 FROM fx_series GROUP BY 1), stt AS (SELECT video_id, f0 AS frame_idx, t0 AS t FROM en UNION ALL SELECT video_id, frame_idx, t FROM bd), sc AS (SELECT video_id, CAST(row_number() OVER w - 1 AS INT) AS scene_id, frame_idx AS start_idx, t AS t_start, lead(frame_idx) OVER w AS ni, lead(t) OVER w AS nt FROM stt WINDOW w AS (PARTITION BY video_id ORDER BY frame_idx, t)), bsn AS (SELECT video_id, scene_id, start_idx, coalesce(ni, f1) AS end_idx, t_start, coalesce(nt, t1) AS t_end, coalesce(nt, t1)-t_start AS duration, coalesce(ni, f1)-start_idx+1 AS n_frames FROM sc JOIN en USING (video_id))"
 
 

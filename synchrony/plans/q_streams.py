@@ -11,7 +11,7 @@ from ..sources import fixtures
 from ..sources.shared import shared_dir
 from ..streaming import jobs
 from .q_scoring import OVERALL
-from .q_series import TR
+from .q_series import RUNS, TR
 from .registry import REGISTRY, Query
 
 
@@ -76,7 +76,11 @@ def rater_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY["r3_stream_rater_progress"] = Stream(rater_progress, "SELECT rater, item AS video, CAST(min(ts) AS TIMESTAMP) AS first_ts FROM fx_ratings GROUP BY 1, 2")
-REGISTRY["r1_stream_freeze_runs"] = Stream(lambda spark, d: drained(jobs.stream_freeze_runs(frames(spark, d)), "append"))
+#: A run that is still open at the end of the stream comes out only once its recording has been idle past the watermark.
+REGISTRY["r1_stream_freeze_runs"] = Stream(
+    lambda spark, d: drained(jobs.stream_freeze_runs(frames(spark, d)), "append"),
+    f"WITH {RUNS}, ls AS (SELECT video_id, max(frame_idx) AS last_frame, max(t) AS last_t, (SELECT max(t) FROM fx_series) AS end_t FROM fx_series GROUP BY 1) SELECT video_id, start_frame, end_frame FROM rn JOIN ls USING (video_id) WHERE end_frame < last_frame OR last_t + 30 < end_t - 10",
+)
 REGISTRY["r2_stream_transitions"] = Stream(lambda spark, d: drained(jobs.stream_transitions(frames(spark, d)), "append"), f"WITH {TR} SELECT video_id, frame_idx, t, event FROM tr WHERE event IS NOT NULL", "t")
 REGISTRY["r4_stream_keyword_score"] = Stream(keyword_score, OVERALL + "SELECT video_id, n_matched, overall_score FROM o", "overall_score")
 REGISTRY["r5_stream_word_rate"] = Stream(
