@@ -44,7 +44,7 @@ def assign_sessions(videos: DataFrame, raters: DataFrame, seed: int = 1) -> Data
     """videos: video_id, set, topic, delay. Every rater sees each topic once per session, each session has every delay
     equally often; fresh videos are spread evenly. Orders come from a hash of seed, rater and id, so reruns agree and no
     rater's plan depends on another's. Labels say nothing about the video."""
-    key = lambda *cols: F.xxhash64(F.lit(seed), "rater", *cols)
+    key = lambda *cols: F.md5(F.concat_ws("|", F.lit(str(seed)), "rater", *[F.col(c).cast("string") for c in cols]).cast("binary"))
     topics = videos.where("set = 'manipulated'").select("topic").distinct()
     n = len(DELAYS)
     one = lambda df: df.withColumn("k_", F.lit(0))
@@ -56,7 +56,7 @@ def assign_sessions(videos: DataFrame, raters: DataFrame, seed: int = 1) -> Data
     delay = F.element_at(F.array(*map(F.lit, DELAYS)), ((F.col("pattern") + F.col("session")) % n + 1).cast("int"))
     first = plan.withColumn("delay", delay).join(videos.where("set = 'manipulated'").select("video_id", "topic", "delay"), ["topic", "delay"]).select("rater", "session", "video_id")
     fresh = one(videos.where("set = 'fresh'").select("video_id")).join(one(raters.select("rater").distinct()), "k_")
-    spread = (F.row_number().over(w.orderBy(key("video_id"), "video_id")) - 1 + F.pmod(F.xxhash64(F.lit(seed), "rater"), F.lit(SESSIONS))) % SESSIONS
+    spread = (F.row_number().over(w.orderBy(key("video_id"), "video_id")) - 1 + F.conv(F.substring(key(), 1, 8), 16, 10).cast("long") % SESSIONS) % SESSIONS
     second = fresh.select("rater", spread.cast("int").alias("session"), "video_id")
     rows = first.unionByName(second)
     place = F.row_number().over(Window.partitionBy("rater").orderBy("session", key("video_id", "session"), "video_id"))

@@ -208,14 +208,16 @@ register("e3_rater_progress", "SELECT rater, item AS video, min(ts) AS first_ts
 
 
 def study(s):
-    """A manifest out of suppliers: six topics at three delays by supplier key, then five fresh ones."""
+    """A manifest out of all suppliers: of every 23 keys, six topics at three delays, four fresh videos and an odd one."""
     k = F.col("s_suppkey")
-    rows = s("supplier").where((k >= 1) & (k <= 23))
-    man = k <= 18
-    return rows.select(F.concat(F.lit("m"), k.cast("string")).alias("video_id"), F.when(man, "manipulated").when(k == 23, "odd").otherwise("fresh").alias("set"), F.when(man, F.floor((k - 1) / 3)).alias("topic"), F.when(man, F.element_at(F.array(*map(F.lit, E.DELAYS)), ((k - 1) % 3 + 1).cast("int"))).alias("delay"), F.when(k % 5 == 0, "TODO").otherwise("id").alias("external_id"))
+    man, n = k % 23 < 18, k % 23
+    return s("supplier").select(
+        F.concat(F.lit("m"), k.cast("string")).alias("video_id"), F.when(man, "manipulated").when(n == 22, "odd").otherwise("fresh").alias("set"), F.when(man, F.floor(k / 23) * 6 + F.floor(n / 3)).alias("topic"),
+        F.when(man, F.element_at(F.array(*map(F.lit, E.DELAYS)), (n % 3 + 1).cast("int"))).alias("delay"), F.when(k % 5 == 0, "TODO").otherwise("id").alias("external_id"),
+    )
 
 
-ST = "st AS (SELECT 'm' || s_suppkey AS video_id, CASE WHEN s_suppkey<=18 THEN 'manipulated' WHEN s_suppkey=23 THEN 'odd' ELSE 'fresh' END AS \"set\", CASE WHEN s_suppkey % 5=0 THEN 'TODO' ELSE 'id' END AS external_id FROM supplier WHERE s_suppkey BETWEEN 1 AND 23)"
+ST = "st AS (SELECT 'm' || s_suppkey AS video_id, CASE WHEN s_suppkey % 23 < 18 THEN 'manipulated' WHEN s_suppkey % 23 = 22 THEN 'odd' ELSE 'fresh' END AS \"set\", s_suppkey // 23 * 6 + s_suppkey % 23 // 3 AS topic, s_suppkey % 23 % 3 AS di, CASE WHEN s_suppkey % 5=0 THEN 'TODO' ELSE 'id' END AS external_id FROM supplier)"
 MOM = "mo AS (SELECT video_id, \"set\", CAST(substring(video_id, 2) AS INT)*1e0 AS t_narr, CASE WHEN video_id='m4' THEN 2e0 END AS override_start, CASE WHEN video_id='m4' THEN 3e0 END AS override_end FROM st)"
 
 
@@ -230,7 +232,15 @@ register("p8_viewing_window", f"WITH {ST}, {MOM}, w AS (SELECT *, coalesce(overr
 register("p9_study_validation", f"WITH {ST} SELECT 'no_moments' AS issue, video_id AS id FROM st WHERE CAST(substring(video_id, 2) AS INT) % 8 = 0 UNION ALL SELECT 'unknown_set', video_id FROM st WHERE \"set\"='odd' UNION ALL SELECT 'placeholder', video_id FROM st WHERE external_id='TODO'")(
     lambda s: E.study_validation(study(s), moments(s).where(F.substring("video_id", 2, 9).cast("int") % 8 != 0))
 )
-register("e1_assign_sessions")(lambda s: E.assign_sessions(study(s).where("set <> 'odd'"), s("fx_ratings").select("rater").distinct()))
+register(
+    "e1_assign_sessions",
+    f"""WITH {ST}, rt AS (SELECT DISTINCT rater FROM fx_ratings), tp AS (SELECT DISTINCT topic FROM st WHERE "set" = 'manipulated'),
+pr AS (SELECT rater, topic, row_number() OVER (PARTITION BY rater ORDER BY md5(concat_ws('|', 1, rater, topic)), topic) AS rn, count(*) OVER (PARTITION BY rater) AS m FROM rt CROSS JOIN tp),
+pl AS (SELECT *, (rn-1)//greatest(m//3, 1) AS pattern, unnest([0, 1, 2]) AS session FROM pr), fi AS (SELECT rater, session, video_id FROM pl JOIN st ON st.topic = pl.topic AND st.di = (pattern+session) % 3 AND "set" = 'manipulated'),
+fr AS (SELECT rater, (row_number() OVER (PARTITION BY rater ORDER BY md5(concat_ws('|', 1, rater, video_id)), video_id) - 1 + CAST('0x' || substr(md5(concat_ws('|', 1, rater)), 1, 8) AS BIGINT) % 3) % 3 AS session, video_id FROM st CROSS JOIN rt WHERE "set" = 'fresh'),
+ps AS (SELECT *, row_number() OVER (PARTITION BY rater ORDER BY session, md5(concat_ws('|', 1, rater, video_id, session)), video_id) AS position FROM (SELECT * FROM fi UNION ALL SELECT * FROM fr) u)
+SELECT rater, CAST(session AS INT) AS session, video_id, CAST(position AS INT) AS position, printf('Video_R%02d', position) AS label FROM ps""",
+)(lambda s: E.assign_sessions(study(s).where("set <> 'odd'"), s("fx_ratings").select("rater").distinct()))
 LABEL = "[" + ", ".join(f"'{x}'" for x in E.CONTENT_LABELS + E.NON_CONTENT_LABELS) + "]"
 register("p5_content_flag", f"WITH x AS (SELECT video_id, scene_id, {LABEL}[scene_id % 13 + 1] AS label, (scene_id % 10)/10 AS confidence, CASE WHEN scene_id % 4 = 0 THEN 2 ELSE 0 END AS n_words FROM fx_scenes) SELECT video_id, scene_id, CASE WHEN list_contains({LABEL}[1:6], label) THEN TRUE WHEN confidence < 0.4 THEN TRUE WHEN n_words > 0 THEN TRUE ELSE FALSE END AS is_content FROM x")(
     lambda s: E.content_flag(s("fx_scenes").select("video_id", "scene_id", F.element_at(F.array(*map(F.lit, E.CONTENT_LABELS + E.NON_CONTENT_LABELS)), F.col("scene_id") % 13 + 1).alias("label"), (F.col("scene_id") % 10 / 10).alias("confidence"), F.when(F.col("scene_id") % 4 == 0, 2).otherwise(0).alias("n_words"))).select("video_id", "scene_id", "is_content")

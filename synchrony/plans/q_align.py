@@ -132,7 +132,13 @@ def grounding(s):
     return A.keyword_grounding(keywords(s), hits, ocr, near(7, F.lit(0.5)), near(9, F.col("keyword_id") % 10 / 10), asked)
 
 
-register("a12_keyword_grounding")(grounding)
+register(
+    "a12_keyword_grounding",
+    f"""WITH k AS (SELECT * FROM {KW} x WHERE groundability <> 'LOW'), tx AS (SELECT * FROM (SELECT k.video_id, k.keyword_id, o.frame_time, row_number() OVER (PARTITION BY k.video_id, k.keyword_id ORDER BY abs(o.frame_time-k.t_narr), o.frame_time) AS rn FROM k JOIN fx_ocr o ON o.video_id=k.video_id AND o.tok=k.keyword_text AND abs(o.frame_time-k.t_narr) <= 60) WHERE rn = 1),
+m AS (SELECT k.*, tx.frame_time, CASE WHEN frame_time IS NOT NULL THEN 'text' WHEN keyword_id % 7 = 0 THEN 'detection' WHEN keyword_id % 9 = 0 AND keyword_id % 10 >= 2 THEN 'vector' WHEN keyword_id % 4 = 0 THEN 'asked' ELSE 'none' END AS method FROM k LEFT JOIN tx USING (video_id, keyword_id))
+SELECT video_id, keyword_id, method, CASE method WHEN 'text' THEN 1e0 WHEN 'detection' THEN 0.7e0 WHEN 'vector' THEN 0.4e0 WHEN 'asked' THEN 0.2e0 ELSE 0e0 END AS confidence, CASE method WHEN 'text' THEN t_narr-frame_time WHEN 'detection' THEN -5e0 WHEN 'vector' THEN -5e0 WHEN 'asked' THEN 0e0 END AS delta_narr_vis FROM m""",
+    "confidence delta_narr_vis",
+)(grounding)
 register(
     "w23_monotonic_violations",
     "WITH v AS (SELECT *, coalesce(t_narr < lag(t_narr) OVER (PARTITION BY video_id ORDER BY t_vis, keyword_id, segment_id, t_narr, alpha) - 10, FALSE) AS v FROM fx_align WHERE match_case <> 'F') SELECT video_id, count(*) FILTER (v) AS n_violations, count(*) AS n FROM v GROUP BY 1",
