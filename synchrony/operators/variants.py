@@ -109,10 +109,10 @@ def delay_points(table: DataFrame, least: float = 0.5, top: int = 10) -> DataFra
     return table.where(F.col("tvis_shift") > least).orderBy(F.col("tvis_shift").desc(), "group_id").limit(top)
 
 
-def variant_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Full outer join of two variants' keyword gaps with the side that has each."""
-    left = a.select("keyword_id", F.col("delta_t").alias("dt_a"), F.lit(True).alias("in_a"))
-    right = b.select("keyword_id", F.col("delta_t").alias("dt_b"), F.lit(True).alias("in_b"))
-    rows = left.join(right, "keyword_id", "full_outer")
+def variant_diff(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("keyword_id",)) -> DataFrame:
+    """Full outer join of two variants' keyword gaps with the side that has each; with more keys, of many pairs at once."""
+    left = a.select(*keys, F.col("delta_t").alias("dt_a"), F.lit(True).alias("in_a"))
+    right = b.select(*keys, F.col("delta_t").alias("dt_b"), F.lit(True).alias("in_b"))
+    rows = left.join(right, list(keys), "full_outer")
     side = F.when(F.col("in_a").isNull(), "b").when(F.col("in_b").isNull(), "a").otherwise("both")
-    return rows.select("keyword_id", "dt_a", "dt_b", (F.col("dt_b") - F.col("dt_a")).alias("shift"), side.alias("side"))
+    return rows.select(*keys, "dt_a", "dt_b", (F.col("dt_b") - F.col("dt_a")).alias("shift"), side.alias("side"))

@@ -203,16 +203,21 @@ register(
 )(lambda s: V.plan_pairs(s("fx_variants")))
 
 
-def set_dips(s):
+def set_dips(s, whole=False):
     n = F.substring("video_id", 2, 9).cast("int")
     pair = F.element_at(F.array(*map(F.lit, ["0v1", "0v3", "1v3", "1v5"])), (n % 4 + 1).cast("int"))
-    d = W.dip_regions(s("fx_series")).where(n < 40)
-    return d.select(F.concat(F.lit("S"), (F.floor(n / 4) % 5).cast("string")).alias("set_name"), pair.alias("pair"), F.when(pair.startswith("0"), "baseline").otherwise("inter").alias("kind"), "center", "duration")
+    d = W.dip_regions(s("fx_series")) if whole else W.dip_regions(s("fx_series")).where(n < 40)
+    number = F.floor(n / 4) if whole else F.floor(n / 4) % 5
+    return d.select(F.concat(F.lit("S"), number.cast("string")).alias("set_name"), pair.alias("pair"), F.when(pair.startswith("0"), "baseline").otherwise("inter").alias("kind"), "center", "duration")
 
 
 SDIPS = DIPS + ", sd AS (SELECT 'S' || CAST(floor(n/4) AS INT) % 5 AS set_name, ['0v1','0v3','1v3','1v5'][n % 4 + 1] AS pair, CASE WHEN n % 4 < 2 THEN 'baseline' ELSE 'inter' END AS kind, center, duration FROM (SELECT *, CAST(substring(video_id, 2) AS INT) AS n FROM dp) WHERE n < 40), cl AS (SELECT *, sum(nw) OVER (PARTITION BY set_name ORDER BY center, pair ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN center - lag(center) OVER (PARTITION BY set_name ORDER BY center, pair) <= 3 THEN 0 ELSE 1 END AS nw FROM sd)), cc AS (SELECT set_name, CAST(cluster AS BIGINT) AS cluster, avg(center) AS t, string_agg(DISTINCT pair, ',' ORDER BY pair) AS evidence, count(DISTINCT pair) FILTER (kind='inter') AS n_inter, avg(duration) FILTER (pair='0v1') AS base_1, avg(duration) FILTER (pair='0v3') AS base_3, avg(duration) FILTER (pair='0v5') AS base_5, arg_max(duration, pair || printf('%012.4f', center)) FILTER (kind='inter') AS inter_1 FROM cl GROUP BY 1, 2), cd AS (SELECT *, CASE WHEN n_inter >= 2 THEN 'high' WHEN n_inter = 1 OR length(evidence) > 3 THEN 'medium' ELSE 'low' END AS confidence FROM cc)"
 register("a18_cluster_dips", f"WITH {SDIPS} SELECT * FROM cd", "t base_1 base_3 base_5 inter_1")(lambda s: V.cluster_dips(set_dips(s)))
 register("a19_delay_summary", f"WITH {SDIPS} SELECT set_name, count(*) AS n_delays, string_agg(printf('%.1f', t + 1e-9), ', ' ORDER BY t) AS times, bool_and(confidence='high') AS all_high FROM cd GROUP BY 1")(lambda s: V.delay_summary(V.cluster_dips(set_dips(s))))
+#: The same over the dips of every recording: four recordings are a set, and there are as many sets as the table gives.
+SDIPS_ALL = SDIPS.replace("CAST(floor(n/4) AS INT) % 5", "CAST(floor(n/4) AS INT)").replace(" WHERE n < 40", "")
+register("a18_cluster_dips_all", f"WITH {SDIPS_ALL} SELECT * FROM cd", "t base_1 base_3 base_5 inter_1")(lambda s: V.cluster_dips(set_dips(s, True)))
+register("a19_delay_summary_all", f"WITH {SDIPS_ALL} SELECT set_name, count(*) AS n_delays, string_agg(printf('%.1f', t + 1e-9), ', ' ORDER BY t) AS times, bool_and(confidence='high') AS all_high FROM cd GROUP BY 1")(lambda s: V.delay_summary(V.cluster_dips(set_dips(s, True))))
 
 
 def side(s, r):
@@ -252,3 +257,20 @@ register(
     f"SELECT coalesce(a.keyword_id, b.keyword_id) AS keyword_id, a.delta_t AS dt_a, b.delta_t AS dt_b, b.delta_t-a.delta_t AS shift, CASE WHEN a.keyword_id IS NULL THEN 'b' WHEN b.keyword_id IS NULL THEN 'a' ELSE 'both' END AS side FROM ({one.format(v='v0', m=5)}) a FULL JOIN ({one.format(v='v3', m=7)}) b ON a.keyword_id=b.keyword_id",
     "dt_a dt_b shift",
 )(lambda s: V.variant_diff(*[s("fx_align").where((F.col("video_id") == v) & (F.col("segment_id") % m != 0)).groupBy(F.col("segment_id").alias("keyword_id")).agg(F.min("delta_t").alias("delta_t")) for v, m in (("v0", 5), ("v3", 7))]))
+
+
+def variant_pairs(s):
+    """Least gaps of each segment, once for every pair of variants of a set and either side of it."""
+    n = F.substring("video_id", 2, 9).cast("int")
+    d = s("fx_align").groupBy(n.alias("n"), F.col("segment_id").alias("keyword_id")).agg(F.min("delta_t").alias("delta_t"))
+    v = s("fx_align").select(n.alias("n"), F.floor(n / 4).alias("set_")).distinct()
+    p = v.withColumnRenamed("n", "na").join(v.withColumnRenamed("n", "nb"), "set_").where("na < nb").select(*[F.concat(F.lit("v"), F.col(x).cast("string")).alias(y) for x, y in (("na", "video_a"), ("nb", "video_b"))], "na", "nb")
+    return [p.join(d, F.col(x) == d["n"]).select("video_a", "video_b", "keyword_id", "delta_t") for x in ("na", "nb")]
+
+
+register(
+    "j13_variant_diff_all",
+    "WITH d AS (SELECT CAST(substring(video_id, 2) AS INT) AS n, segment_id AS keyword_id, min(delta_t) AS delta_t FROM fx_align GROUP BY 1, 2), v AS (SELECT DISTINCT n FROM d), p AS (SELECT a.n AS na, b.n AS nb FROM v a JOIN v b ON CAST(floor(a.n/4) AS INT) = CAST(floor(b.n/4) AS INT) AND a.n < b.n), l AS (SELECT na, nb, keyword_id, delta_t FROM p JOIN d ON n = na), r AS (SELECT na, nb, keyword_id, delta_t FROM p JOIN d ON n = nb) "
+    "SELECT 'v' || na AS video_a, 'v' || nb AS video_b, keyword_id, l.delta_t AS dt_a, r.delta_t AS dt_b, r.delta_t-l.delta_t AS shift, CASE WHEN l.na IS NULL THEN 'b' WHEN r.na IS NULL THEN 'a' ELSE 'both' END AS side FROM l FULL JOIN r USING (na, nb, keyword_id)",
+    "dt_a dt_b shift",
+)(lambda s: V.variant_diff(*variant_pairs(s), keys=("video_a", "video_b", "keyword_id")))
