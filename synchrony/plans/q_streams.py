@@ -65,10 +65,10 @@ def word_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("video_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.col("rate"))
 
 
-def rater_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rater_progress(spark: SparkSession, sf_dir: str, ratings: str = "fx_ratings") -> DataFrame:
     """Every rating as a posted form, each posted again a minute later."""
     path = stream_dir(spark)
-    r = fixtures.view(spark, sf_dir, "fx_ratings").withColumn("ts", F.col("ts").cast("timestamp"))
+    r = fixtures.view(spark, sf_dir, ratings).withColumn("ts", F.col("ts").cast("timestamp"))
     posts = r.select(F.to_json(F.struct("rater", F.col("item").alias("video"))).alias("json"), F.explode(F.array("ts", F.col("ts") + F.expr("INTERVAL 1 MINUTE"))).alias("ts"))
     posts.write.parquet(path)
     out = drained(jobs.stream_rater_progress(stream_of(spark, path)), "update")
@@ -76,6 +76,7 @@ def rater_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY["r3_stream_rater_progress"] = Stream(rater_progress, "SELECT rater, item AS video, CAST(min(ts) AS TIMESTAMP) AS first_ts FROM fx_ratings GROUP BY 1, 2")
+REGISTRY["r3_stream_rater_progress_all"] = Stream(lambda spark, d: rater_progress(spark, d, "fx_ratings_all"), "SELECT rater, item AS video, CAST(min(ts) AS TIMESTAMP) AS first_ts FROM fx_ratings_all GROUP BY 1, 2")
 #: A run that is still open at the end of the stream comes out only once its recording has been idle past the watermark.
 REGISTRY["r1_stream_freeze_runs"] = Stream(
     lambda spark, d: drained(jobs.stream_freeze_runs(frames(spark, d)), "append"),

@@ -20,3 +20,19 @@ def test_all_recordings_have_dips_and_pairs(spark):
     assert any(int(x[1:]) >= 10 for x in sets)  # recordings from u40 on
     pairs = QUERIES["j13_variant_diff_all"](spark, FOLDER)
     assert pairs.select("video_a", "video_b").distinct().count() == 36 and pairs.select("keyword_id").distinct().count() == 40
+
+
+@pytest.mark.parametrize("name", [f"{x}_all" for x in [*registry.WHOLE, "r3_stream_rater_progress"]])
+def test_all_ratings_and_variants_match_sql(spark, name):
+    assert_same(spark, QUERIES[name], ORACLES[name], FOLDER)
+
+
+def test_every_event_is_a_rating_and_every_recording_a_variant(spark):
+    from synchrony.sources import fixtures
+
+    r, n = fixtures.view(spark, FOLDER, "fx_ratings_all"), spark.read.parquet(f"{FOLDER}/events.parquet").count()
+    assert r.count() == r.select("item", "rater").distinct().count() == n and r.select("rater").distinct().count() == 150
+    assert QUERIES["e8_srocc_by_fold_all"](spark, FOLDER).count() == 4
+    p = fixtures.view(spark, FOLDER, "fx_panel")
+    assert p.count() == n == p.select("item").distinct().count() * p.select("rater").distinct().count()
+    assert fixtures.view(spark, FOLDER, "fx_variants_all").count() == 24
