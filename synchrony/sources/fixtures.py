@@ -71,6 +71,7 @@ SELECT video_id, word_id AS keyword_id, CAST(floor(word_id/12) AS BIGINT) AS seg
     "fx_variants_all": """SELECT video_id, concat('S',CAST(CAST(floor(n/4) AS INT) AS VARCHAR(3))) AS set_name, CAST(CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END AS INT) AS delay_level
  FROM (SELECT DISTINCT video_id, CAST(substring(video_id,2) AS INT) AS n FROM fx_align) x""",
     "fx_llm": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substring(text,1,40) ELSE concat('Sure: [{"segment_id": ', CAST(doc_id AS VARCHAR(9)), ', "importance": ', CAST(doc_id % 9 AS VARCHAR(9)), ', "reason": "r"}] done') END AS response FROM documents""",
+    "fx_llm_all": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text ELSE concat(text, ' Sure: [{"segment_id": ', CAST(doc_id AS VARCHAR(20)), ', "importance": ', CAST(doc_id % 9 AS VARCHAR(9)), ', "reason": "r"}] done ', text) END AS response FROM documents""",
     "fx_concepts": """SELECT s.video_id, s.scene_id, s.t_start, s.t_end, s.t_keyframe, k.keyword_text AS concept FROM fx_scenes s JOIN fx_keywords k ON k.video_id = s.video_id AND k.t_narr >= s.t_start AND k.t_narr < s.t_end""",
 }
 

@@ -36,3 +36,13 @@ def test_every_event_is_a_rating_and_every_recording_a_variant(spark):
     p = fixtures.view(spark, FOLDER, "fx_panel")
     assert p.count() == n == p.select("item").distinct().count() * p.select("rater").distinct().count()
     assert fixtures.view(spark, FOLDER, "fx_variants_all").count() == 24
+
+
+def test_ratings_are_found_in_whole_texts(spark, tmp_path):
+    assert_same(spark, QUERIES["s7_parse_rating_json_all"], ORACLES["s7_parse_rating_json_all"], FOLDER)
+    late = "w " * 100 + '[{"segment_id": 5, "importance": 4, "reason": "late"}] ' + "w " * 100
+    rows = [(7, late), (14, "plain"), (1, "w " * 100), (2, "broken [ list " + "w " * 100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(spark, QUERIES["s7_parse_rating_json_all"], ORACLES["s7_parse_rating_json_all"], str(tmp_path))
+    found = {r.doc_id: (r.segment_id, r.importance, r.parsed) for r in QUERIES["s7_parse_rating_json_all"](spark, str(tmp_path)).collect()}
+    assert found == {7: (5, 4, True), 14: (None, None, False), 1: (1, 1, True), 2: (None, None, False)}
