@@ -3,9 +3,9 @@
 A window is 50 consecutive words of a document. Each window has an anchor: the least hash of the 20-word runs inside it.
 Equal windows have equal anchors, and a document has about one anchor for every sixteen words. The index keeps sorted
 immutable runs of anchors, each with the first and the last document that has it; every new batch becomes a run, is
-merge-joined with the runs before it, and the runs are compacted. Only windows whose anchor stands in several documents
-go on: their full fingerprints (96 bits, of which the last 32 verify the first 64) are counted map-side, and joined back
-to find those that start in an earlier document. Hot keys are pre-aggregated on one side and split by AQE on the other.
+merge-joined with the runs before it, and the runs are compacted. Only windows whose anchor the merge-joins found in
+several documents go on: their fingerprints (64 bits and a second hash of 31 bits over the same word hashes; words are
+not compared) are counted map-side, and joined back to find those that start in an earlier document. Hot keys are pre-aggregated on one side and split by AQE on the other.
 
 Which anchors are shared reaches the second pass as a bitmap of fixed size; it only spares work, as windows that it lets
 through by chance find no partner.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,9 +116,9 @@ class AnchorIndex:
         merged = rows.groupBy("anchor").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
         return written(merged.sortWithinPartitions("anchor"), label)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """batch: doc_id, anchors. Adds a run, merge-joins it with the history and compacts both. Returns the anchors
-        of the batch that now stand in more than one document."""
+    def add(self, batch: DataFrame, compact: bool = True) -> DataFrame:
+        """batch: doc_id, anchors. Adds a run, merge-joins it with the history and compacts both, unless no batch
+        follows. Returns the anchors of the batch that now stand in more than one document."""
         rows = batch.where(F.col("doc_id").isNotNull()).select(F.explode("anchors").alias("anchor"), F.col("doc_id").alias("first_doc"), F.col("doc_id").alias("last_doc"))
         run = self.sorted_run(rows, "anchor-run")
         if self.run is None:
@@ -125,7 +126,8 @@ class AnchorIndex:
             return run.where("first_doc < last_doc").select("anchor")
         old = self.run.select("anchor", F.col("first_doc").alias("f_"), F.col("last_doc").alias("l_")).hint("merge")
         met = run.join(old, "anchor", "left").where("least(first_doc, coalesce(f_, first_doc)) < greatest(last_doc, coalesce(l_, last_doc))").select("anchor")
-        self.run = self.sorted_run(self.run.unionByName(run), "anchor-compacted")
+        if compact:
+            self.run = self.sorted_run(self.run.unionByName(run), "anchor-compacted")
         return met
 
 
@@ -189,9 +191,9 @@ def duplicated_windows(docs: DataFrame, info: DataFrame, batches: int = 2) -> Da
     """doc_id, mark, starts: the windows of each document that also start in an earlier one."""
     index = AnchorIndex()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    for b in range(batches):  # each batch meets the runs of those before it
-        index.add(info.where(part == b).select("doc_id", "anchors"))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(index.run.where("first_doc < last_doc").select("anchor")))
+    # each batch meets the runs of those before it; an anchor is returned by the batch that brings its second document
+    met = [index.add(info.where(part == b).select("doc_id", "anchors"), compact=b < batches - 1) for b in range(batches)]
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(reduce(DataFrame.unionByName, met)))
     found = docs.select("doc_id", "text").mapInArrow(windows_of(shared), "h long, c int, doc_id long, tp long")
     firsts = found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "c", "first")
     again = found.join(firsts, ["h", "c"]).where("first < doc_id")

@@ -46,3 +46,15 @@ def test_ratings_are_found_in_whole_texts(spark, tmp_path):
     assert_same(spark, QUERIES["s7_parse_rating_json_all"], ORACLES["s7_parse_rating_json_all"], str(tmp_path))
     found = {r.doc_id: (r.segment_id, r.importance, r.parsed) for r in QUERIES["s7_parse_rating_json_all"](spark, str(tmp_path)).collect()}
     assert found == {7: (5, 4, True), 14: (None, None, False), 1: (1, 1, True), 2: (None, None, False)}
+
+
+def test_merge_joins_of_the_index_decide_which_windows_go_on(spark, monkeypatch):
+    from synchrony.llm import substrings
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(20)], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substrings.op3_substring_dedup(docs).collect()}
+    assert removed == {i: 60 if i else 0 for i in range(20)}
+    add = substrings.AnchorIndex.add
+    monkeypatch.setattr(substrings.AnchorIndex, "add", lambda self, batch, **k: add(self, batch, **k).where("false"))
+    assert all(r.n_removed == 0 for r in substrings.op3_substring_dedup(docs).collect())
