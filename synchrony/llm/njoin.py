@@ -4,8 +4,9 @@ Texts are sets of five-word shingles. Texts that are equal count once. Each gets
 agree on four neighbouring values meet in a bucket. Inside a bucket a pair's values are compared sixteen at a time, and
 the pair is dropped as soon as the posterior probability of reaching the threshold, given the agreements so far, falls
 below the tolerance. What survives is verified exactly on the whole shingle sets. A pair is looked at only in the first
-bucket that its texts share; large buckets are cut into blocks that meet two by two. Pairs are never rows: a task returns,
-per text, the number of its links and the root of its group inside the task; star contraction joins those to classes.
+bucket that its texts share; large buckets are cut into blocks that meet two by two. Surviving pairs are packed into arrays, one row per
+pair of blocks, so rows are few but pairs stay quadratic in a group of different near copies. Verification returns, per
+text, the number of its links and the root of its group inside the task; star contraction joins those to classes.
 
 Defined cases: null texts equal empty ones; texts without words have no links, but copies of them are one class; texts of
 fewer than five words are one shingle; rows that repeat a doc_id are one document (of several texts under one id the
