@@ -74,10 +74,16 @@ class BlobLedger:
     SCHEMA = f"blob string, kind string, version int, spans {SPANS}"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.batches = spark, path, 0
+        self.spark, self.path = spark, path
+
+    def exists(self) -> bool:
+        """Whether any batch, of this object or of an earlier one, has left files under the path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return fs.exists(path) and any(x.getPath().getName().startswith("part-") for x in fs.listStatus(path))
 
     def read(self) -> DataFrame:
-        if not self.batches:
+        if not self.exists():
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
@@ -85,7 +91,7 @@ class BlobLedger:
         """versions: text. Scans the blobs that some rule version has not seen, and adds what it found."""
         blobs = versions.select(text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
         blobs = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
-        if self.batches:
+        if self.exists():
             pairs = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
             seen = self.read().select("blob", F.struct("kind", "version").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("seen"))
             blobs = blobs.join(seen, "blob", "left").where(F.size(F.array_except(pairs, F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>")))) > 0)
@@ -99,24 +105,26 @@ class BlobLedger:
         entries = F.array(*[F.when(unseen(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, k).alias("spans"))) for k, r in enumerate(rules)])
         found = blobs.select("blob", F.explode(F.array_compact(entries)).alias("e")).select("blob", "e.*")
         found.write.mode("append").parquet(self.path)
-        self.batches += 1
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """blob, spans: what the given rule versions found, for blobs with any finding."""
         wanted = F.lit(False)
         for r in rules:
             wanted = wanted | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-        hits = self.read().where(wanted & (F.size("spans") > 0))
+        hits = self.read().where(wanted & (F.size("spans") > 0)).dropDuplicates(["blob", "kind", "version"])
         return hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None) -> DataFrame:
-    """The documents with their spans (sorted by start, then kind)."""
+def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None, batches: int = 1) -> DataFrame:
+    """The documents with their spans (sorted by start, then kind). With more batches, dealt by doc_id, each scans what
+    those before it have not."""
     import uuid
 
     spark = docs.sparkSession
     ledger = ledger or BlobLedger(spark, f"{shared_dir(spark)}/blob-ledger-{uuid.uuid4().hex}")
-    ledger.scan(docs, rules)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    for b in range(batches):
+        ledger.scan(docs.where(part == b) if batches > 1 else docs, rules)
     found = ledger.findings(rules).withColumnsRenamed({"blob": "blob_", "spans": "spans_"})
     paths = docs.withColumn("blob__", F.sha2(text_or_empty(), 256))
     joined = paths.join(found, F.col("blob__") == F.col("blob_"), "left")
@@ -124,7 +132,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Blo
 
 
 def op2_secret_scans(docs: DataFrame) -> DataFrame:
-    found = scan_documents(docs.select("doc_id", "text"), ledger=None).select("doc_id", F.col("spans__").alias("s"))
+    found = scan_documents(docs.select("doc_id", "text"), batches=2).select("doc_id", F.col("spans__").alias("s"))
     joined = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
     def count(kind: str) -> Column:
