@@ -76,14 +76,27 @@ def mutual_best(pairs: DataFrame) -> DataFrame:
         rest = settled(rest.join(now.select("set_name", "a_id"), ["set_name", "a_id"], "left_anti").join(now.select("set_name", "b_id"), ["set_name", "b_id"], "left_anti"), "mutual-rest")
 
 
+def time_chunks(scenes: DataFrame, reach: float) -> DataFrame:
+    """+ chunk: a set's time line cut at gaps longer than reach. Stretches of a reach hold no such gap, so only their ends
+    are put in order."""
+    rows = scenes.withColumn("b_", F.floor(F.col("t") / reach))
+    w = Window.partitionBy("set_name").orderBy(F.col("b_").asc_nulls_last())
+    ends = rows.groupBy("set_name", "b_").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    ends = ends.withColumn("new_", F.coalesce(F.col("lo") - F.lag("hi").over(w) > reach, F.lit(True)).cast("long"))
+    ends = ends.select(F.col("set_name").alias("s_"), F.col("b_").alias("k_"), F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("chunk"))
+    return rows.join(ends, F.col("set_name").eqNullSafe(F.col("s_")) & F.col("b_").eqNullSafe(F.col("k_"))).drop("b_", "s_", "k_")
+
+
 def group_leftovers(scenes: DataFrame, least: float = 0.3, reach: float = 30.0) -> DataFrame:
     """Scenes (set_name, video_id, scene_id, t, words) without a partner, grouped among themselves: each joins the first
-    group whose head is similar and near. One set has few leftovers; they are handled together."""
+    group whose head is similar and near. No head is near across a gap, so the chunks between gaps are handled apart, and
+    their groups are numbered on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         heads: list[tuple[set, float]] = []
         out = []
-        for _, r in pdf.sort_values(["t", "video_id", "scene_id"]).iterrows():
+        rows = pdf.sort_values(["t", "video_id", "scene_id"])
+        for _, r in rows.iterrows():
             words = set(r["words"])
             for i, (w, t) in enumerate(heads):
                 if abs(t - r["t"]) <= reach and words | w and len(words & w) / len(words | w) >= least:
@@ -92,10 +105,14 @@ def group_leftovers(scenes: DataFrame, least: float = 0.3, reach: float = 30.0)
             else:
                 heads.append((words, r["t"]))
                 out.append(len(heads) - 1)
-        rows = pdf.sort_values(["t", "video_id", "scene_id"])
-        return pd.DataFrame({"set_name": rows["set_name"], "video_id": rows["video_id"], "scene_id": rows["scene_id"], "group_id": out})
-
-    return scenes.select("set_name", "video_id", "scene_id", "t", "words").groupBy("set_name").applyInPandas(run, "set_name string, video_id string, scene_id long, group_id long")
+        return pd.DataFrame({"set_name": rows["set_name"], "chunk": rows["chunk"], "video_id": rows["video_id"], "scene_id": rows["scene_id"], "local": out})
+
+    narrow = time_chunks(scenes.select("set_name", "video_id", "scene_id", "t", "words"), reach)
+    found = settled(narrow.groupBy("set_name", "chunk").applyInPandas(run, "set_name string, chunk long, video_id string, scene_id long, local long"), "leftover-groups")
+    before = Window.partitionBy("set_name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = found.groupBy("set_name", "chunk").agg((F.max("local") + 1).alias("n")).select(F.col("set_name").alias("s_"), F.col("chunk").alias("k_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_"))
+    joined = found.join(sizes, F.col("set_name").eqNullSafe(F.col("s_")) & (F.col("chunk") == F.col("k_")))
+    return joined.select("set_name", "video_id", "scene_id", (F.col("first_") + F.col("local")).alias("group_id"))
 
 
 def comparison_table(rows: DataFrame, labels: list[str]) -> DataFrame:

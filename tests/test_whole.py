@@ -82,3 +82,12 @@ def test_secret_scans_meet_their_own_ledger(spark, monkeypatch):
     monkeypatch.setattr(secrets.BlobLedger, "scan", lambda self, *a: (had.append(self.exists()), scan(self, *a))[1])
     docs = spark.createDataFrame([(i, "token=abcdefg") for i in range(20)], "doc_id long, text string")
     assert {r.spans for r in secrets.op2_secret_scans(docs).collect()} == {"assign:0:13"} and had == [False, True]
+
+
+def test_leftovers_are_cut_at_gaps_and_numbered_on(spark):
+    from synchrony.operators import variants
+
+    rows = [("S0", "x", i, t, [w]) for i, (t, w) in enumerate([(0.0, "a"), (29.0, "b"), (59.0, "a"), (89.5, "a"), (200.0, "a"), (230.0, "a"), (500.0, "c")])]
+    scenes = spark.createDataFrame(rows, "set_name string, video_id string, scene_id long, t double, words array<string>")
+    assert [r.chunk for r in variants.time_chunks(scenes, 30.0).orderBy("t").collect()] == [1, 1, 1, 2, 3, 3, 4]
+    assert [r.group_id for r in variants.group_leftovers(scenes).orderBy("scene_id").collect()] == [0, 1, 2, 3, 4, 4, 5]
