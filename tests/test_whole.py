@@ -48,42 +48,6 @@ def test_ratings_are_found_in_whole_texts(spark, tmp_path):
     assert found == {7: (5, 4, True), 14: (None, None, False), 1: (1, 1, True), 2: (None, None, False)}
 
 
-def test_merge_joins_of_the_index_decide_which_windows_go_on(spark, monkeypatch):
-    from synchrony.llm import substrings
-
-    passage = " ".join(f"p{i}" for i in range(60))
-    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(20)], "doc_id long, text string")
-    removed = {r.doc_id: r.n_removed for r in substrings.op3_substring_dedup(docs).collect()}
-    assert removed == {i: 60 if i else 0 for i in range(20)}
-    add = substrings.AnchorIndex.add
-    monkeypatch.setattr(substrings.AnchorIndex, "add", lambda self, batch, **k: add(self, batch, **k).where("false"))
-    assert all(r.n_removed == 0 for r in substrings.op3_substring_dedup(docs).collect())
-
-
-def test_ledger_is_incremental_over_an_existing_folder(spark, tmp_path):
-    from synchrony.llm import secrets
-
-    path, docs = str(tmp_path / "ledger"), spark.createDataFrame([("token=abcdefg",), ("plain",)], "text string")
-    secrets.BlobLedger(spark, path).scan(docs)
-    again = secrets.BlobLedger(spark, path)
-    assert again.read().count() == 6
-    again.scan(docs)
-    assert again.read().count() == 6
-    again.read().write.mode("append").parquet(path + "-twice")
-    again.read().write.mode("append").parquet(path + "-twice")
-    assert [len(r.spans) for r in secrets.BlobLedger(spark, path + "-twice").findings().collect()] == [1]
-
-
-def test_secret_scans_meet_their_own_ledger(spark, monkeypatch):
-    from synchrony.llm import secrets
-
-    had = []
-    scan = secrets.BlobLedger.scan
-    monkeypatch.setattr(secrets.BlobLedger, "scan", lambda self, *a: (had.append(self.exists()), scan(self, *a))[1])
-    docs = spark.createDataFrame([(i, "token=abcdefg") for i in range(20)], "doc_id long, text string")
-    assert {r.spans for r in secrets.op2_secret_scans(docs).collect()} == {"assign:0:13"} and had == [False, True]
-
-
 def test_leftovers_are_cut_at_gaps_and_numbered_on(spark):
     from synchrony.operators import variants
 
