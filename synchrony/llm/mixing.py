@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, columns_of, unused, written
 
 #: A source is taken at most so many times.
 MAX_PASSES = 3
@@ -134,6 +134,7 @@ def op4_mixing_weights(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix themselves: a document taken twice stands twice. Rows that repeat a doc_id are drawn
     together: each of them stands as often as the most taken one."""
-    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies_")).where("copies_ > 0").withColumnRenamed("doc_id", "id_")
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["id_"]))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*[docs[c] for c in docs.columns])
+    n, i, each = unused(docs, "copies", "id", "copy")
+    copies = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias(n)).where(F.col(n) > 0).withColumnRenamed("doc_id", i)
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(i)))
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*columns_of(docs))

@@ -16,6 +16,7 @@ one with the smallest hash counts); a null doc_id stays alone; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 from itertools import count
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import text_or_empty, unused, written
 from .substrings import K1, mixed, split_words, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -81,14 +82,12 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from xxhash import xxh3_128_hexdigest
-
     a, b = hash_family()
     for batch in batches:
         keys, flat, lengths = [], [], []
         for text in batch.column("text").to_pylist():
             raw, words = split_words(text)
-            keys.append(xxh3_128_hexdigest(raw))
+            keys.append(md5(raw).hexdigest())
             if words:
                 flat.append(minhash(shingles(words), a, b))
             lengths.append(BANDS if words else 0)
@@ -196,8 +195,6 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts and pairs of blocks, sorted by block pair -> id, links, root inside the block pair."""
-    from xxhash import xxh3_128_hexdigest
-
     keys = ("lo", "hi")
     for table in groups_of(batches, keys):
         edges = bounds(table, keys)
@@ -212,7 +209,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     text = texts[r] or ""
                     other = chosen.get(ids[r])
-                    if other is None or xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass")) < xxh3_128_hexdigest(other.encode("utf-8", "surrogatepass")):
+                    if other is None or md5(text.encode("utf-8", "surrogatepass")).digest() < md5(other.encode("utf-8", "surrogatepass")).digest():
                         chosen[ids[r]] = text
             sets = {i: shingles(split_words(t)[1]) for i, t in chosen.items()}
             links, root = dict.fromkeys(sets, 0), {i: i for i in sets}
@@ -258,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), text_id (of equal texts, the smallest doc_id), n_links:
-    number of other texts with a similarity of at least the threshold."""
+    number of other texts with a similarity of at least the threshold, key (MD5 of the text that counts)."""
     narrow = docs.select("doc_id", "text")
     info = narrow.where(F.col("doc_id").isNotNull()).mapInArrow(signatures, "doc_id long, key string, sig array<int>")
     info = written(info.groupBy("doc_id").agg(F.min(F.struct("key", "sig")).alias("s")).select("doc_id", "s.*"), "njoin-signatures")
@@ -293,17 +290,20 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     known = reps.select(F.col("key").alias("k_"), F.col("rep").alias("text_id"))
     known = known.join(links, F.col("text_id") == F.col("id"), "left").join(roots, F.col("text_id") == F.col("node"), "left")
     known = known.select("k_", "text_id", F.coalesce("root", "text_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    return info.select("doc_id", "key").join(known, F.col("key") == F.col("k_")).select("doc_id", "class_id", "text_id", "n_links")
+    return info.select("doc_id", "key").join(known, F.col("key") == F.col("k_")).select("doc_id", "class_id", "text_id", "n_links", "key")
 
 
 def op9_ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    found = jaccard_classes(docs)
+    found = jaccard_classes(docs).drop("key")
     alone = docs.where(F.col("doc_id").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("text_id"), F.lit(0).cast("long").alias("n_links"))
     return found.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, one of each class: that with the smallest doc_id. A null doc_id stays."""
-    first = jaccard_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias("d_")).distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("d_"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents, one of each class: that with the smallest doc_id; of several texts under that id the one that was
+    compared. A null doc_id stays."""
+    d, k, key = unused(docs, "d", "k", "key")
+    first = jaccard_classes(docs).where("doc_id = class_id").select(F.col("doc_id").alias(d), F.col("key").alias(k))
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(key, F.md5(F.encode(text_or_empty(), "UTF-8")))
+    kept = named.join(first, (F.col("doc_id") == F.col(d)) & (F.col(key) == F.col(k)), "left_semi").dropDuplicates(["doc_id", key])
+    return kept.drop(key).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -10,12 +10,13 @@ table or a text without a secret gives empty spans; matches that fail a rule's l
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, shared_dir, text_or_empty
+from .common import columns_of, let, shared_dir, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -69,29 +70,34 @@ def spans_of(text: Column, rule: Rule, k: int) -> Column:
 
 
 class BlobLedger:
-    """Findings by (blob, kind, version), kept as Parquet files under ``path``; every batch adds files."""
+    """Findings by (blob, kind, version) under ``path``: one folder of Parquet files per batch, which counts once Spark has
+    marked it as complete. What the ledger has seen is read from there, so it can be opened again, and a job that failed
+    or runs twice neither loses nor doubles anything."""
 
     SCHEMA = f"blob string, kind string, version int, spans {SPANS}"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def exists(self) -> bool:
-        """Whether any batch, of this object or of an earlier one, has left files under the path."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return fs.exists(path) and any(x.getPath().getName().startswith("part-") for x in fs.listStatus(path))
+    def batches(self) -> list[str]:
+        """Folders of complete batches."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = hadoop(self.path)
+        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        found = [x.getPath() for x in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(p.toString() for p in found if p.getName().startswith("batch-") and fs.exists(hadoop(p, "_SUCCESS")))
 
     def read(self) -> DataFrame:
-        if not self.exists():
+        found = self.batches()
+        if not found:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(*found)
 
     def scan(self, versions: DataFrame, rules: tuple[Rule, ...] = RULES) -> None:
         """versions: text. Scans the blobs that some rule version has not seen, and adds what it found."""
         blobs = versions.select(text_or_empty().alias("text")).withColumn("blob", F.sha2("text", 256))
         blobs = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
-        if self.exists():
+        if self.batches():
             pairs = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
             seen = self.read().select("blob", F.struct("kind", "version").alias("pair")).groupBy("blob").agg(F.collect_set("pair").alias("seen"))
             blobs = blobs.join(seen, "blob", "left").where(F.size(F.array_except(pairs, F.coalesce("seen", F.array().cast("array<struct<kind:string,version:int>>")))) > 0)
@@ -104,7 +110,7 @@ class BlobLedger:
 
         entries = F.array(*[F.when(unseen(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans_of(F.col("text"), r, k).alias("spans"))) for k, r in enumerate(rules)])
         found = blobs.select("blob", F.explode(F.array_compact(entries)).alias("e")).select("blob", "e.*")
-        found.write.mode("append").parquet(self.path)
+        found.write.parquet(f"{self.path}/batch-{uuid.uuid4().hex}")
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """blob, spans: what the given rule versions found, for blobs with any finding."""
@@ -115,24 +121,22 @@ class BlobLedger:
         return hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
-def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None, batches: int = 1) -> DataFrame:
-    """The documents with their spans (sorted by start, then kind). With more batches, dealt by doc_id, each scans what
-    those before it have not."""
-    import uuid
-
+def scan_documents(docs: DataFrame, name: str, rules: tuple[Rule, ...] = RULES, ledger: BlobLedger | None = None, batches: int = 2) -> DataFrame:
+    """The documents with their spans (sorted by start, then kind) in a column of the given name. They come in batches,
+    dealt by doc_id, each of which scans what the ledger has not seen."""
     spark = docs.sparkSession
     ledger = ledger or BlobLedger(spark, f"{shared_dir(spark)}/blob-ledger-{uuid.uuid4().hex}")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for b in range(batches):
-        ledger.scan(docs.where(part == b) if batches > 1 else docs, rules)
-    found = ledger.findings(rules).withColumnsRenamed({"blob": "blob_", "spans": "spans_"})
-    paths = docs.withColumn("blob__", F.sha2(text_or_empty(), 256))
-    joined = paths.join(found, F.col("blob__") == F.col("blob_"), "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("spans_", no_spans()).alias("spans__"))
+        ledger.scan(docs.where(part == b), rules)
+    path, blob, spans = unused(docs, "path", "blob", "spans")
+    found = ledger.findings(rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    joined = docs.withColumn(path, F.sha2(text_or_empty(), 256)).join(found, F.col(path) == F.col(blob), "left")
+    return joined.select(*columns_of(docs), F.coalesce(spans, no_spans()).alias(name))
 
 
 def op2_secret_scans(docs: DataFrame) -> DataFrame:
-    found = scan_documents(docs.select("doc_id", "text"), batches=2).select("doc_id", F.col("spans__").alias("s"))
+    found = scan_documents(docs.select("doc_id", "text"), "s")
     joined = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
     def count(kind: str) -> Column:
@@ -144,7 +148,8 @@ def op2_secret_scans(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span of their text replaced by a mark; overlapping spans become one mark."""
-    found = scan_documents(docs)
+    (name,) = unused(docs, "found")
+    found = scan_documents(docs, name)
 
     def apply(text: Column, spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -155,8 +160,8 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return let(F.aggregate(spans, start, step), lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
 
-    text = F.when(F.size("spans__") > 0, apply(F.col("text"), F.col("spans__"))).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.size(name) > 0, apply(F.col("text"), F.col(name))).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*columns_of(docs))
 
 
 def _kind(k: int, rule: Rule) -> str:

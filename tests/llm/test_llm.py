@@ -282,6 +282,44 @@ def test_top_k_ties_nulls_and_large_components(spark):
     assert topk.op1_topk_search(df.limit(0)).count() == 0
 
 
+def test_cutoff_spares_exact_scores():
+    """Few pairs are resolved, and the answers are those of all pairs."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=(6000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    table = pd.DataFrame({"vec_id": np.arange(6000), "v": list(v)})
+    asked = table[table["vec_id"] % 50 == 0]
+    tally = collections.Counter()
+    known = topk.cell(asked.assign(cutoff=topk.LEAST), table.sample(500, random_state=1), 5, topk.LISTS)
+    cutoff = known.groupby("query_id")["score"].min()
+    got = topk.cell(asked.assign(cutoff=[cutoff[i] for i in asked["vec_id"]]), table, 5, topk.LISTS, tally)
+    want = []
+    for q in asked["vec_id"]:
+        scores = v @ v[q]
+        want += [(q, i, scores[i]) for i in sorted((i for i in range(6000) if i != q), key=lambda i: (-scores[i], i))[:5]]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want)
+    assert tally["pairs"] == 120 * 6000 and tally["resolved"] < 0.1 * tally["pairs"]
+
+
+def test_top_k_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "SAMPLE", 20)
+    random.seed(16)
+    rows = [(i, [random.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)], "x", 1, 1) for i in range(0, 400)] + [(None, [1.0] * 6, "x", 1, 1), (7, [], "x", 1, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, cutoff long, rank int")
+    good = {(i, tuple(int(256 * x) for x in v)) for i, v, *_ in rows if i is not None}
+    want = set()
+    for q, a in good:
+        if q % 50 == 0:
+            best = sorted(((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q))[:5]
+            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in topk.op1_topk_search(df).collect()} == want
+
+
 def test_base_statistics_by_brute_force(spark):
     random.seed(11)
     texts = ["\n".join(" ".join(random.choice("abc#$é") * random.randint(1, 2) for _ in range(random.randint(0, 9))) for _ in range(random.randint(1, 8))) for _ in range(60)]
@@ -295,28 +333,75 @@ def test_base_statistics_by_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover))
 
 
+def test_chi_square_cutoff():
+    assert quality.chi_square_cutoff(0.5) == pytest.approx(2.365974) and quality.chi_square_cutoff(0.001) == pytest.approx(16.26624)
+
+
+def brute_estimate(x, chars, words, x_hash_starts):
+    """Concentration steps row by row, in numpy: vectors in units, from the given starts, until nothing moves."""
+    import numpy as np
+
+    floors = np.diag([(quality.SCALE / np.exp(np.log(chars).mean())) ** 2, quality.SCALE**2 / np.exp(np.log(chars).mean()), quality.SCALE**2 / np.exp(np.log(words).mean())])
+    lower = lambda v: np.sort(v)[(len(v) - 1) // 2]
+    mid = np.array([lower(c) for c in x.T], float)
+    mad = np.array([lower(np.abs(c - m)) for c, m in zip(x.T, mid)], float)
+    begin = [(mid, np.diag((1.4826 * mad) ** 2) + floors), (x.mean(0), np.cov(x.T, bias=True) + floors)]
+    begin += [(p.mean(0), np.cov(p.T, bias=True) + floors) for p in x_hash_starts]
+    ends = []
+    for m, c in begin:
+        was = None
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            bins = np.floor(512 * np.log1p(np.maximum(d, 0)))
+            cut = np.sort(bins)[int(np.ceil(len(x) * quality.SUPPORT)) - 1]
+            near = x[bins <= cut]
+            if was is not None and np.array_equal(was, near):
+                break
+            m, c, was = near.mean(0), np.cov(near.T, bias=True) + floors, near
+        ends.append((np.linalg.det(c), m, c))
+    return min(ends, key=lambda e: e[0])
+
+
 def test_outliers_by_brute_force(spark):
-    """The native estimate against numpy: same concentration steps on the same vectors."""
+    """Several groups, pooled ones and ones without an estimate, against numpy from the same starts."""
     import numpy as np
 
     random.seed(12)
-    rows = [(i, " ".join("w" * random.randint(3, 6) for _ in range(40)) + (" ###" * 40 if i % 20 == 0 else "")) for i in range(400)]
-    got = {r.doc_id: r for r in quality.judged(documents(spark, rows)).collect()}
-    ids = [i for i in got if not got[i].base_failed]
-    x = np.array([[got[i].x0, got[i].x1, got[i].x2] for i in ids])
-    floors = np.diag(np.square(quality.FLOORS))
-    mid = np.median(x, axis=0)
-    cov = np.diag(np.square(1.4826 * np.median(np.abs(x - mid), axis=0))) + floors
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mid, np.linalg.inv(cov), x - mid)
-        near = x[d <= np.quantile(d, quality.SUPPORT, method="inverted_cdf")]
-        mid, cov = near.mean(axis=0), np.cov(near.T, bias=True) + floors
-    d = np.einsum("ij,jk,ik->i", x - mid, np.linalg.inv(cov), x - mid)
-    d /= max(1.0, np.quantile(d, 0.5, method="inverted_cdf") / quality.CHI3_MEDIAN)
-    for i, v in zip(ids, d):
-        assert got[i].kept == (v <= quality.CUTOFF)
-        assert got[i].d2 == pytest.approx(v, rel=0.2, abs=0.2)
-    assert not any(got[i].kept for i in range(0, 400, 20)) and all(got[i].kept for i in ids if i % 20)
+    rows = []
+
+    def add(n, lang, source, low, high, junk):
+        for _ in range(n):
+            words = ["w" * random.randint(low, high) for _ in range(random.randint(20, 60))]
+            for at in range(0, len(words) - 5, 5):
+                words[at] = f"x{len(rows)}y{at}"  # no repeated windows
+            rows.append((len(rows), " ".join(words + ([f"##{k}##" for k in range(len(words))] if random.random() < junk else [])), lang, source))
+
+    add(120, "en", "a", 3, 6, 0.05), add(90, "de", "a", 6, 9, 0.1), add(15, "fr", "b", 3, 6, 0.1), add(12, "fr", None, 3, 6, 0.0), add(5, None, "c", 4, 5, 0.0), add(40, None, None, 6, 9, 0.2)
+    rows += rows[:30] + [(900, "one two", "en", "a"), (901, None, "en", "a")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, g long")
+    got = quality.judged(docs).collect()
+    assert len(got) == len(rows)
+    groups = collections.defaultdict(list)
+    for r in got:
+        if not r.base_failed:
+            groups[r.g].append(r)
+    assert {g: len(m) for g, m in groups.items()} == {'source {"lang":"en","source":"a"}': 150, 'source {"lang":"de","source":"a"}': 90, 'lang {"lang":"fr"}': 27, "source {}": 40, "rest": 5}
+    for g, members in groups.items():
+        if g == "rest":
+            assert all(r.kept and r.d2 is None for r in members)
+            continue
+        x = np.array([[r.x0, r.x1, r.x2] for r in members], float)
+        frame = spark.createDataFrame([(g, *map(int, v)) for v in {tuple(v) for v in x}], "g string, x0 long, x1 long, x2 long")
+        picks = [frame.agg(*[F.min_by(F.struct("x0", "x1", "x2"), F.struct(F.xxhash64(F.lit(4 * k + j), "x0", "x1", "x2"), "x0", "x1", "x2")) for j in range(4)]).first() for k in range(quality.STARTS)]
+        det, m, c = brute_estimate(x, np.array([r.word_chars for r in members], float), np.array([r.n_words for r in members], float), [np.array([list(v) for v in p], float) for p in picks])
+        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) / quality.CONSISTENCY
+        for r, v in zip(members, d):
+            assert r.d2 == pytest.approx(v, rel=1e-5, abs=1e-6) and r.kept == (v <= quality.chi_square_cutoff())
+    texts = {r[0]: r[1] or "" for r in rows}
+    assert all(r.kept == ("##" not in texts[r.doc_id]) for r in got if not r.base_failed and r.g != "rest")
+    once = sorted((r.doc_id, r.d2, r.kept) for r in got if r.d2 is not None)
+    again = quality.judged(docs.repartition(7, "text")).collect()
+    assert once == sorted((r.doc_id, r.d2, r.kept) for r in again if r.d2 is not None)  # to the last bit, however rows are dealt
 
 
 def test_toxicity_held_out_accuracy(spark):
@@ -390,3 +475,104 @@ def test_pipeline_stages(spark):
             assert out.count() == before.count()
         before = out
     assert before.count() > 0
+
+
+def test_merge_joins_of_the_index_decide_which_windows_go_on(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(20)], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substrings.op3_substring_dedup(docs).collect()}
+    assert removed == {i: 60 if i else 0 for i in range(20)}
+    add = substrings.AnchorIndex.add
+    monkeypatch.setattr(substrings.AnchorIndex, "add", lambda self, batch, **k: add(self, batch, **k).where("false"))
+    assert all(r.n_removed == 0 for r in substrings.op3_substring_dedup(docs).collect())
+
+
+def test_ledger_is_incremental_over_an_existing_folder(spark, tmp_path):
+    path, docs = str(tmp_path / "ledger"), spark.createDataFrame([("token=abcdefg",), ("plain",)], "text string")
+    secrets.BlobLedger(spark, path).scan(docs)
+    again = secrets.BlobLedger(spark, path)
+    assert again.read().count() == 6
+    again.scan(docs)
+    assert again.read().count() == 6
+    rows = again.read().collect()
+    for name in ("batch-again", "batch-failed"):  # a job that ran twice, and one that did not finish
+        spark.createDataFrame(rows, secrets.BlobLedger.SCHEMA).write.parquet(f"{path}/{name}")
+    (tmp_path / "ledger" / "batch-failed" / "_SUCCESS").unlink()
+    assert len(secrets.BlobLedger(spark, path).batches()) == 3  # the second scan found nothing new
+    assert [len(r.spans) for r in secrets.BlobLedger(spark, path).findings().collect()] == [1]
+
+
+def test_secret_scans_meet_their_own_ledger(spark, monkeypatch):
+    had = []
+    scan = secrets.BlobLedger.scan
+    monkeypatch.setattr(secrets.BlobLedger, "scan", lambda self, *a: (had.append(bool(self.batches())), scan(self, *a))[1])
+    docs = spark.createDataFrame([(i, "token=abcdefg") for i in range(20)], "doc_id long, text string")
+    assert {r.spans for r in secrets.op2_secret_scans(docs).collect()} == {"assign:0:13"} and had == [False, True]
+
+
+def test_clashing_columns_and_texts_under_one_id(spark):
+    rows = [(1, "a token=abcdef1 b " + "same words here and there " * 5, "en", "a", 1), (2, "a token=abcdef1 b " + "same words here and there " * 5, "en", "a", 2), (3, "x", None, None, 3), (3, "another text", None, None, 4)]
+    names = ["path", "Blob", "found", "copies", "id", "copy", "d", "k", "a.b", "blob_", "spans__", "copies_", "d_", "k_"]
+    docs = spark.createDataFrame([(*r, *[7] * (len(names) - 1)) for r in rows], ["doc_id", "text", "lang", "source", *names])
+    for operator in (secrets.redacted, mixing.mixed_documents, njoin.one_of_each):
+        out = operator(docs)
+        assert out.columns == docs.columns and out.count() > 0
+    kept = njoin.one_of_each(docs).collect()
+    chosen = min(["x", "another text"], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, rows[0][1]), (3, chosen)]
+
+
+def test_toxicity_fit_is_a_minimum_by_brute_force():
+    """The objective written out over documents, sentences and swaps: no small step from the fit lowers it."""
+    import math
+
+    random.seed(14)
+    words = "lorem ipsum dolor sit amet tempor magna women men muslim jews trash filth".split()
+    texts = [". ".join(" ".join(random.choices(words, k=6)) for _ in range(3)) for _ in range(60)]
+    labels = [int("trash" in t or ("women" in t and random.random() < 0.7)) for t in texts]
+    index = {f: i for i, f in enumerate(sorted({f for w in words for f in toxicity.features(w)}))}
+
+    def value(theta, words):
+        n = collections.Counter(f for w in set(words) for f in toxicity.features(w))
+        return sum(theta[index[f]] * math.log1p(k) for f, k in n.items() if f in index)
+
+    pairs = []
+    for t in texts:
+        for sentence in t.split("."):
+            ws = set(sentence.split())
+            for term in ws & toxicity.CATEGORY.keys():
+                group = toxicity.IDENTITY[toxicity.CATEGORY[term]]
+                pairs += [(ws, (ws - {term}) | ({other} if other else set())) for other in ["", *group] if other != term]
+    pairs += [({t}, set()) for t in toxicity.CATEGORY]
+
+    def shown(a, b):
+        n, m = (collections.Counter(f for w in x for f in toxicity.features(w) if f in index) for x in (a, b))
+        return n != m
+
+    pairs = [p for p in pairs if shown(*p)]
+
+    def objective(theta, b):
+        loss = sum(math.log1p(math.exp(-(1 if y else -1) * (value(theta, t.replace(".", " ").split()) + b))) for t, y in zip(texts, labels)) / len(texts)
+        change = sum((value(theta, x) - value(theta, y)) ** 2 for x, y in pairs) / len(pairs)
+        return loss + toxicity.RIDGE * sum(theta**2) / 2 / len(texts) + toxicity.COUNTERFACTUAL * change / 2
+
+    frames = toxicity.rows_for_fit(index)(iter([__import__("pandas").DataFrame({"text": texts, "toxic": labels})]))
+    rows = [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    cases, swaps = [r for r in rows if r[2] >= 0], [(a, v, w) for a, v, y, w in rows if y < 0]
+    assert sum(w for *_, w in swaps) + len(toxicity.bare_terms(index)) == len(pairs)
+    theta, b = toxicity.minimised([(a, v, w) for a, v, _, w in cases], [y for _, _, y, _ in cases], swaps + toxicity.bare_terms(index), len(index))
+    best = objective(theta, b)
+    for i in range(len(index)):
+        for step in (-0.1, 0.1):
+            moved = theta.copy()
+            moved[i] += step
+            assert objective(moved, b) > best - 1e-4
+    assert objective(theta, b + 0.1) > best - 1e-4 and objective(theta, b - 0.1) > best - 1e-4 and best < objective(0 * theta, 0.0)
+
+
+def test_toxicity_on_an_empty_table_and_one_class(spark):
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
+    docs = documents(spark, ODD)
+    assert toxicity.op5_toxicity(docs.limit(0), labels).count() == 0 and toxicity.clean_documents(docs.limit(0), labels).count() == 0
+    assert len({r.score for r in toxicity.op5_toxicity(docs, labels).collect()}) == 1
+    assert toxicity.clean_documents(docs, labels.limit(0)).count() == len(ODD)
