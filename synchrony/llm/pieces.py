@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Segments up to this length are remembered, at most so many per worker.
-SHORT, REMEMBERED = 48, 400_000
+#: Segments up to this length are remembered, at most so many per worker, and so many pairs of tokens: some 40 MB together.
+#: A memory that is full is emptied.
+SHORT, REMEMBERED, PAIRS = 48, 60_000, 120_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float, str]]:
@@ -114,8 +115,9 @@ class PrefixTable:
             if a + b in plain and score[a + b] == limit and not strict_left:
                 good = False
                 break
-        if len(self.fits) < 4_000_000:
-            self.fits[left, right] = good
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        self.fits[left, right] = good
         return good
 
     def _run(self, n: int) -> list[str]:
@@ -222,6 +224,7 @@ def table_of(vocab) -> tuple[PrefixTable, dict]:
     """The worker's own prefix table and memory of segments for a broadcast vocabulary."""
     key = hash(tuple(vocab.value))
     if key not in _TABLES:
+        _TABLES.clear()  # one vocabulary at a time
         _TABLES[key] = PrefixTable(vocab.value), {}
     return _TABLES[key]
 
@@ -264,7 +267,9 @@ def op6_sentencepiece(docs: DataFrame, path: str | None = None) -> DataFrame:
             # byte tokens never cross a segment, so segments decode one by one; the leading mark is put back for decode()
             text = coder.decode([coder.ids[SPACE], *ids])
             got = ",".join(map(str, ids)), len(ids), text
-            if len(segment) <= SHORT and len(memory) < REMEMBERED:
+            if len(segment) <= SHORT:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
                 memory[segment] = got
             return got
 
