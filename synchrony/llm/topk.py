@@ -1,19 +1,26 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
 A vector's score is the sum of its partial scores on a few blocks of dimensions, each a score list of its own. Phase one
-gathers the local best entries of every list and takes, per query, the k-th best total among them as a safe cutoff.
-Phase two hands the cutoff to all cells and collects every entry that reaches an equal share of it on some list; a
-vector that reaches it on none scores less than the cutoff. Phase three resolves the collected entries exactly.
+gathers the lists of a bounded, seeded sample of candidates and takes, per query, the k-th best total among them: no
+answer can be worse, so it is a safe cutoff. Phase two hands the cutoff to all blocks of candidates and goes through their
+lists one after another: a pair goes on while its lists so far, and the most that its norms allow on the others, can reach
+the cutoff and while some list can hold an equal share of it. Phase three resolves the pairs that are left exactly, on
+their own rows only. The k-th best of what a block has resolved raises the cutoff for the rest of it.
 
-Queries and candidates are dealt into blocks, so a task holds one block of each; no side is broadcast.
+Queries and candidates are dealt into blocks, so a task holds one block of each; only the sample is broadcast.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as ending
-in zeros; ties go to the smaller vec_id; rows that repeat a vec_id and vector count once; fewer candidates than k give
-fewer rows; empty tables give no rows; sums beyond 64 bits are held at the limits of a long.
+in zeros; ties go to the smaller vec_id; rows that repeat a vec_id and vector count once; an id with several vectors is a
+candidate with each of them, and as a query takes the best of all its vectors' pairs, so an id can stand at two ranks;
+rows of a query's own id are never its candidates; fewer candidates than k give fewer rows; empty tables give no rows;
+sums beyond 64 bits are held at the limits of a long; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,10 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 2048, 1024
+#: Rows of a block of candidates and of queries; rows of each that are multiplied at a time.
+CANDIDATES, QUERIES, TILE = 4096, 4096, (128, 1024)
+#: Candidates that phase one looks at.
+SAMPLE = 2048
 #: Score lists: blocks of dimensions.
-LISTS = 2
+LISTS = 8
+#: Share of pairs still open under which only these are carried on.
+SPARSE = 0.2
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -41,80 +53,148 @@ def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def partials(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Partial scores of queries and candidates on each block of dimensions, exact: in doubles where those add up
-    without rounding, else in integers of any size."""
-    top = [max(abs(int(m.min(initial=0))), abs(int(m.max(initial=0)))) for m in (q, c)]
-    kind = np.float64 if top[0] * top[1] * max(1, q.shape[1]) < 1 << 53 else object
-    q, c = q.astype(kind), c.astype(kind)
-    cuts = [x for x in np.array_split(np.arange(q.shape[1]), lists) if len(x)]
-    return [q[:, x] @ c[:, x].T for x in cuts]
-
-
-def held(total) -> np.ndarray:
-    return np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in total], dtype=np.int64)
-
-
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    order = sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))
-    return np.array(order[:k], dtype=int)
-
-
-def cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int) -> pd.DataFrame:
-    """The cell's at most k best entries per query, out of those that its cutoff (if it has one) cannot rule out."""
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+class Lists:
+    """Rows of vectors as exact numbers, cut into score lists, with the norms of every list and of all lists from it on."""
+
+    def __init__(self, rows: np.ndarray, cuts: list[slice]):
+        self.parts = [rows[:, x] for x in cuts]
+        squares = np.array([(p.astype(float) ** 2).sum(axis=1) for p in self.parts])
+        self.norms = np.sqrt(squares)
+        self.rest = np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1])
+
+    def rows(self, at) -> Lists:
+        new = Lists.__new__(Lists)
+        new.parts, new.norms, new.rest = [p[at] for p in self.parts], self.norms[:, at], self.rest[:, at]
+        return new
+
+
+def kind_of(*tables: np.ndarray) -> type:
+    """Doubles where products add up without rounding, else integers of any size."""
+    top = [max(abs(int(m.min(initial=0))), abs(int(m.max(initial=0)))) for m in tables]
+    return np.float64 if top[0] * top[1] * max(1, tables[0].shape[1]) < 1 << 53 else object
+
+
+def cuts_of(width: int, lists: int) -> list[slice]:
+    edges = np.linspace(0, width, min(lists, max(width, 1)) + 1).astype(int)
+    return [slice(a, b) for a, b in zip(edges, edges[1:])]
+
+
+def reaching(q: Lists, c: Lists, cutoff: np.ndarray, tally: Counter | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and exact totals of the pairs whose total reaches the query's cutoff."""
+    m = len(q.parts)
+    shape = len(cutoff), c.parts[0].shape[0]
+    low = cutoff.astype(float)
+    share = low / m
+    total, reached = q.parts[0] @ c.parts[0].T, None
+    pairs = None
+    for k in range(m):
+        if k:
+            if pairs is None:
+                part = q.parts[k] @ c.parts[k].T
+            else:
+                part = np.einsum("ij,ij->i", q.parts[k][pairs[0]], c.parts[k][pairs[1]])
+            total = total + part
+        else:
+            part = total
+        if total.dtype == object or k == m - 1:
+            continue
+        # a total that reaches the cutoff reaches an equal share of it on some list: one seen so far, or one to come
+        if pairs is None:
+            hit = part >= share[:, None]
+            reached = hit if reached is None else reached | hit
+            coming = np.max([q.norms[x][:, None] * c.norms[x] for x in range(k + 1, m)], axis=0)
+            alive = (total + q.rest[k + 1][:, None] * c.rest[k + 1] * (1 + 1e-9) + 1e-3 >= low[:, None]) & (reached | (coming * (1 + 1e-9) + 1e-3 >= share[:, None]))
+            if alive.mean() < SPARSE:
+                pairs = np.nonzero(alive)
+                total, reached = total[pairs], reached[pairs]
+        else:
+            i, j = pairs
+            reached = reached | (part >= share[i])
+            coming = np.max([q.norms[x][i] * c.norms[x][j] for x in range(k + 1, m)], axis=0)
+            alive = (total + q.rest[k + 1][i] * c.rest[k + 1][j] * (1 + 1e-9) + 1e-3 >= low[i]) & (reached | (coming * (1 + 1e-9) + 1e-3 >= share[i]))
+            pairs, total, reached = (i[alive], j[alive]), total[alive], reached[alive]
+    if tally is not None:
+        tally["pairs"] += shape[0] * shape[1]
+        tally["resolved"] += shape[0] * shape[1] if pairs is None else len(total)
+    if pairs is None:
+        i, j = np.indices(shape).reshape(2, -1)
+        total = total.reshape(-1)
+    else:
+        i, j = pairs
+    if total.dtype == object:
+        total = np.array([min(max(int(x), LEAST), MOST) for x in total], dtype=np.int64)
+    else:
+        total = total.astype(np.int64)
+    good = total >= cutoff[i]
+    return i[good], j[good], total[good]
+
+
+def best_of(i: np.ndarray, ids: np.ndarray, totals: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best entries of every i: largest total first, then smallest id."""
+    order = np.lexsort((ids, ~totals, i))  # ~x falls as x grows, without leaving 64 bits
+    heads = np.flatnonzero(np.append(True, i[order][1:] != i[order][:-1])) if len(order) else np.zeros(0, int)
+    rank = np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order))))
+    return order[rank < k]
+
+
+def cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int, tally: Counter | None = None) -> pd.DataFrame:
+    """The at most k best candidates of every query (vec_id, v, cutoff) that reach its cutoff."""
+    out: tuple[list, list, list] = ([], [], [])
     if len(queries) and len(candidates):
         width = max(max(map(len, queries["v"])), max(map(len, candidates["v"])), 1)
-        c, ids = matrix(candidates["v"], width), candidates["vec_id"].to_numpy()
-        for at in range(0, len(queries), 128):
-            part = queries.iloc[at : at + 128]
-            lists_of = partials(matrix(part["v"], width), c, lists)
-            for i, (query, cutoff) in enumerate(zip(part["vec_id"], part["cutoff"])):
-                rows = [p[i] for p in lists_of]
-                if pd.isna(cutoff):  # phase one: the best entries of every list
-                    some = [np.argpartition(-r.astype(float), min(k, len(r) - 1))[: k + 1] for r in rows]
-                    pick = np.unique(np.concatenate(some))
-                else:  # phase two: whatever reaches its share of the cutoff somewhere
-                    reach = rows[0] * len(rows) >= int(cutoff)
-                    for r in rows[1:]:
-                        reach |= r * len(rows) >= int(cutoff)
-                    pick = np.flatnonzero(reach)
-                pick = pick[ids[pick] != query]
-                total = sum(r[pick] for r in rows)  # phase three, where the entry lives
-                if not pd.isna(cutoff):
-                    enough = np.asarray(total >= int(cutoff), dtype=bool)
-                    pick, total = pick[enough], total[enough]
-                if len(pick) > 8 * k:
-                    far = np.partition(-total.astype(float), k)[k]
-                    near = np.asarray(-total.astype(float) <= far, dtype=bool)
-                    pick, total = pick[near], total[near]
-                keep = best(ids[pick], total, k)
-                out["query_id"] += [query] * len(keep)
-                out["vec_id"] += ids[pick][keep].tolist()
-                out["score"] += held(total[keep]).tolist() if len(keep) else []
-    return pd.DataFrame(out)
+        qs, cs = matrix(queries["v"], width), matrix(candidates["v"], width)
+        kind, cuts = kind_of(qs, cs), cuts_of(width, lists)
+        q_all, c_all = Lists(qs.astype(kind), cuts), Lists(cs.astype(kind), cuts)
+        q_ids, c_ids, cutoffs = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy(), queries["cutoff"].to_numpy(np.int64)
+        for at in range(0, len(q_ids), TILE[0]):
+            here = slice(at, at + TILE[0])
+            ids, cut, q = q_ids[here], cutoffs[here].copy(), q_all.rows(slice(at, at + TILE[0]))
+            kept = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for to in range(0, len(c_ids), TILE[1]):
+                i, j, total = reaching(q, c_all.rows(slice(to, to + TILE[1])), cut, tally)
+                found = c_ids[to + j]
+                other = found != ids[i]
+                kept = tuple(np.concatenate([x, y[other]]) for x, y in zip(kept, (i, found, total)))
+                best = best_of(*kept, k)
+                kept = tuple(x[best] for x in kept)
+                full = np.bincount(kept[0], minlength=len(ids)) >= k
+                worst = np.full(len(ids), MOST)
+                np.minimum.at(worst, kept[0], kept[2])
+                cut[full] = np.maximum(cut[full], worst[full])
+            out[0].append(ids[kept[0]]), out[1].append(kept[1]), out[2].append(kept[2])
+    empty = [np.zeros(0, np.int64)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(empty + x) for x in out))))
+
+
+def with_cutoffs(vectors: DataFrame, queries: DataFrame, k: int, lists: int) -> DataFrame:
+    """The queries with the k-th best score that each has in the sample; the least long where the sample has fewer."""
+    rows = vectors.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    sample = vectors.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in rows], [r["v"] for r in rows]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = pd.DataFrame({"vec_id": np.array(sample.value[0], np.int64), "v": sample.value[1]})
+        for pdf in batches:
+            pdf = pdf.assign(cutoff=LEAST)
+            # rows by position: an id with several vectors has a cutoff for each, all of them safe
+            found = cell(pdf, known, k, lists)
+            worst = found.groupby("query_id")["score"].agg(["size", "min"])
+            good = worst[worst["size"] >= k]["min"]
+            yield pdf.assign(cutoff=[int(good.get(i, LEAST)) for i in pdf["vec_id"]])
+
+    return queries.mapInPandas(run, "vec_id long, v array<long>, cutoff long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score. Both tables: vec_id, v (array of long)."""
-    vectors, queries = vectors.distinct(), queries.distinct()
-    vectors, queries = written(vectors, "topk-vectors"), written(queries, "topk-queries")
+    vectors, queries = written(vectors.distinct(), "topk-vectors"), queries.distinct()
+    queries = written(with_cutoffs(vectors, queries, k, lists), "topk-queries")
     n, m = vectors.count(), queries.count()
     rows, cols = max(1, -(-m // QUERIES)), max(1, -(-n // CANDIDATES))
-
-    def dealt(q: DataFrame) -> DataFrame:
-        """The best entries of every cell of (query block, candidate block), by the cutoffs that q has."""
-        left = q.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-        right = vectors.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(cols)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-        return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda a, b: cell(a, b, k, lists), FOUND)
-
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    right = vectors.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(cols)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda a, b: cell(a, b, k, lists), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    first = dealt(queries.withColumn("cutoff", F.lit(None).cast("long")))
-    cutoffs = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select(F.col("query_id").alias("q_"), F.col("score").alias("cutoff"))
-    # a query without k entries has so few candidates that none is ruled out
-    least = F.lit(-(1 << 63)).cast("long")
-    second = written(queries.join(cutoffs, F.col("vec_id") == F.col("q_"), "left").select("vec_id", "v", F.coalesce("cutoff", least).alias("cutoff")), "topk-cutoffs")
-    found = dealt(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
