@@ -26,6 +26,13 @@ def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
+def srocc_by_strata(pairs: DataFrame, strata: list[str]) -> DataFrame:
+    """Spearman correlation inside every value of every stratum, in one pass: a pair counts once per stratum."""
+    each = F.array(*[F.struct(F.lit(s).alias("stratum"), F.col(s).cast("string").alias("value")) for s in strata])
+    rows = pairs.select("a", "b", F.explode(each).alias("s")).select("a", "b", "s.*")
+    return spearman(rows, ["stratum", "value"])
+
+
 def kendall_tau_b(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Kendall's tau-b from the table of counts of value pairs: ratings have five values, so cells are few however many
     rows there are."""

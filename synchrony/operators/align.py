@@ -2,11 +2,13 @@
 
 Tables: keywords (video_id, keyword_id, keyword_text, t_narr, ...), ocr (video_id, frame_time, tok), scenes (video_id,
 scene_id, t_start, t_end, t_keyframe). Token matching happens once per recording on distinct tokens; every case then
-joins that pair table on equal tokens and restricts time, so no keyword meets all frames.
+joins that pair table on equal tokens and a bucket of time, so no keyword meets all frames that show its word.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..sources.shared import settled
 from .timejoin import bucketed_range_join, nearest_frame, nearest_segment, scene_at
 
 CASES = ("A", "B", "C", "E", "G", "F")
-RESULT = ["video_id", "keyword_id", "t_narr", "t_vis", "delta_t", "match_case", "match_method", "alpha", "scene_id", "scene_t_start", "scene_t_end", "confidence"]
+RESULT = ["video_id", "keyword_id", "t_narr", "t_vis", "delta_t", "match_case", "match_method", "alpha", "scene_id", "scene_t_start", "scene_t_end", "confidence", "sub_scene_onset", "gap_since_expired"]
 
 
 def fuzzy_word_match(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -56,9 +58,17 @@ def token_hits(keywords: DataFrame, ocr: DataFrame, threshold: float | None = 0.
     return hits.withColumn("single", F.col("single") & (F.length("tok") >= 3))
 
 
+def multiword_match(keywords: DataFrame, tokens: DataFrame, threshold: float | None = 0.8) -> DataFrame:
+    """video_id, keyword_id, matched: whether every word of the keyword (of two or more letters, if it has several) is among
+    the tokens of its recording."""
+    hits = token_hits(keywords, tokens, threshold)
+    full = hits.groupBy("video_id", "keyword_id").agg((F.count_distinct(F.when(F.col("needed"), F.col("part"))) == F.max("n_needed")).alias("matched"))
+    return keywords.select("video_id", "keyword_id").join(full, ["video_id", "keyword_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+
+
 def frame_matches(hits: DataFrame, ocr: DataFrame, low: Column, high: Column) -> DataFrame:
     """Frames in a time range of each keyword with a full or a partial match. hits may carry more columns."""
-    met = hits.join(ocr, ["video_id", "tok"]).where((F.col("frame_time") >= low) & (F.col("frame_time") <= high))
+    met = bucketed_range_join(hits, ocr, low, high, "frame_time", keys=("video_id", "tok"))
     full = F.count_distinct(F.when(F.col("needed"), F.col("part"))) == F.max("n_needed")
     out = met.groupBy("video_id", "keyword_id", "frame_time").agg(full.alias("full"), F.max("single").alias("partial"))
     return out.where("full or partial")
@@ -66,10 +76,11 @@ def frame_matches(hits: DataFrame, ocr: DataFrame, low: Column, high: Column) ->
 
 def case_a_d(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, hits: DataFrame) -> DataFrame:
     """The keyword stands somewhere in the scene that is on screen when it is said. Full match: all parts in the union of
-    the scene's frames; else any content word. Seen first at the earliest matching frame, else at the scene's start."""
-    k = scene_at(keywords.select("video_id", "keyword_id", "t_narr"), scenes, "t_narr", "keyword_id").where("scene_id is not null")
+    the scene's frames; else any content word. Seen first at the earliest matching frame, else at the scene's start. More
+    than a second into the scene it is case D, and the time is its onset inside the scene."""
+    k = settled(scene_at(keywords.select("video_id", "keyword_id", "t_narr"), scenes, "t_narr", "keyword_id").where("scene_id is not null"), "keyword-scenes")
     h = hits.join(k.drop("t_narr"), ["video_id", "keyword_id"])
-    met = h.join(ocr, ["video_id", "tok"]).where(F.col("frame_time").between(F.col("scene_t_start"), F.col("scene_t_end")))
+    met = bucketed_range_join(h, ocr, "scene_t_start", "scene_t_end", "frame_time", keys=("video_id", "tok"))
     per_frame = met.groupBy("video_id", "keyword_id", "frame_time").agg(
         F.count_distinct(F.when(F.col("needed"), F.col("part"))).alias("n"), F.max("n_needed").alias("n_needed"), F.max("single").alias("single"), F.collect_set(F.when(F.col("needed"), F.col("part"))).alias("parts")
     )
@@ -81,17 +92,18 @@ def case_a_d(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, hits: DataF
     out = k.join(found, ["video_id", "keyword_id"])
     t_vis = F.coalesce("first", "scene_t_start")
     case = F.when(t_vis <= F.col("scene_t_start") + 1, "A").otherwise("D")
-    return _result(out, t_vis, t_vis - F.col("t_narr"), case, F.concat(F.lit("ocr_at_tnarr_"), _quality()), F.when(F.col("full"), 1.0).otherwise(0.8), F.when(F.col("full"), "HIGH").otherwise("MEDIUM"))
+    return _result(out, t_vis, t_vis - F.col("t_narr"), case, F.concat(F.lit("ocr_at_tnarr_"), _quality()), F.when(F.col("full"), 1.0).otherwise(0.8), F.when(F.col("full"), "HIGH").otherwise("MEDIUM"), onset=F.when(case == "D", t_vis))
 
 
 def _quality() -> Column:
     return F.when(F.col("full"), "full").otherwise("partial")
 
 
-def _result(rows: DataFrame, t_vis: Column, delta: Column, case: Column, method: Column, alpha: Column, confidence: Column) -> DataFrame:
+def _result(rows: DataFrame, t_vis: Column, delta: Column, case: Column, method: Column, alpha: Column, confidence: Column, onset: Column | None = None, gap: Column | None = None) -> DataFrame:
+    none = F.lit(None).cast("double")
     return rows.select(
         "video_id", "keyword_id", "t_narr", t_vis.alias("t_vis"), delta.alias("delta_t"), case.alias("match_case"), method.alias("match_method"), alpha.cast("double").alias("alpha"),
-        "scene_id", "scene_t_start", "scene_t_end", confidence.alias("confidence"),
+        "scene_id", "scene_t_start", "scene_t_end", confidence.alias("confidence"), (none if onset is None else onset).alias("sub_scene_onset"), (none if gap is None else gap).alias("gap_since_expired"),
     )
 
 
@@ -102,7 +114,8 @@ def case_b_forward(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, hits:
     frames = frame_matches(hits, ocr, t + 1, t + window)
     first = frames.groupBy("video_id", "keyword_id").agg(F.min(F.struct(~F.col("full"), "frame_time")).alias("f"))
     first = first.select("video_id", "keyword_id", F.col("f.frame_time").alias("seen"), (~F.col("f.col1")).alias("full"))
-    k = scene_at(keywords.select("video_id", "keyword_id", "t_narr").join(first, ["video_id", "keyword_id"]), scenes, "seen", "keyword_id")
+    first = settled(keywords.select("video_id", "keyword_id", "t_narr").join(first, ["video_id", "keyword_id"]), "forward-frames")
+    k = settled(scene_at(first, scenes, "seen", "keyword_id"), "forward-scenes")
     start = nearest_frame(k.select("video_id", "keyword_id", "scene_t_start"), ocr, "scene_t_start", "keyword_id", 1.0).withColumnRenamed("frame_time", "start_frame").drop("scene_t_start")
     at_start = hits.join(start, ["video_id", "keyword_id"]).join(ocr.withColumnRenamed("frame_time", "start_frame"), ["video_id", "tok", "start_frame"])
     whole = at_start.groupBy("video_id", "keyword_id").agg((F.count_distinct(F.when(F.col("needed"), F.col("part"))) == F.max("n_needed")).alias("at_start"))
@@ -112,13 +125,13 @@ def case_b_forward(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, hits:
 
 
 def case_c_backward(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, hits: DataFrame, window: float = 10.0) -> DataFrame:
-    """Shown earlier and gone: the latest earlier frame with a full match, in a scene that ended before the word. The gap
-    counts as the whole window."""
+    """Shown earlier and gone: the latest earlier frame with a full match, in a scene that ended before the word. Seen at
+    that scene's start; the offset counts as the whole window, and the time since the scene's end is returned beside it."""
     t = F.col("t_narr")
     frames = frame_matches(hits, ocr, t - window, t - 1).where("full").join(keywords.select("video_id", "keyword_id", "t_narr"), ["video_id", "keyword_id"]).where(F.col("frame_time") < t - 1)
-    last = frames.groupBy("video_id", "keyword_id", "t_narr").agg(F.max("frame_time").alias("seen"))
+    last = settled(frames.groupBy("video_id", "keyword_id", "t_narr").agg(F.max("frame_time").alias("seen")), "backward-frames")
     out = scene_at(last, scenes, "seen", "keyword_id").where(F.col("scene_t_end") < t)
-    return _result(out, F.col("seen"), F.lit(window), F.lit("C"), F.lit("ocr_backward_expired"), F.lit(0.8), F.lit("MEDIUM"))
+    return _result(out, F.col("scene_t_start"), F.lit(window), F.lit("C"), F.lit("ocr_backward_expired"), F.lit(0.8), F.lit("MEDIUM"), gap=t - F.col("scene_t_end"))
 
 
 def case_e_concept(keywords: DataFrame, concepts: DataFrame, window: float = 10.0, least: float = 75.0, exact_only: bool = False) -> DataFrame:
@@ -156,7 +169,7 @@ def no_match_reason(keywords: DataFrame, ocr: DataFrame, window: float = 10.0) -
     rows = keywords.join(near.withColumn("near_", F.lit(True)), ["video_id", "keyword_id"], "left")
     reason = F.when(F.col("groundability") == "LOW", "low_groundability").when(F.col("t_narr").isNull(), "no_t_narr").when(F.col("near_").isNull(), "no_ocr_nearby").otherwise("ocr_vocabulary_mismatch")
     null = lambda c, t: F.lit(None).cast(t).alias(c)
-    return rows.select("video_id", "keyword_id", "t_narr", null("t_vis", "double"), null("delta_t", "double"), F.lit("F").alias("match_case"), reason.alias("match_method"), F.lit(0.0).alias("alpha"), null("scene_id", "int"), null("scene_t_start", "double"), null("scene_t_end", "double"), F.lit("NONE").alias("confidence"))
+    return rows.select("video_id", "keyword_id", "t_narr", null("t_vis", "double"), null("delta_t", "double"), F.lit("F").alias("match_case"), reason.alias("match_method"), F.lit(0.0).alias("alpha"), null("scene_id", "int"), null("scene_t_start", "double"), null("scene_t_end", "double"), F.lit("NONE").alias("confidence"), null("sub_scene_onset", "double"), null("gap_since_expired", "double"))
 
 
 def cascade(cases: list[DataFrame], keys: tuple[str, ...] = ("video_id", "keyword_id")) -> DataFrame:
@@ -188,14 +201,14 @@ def align_keywords(keywords: DataFrame, ocr: DataFrame, scenes: DataFrame, conce
 def exact_word_match(scene_words: DataFrame, words: DataFrame, window: float = 30.0) -> DataFrame:
     """scene_words: video_id, scene_id, t_vis, tok; words: video_id, tok, t. Per token the nearest spoken one within the
     window, then the median offset and the matched tokens of each scene."""
-    pairs = scene_words.join(words.select("video_id", "tok", "t"), ["video_id", "tok"]).where(F.abs(F.col("t") - F.col("t_vis")) <= window)
+    pairs = bucketed_range_join(scene_words, words.select("video_id", "tok", "t"), F.col("t_vis") - window, F.col("t_vis") + window, "t", window, ("video_id", "tok"))
     near = pairs.groupBy("video_id", "scene_id", "t_vis", "tok").agg(F.min(F.struct(F.abs(F.col("t") - F.col("t_vis")).alias("d"), "t")).alias("n"))
     return near.groupBy("video_id", "scene_id", "t_vis").agg(F.median(F.col("n.t") - F.col("t_vis")).alias("delta_narr_vis"), F.array_join(F.array_sort(F.collect_set("tok")), " ").alias("matched_words"))
 
 
 def first_in_window(scene_words: DataFrame, words: DataFrame, window: float = 60.0) -> DataFrame:
     """Second generation: the earliest spoken word of the scene within the window."""
-    pairs = scene_words.join(words.select("video_id", "tok", "t"), ["video_id", "tok"]).where(F.abs(F.col("t") - F.col("t_vis")) <= window)
+    pairs = bucketed_range_join(scene_words, words.select("video_id", "tok", "t"), F.col("t_vis") - window, F.col("t_vis") + window, "t", window, ("video_id", "tok"))
     best = pairs.groupBy("video_id", "scene_id", "t_vis").agg(F.min(F.struct("t", "tok")).alias("b"))
     return best.select("video_id", "scene_id", "t_vis", (F.col("b.t") - F.col("t_vis")).alias("delta_narr_vis"), F.col("b.tok").alias("matched_words"))
 
@@ -213,15 +226,34 @@ def scene_track_a(scene_words: DataFrame, words: DataFrame, window: float = 30.0
     return out.join(good, ["video_id", "scene_id"], "left_semi")
 
 
-def scene_track_vector(scenes: DataFrame, segments: DataFrame, sigma: float = 15.0, least: float = 0.2, track: str = "vector") -> DataFrame:
+def scene_track_vector(scenes: DataFrame, segments: DataFrame, sigma: float = 15.0, least: float = 0.2, track: str = "vector", windows: DataFrame | None = None) -> DataFrame:
     """scenes: video_id, scene_id, t_vis, embedding; segments: video_id, segment_id, t_mid, embedding. The segment with
-    the best similarity times nearness, accepted by its similarity; the same for image and text vectors."""
+    the best similarity times nearness, accepted by its similarity; the same for image and text vectors. With ``windows``
+    (video_id, segment_id, window_id, t_center, embedding: runs of three words) the most similar run inside the chosen
+    segment gives the time; a segment without runs keeps its middle.
+
+    A similarity of at least ``least`` whose product no far segment can reach is found near the scene: segments within a
+    band of six sigma meet first, by buckets of time. Only scenes whose best product there is no more than what nearness
+    leaves outside the band meet the other segments of their recording."""
     s = segments.select("video_id", "segment_id", "t_mid", F.col("embedding").alias("b_"))
-    pairs = scenes.select("video_id", "scene_id", "t_vis", F.col("embedding").alias("a_")).join(s, "video_id")
-    pairs = pairs.withColumn("sim", S.cosine(F.col("a_"), F.col("b_"))).withColumn("w", F.col("sim") * S.bell(F.col("t_mid") - F.col("t_vis"), sigma))
-    best = pairs.groupBy("video_id", "scene_id", "t_vis").agg(F.max_by(F.struct("segment_id", "t_mid", "sim"), F.struct("w", -F.col("segment_id"))).alias("b"))
-    out = best.select("video_id", "scene_id", "t_vis", "b.*").where(F.col("sim") >= least)
-    return out.select("video_id", "scene_id", "t_vis", "segment_id", (F.col("t_mid") - F.col("t_vis")).alias("delta_narr_vis"), F.lit(track).alias("match_track"), S.alpha_half(F.col("sim"), least, 1.0).alias("alpha"))
+    a = scenes.select("video_id", "scene_id", "t_vis", F.col("embedding").alias("a_"))
+    band = 6 * sigma
+
+    def best_of(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.withColumn("sim", S.cosine(F.col("a_"), F.col("b_"))).withColumn("w", F.col("sim") * S.bell(F.col("t_mid") - F.col("t_vis"), sigma))
+        return pairs.groupBy("video_id", "scene_id", "t_vis").agg(F.max_by(F.struct("segment_id", "t_mid", "sim", "w"), F.struct("w", -F.col("segment_id"))).alias("b"))
+
+    near = settled(best_of(bucketed_range_join(a, s, F.col("t_vis") - band, F.col("t_vis") + band, "t_mid", sigma)), "vector-near")
+    sure = near.where(F.col("b.w") > math.exp(-0.5 * 6**2))
+    far = best_of(a.join(sure, ["video_id", "scene_id"], "left_anti").join(s, "video_id"))
+    out = sure.unionByName(far).select("video_id", "scene_id", "t_vis", "b.*").where(F.col("sim") >= least)
+    t = F.col("t_mid")
+    if windows is not None:
+        w = windows.select("video_id", "segment_id", "window_id", "t_center", F.col("embedding").alias("c_"))
+        inside = out.select("video_id", "scene_id", "segment_id").join(a.drop("t_vis"), ["video_id", "scene_id"]).join(w, ["video_id", "segment_id"])
+        run = inside.groupBy("video_id", "scene_id").agg(F.max_by("t_center", F.struct(S.cosine(F.col("a_"), F.col("c_")), -F.col("window_id"))).alias("t_run"))
+        out, t = out.join(run, ["video_id", "scene_id"], "left"), F.coalesce("t_run", "t_mid")
+    return out.select("video_id", "scene_id", "t_vis", "segment_id", (t - F.col("t_vis")).alias("delta_narr_vis"), F.lit(track).alias("match_track"), S.alpha_half(F.col("sim"), least, 1.0).alias("alpha"))
 
 
 def scene_cascade(scenes: DataFrame, tracks: list[DataFrame]) -> DataFrame:
@@ -244,7 +276,7 @@ def keyword_grounding(keywords: DataFrame, hits: DataFrame, ocr: DataFrame, dete
     video_id, keyword_id, t, yes."""
     able = keywords.where(F.col("groundability") != "LOW").select("video_id", "keyword_id", "t_narr")
     t = F.col("t_narr")
-    met = hits.join(ocr, ["video_id", "tok"]).where(F.abs(F.col("frame_time") - t) <= 60)
+    met = bucketed_range_join(hits, ocr, t - 60, t + 60, "frame_time", 60.0, ("video_id", "tok"))
     text = met.groupBy("video_id", "keyword_id").agg(F.min(F.struct(F.abs(F.col("frame_time") - t).alias("d"), "frame_time")).alias("b")).select("video_id", "keyword_id", F.col("b.frame_time").alias("t_vis"), F.lit("text").alias("method"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank_"))
 
     def strongest(table: DataFrame, name: str, rank: int, least: float, weight: float) -> DataFrame:

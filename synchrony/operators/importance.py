@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from ..sources.shared import settled
 from .agreement import average_rank
 from .text import discourse_signal_score, instructional_verb_score
 
@@ -108,9 +109,9 @@ def rated_by_config(features: DataFrame, configs: list[tuple]) -> DataFrame:
 def sensitivity_sweep(features: DataFrame, configs: list[tuple]) -> DataFrame:
     """Per recording and setting: mean and deviation of the score, mean rating, rank correlation with the first setting,
     share of equal ratings and the largest change."""
-    rows = rated_by_config(features, configs)
-    base = rows.where(F.col("config") == configs[0][0]).select("video_id", "segment_id", F.col("importance").alias("base"))
-    both = rows.join(base, ["video_id", "segment_id"])
+    rows = rated_by_config(settled(features, "importance-features"), configs)
+    first = F.max(F.when(F.col("config") == configs[0][0], F.col("importance")))
+    both = rows.withColumn("base", first.over(Window.partitionBy("video_id", "segment_id")))
     ranked = average_rank(average_rank(both, "importance", ["video_id", "config"], "ra"), "base", ["video_id", "config"], "rb")
     return ranked.groupBy("video_id", "config").agg(
         F.avg("score").alias("mean_score"),
@@ -124,7 +125,7 @@ def sensitivity_sweep(features: DataFrame, configs: list[tuple]) -> DataFrame:
 
 def scoring_sensitivity(scored: DataFrame, features: DataFrame, configs: list[tuple]) -> DataFrame:
     """Overall score of each recording under each setting's ratings, and its change against the first."""
-    rated = rated_by_config(features, configs).select("video_id", "segment_id", "config", "importance")
+    rated = rated_by_config(settled(features, "importance-features"), configs).select("video_id", "segment_id", "config", "importance")
     w = S.weight(F.col("importance"), F.lit("heuristic"))
     hits = scored.where("match_case <> 'F'").select("video_id", "segment_id", "S_temporal", "alpha")
     rows = hits.join(rated, ["video_id", "segment_id"]).withColumn("w_", F.col("alpha") * w)

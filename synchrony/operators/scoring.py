@@ -319,3 +319,20 @@ def segment_alignment(segments: DataFrame, align: DataFrame) -> DataFrame:
     )
     out = segments.select("video_id", "segment_id").join(agg, ["video_id", "segment_id"], "left")
     return out.fillna(0, ["n_keywords", "match_rate", *[f"n_case_{c}" for c in "ABCDEFG"]])
+
+
+def comparison_scoreboard(rows: DataFrame) -> DataFrame:
+    """One wide row per recording, for comparing recordings: overall score, coverage, share of case A and of late visuals,
+    share of unmatched keywords that were shown in other words, median lead and share of segments with a match."""
+    late, n = F.count_if(F.col("match_case").isin("B", "C")), count_matched()
+    share = lambda part, whole: 100 * part / F.greatest(whole, F.lit(1))
+    base = rows.groupBy("video_id").agg(
+        weighted_mean("S_temporal", combined_weight()).alias("overall_score"),
+        share(n, F.count_if(F.col("groundability") != "LOW")).alias("coverage_pct"),
+        share(F.count_if(F.col("match_case") == "A"), n).alias("case_a_pct"),
+        share(late, n).alias("late_pct"),
+        share(F.count_if(F.col("match_method") == "ocr_vocabulary_mismatch"), F.count_if(F.col("match_case") == "F")).alias("mismatch_pct"),
+        F.median(F.when(F.col("match_case").isin("A", "D"), -F.col("delta_t"))).alias("median_lead"),
+    )
+    met = rows.groupBy("video_id", "segment_id").agg(F.max(is_matched()).alias("met")).groupBy("video_id").agg((100 * F.avg(F.col("met").cast("double"))).alias("segment_pct"))
+    return base.join(met, "video_id")

@@ -186,19 +186,20 @@ def merge_keywords(keywords: DataFrame, least: int = 3) -> DataFrame:
 
 def assign_t_narr(keywords: DataFrame, words: DataFrame, segments: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Time of each keyword: a word of its segment equal to its first word, else equal when normalised (3 or more
-    characters), else one that holds the other (4 or more), else the segment's middle. The earliest word wins."""
+    characters), else one that holds the other (4 or more), else the segment's middle. The earliest word wins and lends its
+    timestamp_reliable; words without that column, and middles, count as reliable."""
     k = keywords.join(segments.select("video_id", "segment_id", "start_time", "end_time"), ["video_id", "segment_id"])
     first = F.split(F.lower(F.trim("keyword_text")), r"\s+")[0]
-    w = words.where("start_time is not null").select("video_id", "word_id", F.lower("word").alias("w_"), F.col("start_time").alias("t"), *(["timestamp_reliable"] if "timestamp_reliable" in words.columns else []))
+    w = words.where("start_time is not null").select("video_id", "word_id", F.lower("word").alias("w_"), F.col("start_time").alias("t"), (F.col("timestamp_reliable") if "timestamp_reliable" in words.columns else F.lit(True)).alias("timestamp_reliable"))
     spans = segments.select("video_id", "segment_id", "start_time", "end_time")
     met = words_in_interval(w, spans, tolerance).drop("start_time", "end_time")
     pairs = k.select("video_id", "segment_id", "keyword_id", first.alias("f_")).join(met, ["video_id", "segment_id"])
     a, b = normalize_word(F.col("f_")), normalize_word(F.col("w_"))
     step = F.when(F.col("w_") == F.col("f_"), 1).when((a == b) & (F.length(a) >= 3), 2).when((F.length(a) >= 4) & (F.contains(a, b) | F.contains(b, a)), 3)
-    best = pairs.withColumn("step", step).where("step is not null").groupBy("video_id", "keyword_id").agg(F.min(F.struct("step", "word_id", "t")).alias("m"))
+    best = pairs.withColumn("step", step).where("step is not null").groupBy("video_id", "keyword_id").agg(F.min(F.struct("step", "word_id", "t", "timestamp_reliable")).alias("m"))
     out = k.join(best, ["video_id", "keyword_id"], "left")
     method = F.when(F.col("m.step") == 1, "exact").when(F.col("m.step") == 2, "normalized").when(F.col("m.step") == 3, "substring").otherwise("segment_midpoint")
-    return out.select(*keywords.columns, F.coalesce("m.t", (F.col("start_time") + F.col("end_time")) / 2).alias("t_narr_found"), method.alias("t_narr_method"))
+    return out.select(*keywords.columns, F.coalesce("m.t", (F.col("start_time") + F.col("end_time")) / 2).alias("t_narr_found"), method.alias("t_narr_method"), F.coalesce("m.timestamp_reliable", F.lit(True)).alias("t_narr_reliable"))
 
 
 def attach_frequency(keywords: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@ time, so no nested loop is planned and one long recording is spread over its buc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def bucket_of(t: Column, width: float) -> Column:
     return F.floor(t / width).cast("long")
@@ -36,16 +38,34 @@ def frames_in_scene(scenes: DataFrame, frames: DataFrame, width: float = 8.0) ->
 
 
 def scene_at(points: DataFrame, scenes: DataFrame, point: str, id_column: str, width: float = 8.0) -> DataFrame:
-    """The scene of each point: the first that contains it, else the one with the nearest midpoint. Points inside some
-    scene are settled by the bucketed join; only the rest meets all scenes of its recording."""
+    """The scene of each point: the first that contains it, else the one with the nearest midpoint (of equal ones the
+    first). Points inside some scene are found by a bucketed join; the rest meets the two midpoints next to it only."""
     s = scenes.select("video_id", "scene_id", F.col("t_start").alias("scene_t_start"), F.col("t_end").alias("scene_t_end"))
-    p = points.where(F.col(point).isNotNull())
-    inside = bucketed_range_join(s, p.select("video_id", id_column, point), "scene_t_start", "scene_t_end", point, width)
-    found = inside.groupBy("video_id", id_column).agg(F.min(F.struct("scene_id", "scene_t_start", "scene_t_end")).alias("s"))
-    outside = p.select("video_id", id_column, point).join(found.select("video_id", id_column), ["video_id", id_column], "left_anti")
-    gap = F.abs((F.col("scene_t_start") + F.col("scene_t_end")) / 2 - F.col(point))
-    near = outside.join(s, "video_id").groupBy("video_id", id_column).agg(F.min_by(F.struct("scene_id", "scene_t_start", "scene_t_end"), F.struct(gap, "scene_id")).alias("s"))
-    return points.join(found.unionByName(near), ["video_id", id_column], "left").select(*points.columns, "s.*")
+    spans = s.withColumn("bucket_", F.explode(buckets(F.col("scene_t_start"), F.col("scene_t_end"), width)))
+    p = points.where(F.col(point).isNotNull()).select("video_id", id_column, F.col(point).cast("double").alias("t_"))
+    met = p.withColumn("bucket_", bucket_of(F.col("t_"), width)).join(spans, ["video_id", "bucket_"], "left")
+    here = F.when(F.col("t_").between(F.col("scene_t_start"), F.col("scene_t_end")), F.struct("scene_id", "scene_t_start", "scene_t_end"))
+    found = settled(met.groupBy("video_id", id_column, "t_").agg(F.min(here).alias("s")), "points-in-scenes")
+    mids = s.select("video_id", ((F.col("scene_t_start") + F.col("scene_t_end")) / 2).alias("t_"), F.struct("scene_id", "scene_t_start", "scene_t_end").alias("s"))
+    near = nearest_middle(found.where("s is null").drop("s"), mids, id_column)
+    both = found.where("s is not null").select("video_id", id_column, "s").unionByName(near.select("video_id", id_column, "s"))
+    return points.join(both, ["video_id", id_column], "left").select(*points.columns, "s.*")
+
+
+def nearest_middle(points: DataFrame, spans: DataFrame, id_column: str) -> DataFrame:
+    """points: video_id, id, t_; spans: video_id, t_ (middle), s -> video_id, id, s of the nearest middle, the smaller s on
+    a tie. The two neighbours in time order are found by an as-of window over the union, so no point meets all spans;
+    a recording is one partition of that window, which Spark sorts on disk."""
+    one = spans.where("t_ is not null").groupBy("video_id", "t_").agg(F.min("s").alias("s"))
+    a = points.select("video_id", F.col(id_column).alias("pid_"), "t_", F.lit(None).cast(one.select(F.struct("t_", "s")).schema[0].dataType).alias("m_"))
+    b = one.select("video_id", F.lit(None).cast(points.schema[id_column].dataType).alias("pid_"), "t_", F.struct("t_", "s").alias("m_"))
+    w = Window.partitionBy("video_id").orderBy("t_", F.col("pid_").isNotNull())
+    u = a.unionByName(b)
+    u = u.withColumn("prev_", F.last("m_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    u = u.withColumn("next_", F.first("m_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("pid_ is not null")
+    gap = lambda c: F.abs(F.col(f"{c}.t_") - F.col("t_"))
+    take_prev = F.col("next_").isNull() | (F.col("prev_").isNotNull() & ((gap("prev_") < gap("next_")) | ((gap("prev_") == gap("next_")) & (F.col("prev_.s") < F.col("next_.s")))))
+    return u.select("video_id", F.col("pid_").alias(id_column), F.when(take_prev, F.col("prev_.s")).otherwise(F.col("next_.s")).alias("s")).where("s is not null")
 
 
 def nearest_frame(points: DataFrame, frames: DataFrame, point: str, id_column: str, tolerance: float) -> DataFrame:
@@ -56,21 +76,10 @@ def nearest_frame(points: DataFrame, frames: DataFrame, point: str, id_column: s
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, point: str, id_column: str) -> DataFrame:
-    """The segment with the nearest middle: the two neighbours in time order are found by an as-of window over the union,
-    so no point meets all segments."""
-    from pyspark.sql import Window
-
-    a = points.select("video_id", F.col(id_column).cast("long").alias("pid_"), F.col(point).alias("t_"), F.lit(None).cast("struct<t:double,id:bigint>").alias("m_"))
-    mid = ((F.col("start_time") + F.col("end_time")) / 2).alias("t_")
-    b = segments.where("start_time is not null and end_time is not null").select("video_id", F.lit(None).cast("long").alias("pid_"), mid, F.col("segment_id").cast("long").alias("sid_"))
-    b = b.groupBy("video_id", "pid_", "t_").agg(F.min("sid_").alias("sid_")).select("video_id", "pid_", "t_", F.struct(F.col("t_").alias("t"), F.col("sid_").alias("id")).alias("m_"))
-    w = Window.partitionBy("video_id").orderBy("t_", F.col("pid_").isNotNull())
-    u = a.unionByName(b)
-    u = u.withColumn("prev_", F.last("m_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("next_", F.first("m_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("pid_ is not null")
-    gap = lambda c: F.abs(F.col(f"{c}.t") - F.col("t_"))
-    take_prev = F.col("next_").isNull() | (F.col("prev_").isNotNull() & ((gap("prev_") < gap("next_")) | ((gap("prev_") == gap("next_")) & (F.col("prev_.id") < F.col("next_.id")))))
-    near = u.select("video_id", F.col("pid_").alias(id_column), F.when(take_prev, F.col("prev_.id")).otherwise(F.col("next_.id")).alias("segment_id"))
+    """The segment with the nearest middle, the smaller segment_id on a tie."""
+    p = points.where(F.col(point).isNotNull()).select("video_id", id_column, F.col(point).cast("double").alias("t_"))
+    middles = segments.select("video_id", ((F.col("start_time") + F.col("end_time")) / 2).alias("t_"), F.col("segment_id").cast("long").alias("s"))
+    near = nearest_middle(p, middles, id_column).select("video_id", id_column, F.col("s").alias("segment_id"))
     return points.join(near, ["video_id", id_column], "left")
 
 

@@ -9,6 +9,7 @@ from ..operators import importance as I
 from ..operators import scoring as O
 from ..operators import study as E
 from ..operators import text as T
+from ..sources.shared import settled
 from .q_scoring import OVERALL, SCORED, kw, wm
 from .registry import register
 
@@ -48,11 +49,11 @@ SOME_TIERS = "NOT (tier='t1' AND video_id IN ('v1','v2')) AND NOT (tier='t2' AND
 register("i5_tier_fallback", f"WITH r AS (SELECT *, CASE tier WHEN 't1' THEN 0 WHEN 't2' THEN 1 ELSE 2 END AS k FROM fx_tiers WHERE {SOME_TIERS}), m AS (SELECT *, min(k) OVER (PARTITION BY video_id) AS b FROM r) SELECT video_id, segment_id, tier, importance FROM m WHERE k=b")(
     lambda s: I.tier_fallback(s("fx_tiers").where(SOME_TIERS), ["t1", "t2", "t3"])
 )
-register("i6_weight_settings", f"WITH n AS (SELECT count(*) AS n FROM fx_segments), c AS ({settings_sql(PERT + ABL)}) SELECT config, w0+w1+w2+w3+w4+w5 AS total, n AS n_segments FROM c, n", "total")(
-    lambda s: (lambda f: f.groupBy("config").agg(F.max("total").alias("total"), F.count(F.lit(1)).alias("n_segments")))(
-        s("fx_segments").select(F.explode(F.array(*[F.struct(F.lit(r[0]).alias("config"), F.lit(float(sum(r[1:]))).alias("total")) for r in PERT + ABL])).alias("c")).select("c.*")
-    )
-)
+register(
+    "i6_weight_settings",
+    f"WITH {swept(PERT)}, a AS (SELECT video_id, segment_id, config, score, importance FROM im), q AS (SELECT config, avg(score) AS mean_score, avg(importance) AS mean_importance, count(*) FILTER (importance = 5) AS n_top, count(*) AS n FROM a GROUP BY 1) SELECT * FROM q",
+    "mean_score mean_importance",
+)(lambda s: I.rated_by_config(settled(features(s), "importance-features"), PERT).groupBy("config").agg(F.avg("score").alias("mean_score"), F.avg("importance").alias("mean_importance"), F.count_if(F.col("importance") == 5).alias("n_top"), F.count(F.lit(1)).alias("n")))
 SWEEP = "b AS (SELECT video_id, segment_id, importance AS base FROM im WHERE config='{first}'), bo AS (SELECT im.*, base FROM im JOIN b USING (video_id, segment_id)), rk AS (SELECT *, " + rank_sql("importance", "video_id, config") + " AS ra, " + rank_sql("base", "video_id, config") + " AS rb FROM bo), sw AS (SELECT video_id, config, avg(score) AS mean_score, stddev_samp(score) AS std_score, avg(importance) AS mean_importance, CASE WHEN count(*) > 2 THEN corr(ra, rb) ELSE 1e0 END AS rank_corr, 100*avg(CASE WHEN importance=base THEN 1e0 ELSE 0e0 END) AS pct_same, max(abs(importance-base)) AS max_change FROM rk GROUP BY 1, 2)"
 register("i7_sensitivity_sweep", f"WITH {swept(PERT)}, {SWEEP.format(first='baseline')} SELECT * FROM sw", "mean_score std_score mean_importance rank_corr pct_same")(lambda s: I.sensitivity_sweep(features(s), PERT))
 register("i7_ablation_sweep", f"WITH {swept(ABL)}, {SWEEP.format(first='full')} SELECT * FROM sw", "mean_score std_score mean_importance rank_corr pct_same")(lambda s: I.sensitivity_sweep(features(s), ABL))
@@ -110,15 +111,7 @@ register("i18_version_compare", OVERALL + f", pw AS (SELECT video_id, overall_sc
 
 
 def scoreboard(s):
-    """One wide row per recording, from three roll-ups of one scored table."""
-    rows = kw(s)
-    late, n = F.count_if(F.col("match_case").isin("B", "C")), O.count_matched()
-    base = rows.groupBy("video_id").agg(
-        O.weighted_mean("S_temporal", O.combined_weight()).alias("overall_score"), (100 * n / F.greatest(F.count_if(F.col("groundability") != "LOW"), F.lit(1))).alias("coverage_pct"), (100 * F.count_if(F.col("match_case") == "A") / F.greatest(n, F.lit(1))).alias("case_a_pct"),
-        (100 * late / F.greatest(n, F.lit(1))).alias("late_pct"), (100 * F.count_if(F.col("match_method") == "ocr_vocabulary_mismatch") / F.greatest(F.count_if(F.col("match_case") == "F"), F.lit(1))).alias("mismatch_pct"), F.median(F.when(F.col("match_case").isin("A", "D"), -F.col("delta_t"))).alias("median_lead"),
-    )
-    segs = O.segment_level(O.score_segments(rows)).select("video_id", (100 * F.col("n_with_matches") / F.col("n_total")).alias("segment_pct"))
-    return base.join(segs, "video_id")
+    return O.comparison_scoreboard(kw(s))
 
 
 BOARD = SCORED + f", bd AS (SELECT video_id, {wm('S_temporal', 'alpha*importance_weight')} AS overall_score, 100*count(*) FILTER (m)/greatest(count(*) FILTER (groundability<>'LOW'), 1) AS coverage_pct, 100*count(*) FILTER (match_case='A')/greatest(count(*) FILTER (m), 1) AS case_a_pct, 100*count(*) FILTER (match_case IN ('B','C'))/greatest(count(*) FILTER (m), 1) AS late_pct, 100*count(*) FILTER (match_method='ocr_vocabulary_mismatch')/greatest(count(*) FILTER (match_case='F'), 1) AS mismatch_pct, median(-delta_t) FILTER (match_case IN ('A','D')) AS median_lead FROM k GROUP BY 1), sl AS (SELECT video_id, 100*count(*) FILTER (x)/count(*) AS segment_pct FROM (SELECT video_id, segment_id, bool_or(m) AS x FROM k GROUP BY 1, 2) GROUP BY 1), sb AS (SELECT bd.*, segment_pct FROM bd JOIN sl USING (video_id))"
@@ -184,6 +177,21 @@ def rater_pairs(s):
     return a.join(b, "item").where("r1 < r2").withColumn("fold", F.substring("item", 2, 9).cast("int") % 4)
 
 
+#: The strata of the study: fold, recording and how sure the raters were.
+STRATA = ["fold", "video", "confidence"]
+SURE = "CASE (CAST(substring(x.item, 2) AS BIGINT) + CAST(substring(x.rater, 2) AS BIGINT)) % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'very_high' END"
+STRATIFIED = f"pq AS (SELECT x.item, x.rating AS a, y.rating AS b, CAST(CAST(substring(x.item, 2) AS BIGINT) % 4 AS VARCHAR) AS fold, CAST(CAST(substring(x.item, 2) AS BIGINT) % 10 AS VARCHAR) AS video, {SURE} AS confidence FROM fx_ratings x JOIN fx_ratings y ON x.item=y.item AND x.rater<y.rater), st AS (SELECT 'fold' AS stratum, fold AS value, a, b FROM pq UNION ALL SELECT 'video', video, a, b FROM pq UNION ALL SELECT 'confidence', confidence, a, b FROM pq), sr AS (SELECT *, {rank_sql('a', 'stratum, value')} AS ra, {rank_sql('b', 'stratum, value')} AS rb FROM st)"
+
+
+def strata_pairs(s):
+    r = s("fx_ratings")
+    n = F.substring("item", 2, 19).cast("long")
+    sure = F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "very_high"])), ((n + F.substring("r1", 2, 19).cast("long")) % 4 + 1).cast("int"))
+    a, b = r.select("item", F.col("rater").alias("r1"), F.col("rating").alias("a")), r.select("item", F.col("rater").alias("r2"), F.col("rating").alias("b"))
+    return a.join(b, "item").where("r1 < r2").select("a", "b", (n % 4).cast("string").alias("fold"), (n % 10).cast("string").alias("video"), sure.alias("confidence"))
+
+
+register("e8_srocc_by_strata", f"WITH {STRATIFIED} SELECT stratum, value, corr(ra, rb) AS spearman, count(*) AS n FROM sr GROUP BY 1, 2", "spearman")(lambda s: G.srocc_by_strata(strata_pairs(s), STRATA))
 register("e8_srocc_by_fold", f"WITH {SRO} SELECT fold, corr(ra, rb) AS spearman, count(*) AS n FROM rr GROUP BY 1", "spearman")(lambda s: G.spearman(rater_pairs(s), ["fold"]))
 register("e9_curation_robustness", "WITH r AS (SELECT *, CAST(substring(item, 2) AS INT) % 6 = 0 AS x FROM fx_ratings) SELECT avg(rating) AS mean_all, avg(rating) FILTER (NOT x) AS mean_kept, avg(rating) FILTER (x) AS mean_excluded, count(*) FILTER (x) AS n_excluded FROM r", "mean_all mean_kept mean_excluded")(
     lambda s: G.curation_robustness(s("fx_ratings"), s("fx_ratings").where(F.substring("item", 2, 9).cast("int") % 6 == 0))

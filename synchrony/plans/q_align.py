@@ -12,23 +12,23 @@ from .registry import register
 KW = "(SELECT *, 'HIGH' AS groundability FROM fx_keywords WHERE keyword_id % 5 <> 0 UNION ALL SELECT *, 'LOW' AS groundability FROM fx_keywords WHERE keyword_id % 5 = 0)"
 
 
-def keywords(s):
-    return s("fx_keywords").withColumn("groundability", F.when(F.col("keyword_id") % 5 == 0, "LOW").otherwise("HIGH"))
+def keywords(s, view="fx_keywords"):
+    return s(view).withColumn("groundability", F.when(F.col("keyword_id") % 5 == 0, "LOW").otherwise("HIGH"))
 
 
-def able(s):
-    return keywords(s).where("groundability <> 'LOW'")
+def able(s, view="fx_keywords"):
+    return keywords(s, view).where("groundability <> 'LOW'")
 
 
-def tables(s):
+def tables(s, view="fx_keywords"):
     """The tables of the cascade, derived once: its cases read them many times."""
-    return [settled(df, "cascade") for df in (keywords(s), s("fx_ocr"), s("fx_scenes"))]
+    return [settled(df, "cascade") for df in (keywords(s, view), s("fx_ocr"), s("fx_scenes"))]
 
 
-def parts(s):
-    ocr = s("fx_ocr")
-    k = able(s)
-    return k, ocr, s("fx_scenes"), A.token_hits(k, ocr, None)
+def parts(s, view="fx_keywords", threshold=None):
+    """Keywords, shown tokens, scenes and token hits, each written once: a case reads them several times."""
+    k, ocr, scenes = (settled(df, "cascade") for df in (able(s, view), s("fx_ocr"), s("fx_scenes")))
+    return k, ocr, scenes, settled(A.token_hits(k, ocr, threshold), "token-hits")
 
 
 #: One-word keywords and exact tokens: the cases in SQL.
@@ -41,7 +41,7 @@ fr AS (SELECT DISTINCT video_id, frame_time FROM fx_ocr),
 bn AS (SELECT * FROM (SELECT bs.*, f.frame_time AS sf, row_number() OVER (PARTITION BY bs.video_id, bs.keyword_id ORDER BY abs(f.frame_time-bs.t_start), f.frame_time) AS r2 FROM bs LEFT JOIN fr f ON f.video_id=bs.video_id AND f.frame_time BETWEEN bs.t_start-1 AND bs.t_start+1) WHERE r2 = 1),
 b AS (SELECT bn.video_id, bn.keyword_id, bn.t_narr, CASE WHEN EXISTS (SELECT 1 FROM fx_ocr o WHERE o.video_id=bn.video_id AND o.frame_time=bn.sf AND o.tok=bn.keyword_text) THEN t_start ELSE seen END AS t_vis, scene_id, t_start, t_end FROM bn),
 cf AS (SELECT k.video_id, k.keyword_id, k.t_narr, max(o.frame_time) AS seen FROM k JOIN fx_ocr o ON o.video_id=k.video_id AND o.tok=k.keyword_text AND o.frame_time >= k.t_narr-10 AND o.frame_time < k.t_narr-1 GROUP BY ALL),
-c AS (SELECT video_id, keyword_id, t_narr, seen AS t_vis, scene_id, t_start, t_end FROM (SELECT cf.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY cf.video_id, cf.keyword_id ORDER BY CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-seen) END, s.scene_id) AS rn FROM cf JOIN sc s USING (video_id)) WHERE rn = 1 AND t_end < t_narr),
+c AS (SELECT video_id, keyword_id, t_narr, t_start AS t_vis, scene_id, t_start, t_end FROM (SELECT cf.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY cf.video_id, cf.keyword_id ORDER BY CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-seen) END, s.scene_id) AS rn FROM cf JOIN sc s USING (video_id)) WHERE rn = 1 AND t_end < t_narr),
 e AS (SELECT video_id, keyword_id, t_narr, arg_min(t_start, scene_id) AS t_vis, min(scene_id) AS scene_id, arg_min(t_start, scene_id) AS t_start, arg_min(t_end, scene_id) AS t_end FROM (SELECT k.video_id, k.keyword_id, k.t_narr, x.scene_id, x.t_start, x.t_end FROM k JOIN fx_concepts x ON x.video_id=k.video_id AND x.t_keyframe BETWEEN k.t_narr-10 AND k.t_narr+10 AND (contains(x.concept, k.keyword_text) OR contains(k.keyword_text, x.concept))) GROUP BY 1, 2, 3) """
 COLS = ["video_id", "keyword_id", "t_vis", "delta_t", "match_case", "alpha", "scene_id"]
 
@@ -78,6 +78,85 @@ register(
 register("j8_fuzzy_word_match", f"WITH {PAIRS} SELECT video_id, part, tok, ratio FROM sm", "ratio")(lambda s: A.fuzzy_word_match(A.keyword_parts(able(s)), s("fx_ocr")))
 
 
+#: The cases for keywords of two words: all words on one frame (or in the scene) match fully, one of four letters partly.
+PW = KW.replace("fx_keywords", "fx_phrases")
+PHRASES = f"""WITH k AS (SELECT * FROM {PW} x WHERE groundability <> 'LOW'), sc AS (SELECT * FROM fx_scenes),
+pt AS (SELECT video_id, keyword_id, t_narr, unnest(list_distinct(string_split(keyword_text, ' '))) AS part FROM k),
+nn AS (SELECT video_id, keyword_id, count(*) AS n_needed FROM pt GROUP BY 1, 2),
+cur AS (SELECT * FROM (SELECT k.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY k.video_id, k.keyword_id ORDER BY CASE WHEN k.t_narr BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN k.t_narr BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-k.t_narr) END, s.scene_id) AS rn FROM k JOIN sc s USING (video_id)) WHERE rn = 1),
+am AS (SELECT pt.video_id, pt.keyword_id, o.frame_time, list(DISTINCT part) AS ps, bool_or(length(part) >= 4) AS single FROM pt JOIN cur USING (video_id, keyword_id) JOIN fx_ocr o ON o.video_id=pt.video_id AND o.tok=pt.part AND o.frame_time BETWEEN cur.t_start AND cur.t_end GROUP BY 1, 2, 3),
+an AS (SELECT video_id, keyword_id, n_needed, min(frame_time) FILTER (len(ps) = n_needed OR single) AS first, len(list_distinct(flatten(list(ps)))) AS n_union, bool_or(single) AS loose FROM am JOIN nn USING (video_id, keyword_id) GROUP BY 1, 2, 3),
+a AS (SELECT cur.video_id, cur.keyword_id, cur.t_narr, cur.scene_id, t_start, t_end, n_union = n_needed AS whole, coalesce(first, t_start) AS t_vis FROM an JOIN cur USING (video_id, keyword_id) WHERE n_union = n_needed OR loose),
+fm AS (SELECT pt.video_id, pt.keyword_id, pt.t_narr, o.frame_time, count(DISTINCT part) = n_needed AS whole, bool_or(length(part) >= 4) AS loose FROM pt JOIN nn USING (video_id, keyword_id) JOIN fx_ocr o ON o.video_id=pt.video_id AND o.tok=pt.part AND o.frame_time BETWEEN pt.t_narr-10 AND pt.t_narr+10 GROUP BY 1, 2, 3, 4, n_needed),
+bf AS (SELECT video_id, keyword_id, t_narr, coalesce(min(frame_time) FILTER (whole), min(frame_time) FILTER (loose)) AS seen, bool_or(whole) AS whole FROM fm WHERE (whole OR loose) AND frame_time >= t_narr+1 GROUP BY 1, 2, 3),
+bs AS (SELECT * FROM (SELECT bf.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY bf.video_id, bf.keyword_id ORDER BY CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-seen) END, s.scene_id) AS rn FROM bf JOIN sc s USING (video_id)) WHERE rn = 1),
+fr AS (SELECT DISTINCT video_id, frame_time FROM fx_ocr),
+bn AS (SELECT * FROM (SELECT bs.*, f.frame_time AS sf, row_number() OVER (PARTITION BY bs.video_id, bs.keyword_id ORDER BY abs(f.frame_time-bs.t_start), f.frame_time) AS r2 FROM bs LEFT JOIN fr f ON f.video_id=bs.video_id AND f.frame_time BETWEEN bs.t_start-1 AND bs.t_start+1) WHERE r2 = 1),
+bw AS (SELECT bn.video_id, bn.keyword_id, count(DISTINCT pt.part) AS n FROM bn JOIN pt USING (video_id, keyword_id) JOIN fx_ocr o ON o.video_id=bn.video_id AND o.frame_time=bn.sf AND o.tok=pt.part GROUP BY 1, 2),
+b AS (SELECT bn.video_id, bn.keyword_id, bn.t_narr, bn.whole, CASE WHEN bw.n = nn.n_needed THEN t_start ELSE seen END AS t_vis, scene_id, t_start, t_end FROM bn JOIN nn USING (video_id, keyword_id) LEFT JOIN bw USING (video_id, keyword_id)),
+cf AS (SELECT video_id, keyword_id, t_narr, max(frame_time) AS seen FROM fm WHERE whole AND frame_time < t_narr-1 GROUP BY 1, 2, 3),
+c AS (SELECT video_id, keyword_id, t_narr, t_start AS t_vis, scene_id, t_start, t_end FROM (SELECT cf.*, s.scene_id, s.t_start, s.t_end, row_number() OVER (PARTITION BY cf.video_id, cf.keyword_id ORDER BY CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE 1 END, CASE WHEN seen BETWEEN s.t_start AND s.t_end THEN 0 ELSE abs((s.t_start+s.t_end)/2-seen) END, s.scene_id) AS rn FROM cf JOIN sc s USING (video_id)) WHERE rn = 1 AND t_end < t_narr) """
+MORE = [*COLS, "match_method", "confidence", "sub_scene_onset", "gap_since_expired"]
+ROUNDED = "t_vis delta_t alpha sub_scene_onset gap_since_expired"
+
+
+def phrase_case(t: str, case: str, method: str, delta: str = "t_vis - t_narr", alpha: str = "CASE WHEN whole THEN 1e0 ELSE 0.8e0 END", confidence: str = "CASE WHEN whole THEN 'HIGH' ELSE 'MEDIUM' END", onset: str = "NULL", gap: str = "NULL") -> str:
+    return f"SELECT video_id, keyword_id, t_vis, {delta} AS delta_t, {case} AS match_case, {alpha} AS alpha, scene_id, {method} AS match_method, {confidence} AS confidence, CAST({onset} AS DOUBLE) AS sub_scene_onset, CAST({gap} AS DOUBLE) AS gap_since_expired FROM {t}"
+
+
+HALF = "CASE WHEN whole THEN 'full' ELSE 'partial' END"
+P_AD = phrase_case("a", "CASE WHEN t_vis <= t_start + 1 THEN 'A' ELSE 'D' END", f"'ocr_at_tnarr_' || {HALF}", onset="CASE WHEN t_vis > t_start + 1 THEN t_vis END")
+P_B = phrase_case("b", "'B'", f"'ocr_forward_' || {HALF}")
+P_C = phrase_case("c", "'C'", "'ocr_backward_expired'", "10e0", "0.8e0", "'MEDIUM'", gap="t_narr - t_end")
+register("a1_case_a_d_phrases", PHRASES + P_AD, ROUNDED)(lambda s: A.case_a_d(*parts(s, "fx_phrases")).select(*MORE))
+register("a2_case_b_forward_phrases", PHRASES + P_B, ROUNDED)(lambda s: A.case_b_forward(*parts(s, "fx_phrases")).select(*MORE))
+register("a3_case_c_backward_phrases", PHRASES + P_C, ROUNDED)(lambda s: A.case_c_backward(*parts(s, "fx_phrases")).select(*MORE))
+#: Concepts against phrases by the token-set ratio: shared words, and what either has besides.
+SPLIT = "list_sort(list_distinct(string_split({}, ' ')))"
+LESS = "array_to_string(list_filter({}, lambda w: NOT list_contains({}, w)), ' ')"
+CONCEPTS = f"""ep AS (SELECT k.video_id, k.keyword_id, k.t_narr, k.keyword_text AS one, x.concept AS two, x.scene_id, x.t_start, x.t_end FROM k JOIN fx_phrase_concepts x ON x.video_id=k.video_id AND x.t_keyframe BETWEEN k.t_narr-10 AND k.t_narr+10),
+ed AS (SELECT DISTINCT one, two, {SPLIT.format('one')} AS x, {SPLIT.format('two')} AS y FROM ep),
+ee AS (SELECT one, two, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS common, {LESS.format('x', 'y')} AS l, {LESS.format('y', 'x')} AS r FROM ed),
+ef AS (SELECT *, trim(common || ' ' || l) AS ol, trim(common || ' ' || r) AS o2 FROM ee),
+eg AS (SELECT one, two, CASE WHEN contains(one, two) OR contains(two, one) OR (common <> '' AND (l = '' OR r = '')) THEN 100e0 ELSE greatest(CASE WHEN {sqltext.may_reach('ol', 'o2', 0.75)} THEN 100*({sqltext.ratio('ol', 'o2')}) ELSE 0e0 END, CASE WHEN common = '' THEN 0e0 ELSE 100*({sqltext.ratio('common', 'ol')}) END, CASE WHEN common = '' THEN 0e0 ELSE 100*({sqltext.ratio('common', 'o2')}) END) END AS score FROM ef),
+e AS (SELECT video_id, keyword_id, t_narr, t_start AS t_vis, scene_id, score FROM (SELECT ep.*, eg.score, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY score DESC, scene_id, two) AS rn FROM ep JOIN eg USING (one, two) WHERE score >= 75) WHERE rn = 1) """
+P_E = phrase_case("e", "'E'", "CASE WHEN score >= 100 THEN 'concept_exact' ELSE 'concept_fuzzy' END", alpha="least(0.9e0, 0.6e0 + 0.3e0 * score / 100)", confidence="CASE WHEN score >= 90 THEN 'HIGH' ELSE 'MEDIUM' END")
+register("a4_case_e_concept_fuzzy", PHRASES + ", " + CONCEPTS + P_E, ROUNDED)(lambda s: A.case_e_concept(able(s, "fx_phrases"), s("fx_phrase_concepts")).select(*MORE))
+
+
+def phrase_vectors(s):
+    """Keywords and scenes with a vector each, out of the table of vectors."""
+    v = s("embeddings").select(F.col("vec_id").alias("v_"), "embedding")
+    n = v.agg(F.max("v_").alias("top"))
+    k = keywords(s, "fx_phrases").join(F.broadcast(n)).withColumn("v_", F.col("keyword_id") * 7 % (F.col("top") + 1)).join(v, "v_").select("video_id", "keyword_id", "t_narr", F.transform("embedding", lambda x: x * 4).alias("embedding"), "groundability")
+    c = s("fx_scenes").join(F.broadcast(n)).withColumn("v_", F.col("scene_id") * 11 % (F.col("top") + 1)).join(v, "v_").select("video_id", "scene_id", "t_start", "t_end", "t_keyframe", "embedding", (F.col("scene_id") % 3 == 1).alias("has_words"))
+    return settled(k, "keyword-vectors"), settled(c, "scene-vectors")
+
+
+VECTORS = """kv AS (SELECT k.video_id, k.keyword_id, k.t_narr, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM k JOIN embeddings ON vec_id = keyword_id * 7 % (SELECT max(vec_id) + 1 FROM embeddings)),
+cv AS (SELECT s.*, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS b, scene_id % 3 = 1 AS has_words FROM sc s JOIN embeddings ON vec_id = scene_id * 11 % (SELECT max(vec_id) + 1 FROM embeddings)),
+gp AS (SELECT kv.video_id, keyword_id, t_narr, scene_id, t_start AS t_vis, t_keyframe, has_words, 1/(1+exp(-4*list_dot_product(a, b))) AS sim FROM kv JOIN cv ON cv.video_id=kv.video_id AND t_keyframe BETWEEN t_narr-10 AND t_narr+10),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY sim*exp(-0.5e0*power((t_keyframe-t_narr)/5e0, 2)) DESC, scene_id) AS rn FROM gp) WHERE rn = 1 AND sim >= 0.55e0) """
+P_G = phrase_case("g", "'G'", "'vector'", alpha="greatest(0.1e0, least(0.5e0, (CASE WHEN has_words THEN 0.25e0 ELSE 0.4e0 END)*least(1e0, (sim-0.55e0)/0.05e0)))", confidence="'LOW'")
+P_F = f"SELECT k.video_id, k.keyword_id, NULL, NULL, 'F', 0e0, NULL, CASE WHEN groundability='LOW' THEN 'low_groundability' WHEN NOT EXISTS (SELECT 1 FROM fx_ocr o WHERE o.video_id=k.video_id AND o.frame_time BETWEEN k.t_narr-10 AND k.t_narr+10) THEN 'no_ocr_nearby' ELSE 'ocr_vocabulary_mismatch' END, 'NONE', NULL, NULL FROM {PW} k"
+#: Shown tokens named by the part that they resemble.
+NEAR = f"""pv AS (SELECT DISTINCT k.video_id, k.part AS a, o.tok AS b FROM (SELECT DISTINCT video_id, unnest(string_split(keyword_text, ' ')) AS part FROM {PW} x WHERE groundability <> 'LOW') k JOIN (SELECT DISTINCT video_id, tok FROM fx_ocr) o USING (video_id)),
+sm AS (SELECT pv.video_id, pv.a AS part, pv.b AS tok FROM pv JOIN {sqltext.similar('pv', 0.8, '>')} g ON g.a=pv.a AND g.b=pv.b)"""
+BOTH = PHRASES.replace("JOIN fx_ocr o", "JOIN oc o").replace("WITH k AS", f"WITH {NEAR}, oc AS (SELECT DISTINCT o.video_id, o.frame_time, sm.part AS tok FROM fx_ocr o JOIN sm USING (video_id, tok)), k AS")
+CASES = [P_AD, P_B, P_C, P_E, P_G, P_F]
+register(
+    "a7_cascade_phrases",
+    BOTH + ", " + CONCEPTS + ", " + VECTORS + f", u AS ({' UNION ALL '.join(f'SELECT *, {i} AS r FROM ({c})' for i, c in enumerate(CASES))}), q AS (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY r) AS rn FROM u) SELECT {', '.join(MORE)} FROM q WHERE rn = 1",
+    ROUNDED,
+)(lambda s: A.align_keywords(*tables(s, "fx_phrases"), s("fx_phrase_concepts"), phrase_vectors(s)).select(*MORE))
+
+
+register(
+    "f6_multiword_match",
+    f"WITH {NEAR}, pt AS (SELECT video_id, keyword_id, unnest(list_distinct(string_split(keyword_text, ' '))) AS part FROM {PW} x WHERE groundability <> 'LOW'), ok AS (SELECT DISTINCT video_id, part, TRUE AS hit FROM sm) SELECT pt.video_id, keyword_id, count(*) = count(hit) AS matched FROM pt LEFT JOIN ok USING (video_id, part) GROUP BY 1, 2",
+)(lambda s: A.multiword_match(able(s, "fx_phrases"), s("fx_ocr").select("video_id", "tok").distinct()))
+
+
 def vector_keywords(s):
     f = s("fx_frames")
     k = f.select("video_id", F.col("frame_idx").cast("long").alias("keyword_id"), F.col("frame_time").alias("t_narr"), F.transform("embedding", lambda x: x * 4).alias("embedding"), F.when(F.col("frame_idx") % 9 == 0, "LOW").otherwise("HIGH").alias("groundability"))
@@ -118,6 +197,20 @@ def vector_scenes(s):
 
 TV = "a AS (SELECT video_id, frame_idx AS scene_id, frame_time AS t_vis, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, frame_idx % 12 <> 1 AS is_content FROM fx_frames), b AS (SELECT video_id, CAST(frame_idx AS BIGINT) AS segment_id, frame_time AS t_mid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM fx_frames), p AS (SELECT a.video_id, scene_id, t_vis, segment_id, t_mid, list_cosine_similarity(v, u) AS sim FROM a JOIN b USING (video_id)), r AS (SELECT *, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY sim*exp(-0.5e0*power((t_mid-t_vis)/15e0, 2)) DESC, segment_id) AS rn FROM p), tv AS (SELECT video_id, scene_id, t_vis, segment_id, t_mid-t_vis AS delta_narr_vis, 'vector' AS match_track, 0.5e0+0.5e0*least(greatest((sim-0.2e0)/0.8e0, 0), 1) AS alpha FROM r WHERE rn=1 AND sim >= 0.2e0)"
 register("a10_scene_track_vector", f"WITH {TV} SELECT * FROM tv", "t_vis delta_narr_vis alpha")(lambda s: A.scene_track_vector(*vector_scenes(s)))
+
+
+def vector_windows(s):
+    """Runs inside a segment: the vectors of its own frame and of the two after it."""
+    return s("fx_frames").select("video_id", F.col("frame_idx"), (F.col("frame_time") + 0.1).alias("t_center"), "embedding", F.explode(F.array(*map(F.lit, range(3)))).alias("window_id")).select(
+        "video_id", (F.col("frame_idx") - F.col("window_id")).cast("long").alias("segment_id"), "window_id", "t_center", "embedding"
+    )
+
+
+register(
+    "a10_scene_track_windows",
+    f"WITH {TV}, wn AS (SELECT video_id, CAST(frame_idx - i AS BIGINT) AS segment_id, i AS window_id, frame_time + 0.1e0 AS t_center, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM fx_frames, (SELECT unnest([0, 1, 2]) AS i)), rn AS (SELECT tv.video_id, tv.scene_id, t_center, row_number() OVER (PARTITION BY tv.video_id, tv.scene_id ORDER BY list_cosine_similarity(a.v, z) DESC, window_id) AS k FROM tv JOIN a USING (video_id, scene_id) JOIN wn USING (video_id, segment_id)) SELECT tv.video_id, tv.scene_id, tv.t_vis, tv.segment_id, t_center - tv.t_vis AS delta_narr_vis, match_track, alpha FROM tv JOIN rn ON rn.video_id = tv.video_id AND rn.scene_id = tv.scene_id AND k = 1",
+    "t_vis delta_narr_vis alpha",
+)(lambda s: A.scene_track_vector(*vector_scenes(s), windows=vector_windows(s)))
 register(
     "a11_scene_cascade",
     f"WITH {TV} SELECT a.video_id, a.scene_id, CASE WHEN NOT is_content THEN 'non_content' WHEN tv.scene_id IS NULL THEN 'no_match' ELSE 'match' END AS match_type, CASE WHEN is_content THEN delta_narr_vis END AS delta_narr_vis, CASE WHEN is_content THEN match_track END AS match_track, CASE WHEN is_content THEN coalesce(alpha, 0e0) END AS alpha FROM a LEFT JOIN tv USING (video_id, scene_id)",

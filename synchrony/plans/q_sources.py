@@ -46,6 +46,31 @@ def read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_results(spark, path, r"video_id=([^/]+)/[^/]+$").select("video_id", "counts.n_keywords", "counts.n_matched", "coverage.n_segments")
 
 
+def read_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times that are missing stand as NaN in the files."""
+    path = place(spark, "words")
+    words = fixtures.view(spark, sf_dir, "fx_words").select("video_id", "word_id", "word", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in ("start_time", "end_time")])
+    words.write.partitionBy("video_id").option("header", True).option("escape", '"').csv(path)
+    return tables.read_table(spark, "words", path).select("video_id", "word_id", "word", "start_time", "end_time", F.col("timestamp_reliable").isNull().alias("no_flag"))
+
+
+def read_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets stand as text in the files: words apart by spaces, concepts by bars; some columns are missing."""
+    path = place(spark, "scenes")
+    concepts = fixtures.view(spark, sf_dir, "fx_concepts").groupBy("video_id", "scene_id").agg(F.array_sort(F.collect_list("concept")).alias("c"))
+    rows = fixtures.view(spark, sf_dir, "fx_scenes").join(concepts, ["video_id", "scene_id"], "left")
+    rows = rows.select("video_id", "scene_id", "t_start", "t_end", "t_keyframe", F.coalesce(F.array_join("c", " "), F.lit("nan")).alias("ocr_words"), F.coalesce(F.array_join("c", "|"), F.lit("nan")).alias("gemini_concepts"))
+    rows.write.partitionBy("video_id").option("header", True).csv(path)
+    out = tables.read_table(spark, "scenes", path)
+    return out.select("video_id", "scene_id", "t_start", "t_end", "t_keyframe", "n_frames", *[F.array_join(F.array_sort(c), " ").alias(c) for c in ("ocr_words", "gemini_concepts")])
+
+
+REGISTRY["s1_read_words"] = Stream(read_words, "SELECT video_id, word_id, word, start_time, end_time, TRUE AS no_flag FROM fx_words", "start_time end_time")
+REGISTRY["s1_read_scenes"] = Stream(
+    read_scenes,
+    "WITH c AS (SELECT video_id, scene_id, string_agg(DISTINCT concept, ' ' ORDER BY concept) AS w FROM fx_concepts GROUP BY 1, 2) SELECT s.video_id, s.scene_id, s.t_start, s.t_end, s.t_keyframe, CAST(NULL AS INT) AS n_frames, coalesce(w, '') AS ocr_words, coalesce(w, '') AS gemini_concepts FROM fx_scenes s LEFT JOIN c USING (video_id, scene_id)",
+    "t_start t_end t_keyframe",
+)
 REGISTRY["s1_read_table"] = Stream(read_csv, SEGMENTS, "start_time end_time")
 REGISTRY["s2_read_results"] = Stream(read_results, COUNTS)
 REGISTRY["s3_write_stage"] = Stream(write_stage, SEGMENTS, "start_time end_time")

@@ -79,13 +79,13 @@ register(
 )(lambda s: T.merge_keywords(phrases(s)))
 register(
     "t7_assign_t_narr",
-    f"""WITH k AS (SELECT k.video_id, k.keyword_id, k.segment_id, k.keyword_text AS f, g.start_time AS a, g.end_time AS b FROM fx_keywords k JOIN fx_segments g USING (video_id, segment_id)),
-w AS (SELECT video_id, word_id, lower(word) AS w, {N.format('word')} AS n, start_time AS t FROM fx_words WHERE start_time IS NOT NULL),
-p AS (SELECT k.video_id, k.keyword_id, w.word_id, w.t, CASE WHEN w.w = f THEN 1 WHEN w.n = f AND length(f) >= 3 THEN 2 WHEN length(f) >= 4 AND (contains(f, w.n) OR contains(w.n, f)) THEN 3 END AS step FROM k JOIN w ON w.video_id = k.video_id AND w.t BETWEEN k.a - 1e0 AND k.b + 1e0),
-m AS (SELECT video_id, keyword_id, min({{'s': step, 'w': word_id, 't': t}}) AS m FROM p WHERE step IS NOT NULL GROUP BY 1, 2)
-SELECT k.video_id, k.keyword_id, coalesce(m.m.t, (a+b)/2) AS t_narr_found, CASE m.m.s WHEN 1 THEN 'exact' WHEN 2 THEN 'normalized' WHEN 3 THEN 'substring' ELSE 'segment_midpoint' END AS t_narr_method FROM k LEFT JOIN m USING (video_id, keyword_id)""",
+    f"""{FLAGGED}, k AS (SELECT k.video_id, k.keyword_id, k.segment_id, k.keyword_text AS f, g.start_time AS a, g.end_time AS b FROM fx_keywords k JOIN fx_segments g USING (video_id, segment_id)),
+w AS (SELECT video_id, word_id, lower(word) AS w, {N.format('word')} AS n, start_time AS t, reason IS NULL AS ok FROM f WHERE start_time IS NOT NULL),
+p AS (SELECT k.video_id, k.keyword_id, w.word_id, w.t, w.ok, CASE WHEN w.w = f THEN 1 WHEN w.n = f AND length(f) >= 3 THEN 2 WHEN length(f) >= 4 AND (contains(f, w.n) OR contains(w.n, f)) THEN 3 END AS step FROM k JOIN w ON w.video_id = k.video_id AND w.t BETWEEN k.a - 1e0 AND k.b + 1e0),
+m AS (SELECT video_id, keyword_id, min({{'s': step, 'w': word_id, 't': t, 'ok': ok}}) AS m FROM p WHERE step IS NOT NULL GROUP BY 1, 2)
+SELECT k.video_id, k.keyword_id, coalesce(m.m.t, (a+b)/2) AS t_narr_found, CASE m.m.s WHEN 1 THEN 'exact' WHEN 2 THEN 'normalized' WHEN 3 THEN 'substring' ELSE 'segment_midpoint' END AS t_narr_method, coalesce(m.m.ok, TRUE) AS t_narr_reliable FROM k LEFT JOIN m USING (video_id, keyword_id)""",
     "t_narr_found",
-)(lambda s: T.assign_t_narr(s("fx_keywords"), s("fx_words"), s("fx_segments")).select("video_id", "keyword_id", "t_narr_found", "t_narr_method"))
+)(lambda s: T.assign_t_narr(s("fx_keywords"), T.flag_bad_timestamps(s("fx_words")), s("fx_segments")).select("video_id", "keyword_id", "t_narr_found", "t_narr_method", "t_narr_reliable"))
 register(
     "t8_first_mention",
     f"""WITH k AS (SELECT *, CASE WHEN length({N.format('keyword_text')}) >= 3 THEN {N.format('keyword_text')} END AS tok FROM fx_keywords), f AS (SELECT video_id, tok, min(t_narr) AS t0 FROM k GROUP BY 1, 2)
@@ -125,6 +125,16 @@ GROUND = f"""WITH k AS (SELECT DISTINCT keyword_text AS k, string_split_regex(ke
  WHEN len(w) = 1 AND list_contains({sql_list(T.ABSTRACT_WORDS + T.VAGUE_NOUNS)}, k) THEN 'LOW' WHEN len(w) = 1 AND length(k) <= 4 THEN 'LOW' WHEN len(w) = 1 THEN 'MEDIUM'
  WHEN len(list_filter(w, lambda x: NOT list_contains({sql_list(T.VAGUE_NOUNS + T.ABSTRACT_WORDS + T.STOP_WORDS)}, x) AND length(x) >= 3)) > 0 THEN 'MEDIUM' ELSE 'LOW' END AS groundability FROM k"""
 register("p4_groundability", GROUND)(lambda s: T.classify_keywords(phrases(s).select("keyword_text").distinct()))
+#: A concreteness table over two thirds of the words: the mean of the words that it has decides where no list does.
+register(
+    "p4_groundability_concreteness",
+    f"WITH g AS ({GROUND}), t AS (SELECT keyword_text, unnest(string_split_regex(keyword_text, '\\s+')) AS word FROM g), c AS (SELECT word, 1 + (length(word) * 7 % 17) / 4 AS score FROM (SELECT DISTINCT keyword_text AS word FROM fx_keywords) WHERE length(word) % 3 <> 0), m AS (SELECT keyword_text, avg(score) AS c FROM t JOIN c USING (word) GROUP BY 1) SELECT g.keyword_text, CASE WHEN m.c IS NULL OR list_has_any(string_split_regex(g.keyword_text, '\\s+'), {sql_list(T.VISUAL_NOUNS)}) OR len(list_filter({sql_list(T.DOMAIN_TERMS)}, lambda t: contains(g.keyword_text, t) OR contains(t, g.keyword_text))) > 0 THEN groundability WHEN m.c >= 4 THEN 'HIGH' WHEN m.c >= 2.5 THEN 'MEDIUM' ELSE 'LOW' END AS groundability FROM g LEFT JOIN m USING (keyword_text)",
+)(
+    lambda s: T.classify_keywords(
+        phrases(s).select("keyword_text").distinct(),
+        s("fx_keywords").select(F.col("keyword_text").alias("word")).distinct().where(F.length("word") % 3 != 0).withColumn("score", 1 + (F.length("word") * 7 % 17) / 4),
+    )
+)
 register("j11_attach_frequency", "SELECT k.video_id, k.keyword_id, count(DISTINCT j.segment_id) AS global_segment_freq FROM fx_keywords k JOIN fx_keywords j USING (video_id, keyword_text) GROUP BY 1, 2")(lambda s: T.attach_frequency(s("fx_keywords")).select("video_id", "keyword_id", "global_segment_freq"))
 register("g15_keyword_quality", "WITH g AS (SELECT video_id, segment_id, count(*) AS n FROM fx_keywords GROUP BY 1, 2) SELECT video_id, count(*) AS n_segments, avg(n) AS mean_keywords, median(n) AS median_keywords, min(n) AS min_keywords, max(n) AS max_keywords FROM g GROUP BY 1", "mean_keywords median_keywords")(
     lambda s: tables.keyword_quality(s("fx_keywords"))

@@ -53,6 +53,10 @@ SELECT DISTINCT f.video_id, f.frame_time, u.tok FROM f JOIN u ON u.video_id=f.vi
  AND (u.word_id % 3 <> 0 OR f.frame_time - 8*u.blk >= 4)""",
     "fx_keywords": """WITH t AS (SELECT video_id, word_id, start_time, lower(regexp_replace(word,'[^A-Za-z0-9]',''{G})) AS tok FROM fx_words WHERE start_time IS NOT NULL)
 SELECT video_id, word_id AS keyword_id, CAST(floor(word_id/12) AS BIGINT) AS segment_id, tok AS keyword_text, start_time AS t_narr FROM t WHERE length(tok)>=4 AND word_id % 6 = 0""",
+    # keywords of two neighbouring words
+    "fx_phrases": """WITH t AS (SELECT video_id, word_id, start_time, lower(regexp_replace(word,'[^A-Za-z0-9]',''{G})) AS tok, lower(regexp_replace(lead(word) OVER (PARTITION BY video_id ORDER BY word_id),'[^A-Za-z0-9]',''{G})) AS tok2 FROM fx_words)
+SELECT video_id, word_id AS keyword_id, CAST(floor(word_id/12) AS BIGINT) AS segment_id, concat(tok, ' ', tok2) AS keyword_text, start_time AS t_narr FROM t WHERE start_time IS NOT NULL AND length(tok)>=2 AND length(tok2)>=2 AND word_id % 6 = 3""",
+    "fx_phrase_concepts": """SELECT s.video_id, s.scene_id, s.t_start, s.t_end, s.t_keyframe, k.keyword_text AS concept FROM fx_scenes s JOIN fx_phrases k ON k.video_id = s.video_id AND k.t_narr >= s.t_start AND k.t_narr < s.t_end AND k.keyword_id % 4 < 2""",
     "fx_frames": """SELECT concat('e', CAST(label AS VARCHAR(9))) AS video_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS INT) AS frame_idx,
  (row_number() OVER (PARTITION BY label ORDER BY vec_id)-1)*0.5e0 AS frame_time, vec_id, embedding FROM embeddings""",
     "fx_series": """SELECT concat('u', CAST(user_id AS VARCHAR(9))) AS video_id, CAST(i AS INT) AS frame_idx, i*0.5e0 AS t, value/100.0e0 AS mad, 1/(1+value/2000.0e0) AS ssim
