@@ -1,14 +1,16 @@
 """Substring de-duplication over a log-structured fingerprint index.
 
 A window is 50 consecutive words of a document. Each window has an anchor: the least hash of the 20-word runs inside it.
-Equal windows have equal anchors, and a document has about one anchor for every sixteen words. The index keeps sorted
-immutable runs of anchors, each with the first and the last document that has it; every new batch becomes a run, is
-merge-joined with the runs before it, and the runs are compacted. Only windows whose anchor the merge-joins found in
-several documents go on: their fingerprints (64 bits and a second hash of 31 bits over the same word hashes; words are
-not compared) are counted map-side, and joined back to find those that start in an earlier document. Hot keys are pre-aggregated on one side and split by AQE on the other.
+Equal windows have equal anchors, and a document has about one anchor for every sixteen words, so anchors are a sample of
+window hashes from which nothing that recurs is missing. The index keeps them in sorted immutable runs, each with the first
+and the last document that has it; every new batch becomes a run, is merge-joined with the runs before it, and the runs
+are compacted. What the merge-joins found in several documents decides which windows go on: these are met by their own
+hash, with the first place of each. Neighbouring windows with one source become a range, and every range is verified: the
+SHA-256 of its words and that of the source's words must agree, else its windows stay.
 
-Which anchors are shared reaches the second pass as a bitmap of fixed size; it only spares work, as windows that it lets
-through by chance find no partner.
+First places are counted map-side and written; the join that brings them back has two plain sides, so that a hot window is
+split by AQE's skew join. Which anchors are shared reaches the second pass as a bitmap of fixed size; it only spares work,
+as windows that it lets through by chance find no partner.
 
 Defined cases: null and empty texts have no words; texts under 50 words keep all of them; copies of an earlier document
 lose every word; windows are judged on the input; rows that repeat a doc_id do not count as earlier than each other; a
@@ -32,7 +34,7 @@ from .common import text_or_empty, written
 WINDOW, RUN = 50, 20
 #: Bits of the bitmap of shared anchors.
 BITS = 1 << 24
-K1, K2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+K1 = 0x9E3779B97F4A7C15
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -143,12 +145,12 @@ def bitmap(values: DataFrame, bits: int = BITS) -> bytes:
 
 
 def windows_of(shared):
-    """The windows whose anchor may be shared: h, c (fingerprint and check), doc_id, tp (mark and position)."""
+    """The windows whose anchor may be shared: h, doc_id, tp (mark and position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
+            cols: tuple[list, ...] = ([], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 raw, words = split_words(text)
                 if doc_id is None or len(words) < WINDOW:
@@ -157,65 +159,146 @@ def windows_of(shared):
                 at = np.flatnonzero(bits[(anchors(h) & np.uint64(BITS - 1)).astype(np.int64)])
                 if len(at):
                     cols[0].append(rolled(h, WINDOW, K1)[at].view(np.int64))
-                    cols[1].append((rolled(h, WINDOW, K2)[at] & np.uint64(0x7FFFFFFF)).astype(np.int32))
-                    cols[2].append(np.full(len(at), doc_id, np.int64))
-                    cols[3].append(at + (zlib.crc32(raw) << 31))
+                    cols[1].append(np.full(len(at), doc_id, np.int64))
+                    cols[2].append(at + (zlib.crc32(raw) << 31))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["h", "c", "doc_id", "tp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["h", "doc_id", "tp"])
 
     return run
 
 
-def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: A range of windows of a text and where it stands in its source.
+RANGES = "doc_id long, mark long, at int, n int, src long, src_mark long, src_at int"
+
+
+def ranges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits of a document (tp, src, stp) -> ranges of neighbouring windows whose sources neighbour each other as well."""
+    low = np.int64((1 << 31) - 1)
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-            _, words = split_words(text)
-            cover = np.zeros(len(words) + 1, np.int64)
-            starts = np.unique(np.array(starts, np.int64))
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + WINDOW, -1)
-            kept = [w for w, n in zip(words, np.cumsum(cover)) if n == 0]
-            joined = b" ".join(kept)
-            out[0].append(len(words))
-            out[1].append(len(words) - len(kept))
-            out[2].append(hashlib.sha256(joined).hexdigest())
-            out[3].append(joined.decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        out: list[list] = [[] for _ in range(7)]
+        ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
+        lists = batch.column("hits")
+        edges, flat = lists.offsets.to_numpy(), lists.flatten()
+        edges = edges - edges[0] if len(edges) else edges
+        tp, src, stp = (flat.field(i).to_numpy() for i in range(3))
+        for row, (start, stop) in enumerate(zip(edges, edges[1:])):
+            # rows that repeat a document repeat its hits
+            hits = np.unique(np.stack([tp[start:stop] & low, src[start:stop], stp[start:stop] >> 31, stp[start:stop] & low]), axis=1)
+            new = np.ones(hits.shape[1], bool)
+            new[1:] = (np.diff(hits[0]) != 1) | (np.diff(hits[1]) != 0) | (np.diff(hits[2]) != 0) | (np.diff(hits[3]) != 1)
+            heads = np.flatnonzero(new)
+            size = np.diff(np.append(heads, len(new)))
+            for col, x in zip(out, (np.full(len(heads), ids[row]), np.full(len(heads), marks[row]), hits[0][heads], size, hits[1][heads], hits[2][heads], hits[3][heads])):
+                col.append(x)
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(k)) for c, k in zip(out, kinds)], ["doc_id", "mark", "at", "n", "src", "src_mark", "src_at"])
+
+
+def passage(words: list[bytes], at: int, n: int) -> str:
+    """SHA-256 of the words that n neighbouring windows cover."""
+    return hashlib.sha256(b" ".join(words[at : at + n + WINDOW - 1])).hexdigest()
+
+
+def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
+    """The words outside the windows that start in the spans."""
+    cover = np.zeros(len(words) + 1, np.int64)
+    for at, n in spans:
+        cover[at] += 1
+        cover[at + n + WINDOW - 1] -= 1
+    return [w for w, n in zip(words, np.cumsum(cover)) if n == 0]
+
+
+#: What a text answers to its requests: what it keeps (kind 0), the words of its own ranges (1) and of ranges that others
+#: took from it (2).
+ANSWERS = "kind int, doc_id long, mark long, at int, n int, src long, src_mark long, src_at int, digest string, n_words long, n_removed long, kept_text string"
+
+
+def answered(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                raw, words = split_words(r["text"])
+                i, mark = r["doc_id"], r["mark"]
+                if r["own"] is not None:
+                    kept = without(words, [(x["at"], x["n"]) for x in r["own"]])
+                    joined = b" ".join(kept)
+                    rows.append((0, i, mark, None, None, None, None, None, hashlib.sha256(joined).hexdigest(), len(words), len(words) - len(kept), joined.decode("utf-8", "replace") if with_text else None))
+                    rows += [(1, i, mark, x["at"], x["n"], x["src"], x["src_mark"], x["src_at"], passage(words, x["at"], x["n"]), None, None, None) for x in r["own"]]
+                rows += [(2, None, None, None, x["n"], i, mark, x["at"], passage(words, x["at"], x["n"]), None, None, None) for x in r["lent"] or []]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+            names = [x.split()[0] for x in ANSWERS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
+
+    return run
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def duplicated_windows(docs: DataFrame, info: DataFrame, batches: int = 2) -> DataFrame:
-    """doc_id, mark, starts: the windows of each document that also start in an earlier one."""
+def shared_windows(docs: DataFrame, info: DataFrame, batches: int = 3) -> DataFrame:
+    """doc_id, mark, at, n, src, src_mark, src_at: ranges of windows that also start in an earlier document."""
     index = AnchorIndex()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     # each batch meets the runs of those before it; an anchor is returned by the batch that brings its second document
     met = [index.add(info.where(part == b).select("doc_id", "anchors"), compact=b < batches - 1) for b in range(batches)]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(reduce(DataFrame.unionByName, met)))
-    found = docs.select("doc_id", "text").mapInArrow(windows_of(shared), "h long, c int, doc_id long, tp long")
-    firsts = found.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "c", "first")
-    again = found.join(firsts, ["h", "c"]).where("first < doc_id")
-    starts = again.select("doc_id", F.shiftright("tp", 31).alias("mark"), F.col("tp").bitwiseAND((1 << 31) - 1).cast("int").alias("at"))
-    return starts.groupBy("doc_id", "mark").agg(F.collect_list("at").alias("starts"))
+    found = docs.select("doc_id", "text").mapInArrow(windows_of(shared), "h long, doc_id long, tp long")
+    firsts = found.groupBy("h").agg(F.min(F.struct("doc_id", "tp")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
+    firsts = written(firsts.select(F.col("h").alias("h_"), F.col("f.doc_id").alias("src"), F.col("f.tp").alias("stp")), "substring-firsts")
+    again = found.join(firsts.hint("merge"), F.col("h") == F.col("h_")).where("src < doc_id")
+    hits = again.groupBy("doc_id", F.shiftright("tp", 31).alias("mark")).agg(F.collect_list(F.struct("tp", "src", "stp")).alias("hits"))
+    return written(hits.mapInArrow(ranges_of, RANGES), "substring-ranges")
+
+
+def asked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The texts that have ranges or lent some, with both lists: doc_id, mark, text, own, lent."""
+    own = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "src", "src_mark", "src_at")).alias("own"))
+    lent = ranges.select(F.col("src").alias("doc_id"), F.col("src_mark").alias("mark"), F.struct(F.col("src_at").alias("at"), "n").alias("x")).distinct().groupBy("doc_id", "mark").agg(F.collect_list("x").alias("lent"))
+    both = own.join(lent, ["doc_id", "mark"], "full").withColumnsRenamed({"doc_id": "d_", "mark": "m_"})
+    crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
+    return docs.select("doc_id", "text", crc.alias("mark")).join(both, (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))).select("doc_id", "mark", "text", "own", "lent")
+
+
+PLACES = ["doc_id", "mark", "at", "n", "src", "src_mark", "src_at"]
+
+
+def verified(docs: DataFrame, ranges: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
+    """What the texts answer, and the ranges whose words are not those of their source."""
+    answers = written(asked(docs, ranges).mapInArrow(answered(with_text), ANSWERS), "substring-answers")
+    place = ["src", "src_mark", "src_at", "n"]
+    there = answers.where("kind = 2").select(*[F.col(c).alias(f"{c}_") for c in place], F.col("digest").alias("digest_")).distinct()
+    same = reduce(lambda x, c: x & (F.col(c) == F.col(f"{c}_")), place, F.col("digest") == F.col("digest_"))
+    wrong = answers.where("kind = 1").join(there.hint("merge"), same, "left_anti").select(*PLACES).distinct()
+    return answers.where("kind = 0"), written(wrong, "substring-unverified")
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of every document."""
     narrow = docs.select("doc_id", "text")
     info = written(narrow.mapInArrow(described, INFO), "substring-info")
-    found = written(duplicated_windows(narrow, info), "substring-starts").withColumnsRenamed({"doc_id": "d_", "mark": "m_"})
-    crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
-    hit = narrow.withColumn("mark", crc).join(found, (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_")))
-    cut = hit.select("doc_id", "text", "starts").mapInArrow(kept_words, KEPT)
-    keys = found.select("d_", "m_")
-    rest = info.join(keys, (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_")), "left_anti")
+    ranges = shared_windows(narrow, info)
+    cut, wrong = verified(narrow, ranges, with_text)
+    if not wrong.isEmpty():
+        # hashes that met by chance: such ranges are verified window by window, and their texts cut again
+        one = wrong.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        one = one.select("doc_id", "mark", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"), "src", "src_mark", (F.col("src_at") + F.col("i")).alias("src_at"))
+        one = written(one, "substring-single")
+        _, false = verified(narrow, one, False)
+        bad = wrong.select(F.col("doc_id").alias("d_"), F.col("mark").alias("m_")).distinct()
+        on = (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))
+        true = written(ranges.join(bad, on, "left_semi").exceptAll(wrong).unionByName(one.exceptAll(false)), "substring-true")
+        again, _ = verified(narrow, true, with_text)
+        cut = cut.join(bad, on, "left_anti").unionByName(again)
+    cut = cut.select("doc_id", "mark", "n_words", "n_removed", F.col("digest").alias("kept_sha256"), "kept_text")
+    keys = cut.select(F.col("doc_id").alias("d_"), F.col("mark").alias("m_")).distinct()
+    on = (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))
+    rest = info.join(keys, on, "left_anti")
     if with_text:
-        rest = narrow.withColumn("mark", crc).join(keys, (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_")), "left_anti").mapInArrow(untouched, KEPT)
-        return cut.unionByName(rest)
+        texts = narrow.withColumn("mark", F.crc32(F.encode(text_or_empty(), "UTF-8")))
+        return cut.drop("mark").unionByName(texts.join(keys, on, "left_anti").mapInArrow(untouched, KEPT))
     whole = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
-    return cut.drop("kept_text").unionByName(whole)
+    return cut.drop("mark", "kept_text").unionByName(whole)
 
 
 def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -487,6 +487,21 @@ def test_merge_joins_of_the_index_decide_which_windows_go_on(spark, monkeypatch)
     assert all(r.n_removed == 0 for r in substrings.op3_substring_dedup(docs).collect())
 
 
+def test_ranges_whose_words_differ_stay(spark, monkeypatch):
+    """Windows of different words that meet under one hash are not removed; true ones in the same text are."""
+    same, one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "sxy")
+    docs = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}")], "doc_id long, text string")
+    plain = substrings.word_hashes
+    monkeypatch.setattr(substrings, "word_hashes", lambda words: plain([b"x" + w[1:] if w[:1] == b"y" else w for w in words]))  # y12 collides with x12
+    got = {r.doc_id: r for r in substrings.deduplicated(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (0, 60) and got[2].kept_text == two
+    alike = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert {(r.n_removed, r.kept_text) for r in substrings.deduplicated(alike).collect()} == {(0, one), (0, two)}
+    monkeypatch.undo()
+    got = {r.doc_id: r for r in substrings.deduplicated(docs).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (0, 60) and got[2].kept_text == two and got[2].kept_sha256 == hashlib.sha256(two.encode()).hexdigest()
+
+
 def test_ledger_is_incremental_over_an_existing_folder(spark, tmp_path):
     path, docs = str(tmp_path / "ledger"), spark.createDataFrame([("token=abcdefg",), ("plain",)], "text string")
     secrets.BlobLedger(spark, path).scan(docs)
@@ -576,3 +591,53 @@ def test_toxicity_on_an_empty_table_and_one_class(spark):
     assert toxicity.op5_toxicity(docs.limit(0), labels).count() == 0 and toxicity.clean_documents(docs.limit(0), labels).count() == 0
     assert len({r.score for r in toxicity.op5_toxicity(docs, labels).collect()}) == 1
     assert toxicity.clean_documents(docs, labels.limit(0)).count() == len(ODD)
+
+
+def brute_redacted(text):
+    pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    spans = [m.span() for m in pattern.finditer(text) if len(m[2]) >= 6]
+    spans += [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20] + [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    out, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_pipeline_run_by_brute_force(spark):
+    """run() against the five decisions carried out one after another on plain rows."""
+    import public_tokenizers
+    import sentencepiece
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    toxic = {r.doc_id for r in toxicity.op5_toxicity(docs, labels).where("predicted = 1").collect()}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id not in toxic}
+    first = {c for c, _, _ in brute_links([(i, r.text) for i, r in rows.items()]).values()}
+    clean = {i: brute_redacted(rows[i].text or "") for i in first}
+    mixed = documents(spark, [(i, t, rows[i].source) for i, t in clean.items()])
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = collections.Counter()
+    for r in mixing.op4_mixing_weights(mixed).where("taken > 0").collect():
+        ids = sp.encode(clean[r.doc_id])
+        row = (r.doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest())
+        want[row] += r.taken // r.size
+    got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, FOLDER).collect())
+    assert got == want and sum(want.values()) > 0
+
+
+def test_pipeline_run_on_odd_and_empty_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = documents(spark, [*ODD, (9, "trash talk token=abcdefgh " + "w x y z " * 9, None)])
+    labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, None)], "doc_id long, toxic int, quality int")
+    for name, d, n in (("odd", docs, labels), ("no-labels", docs, labels.limit(0)), ("empty", docs.limit(0), labels)):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        n.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        rows = out.collect()
+        assert (len(rows) == 0) == (name == "empty")
+        if name == "no-labels":
+            ids = {r.doc_id for r in rows}
+            assert ids <= {None, 4, 5, 7, 8, 9} and {None, 7, 8} & ids  # texts without words are never taken, copies once
