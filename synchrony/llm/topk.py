@@ -75,7 +75,9 @@ def kind_of(*tables: np.ndarray) -> type:
 
 
 def cuts_of(width: int, lists: int) -> list[slice]:
+    """Equal blocks of dimensions; the first half of them is looked at in one go, as little can be told before."""
     edges = np.linspace(0, width, min(lists, max(width, 1)) + 1).astype(int)
+    edges = np.append(0, edges[len(edges) // 2 :])
     return [slice(a, b) for a, b in zip(edges, edges[1:])]
 
 
@@ -84,35 +86,32 @@ def reaching(q: Lists, c: Lists, cutoff: np.ndarray, tally: Counter | None = Non
     m = len(q.parts)
     shape = len(cutoff), c.parts[0].shape[0]
     low = cutoff.astype(float)
-    share = low / m
-    total, reached = q.parts[0] @ c.parts[0].T, None
-    pairs = None
+    # a total that reaches the cutoff reaches a share of it, by the number of dimensions, on some list
+    size = np.array([p.shape[1] for p in q.parts], float)
+    share = np.multiply.outer(size / (size.sum() or 1), low) - 1e-9 * np.abs(low) - 1e-3  # less what rounding may add
+    parts, total, pairs, hit = [], 0, None, None
     for k in range(m):
-        if k:
-            if pairs is None:
-                part = q.parts[k] @ c.parts[k].T
-            else:
-                part = np.einsum("ij,ij->i", q.parts[k][pairs[0]], c.parts[k][pairs[1]])
-            total = total + part
-        else:
-            part = total
-        if total.dtype == object or k == m - 1:
-            continue
-        # a total that reaches the cutoff reaches an equal share of it on some list: one seen so far, or one to come
         if pairs is None:
-            hit = part >= share[:, None]
-            reached = hit if reached is None else reached | hit
-            coming = np.max([q.norms[x][:, None] * c.norms[x] for x in range(k + 1, m)], axis=0)
-            alive = (total + q.rest[k + 1][:, None] * c.rest[k + 1] * (1 + 1e-9) + 1e-3 >= low[:, None]) & (reached | (coming * (1 + 1e-9) + 1e-3 >= share[:, None]))
-            if alive.mean() < SPARSE:
-                pairs = np.nonzero(alive)
-                total, reached = total[pairs], reached[pairs]
+            parts.append(q.parts[k] @ c.parts[k].T)
+            total = total + parts[k]
+            if total.dtype == object or k == m - 1:
+                continue
+            alive = total >= low[:, None] - np.multiply.outer(q.rest[k + 1], c.rest[k + 1]) * (1 + 1e-9) - 1e-3
+            if np.count_nonzero(alive) >= SPARSE * alive.size:
+                continue
+            i, j = pairs = np.nonzero(alive)
+            total = total[pairs]
+            hit = np.logical_or.reduce([p[pairs] >= share[x, i] for x, p in enumerate(parts)])
         else:
-            i, j = pairs
-            reached = reached | (part >= share[i])
-            coming = np.max([q.norms[x][i] * c.norms[x][j] for x in range(k + 1, m)], axis=0)
-            alive = (total + q.rest[k + 1][i] * c.rest[k + 1][j] * (1 + 1e-9) + 1e-3 >= low[i]) & (reached | (coming * (1 + 1e-9) + 1e-3 >= share[i]))
-            pairs, total, reached = (i[alive], j[alive]), total[alive], reached[alive]
+            part = np.einsum("ij,ij->i", q.parts[k][i], c.parts[k][j])
+            total = total + part
+            if k == m - 1:
+                continue
+            hit = hit | (part >= share[k, i])
+        coming = np.logical_or.reduce([q.norms[x][i] * c.norms[x][j] * (1 + 1e-9) + 1e-3 >= share[x, i] for x in range(k + 1, m)])
+        alive = (total >= low[i] - q.rest[k + 1][i] * c.rest[k + 1][j] * (1 + 1e-9) - 1e-3) & (hit | coming)
+        i, j = pairs = i[alive], j[alive]
+        total, hit = total[alive], hit[alive]
     if tally is not None:
         tally["pairs"] += shape[0] * shape[1]
         tally["resolved"] += shape[0] * shape[1] if pairs is None else len(total)
