@@ -171,6 +171,32 @@ def test_shards_fit(spark):
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
 
 
+def brute_shards(rows, limit):
+    """Buckets split one after another: rows (id, bytes) -> shard of each id."""
+    bits = lambda i: format(int(hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:14], 16), "056b")
+    out, open_ = {}, [("", rows)]
+    while open_:
+        at, members = open_.pop()
+        if sum(n for _, n in members) <= limit or len(at) == sharding.MAX_BITS:
+            out.update({i: at for i, _ in members})
+        else:
+            open_ += [(at + b, part) for b in "01" if (part := [(i, n) for i, n in members if bits(i)[len(at)] == b])]
+    return out
+
+
+def test_shards_by_brute_force_over_several_rounds(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sharding, "STEP", 3)
+    rows = [(i, "x" * (i % 90)) for i in range(1500)] + [(None, "z" * 10), (7, "y" * 50), (5000, "y" * 4000), (5001, None)]
+    docs = documents(spark, rows)
+    for limit in (400, 5_000, 10**9):
+        got = {r.doc_id: r.shard for r in sharding.shards(docs, limit).collect()}
+        assert got == brute_shards([(i, len(t or "")) for i, t in rows], limit)
+    kept = sharding.write_shards(docs, str(tmp_path / "out"), 5_000)
+    back = spark.read.option("basePath", str(tmp_path / "out/documents")).schema(docs.schema.add("shard", "string")).parquet(str(tmp_path / "out/documents"))
+    assert back.count() == len(rows) and back.select("shard").distinct().count() == kept.count() == len(set(brute_shards([(i, len(t or "")) for i, t in rows], 5_000).values()))
+    assert kept.agg(F.sum("n_docs")).first()[0] == len(rows) and sharding.op8_sharding(docs.limit(0)).count() == 0
+
+
 def brute_links(rows):
     texts = collections.defaultdict(list)
     for i, t in rows:
@@ -446,17 +472,30 @@ def test_revisits_resolve_to_the_latest_earlier_response(spark):
         (5, "http://a.com/x", 10, "revisit", "e1", None, None, {}),
         (6, None, 99, "revisit", "e1", None, None, {}),
         (7, "http://a.com/x", 9000, "revisit", None, None, None, {}),
+        (8, "http://b.com/", 5, "response", None, "monday", "p8", None),
+        (9, "http://b.com", 6, "revisit", "e9", "monday", None, None),
+        (10, "http://b.com", 7, "revisit", None, "tuesday", None, {"Vary": "x"}),
+        (11, "http://b.com", None, "response", None, "monday", "p11", h),
+        (12, "http://b.com", None, "revisit", None, "monday", None, h),
     ]
-    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>")
+    rows = [(*r, 1, "k", 2) for r in rows]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, kind string, etag string, last_modified string, digest string, headers map<string,string>, span long, url_key string, r int")
     for span in (1, 100, 1 << 20):
         got = {r.record_id: r for r in revisits.resolve(df, span).collect()}
         assert (got[3].response_id, got[3].status, got[3].digest) == (1, "resolved", "p1")
         assert got[3].headers == {"Content-Type": "text/html", "ETag": "e1", "Expires": "z"}
         assert (got[4].response_id, got[4].status) == (None, "validator-mismatch")
         assert got[5].status == got[6].status == "no-response" and got[7].status == "no-validator"
+        assert (got[9].response_id, got[9].status, got[9].headers) == (8, "resolved", {})
+        assert got[10].status == "validator-mismatch" and (got[12].response_id, got[12].status) == (None, "no-response")
     assert revisits.resolve(df.limit(0)).count() == 0
 
 
+def test_derived_captures_take_every_way(spark):
+    got = {r.status for r in revisits.op10_warc_revisits(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert got == {"resolved", "validator-mismatch", "no-validator", "no-response"}
+
+
 def test_pipeline_stages(spark):
     """Each stage's decisions hold in what the next one gets."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
