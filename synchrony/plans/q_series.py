@@ -221,12 +221,13 @@ register("a19_delay_summary_all", f"WITH {SDIPS_ALL} SELECT set_name, count(*) A
 
 
 def side(s, r):
-    o = s("fx_ocr").where(F.col("frame_time") % 8 == 4).groupBy("video_id", "frame_time").agg(F.array_sort(F.collect_set("tok")).alias("words"))
+    """A scene is what all frames of eight seconds show."""
+    o = s("fx_ocr").groupBy("video_id", (8 * F.floor(F.col("frame_time") / 8) + 4).cast("double").alias("frame_time")).agg(F.array_sort(F.collect_set("tok")).alias("words"))
     keep = F.filter("words", lambda w: F.length(w) % 3 != r)
-    return o.select(F.col("video_id").alias("set_name"), (F.col("frame_time") / 8).cast("long").alias("scene_id"), (F.col("frame_time") + r).alias("t"), keep.alias("words"))
+    return o.select(F.col("video_id").alias("set_name"), F.floor(F.col("frame_time") / 8).cast("long").alias("scene_id"), (F.col("frame_time") + r).alias("t"), keep.alias("words"))
 
 
-FP = "o AS (SELECT video_id, frame_time, list_sort(list(DISTINCT tok)) AS w FROM fx_ocr WHERE frame_time % 8 = 4 GROUP BY 1, 2), l AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS a_id, frame_time AS a_t, list_filter(w, lambda x: length(x) % 3 <> 0) AS aw FROM o), r AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS b_id, frame_time+1 AS b_t, list_filter(w, lambda x: length(x) % 3 <> 1) AS bw FROM o), p AS (SELECT *, len(list_intersect(aw, bw)) AS i, len(list_distinct(list_concat(aw, bw))) AS u, exp(-0.5e0*power((b_t-a_t)/15e0, 2)) AS n FROM l JOIN r USING (set_name) WHERE abs(b_t-a_t) <= 30), fp AS (SELECT set_name, a_id, b_id, a_t, b_t, round(CASE WHEN u=0 THEN CASE WHEN abs(b_t-a_t) <= 5 THEN 0.5e0*n ELSE 0 END WHEN i/u < 0.1e0 THEN 0 ELSE i/u*n END, 12) AS score FROM p)"
+FP = "o AS (SELECT video_id, CAST(8*floor(frame_time/8)+4 AS DOUBLE) AS frame_time, list_sort(list(DISTINCT tok)) AS w FROM fx_ocr GROUP BY 1, 2), l AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS a_id, frame_time AS a_t, list_filter(w, lambda x: length(x) % 3 <> 0) AS aw FROM o), r AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS b_id, frame_time+1 AS b_t, list_filter(w, lambda x: length(x) % 3 <> 1) AS bw FROM o), p AS (SELECT *, len(list_intersect(aw, bw)) AS i, len(list_distinct(list_concat(aw, bw))) AS u, exp(-0.5e0*power((b_t-a_t)/15e0, 2)) AS n FROM l JOIN r USING (set_name) WHERE abs(b_t-a_t) <= 30), fp AS (SELECT set_name, a_id, b_id, a_t, b_t, round(CASE WHEN u=0 THEN CASE WHEN abs(b_t-a_t) <= 5 THEN 0.5e0*n ELSE 0 END WHEN i/u < 0.1e0 THEN 0 ELSE i/u*n END, 12) AS score FROM p)"
 register("a13_fingerprint_pairs", f"WITH {FP} SELECT * FROM fp WHERE score > 0.05e0", "a_t b_t score")(lambda s: V.fingerprint_pairs(side(s, 0), side(s, 1)))
 register(
     "a13_scene_fingerprint_match",

@@ -234,9 +234,11 @@ register(
     "s7_parse_rating_json_all",
     """WITH x AS (SELECT doc_id, regexp_extract(response, '(?s)\\[.*\\]', 0) AS j FROM fx_llm_all), r AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j ELSE '' END AS j FROM x) SELECT doc_id, try_cast(json_extract_string(nullif(j, ''), '$[0].segment_id') AS BIGINT) AS segment_id, CASE WHEN j = '' THEN NULL ELSE least(greatest(coalesce(try_cast(json_extract_string(nullif(j, ''), '$[0].importance') AS INT), 3), 1), 5) END AS importance, CASE WHEN j <> '' THEN json_extract_string(nullif(j, ''), '$[0].reason') END AS reason, j <> '' AS parsed FROM r""",
 )(lambda s: tables.rating_rows(s("fx_llm_all")))
-register("s8_parse_concepts", "SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[\\n,]'), lambda x: lower(trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])\\s*', '')))), lambda x: x <> '')) AS concept FROM documents WHERE NOT starts_with(text, '[')")(
-    lambda s: s("documents").where(~F.col("text").startswith("[")).select("doc_id", F.explode(tables.parse_concepts(F.col("text"))).alias("concept"))
-)
+#: Every text as a model's answer: one in three as a JSON list of its words, the others as they are.
+register(
+    "s8_parse_concepts",
+    "WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_transform(string_split(text, ' '), lambda x: lower(trim(x))) ELSE list_transform(string_split_regex(text, '[\\n,]'), lambda x: lower(trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])\\s*', '')))) END AS c FROM documents) SELECT doc_id, unnest(list_filter(c, lambda x: x <> '')) AS concept FROM r",
+)(lambda s: s("documents").select("doc_id", F.explode(tables.parse_concepts(F.when(F.col("doc_id") % 3 == 0, F.to_json(F.split("text", " "))).otherwise(F.col("text")))).alias("concept")))
 LINES = f"string_split(regexp_replace(regexp_replace(text, '{tables.BOILERPLATE.replace(chr(39), chr(39) * 2)}', '', 'g'), '[*_`#]+', '', 'g'), chr(10))"
 register(
     "s9_clean_description",
