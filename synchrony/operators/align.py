@@ -292,6 +292,7 @@ def keyword_grounding(keywords: DataFrame, hits: DataFrame, ocr: DataFrame, dete
 
 
 def monotonic_violations(align: DataFrame, slack: float = 10.0) -> DataFrame:
-    """Events in visual order whose word comes more than the slack before that of the event before."""
+    """Events in visual order whose word comes more than the slack before that of the event before. The order runs through
+    a whole recording, so a recording is one partition of the window, sorted on disk where it is long."""
     w = Window.partitionBy("video_id").orderBy("t_vis", "keyword_id", "segment_id", "t_narr", "alpha")
     return align.withColumn("violates", F.coalesce(F.col("t_narr") < F.lag("t_narr").over(w) - slack, F.lit(False)))

@@ -40,22 +40,28 @@ def content_flag(scenes: DataFrame, least: float = 0.4) -> DataFrame:
     return scenes.withColumn("is_content", flag)
 
 
+#: Parts that raters are dealt into.
+PARTS = 64
+
+
 def assign_sessions(videos: DataFrame, raters: DataFrame, seed: int = 1) -> DataFrame:
     """videos: video_id, set, topic, delay. Every rater sees each topic once per session, each session has every delay
     equally often; fresh videos are spread evenly. Orders come from a hash of seed, rater and id, so reruns agree and no
-    rater's plan depends on another's. Labels say nothing about the video."""
+    rater's plan depends on another's. Labels say nothing about the video. The plan itself holds every rater with every topic
+    and fresh video; raters are dealt into parts, and each part meets the list of topics and of fresh videos."""
     key = lambda *cols: F.md5(F.concat_ws("|", F.lit(str(seed)), "rater", *[F.col(c).cast("string") for c in cols]).cast("binary"))
     topics = videos.where("set = 'manipulated'").select("topic").distinct()
     n = len(DELAYS)
-    one = lambda df: df.withColumn("k_", F.lit(0))
-    per = one(raters.select("rater").distinct()).join(one(topics), "k_").drop("k_")
+    dealt = raters.select("rater").distinct().withColumn("k_", F.pmod(F.xxhash64("rater"), F.lit(PARTS)).cast("int"))
+    every = lambda df: df.withColumn("k_", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    per = dealt.join(every(topics), "k_").drop("k_")
     w = Window.partitionBy("rater")
     per = per.withColumn("rn", F.row_number().over(w.orderBy(key("topic"), "topic"))).withColumn("m", F.count(F.lit(1)).over(w))
     pattern = F.floor((F.col("rn") - 1) / F.greatest(F.floor(F.col("m") / n), F.lit(1)))
     plan = per.withColumn("pattern", pattern).withColumn("session", F.explode(F.sequence(F.lit(0), F.lit(SESSIONS - 1))))
     delay = F.element_at(F.array(*map(F.lit, DELAYS)), ((F.col("pattern") + F.col("session")) % n + 1).cast("int"))
     first = plan.withColumn("delay", delay).join(videos.where("set = 'manipulated'").select("video_id", "topic", "delay"), ["topic", "delay"]).select("rater", "session", "video_id")
-    fresh = one(videos.where("set = 'fresh'").select("video_id")).join(one(raters.select("rater").distinct()), "k_")
+    fresh = every(videos.where("set = 'fresh'").select("video_id")).join(dealt, "k_")
     spread = (F.row_number().over(w.orderBy(key("video_id"), "video_id")) - 1 + F.conv(F.substring(key(), 1, 8), 16, 10).cast("long") % SESSIONS) % SESSIONS
     second = fresh.select("rater", spread.cast("int").alias("session"), "video_id")
     rows = first.unionByName(second)
