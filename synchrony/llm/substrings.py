@@ -167,31 +167,37 @@ def windows_of(shared):
     return run
 
 
-#: A range of windows of a text and where it stands in its source.
-RANGES = "doc_id long, mark long, at int, n int, src long, src_mark long, src_at int"
+#: A range of windows of a text: its source, and the hash of its first window, by which the source finds the place.
+RANGES = "doc_id long, mark long, at int, n int, src long, h long"
+PLACES = [x.split()[0] for x in RANGES.split(", ")]
 
 
 def ranges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hits of a document (tp, src, stp) -> ranges of neighbouring windows whose sources neighbour each other as well."""
-    low = np.int64((1 << 31) - 1)
+    """Hits of a document (at, src, h) -> ranges of neighbouring windows with one source, none of them twice in a range."""
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in PLACES]
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
         lists = batch.column("hits")
         edges, flat = lists.offsets.to_numpy(), lists.flatten()
         edges = edges - edges[0] if len(edges) else edges
-        tp, src, stp = (flat.field(i).to_numpy() for i in range(3))
+        at, src, h = (flat.field(i).to_numpy() for i in range(3))
         for row, (start, stop) in enumerate(zip(edges, edges[1:])):
-            # rows that repeat a document repeat its hits
-            hits = np.unique(np.stack([tp[start:stop] & low, src[start:stop], stp[start:stop] >> 31, stp[start:stop] & low]), axis=1)
-            new = np.ones(hits.shape[1], bool)
-            new[1:] = (np.diff(hits[0]) != 1) | (np.diff(hits[1]) != 0) | (np.diff(hits[2]) != 0) | (np.diff(hits[3]) != 1)
+            order = start + np.unique(at[start:stop], return_index=True)[1]  # rows that repeat a document repeat its hits
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(at[order]) != 1) | (np.diff(src[order]) != 0)
+            if len(np.unique(h[order])) < len(order):  # words that go round: their source may go round less often
+                seen: set = set()
+                for k, x in enumerate(h[order].tolist()):
+                    if new[k] or x in seen:
+                        new[k] = True
+                        seen.clear()
+                    seen.add(x)
             heads = np.flatnonzero(new)
-            size = np.diff(np.append(heads, len(new)))
-            for col, x in zip(out, (np.full(len(heads), ids[row]), np.full(len(heads), marks[row]), hits[0][heads], size, hits[1][heads], hits[2][heads], hits[3][heads])):
+            first = order[heads]
+            for col, x in zip(out, (np.full(len(heads), ids[row]), np.full(len(heads), marks[row]), at[first], np.diff(np.append(heads, len(new))), src[first], h[first])):
                 col.append(x)
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(k)) for c, k in zip(out, kinds)], ["doc_id", "mark", "at", "n", "src", "src_mark", "src_at"])
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c]).astype(k)) for c, k in zip(out, kinds)], PLACES)
 
 
 def passage(words: list[bytes], at: int, n: int) -> str:
@@ -210,24 +216,31 @@ def without(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
 
 #: What a text answers to its requests: what it keeps (kind 0), the words of its own ranges (1) and of ranges that others
 #: took from it (2).
-ANSWERS = "kind int, doc_id long, mark long, at int, n int, src long, src_mark long, src_at int, digest string, n_words long, n_removed long, kept_text string"
+ANSWERS = "kind int, doc_id long, mark long, at int, n int, src long, h long, digest string, n_words long, n_removed long, kept_text string"
 
 
 def answered(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        names = [x.split()[0] for x in ANSWERS.split(", ")]
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                raw, words = split_words(r["text"])
-                i, mark = r["doc_id"], r["mark"]
-                if r["own"] is not None:
-                    kept = without(words, [(x["at"], x["n"]) for x in r["own"]])
+            cols = [batch.column(c) for c in ("doc_id", "mark", "text", "own", "lent")]
+            for k in range(batch.num_rows):
+                i, mark, text, own, lent = (c[k].as_py() for c in cols)
+                _, words = split_words(text)
+                if own is not None:
+                    kept = without(words, [(x["at"], x["n"]) for x in own])
                     joined = b" ".join(kept)
-                    rows.append((0, i, mark, None, None, None, None, None, hashlib.sha256(joined).hexdigest(), len(words), len(words) - len(kept), joined.decode("utf-8", "replace") if with_text else None))
-                    rows += [(1, i, mark, x["at"], x["n"], x["src"], x["src_mark"], x["src_at"], passage(words, x["at"], x["n"]), None, None, None) for x in r["own"]]
-                rows += [(2, None, None, None, x["n"], i, mark, x["at"], passage(words, x["at"], x["n"]), None, None, None) for x in r["lent"] or []]
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            names = [x.split()[0] for x in ANSWERS.split(", ")]
+                    rows.append((0, i, mark, None, None, None, None, hashlib.sha256(joined).hexdigest(), len(words), len(words) - len(kept), joined.decode("utf-8", "replace") if with_text else None))
+                    rows += [(1, i, mark, x["at"], x["n"], x["src"], x["h"], passage(words, x["at"], x["n"]), None, None, None) for x in own]
+                if lent is not None:
+                    hashes = rolled(word_hashes(words), WINDOW, K1).view(np.int64)
+                    place = dict(zip(hashes[::-1].tolist(), range(len(hashes) - 1, -1, -1)))  # the first place of every window
+                    for x in lent:
+                        at = place.get(x["h"])
+                        if at is not None and at + x["n"] <= len(hashes):
+                            rows.append((2, None, None, None, x["n"], i, x["h"], passage(words, at, x["n"]), None, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names)
 
     return run
@@ -237,40 +250,60 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text
 
 
 def shared_windows(docs: DataFrame, info: DataFrame, batches: int = 3) -> DataFrame:
-    """doc_id, mark, at, n, src, src_mark, src_at: ranges of windows that also start in an earlier document."""
+    """doc_id, mark, at, n, src, h: ranges of windows that also start in an earlier document."""
     index = AnchorIndex()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     # each batch meets the runs of those before it; an anchor is returned by the batch that brings its second document
     met = [index.add(info.where(part == b).select("doc_id", "anchors"), compact=b < batches - 1) for b in range(batches)]
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(reduce(DataFrame.unionByName, met)))
     found = docs.select("doc_id", "text").mapInArrow(windows_of(shared), "h long, doc_id long, tp long")
-    firsts = found.groupBy("h").agg(F.min(F.struct("doc_id", "tp")).alias("f"), F.max("doc_id").alias("last")).where("f.doc_id < last")
-    firsts = written(firsts.select(F.col("h").alias("h_"), F.col("f.doc_id").alias("src"), F.col("f.tp").alias("stp")), "substring-firsts")
+    firsts = found.groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).where("src < last")
+    firsts = written(firsts.select(F.col("h").alias("h_"), "src"), "substring-firsts")
     again = found.join(firsts.hint("merge"), F.col("h") == F.col("h_")).where("src < doc_id")
-    hits = again.groupBy("doc_id", F.shiftright("tp", 31).alias("mark")).agg(F.collect_list(F.struct("tp", "src", "stp")).alias("hits"))
+    hit = F.struct(F.col("tp").bitwiseAND((1 << 31) - 1).cast("int").alias("at"), "src", "h")
+    hits = again.groupBy("doc_id", F.shiftright("tp", 31).alias("mark")).agg(F.collect_list(hit).alias("hits"))
     return written(hits.mapInArrow(ranges_of, RANGES), "substring-ranges")
 
 
 def asked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """The texts that have ranges or lent some, with both lists: doc_id, mark, text, own, lent."""
-    own = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "src", "src_mark", "src_at")).alias("own"))
-    lent = ranges.select(F.col("src").alias("doc_id"), F.col("src_mark").alias("mark"), F.struct(F.col("src_at").alias("at"), "n").alias("x")).distinct().groupBy("doc_id", "mark").agg(F.collect_list("x").alias("lent"))
-    both = own.join(lent, ["doc_id", "mark"], "full").withColumnsRenamed({"doc_id": "d_", "mark": "m_"})
+    own = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "src", "h")).alias("own")).withColumnsRenamed({"doc_id": "d_", "mark": "m_"})
+    lent = ranges.select("src", "h", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("h", "n")).alias("lent"))
     crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
-    return docs.select("doc_id", "text", crc.alias("mark")).join(both, (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))).select("doc_id", "mark", "text", "own", "lent")
-
-
-PLACES = ["doc_id", "mark", "at", "n", "src", "src_mark", "src_at"]
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", crc.alias("mark"))
+    # one list of requests by document, so that texts are dealt once
+    both = own.groupBy("d_").agg(F.map_from_entries(F.collect_list(F.struct("m_", "own"))).alias("owns")).join(lent, F.col("d_") == F.col("src"), "full")
+    # written, so that the planner knows its size: few requests meet the texts without a shuffle of those
+    both = written(both.select(F.coalesce("d_", "src").alias("d_"), "owns", "lent"), "substring-requests")
+    met = texts.join(both, F.col("doc_id") == F.col("d_")).select("doc_id", "mark", "text", F.col("owns")[F.col("mark")].alias("own"), "lent")
+    return met.where("own is not null or lent is not null")
 
 
 def verified(docs: DataFrame, ranges: DataFrame, with_text: bool) -> tuple[DataFrame, DataFrame]:
-    """What the texts answer, and the ranges whose words are not those of their source."""
+    """What the texts keep, and the ranges whose words are not those of their source. Equal ranges with equal words are
+    compared once."""
     answers = written(asked(docs, ranges).mapInArrow(answered(with_text), ANSWERS), "substring-answers")
-    place = ["src", "src_mark", "src_at", "n"]
-    there = answers.where("kind = 2").select(*[F.col(c).alias(f"{c}_") for c in place], F.col("digest").alias("digest_")).distinct()
-    same = reduce(lambda x, c: x & (F.col(c) == F.col(f"{c}_")), place, F.col("digest") == F.col("digest_"))
-    wrong = answers.where("kind = 1").join(there.hint("merge"), same, "left_anti").select(*PLACES).distinct()
-    return answers.where("kind = 0"), written(wrong, "substring-unverified")
+    place = ["src", "h", "n", "digest"]
+    there = answers.where("kind = 2").select(*[F.col(c).alias(f"{c}_") for c in place]).distinct()
+    same = reduce(lambda x, c: x & (F.col(c) == F.col(f"{c}_")), place, F.lit(True))
+    false = written(answers.where("kind = 1").select(*place).distinct().join(there, same, "left_anti"), "substring-unverified")
+    keys = false.select(*[F.col(c).alias(f"{c}_") for c in place])
+    return answers.where("kind = 0"), answers.where("kind = 1").join(keys, same, "left_semi").select(*PLACES).distinct()
+
+
+def windows_in(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Ranges taken apart into their windows, each with its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, mark, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text", "own"))):
+                h = rolled(word_hashes(split_words(text)[1]), WINDOW, K1).view(np.int64)
+                rows += [(i, mark, at, 1, x["src"], int(h[at])) for x in own or [] for at in range(x["at"], x["at"] + x["n"])]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], PLACES)
+
+    return asked(docs, ranges).mapInArrow(run, RANGES).distinct()
 
 
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -280,14 +313,12 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     ranges = shared_windows(narrow, info)
     cut, wrong = verified(narrow, ranges, with_text)
     if not wrong.isEmpty():
-        # hashes that met by chance: such ranges are verified window by window, and their texts cut again
-        one = wrong.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        one = one.select("doc_id", "mark", (F.col("at") + F.col("i")).alias("at"), F.lit(1).alias("n"), "src", "src_mark", (F.col("src_at") + F.col("i")).alias("src_at"))
-        one = written(one, "substring-single")
-        _, false = verified(narrow, one, False)
+        # hashes that met by chance, or a source with gaps: such ranges are verified window by window, by the texts' own hashes
+        singles = written(windows_in(narrow, wrong), "substring-single")
+        _, false = verified(narrow, singles, False)
         bad = wrong.select(F.col("doc_id").alias("d_"), F.col("mark").alias("m_")).distinct()
         on = (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))
-        true = written(ranges.join(bad, on, "left_semi").exceptAll(wrong).unionByName(one.exceptAll(false)), "substring-true")
+        true = written(ranges.join(bad, on, "left_semi").exceptAll(wrong).unionByName(singles.exceptAll(false)), "substring-true")
         again, _ = verified(narrow, true, with_text)
         cut = cut.join(bad, on, "left_anti").unionByName(again)
     cut = cut.select("doc_id", "mark", "n_words", "n_removed", F.col("digest").alias("kept_sha256"), "kept_text")

@@ -244,6 +244,28 @@ def test_jaccard_links_by_brute_force(spark, monkeypatch):
     assert kept == {c for c, _, _ in got.values()}
 
 
+def test_join_finds_every_link_of_a_larger_table(spark):
+    """Recall at the threshold: all pairs of the table that share a rare shingle, against the join's links."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        texts.setdefault(r.text or "", r.doc_id)
+    sets = {i: set(njoin.shingles(t.encode().split()).tolist()) for t, i in texts.items() if t.split()}
+    seen = collections.Counter(h for s in sets.values() for h in s)
+    met, links = collections.defaultdict(list), collections.Counter()
+    for i, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        rare = sorted(s, key=lambda h: (seen[h], h))[: len(s) - -(-len(s) * 8 // 10) + 1]  # two similar sets share one of these
+        for j in {j for h in rare for j in met[h]}:
+            both = len(s & sets[j])
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                links[i] += 1
+                links[j] += 1
+        for h in rare:
+            met[h].append(i)
+    got = {r.text_id: r.n_links for r in njoin.op9_ngram_jaccard_join(docs).collect() if r.n_links}
+    assert got == dict(links) and len(links) > 20
+
+
 def test_components(spark):
     random.seed(9)
     edges = [(random.randint(0, 400), random.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1100)]
