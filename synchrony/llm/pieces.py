@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Segments up to this length are remembered, at most so many per worker, and so many pairs of tokens: some 40 MB together.
-#: A memory that is full is emptied.
-SHORT, REMEMBERED, PAIRS = 48, 60_000, 120_000
+#: Segments up to this length are remembered with their ids: per worker the newest so many and those used since, in two
+#: generations (some 50 MB), and so many pairs of tokens (some 30 MB).
+SHORT, REMEMBERED, PAIRS = 48, 120_000, 180_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float, str]]:
@@ -217,15 +217,51 @@ def model_vocabulary(spark: SparkSession, path: str | None):
     return spark.sparkContext.broadcast(vocabulary(path or public_tokenizers.path("piece_bpe_32k.model")))
 
 
-_TABLES: dict[int, tuple[PrefixTable, dict]] = {}
-
-
-def table_of(vocab) -> tuple[PrefixTable, dict]:
+class Memory:
+    """Ids of segments, as text. When the younger generation is full it becomes the older one, which is forgotten; what is
+    asked for again moves to the younger. Segments that do not decode to themselves are kept apart, with what they give."""
+
+    def __init__(self, coder: PrefixTable):
+        self.coder = coder
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+
+    def ids(self, segment: str) -> str:
+        """Ids of a segment that the younger generation does not hold."""
+        found = self.old.get(segment)
+        if found is None:
+            coder = self.coder
+            known = [coder.ids.get(t) for t in coder.tokens(segment)]
+            if None not in known:  # pieces join to the segment again
+                found, text = ",".join(map(str, known)), segment.replace(SPACE, " ")
+            else:
+                ids = coder.encode_segment(segment)
+                found = ",".join(map(str, ids))
+                # byte tokens never cross a segment, so segments decode one by one; the leading mark is put back for decode()
+                text = coder.decode([coder.ids[SPACE], *ids])
+            if text != segment.replace(SPACE, " "):
+                if len(self.odd) >= REMEMBERED or len(segment) > SHORT:
+                    self.odd.clear()
+                self.odd[segment] = text
+                return found  # looked at again each time, so that its text is at hand
+        if len(segment) <= SHORT:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[segment] = found
+        return found
+
+
+_TABLES: dict[int, tuple[PrefixTable, Memory]] = {}
+
+
+def table_of(vocab) -> tuple[PrefixTable, Memory]:
     """The worker's own prefix table and memory of segments for a broadcast vocabulary."""
     key = hash(tuple(vocab.value))
     if key not in _TABLES:
         _TABLES.clear()  # one vocabulary at a time
-        _TABLES[key] = PrefixTable(vocab.value), {}
+        coder = PrefixTable(vocab.value)
+        _TABLES[key] = coder, Memory(coder)
     return _TABLES[key]
 
 
@@ -254,32 +290,31 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_sentencepiece(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digests of ids and decoded text, without keeping either: each segment is remembered with its id string, its
-    number of tokens and its decoded text."""
+    """Digests of ids and decoded text, without keeping either: each segment is remembered with its ids."""
     vocab = model_vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder, memory = table_of(vocab)
         sha = hashlib.sha256
-
-        def coded(segment: str) -> tuple[str, int, str]:
-            ids = coder.encode_segment(segment)
-            # byte tokens never cross a segment, so segments decode one by one; the leading mark is put back for decode()
-            text = coder.decode([coder.ids[SPACE], *ids])
-            got = ",".join(map(str, ids)), len(ids), text
-            if len(segment) <= SHORT:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                memory[segment] = got
-            return got
-
         for pdf in batches:
             out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
             for text in pdf["text"]:
-                parts = [memory.get(s) or coded(s) for s in coder.segments(text or "")]
-                out["n_tokens"].append(sum([p[1] for p in parts]))
-                out["ids_sha256"].append(sha(",".join([p[0] for p in parts]).encode()).hexdigest())
-                out["decoded_sha256"].append(sha("".join([p[2] for p in parts])[1:].encode()).hexdigest())
+                segments = coder.segments(text or "")
+                young, more = memory.young, memory.ids
+                ids, odd = [], {}
+                for s in segments:
+                    found = young.get(s)
+                    if found is None:
+                        found = more(s)
+                        young = memory.young
+                        if s in memory.odd:
+                            odd[s] = memory.odd[s]
+                    ids.append(found)
+                joined = ",".join(ids)
+                plain = [odd.get(s) or s.replace(SPACE, " ") for s in segments] if odd else segments
+                out["n_tokens"].append(joined.count(",") + 1 if joined else 0)
+                out["ids_sha256"].append(sha(joined.encode()).hexdigest())
+                out["decoded_sha256"].append(sha("".join(plain).replace(SPACE, " ")[1:].encode()).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **out})
 
     return docs.select("doc_id", F.col("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
