@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import mixing, njoin, pieces, quality, revisits, secrets, sharding, substrings, topk, toxicity
+from . import hamming, lexical, mixing, njoin, phrases, pieces, quality, revisits, secrets, sharding, substrings, topk, toxicity
 from .common import table
 
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": lambda s, d: sharding.op8_sharding(table(s, d, "documents")),
         "op9_ngram_jaccard_join": lambda s, d: njoin.op9_ngram_jaccard_join(table(s, d, "documents")),
         "op10_warc_revisits": lambda s, d: revisits.op10_warc_revisits(table(s, d, "pages")),
+        "op11_hamming_search": lambda s, d: hamming.op11_hamming_search(table(s, d, "embeddings")),
+        "op12_lexical_search": lambda s, d: lexical.op12_lexical_search(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op13_phrase_mining": lambda s, d: phrases.op13_phrase_mining(table(s, d, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -35,4 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substrings.ORACLE,
         "op8_sharding": sharding.ORACLE,
         "op10_warc_revisits": revisits.ORACLE,
+        "op12_lexical_search": lexical.ORACLE,
+        "op13_phrase_mining": phrases.ORACLE,
     }
