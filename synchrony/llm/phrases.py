@@ -1,15 +1,15 @@
 """Phrase collocation mining by Rabin-Karp fingerprints.
 
 Per language, the words of every piece of text are numbered and hashed, and prefix polynomials over these hashes give the
-fingerprint of every run of n words in one subtraction. Level by level a task counts its fingerprints, and one shuffle adds
-up the counts. A run goes on only where both runs of n - 1 words inside it may be frequent: the frequent fingerprints of
-the level before come back as a bitmap of 32 bits for each of them, which lets some others through and loses none. The
-texts are read once more for the level after, and there each frequent fingerprint is verified: every occurrence is held
-against the words at the first place that the task has for it (its pointer), a run that differs is counted as what it is,
-and only these phrases are written out as text. The final counts are those of phrases as text, so fingerprints that meet
-by chance decide nothing; pointers do not leave their task.
-
-A bitmap has at most ``MOST_BITS`` (32 MB); with more than 8 million frequent runs on a level it lets more others through,
+fingerprint of every run of n words in one subtraction. A task counts its fingerprints, and one shuffle adds up the counts:
+first of words, then of pairs of frequent words, then of longer runs all of whose pairs are frequent. What is frequent comes
+back as a bitmap of 32 bits for each fingerprint, which lets some others through and loses none. The next reading of the
+texts verifies: every occurrence of a frequent fingerprint is held against the words at the first place that the task
+has for it (its pointer), a run that differs is counted as what it is, and only these phrases are written out as text.
+The final counts are those of phrases as text, so fingerprints that meet by chance decide nothing; pointers do not leave
+their task.
+
+A bitmap has at most ``MOST_BITS`` (32 MB); with more than 8 million frequent runs in one it lets more others through,
 which costs shuffle and changes no result. Counts leave a task pre-added, so a common phrase is one row per task and flush.
 
 Defined cases: null texts equal empty ones; a null lang is ``und`` and joins that language; rows that repeat a text or a
@@ -134,56 +134,87 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[Runs]:
         yield Runs(texts, langs)
 
 
-def counted(n: int, longest: int, before):
-    """Counts of level n by fingerprint, and of the phrases of level n - 1 whose fingerprint may be frequent."""
+class Pass:
+    """What one reading of the texts counts. ``chain``: a level and the bitmap of its frequent runs; only runs all of whose
+    runs of that level may be frequent are looked at. ``fresh``: levels counted by fingerprint. ``proven``: levels whose
+    phrases are counted, where the bitmap (of the chain, or another) holds their fingerprint."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, fresh: list[int], proven: list[int] = [], chain=None, bits=None):
+        self.fresh, self.proven, self.chain, self.bits = fresh, proven, chain, bits
+
+    def starts(self, runs: Runs):
+        """Where runs of n words start, as a function of n."""
+        if self.chain is None:
+            return runs.at
+        m, bits = self.chain
+        at = runs.at(m)
+        at = at[may_be(bits.value, runs.prints(at, m))]
+        good = np.zeros(len(runs.room) + LONGEST * 8, bool)
+        good[at] = True
+
+        def of(n: int) -> np.ndarray:
+            out = at
+            for k in range(1, n - m + 1):
+                out = out[good[out + k]]
+            return out[runs.room[out] >= n]
+
+        return of
+
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         size, phrases = 0, Counter()
         for runs in together(batches):
-            if n == 1:
+            starts = self.starts(runs)
+            if self.chain is None:
                 for lang, words in enumerate(np.bincount(runs.lang[runs.room > 0], minlength=len(runs.langs)).tolist()):
                     phrases[runs.langs[lang], None] += words
-                at = runs.at(1)
-            else:
-                at = runs.at(n - 1)
-                prints = runs.prints(at, n - 1)
-                good = may_be(before.value, prints)
-                at, prints = at[good], prints[good]
-                phrases += runs.verified(at, prints, n - 1)
-                # the run goes on where its second half may be frequent too
-                at = at[np.append(at[1:] == at[:-1] + 1, False)] if len(at) else at
-                at = at[runs.room[at] >= n]
+            for n in self.proven:
+                at = starts(n)
+                prints = runs.prints(at, n)
+                if self.bits is not None:
+                    good = may_be(self.bits.value, prints)
+                    at, prints = at[good], prints[good]
+                phrases.update(runs.verified(at, prints, n))
             if len(phrases) >= KEPT_PHRASES:
                 yield named(phrases)
                 phrases = Counter()
-            if n <= longest:
-                waiting.append(runs.prints(at, n))
-                size += len(at)
-                if size >= KEPT_RUNS:
-                    yield rows(*np.unique(np.concatenate(waiting), return_counts=True))
-                    waiting, size = [], 0
+            for n in self.fresh:
+                waiting.append(runs.prints(starts(n), n))
+                size += len(waiting[-1])
+            if size >= KEPT_RUNS:
+                yield rows(*np.unique(np.concatenate(waiting), return_counts=True))
+                waiting, size = [], 0
         if phrases:
             yield named(phrases)
         if size:
             yield rows(*np.unique(np.concatenate(waiting), return_counts=True))
 
-    return run
-
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """lang, phrase, f of all phrases of up to ``longest`` words with ``least`` occurrences, and lang, n of all languages."""
+    """lang, phrase, f of all phrases of up to ``longest`` words with ``least`` occurrences, and lang, n of all languages. The
+    texts are read four times: words; pairs of frequent words; longer runs of frequent pairs; the phrases of those."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    levels, before, context = [], None, docs.sparkSession.sparkContext
-    for n in range(1, longest + 2):
-        found = texts.mapInArrow(counted(n, longest, before), COUNTS).repartition("fp", "lang", "phrase").groupBy("fp", "lang", "phrase").agg(F.sum("n").alias("n"))
-        kept = written(found.where((F.col("n") >= least) | (F.col("fp").isNull() & F.col("phrase").isNull())), f"phrases-{n}")
-        levels.append(kept.where("fp is null"))
-        if n <= longest:
+    context, results = docs.sparkSession.sparkContext, []
+
+    def read(what: Pass):
+        """Counts of one reading; the bitmap of the frequent ones among its fingerprints."""
+        found = texts.mapInArrow(what.count, COUNTS).repartition("fp", "lang", "phrase").groupBy("fp", "lang", "phrase").agg(F.sum("n").alias("n"))
+        kept = written(found.where((F.col("n") >= least) | (F.col("fp").isNull() & F.col("phrase").isNull())), "phrases")
+        results.append(kept.where("fp is null").select("lang", "phrase", "n"))
+        if what.fresh:
             prints = kept.where("fp is not null").select("fp")
             bits = min(MOST_BITS, 1 << max(16, (BITS_EACH * prints.count()).bit_length()))
-            before = context.broadcast(bitmap(prints, bits))
-    return reduce(DataFrame.unionByName, levels[1:]).select("lang", "phrase", F.col("n").alias("f")), levels[0].select("lang", "n")
+            return context.broadcast(bitmap(prints, bits))
+
+    words = read(Pass([1]))
+    pairs = read(Pass([2] if longest > 1 else [], [1], (1, words)))
+    if longest > 1:
+        more = list(range(3, longest + 1))
+        runs = read(Pass(more, [2], (2, pairs)))
+        if more:
+            read(Pass([], more, (2, pairs), runs))
+    phrases = reduce(DataFrame.unionByName, results[1:]).withColumnRenamed("n", "f")
+    return phrases, results[0].select("lang", "n")
 
 
 def exact(column: str, digits: int) -> Column:

@@ -170,7 +170,7 @@ def phrase_docs(spark, docs):
     return spark.createDataFrame([(i, t, lang, 1, "p", "w", 3) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string, n long, phrase string, words string, fp int")
 
 
-@pytest.mark.parametrize("setting", [dict(longest=5, least=4, top=2000, covered=100), dict(longest=4, least=3, top=7, covered=60)])
+@pytest.mark.parametrize("setting", [dict(longest=5, least=4, top=2000, covered=100), dict(longest=4, least=3, top=7, covered=60), dict(longest=2, least=3, top=50, covered=100), dict(longest=7, least=4, top=500, covered=90)])
 def test_phrases_by_brute_force(spark, setting):
     random.seed(8)
     word = lambda: random.choice(["Of", "the", "new", "york", "city", "a", "a", "ÉTÉ", "été", "x\x0by", "don't"])
@@ -197,14 +197,11 @@ def test_small_portions_and_flushes_change_nothing(spark, monkeypatch):
     source = phrase_docs(spark, docs)
     whole = phrases.collocations(source, least=4).collect()
 
-    def tiny(n, longest, before, make=phrases.counted):
-        def run(batches):
-            phrases.KEPT_RUNS, phrases.KEPT_PHRASES, phrases.TOGETHER = 50, 3, 100
-            yield from make(n, longest, before)(batches)
+    def tiny(self, batches, count=phrases.Pass.count):
+        phrases.KEPT_RUNS, phrases.KEPT_PHRASES, phrases.TOGETHER = 50, 3, 100
+        yield from count(self, batches)
 
-        return run
-
-    monkeypatch.setattr(phrases, "counted", tiny)
+    monkeypatch.setattr(phrases.Pass, "count", tiny)
     assert phrases.collocations(source, least=4).collect() == whole
 
 
