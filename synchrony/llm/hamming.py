@@ -110,10 +110,22 @@ FLIPS = np.argsort(np.bitwise_count(np.arange(1 << 16, dtype=np.uint16)), kind="
 WITHIN = np.cumsum([math.comb(16, i) for i in range(17)])
 
 
+def summed(row: np.ndarray, query: np.ndarray) -> float:
+    """The inner product, correctly rounded; beyond the range of doubles infinite, and 0 where infinities cancel."""
+    with np.errstate(all="ignore"):
+        products = (row * query).tolist()
+    try:
+        return math.fsum(products) + 0.0
+    except (OverflowError, ValueError):
+        return float(np.nan_to_num(np.sum(np.asarray(products)), nan=0.0, posinf=np.inf, neginf=-np.inf))
+
+
 class Shard:
     def __init__(self, ids, codes, vectors, postings, starts):
         self.ids, self.codes, self.vectors, self.postings, self.starts = ids, codes, vectors, postings, starts
         self.values = [np.flatnonzero(np.diff(s)).astype(np.uint16) for s in starts]
+        with np.errstate(all="ignore"):
+            self.top = 0.0 if vectors is None else np.sqrt((vectors * vectors).sum(axis=1).max(initial=0))
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
         """Positions of every code within the radius."""
@@ -137,25 +149,17 @@ class Shard:
         found = np.flatnonzero(mark)
         return found[np.bitwise_count(self.codes[found] ^ code) <= radius]
 
-
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[float, int, int]]:
-    """The k best (score, id, position): rows that can be among them by their rounded score are summed exactly."""
-    others = np.flatnonzero(ids != query_id)
-    with np.errstate(all="ignore"):
-        rough = np.nan_to_num((vectors @ query)[others], nan=0.0, posinf=np.inf, neginf=-np.inf)
-        slack = 1e-9 * np.sqrt((query * query).sum()) * np.sqrt((vectors[others] ** 2).sum(axis=1).max(initial=0))
-    if len(others) > k:
-        keep = rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack
-        others = others[keep] if np.isfinite(slack) else others
-    def total(row: np.ndarray) -> float:
-        products = (row * query).tolist()
-        try:
-            return math.fsum(products) + 0.0
-        except (OverflowError, ValueError):
-            return float(np.nan_to_num(np.sum(np.asarray(products)), nan=0.0, posinf=np.inf, neginf=-np.inf))
-
-    scores = [(total(vectors[i]), int(ids[i]), int(i)) for i in others]
-    return sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
+    def nearest(self, at: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The k best (score, id) at these positions: rows that can be among them by their rounded score are summed exactly."""
+        at = at[self.ids[at] != query_id]
+        if len(at) > k:
+            with np.errstate(all="ignore"):
+                rough = np.nan_to_num(self.vectors[at] @ query, nan=0.0, posinf=np.inf, neginf=-np.inf)
+                slack = 1e-9 * np.sqrt((query * query).sum()) * self.top
+            if np.isfinite(slack):
+                at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+        scores = [(summed(self.vectors[i], query), int(self.ids[i])) for i in at]
+        return sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
 
 
 class HammingIndex:
@@ -246,7 +250,7 @@ class HammingIndex:
                 q = matrix(v, width)
                 for query_id, code, query in zip(questions.column("vec_id").to_pylist(), coder.value.codes(q, query=True), q):
                     at = shard.within(code, radius)
-                    for score, vec_id, _ in nearest(ids[at], shard.vectors[at], query_id, query, k):
+                    for score, vec_id in shard.nearest(at, query_id, query, k):
                         out[0].append(query_id), out[1].append(vec_id), out[2].append(score)
             return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
