@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 
 
-def average_rank(rows: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
-    """+ average rank inside each group: equal values share the mean of their places."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn(name, F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, column)) - 1) / 2)
+def value_ranks(cells: DataFrame, column: str, keys: list[str], name: str) -> DataFrame:
+    """keys, column, name: the average rank of each distinct value inside its group, less the mean rank, from a table of
+    counts (n). Values are put in order, not rows."""
+    per = cells.groupBy(*keys, column).agg(F.sum("n").alias("n_"))
+    below = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.sum("n_").over(below) - (F.col("n_") - 1) / 2 - (F.sum("n_").over(Window.partitionBy(*keys)) + 1) / 2
+    return per.select(*keys, column, rank.alias(name))
 
 
 def rating_pairs(ratings: DataFrame) -> DataFrame:
@@ -22,8 +25,14 @@ def rating_pairs(ratings: DataFrame) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    rows = average_rank(average_rank(pairs, "a", keys, "ra"), "b", keys, "rb")
-    return rows.groupBy(*keys).agg(F.corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    """Spearman's correlation of a and b inside each group, with average ranks; pairs with a null do not take part. Rows
+    are counted by their values first, so a group costs as many cells as it has value pairs; null where one side does not
+    vary."""
+    cells = pairs.where(F.col("a").isNotNull() & F.col("b").isNotNull()).groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    rows = cells.join(value_ranks(cells, "a", keys, "ra"), [*keys, "a"]).join(value_ranks(cells, "b", keys, "rb"), [*keys, "b"])
+    s = lambda x, y: F.sum(F.col("n") * F.col(x) * F.col(y))
+    per = rows.groupBy(*keys).agg(s("ra", "rb").alias("ab_"), s("ra", "ra").alias("aa_"), s("rb", "rb").alias("bb_"), F.sum("n").alias("n"))
+    return per.select(*keys, F.try_divide(F.col("ab_"), F.sqrt(F.col("aa_")) * F.sqrt(F.col("bb_"))).alias("spearman"), "n")
 
 
 def srocc_by_strata(pairs: DataFrame, strata: list[str]) -> DataFrame:

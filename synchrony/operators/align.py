@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.tokens import indel_ratio_arrow, may_reach, normalize_word, token_set_ratio
 from ..sources.shared import settled
+from .scoring import weighted_median
 from .timejoin import bucketed_range_join, nearest_frame, nearest_segment, scene_at
 
 CASES = ("A", "B", "C", "E", "G", "F")
@@ -270,25 +271,73 @@ def scene_cascade(scenes: DataFrame, tracks: list[DataFrame]) -> DataFrame:
     return out.select("video_id", "scene_id", kind.alias("match_type"), F.when(own, F.col("b.delta_narr_vis")).alias("delta_narr_vis"), F.when(own, F.col("b.match_track")).alias("match_track"), F.when(own, F.coalesce("b.alpha", F.lit(0.0))).alias("alpha"))
 
 
-def keyword_grounding(keywords: DataFrame, hits: DataFrame, ocr: DataFrame, detections: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
-    """Second generation: nearest token match within 60 s, else the surest detection within 30 s, else the best vector
-    similarity within 30 s above 0.15, else a yes/no answer. detections, vectors: video_id, keyword_id, t, value; asked:
-    video_id, keyword_id, t, yes."""
-    able = keywords.where(F.col("groundability") != "LOW").select("video_id", "keyword_id", "t_narr")
-    t = F.col("t_narr")
-    met = bucketed_range_join(hits, ocr, t - 60, t + 60, "frame_time", 60.0, ("video_id", "tok"))
-    text = met.groupBy("video_id", "keyword_id").agg(F.min(F.struct(F.abs(F.col("frame_time") - t).alias("d"), "frame_time")).alias("b")).select("video_id", "keyword_id", F.col("b.frame_time").alias("t_vis"), F.lit("text").alias("method"), F.lit(1.0).alias("confidence"), F.lit(0).alias("rank_"))
-
-    def strongest(table: DataFrame, name: str, rank: int, least: float, weight: float) -> DataFrame:
-        near = able.join(table, ["video_id", "keyword_id"]).where((F.abs(F.col("t") - t) <= 30) & (F.col("value") > least))
-        best = near.groupBy("video_id", "keyword_id").agg(F.max_by("t", F.struct("value", -F.abs(F.col("t") - t))).alias("t_vis"))
-        return best.select("video_id", "keyword_id", "t_vis", F.lit(name).alias("method"), F.lit(weight).alias("confidence"), F.lit(rank).alias("rank_"))
-
-    yes = able.join(asked.where("yes"), ["video_id", "keyword_id"]).groupBy("video_id", "keyword_id").agg(F.min("t").alias("t_vis")).select("video_id", "keyword_id", "t_vis", F.lit("asked").alias("method"), F.lit(0.2).alias("confidence"), F.lit(3).alias("rank_"))
-    rows = text.unionByName(strongest(detections, "detection", 1, 0.0, 0.7)).unionByName(strongest(vectors, "vector", 2, 0.15, 0.4)).unionByName(yes)
-    best = rows.groupBy("video_id", "keyword_id").agg(F.min_by(F.struct("t_vis", "method", "confidence"), "rank_").alias("b"))
-    out = able.join(best, ["video_id", "keyword_id"], "left")
-    return out.select("video_id", "keyword_id", F.coalesce("b.method", F.lit("none")).alias("method"), F.coalesce("b.confidence", F.lit(0.0)).alias("confidence"), (t - F.col("b.t_vis")).alias("delta_narr_vis"))
+#: Of the grounding steps: weight of a confidence in a segment, and the confidence of each method.
+CONFIDENCE_WEIGHTS = {"HIGH": 1.0, "MEDIUM": 0.7, "LOW": 0.4, "VERY_LOW": 0.2}
+METHODS = {"ocr": "HIGH", "grounding_dino": "MEDIUM", "siglip_contextual": "LOW", "vlm_classification": "LOW"}
+
+
+def keyword_grounding(
+    keywords: DataFrame, hits: DataFrame, ocr: DataFrame, detections: DataFrame, vectors: DataFrame, asked: DataFrame, transient: DataFrame | None = None, least: float = 0.15, sigma: float = 15.0
+) -> DataFrame:
+    """Second generation, step by step until one finds the keyword; keywords (video_id, keyword_id, t_narr, groundability)
+    of LOW groundability are skipped:
+
+    1. the nearest frame within 60 s that shows every word of the keyword (``hits`` from ``token_hits``);
+    2. within 30 s the detection with the highest confidence: detections (video_id, keyword_id, t, value, area);
+    3. within 30 s the picture with the highest similarity times nearness (a bell of ``sigma``), if its similarity itself
+       is above ``least``: vectors (video_id, keyword_id, t, value);
+    4. for HIGH groundability only, the first picture within 30 s that was said to show it: asked (video_id, keyword_id, t,
+       yes); such a finding is flagged for review.
+
+    A null t_narr counts as 0 and leaves the gap null. Findings of steps 2 to 4 can be marked transient by a table
+    (video_id, keyword_id, is_transient), as from a check of neighbouring frames; without it none is. Of equal ones the
+    earliest counts."""
+    able = keywords.where(F.col("groundability") != "LOW").select("video_id", "keyword_id", "groundability", F.coalesce("t_narr", F.lit(0.0)).alias("at_"))
+    key = ["video_id", "keyword_id"]
+    spoken = hits.drop("t_narr").join(able.select(*key, "at_"), key)
+    shown = frame_matches(spoken, ocr, F.col("at_") - 60, F.col("at_") + 60).where("full").join(able.select(*key, "at_"), key)
+    found = shown.groupBy(*key).agg(F.min(F.struct(F.abs(F.col("frame_time") - F.col("at_")).alias("d"), "frame_time")).alias("b"))
+    rows = found.select(*key, F.col("b.frame_time").alias("t_vis"), F.lit(0).alias("step"), F.lit("ocr").alias("method"), F.lit(None).cast("double").alias("bbox_area"))
+
+    def near(table: DataFrame) -> DataFrame:
+        return able.join(table, key).where(F.abs(F.col("t") - F.col("at_")) <= 30)
+
+    def step(best: DataFrame, number: int, method: str, area: Column) -> DataFrame:
+        return best.select(*key, F.col("b.t").alias("t_vis"), F.lit(number).alias("step"), F.lit(method).alias("method"), area.cast("double").alias("bbox_area"))
+
+    seen = near(detections).where("value > 0").groupBy(*key).agg(F.max(F.struct("value", (-F.col("t")).alias("m"), "t", "area")).alias("b"))
+    weighted = F.col("value") * S.bell(F.col("t") - F.col("at_"), sigma)
+    alike = near(vectors).groupBy(*key).agg(F.max(F.struct(F.round(weighted, 12).alias("w"), (-F.col("t")).alias("m"), "t", "value")).alias("b")).where(F.col("b.value") > least)
+    said = near(asked.where("yes")).where("groundability = 'HIGH'").groupBy(*key).agg(F.min(F.struct("t")).alias("b"))
+    none = F.lit(None)
+    for more in (step(seen, 1, "grounding_dino", F.col("b.area")), step(alike, 2, "siglip_contextual", none), step(said, 3, "vlm_classification", none)):
+        rows = rows.unionByName(more)
+    best = rows.groupBy(*key).agg(F.min(F.struct("step", "t_vis", "method", "bbox_area")).alias("b"))
+    out = keywords.select(*key, "t_narr", "groundability").join(best, key, "left")
+    method = F.coalesce("b.method", F.when(F.col("groundability") == "LOW", "skipped_low_groundability").otherwise("not_found"))
+    confidence = F.coalesce(*[F.when(F.col("b.method") == m, c) for m, c in METHODS.items()], F.lit("NONE"))
+    passing = F.lit(False)
+    if transient is not None:
+        out = out.join(transient.select(*key, F.col("is_transient").alias("passing_")).groupBy(*key).agg(F.max("passing_").alias("passing_")), key, "left")
+        passing = F.coalesce("passing_", F.lit(False)) & F.coalesce(F.col("b.step") > 0, F.lit(False))
+    return out.select(
+        *key, "groundability", "t_narr", F.col("b.t_vis").alias("t_vis"), (F.col("b.t_vis") - F.col("t_narr")).alias("delta_t"), method.alias("method"), confidence.alias("confidence"),
+        F.col("b.bbox_area").alias("bbox_area"), passing.alias("is_transient"), F.col("b.t_vis").isNotNull().alias("is_visual"), F.coalesce(F.col("b.step") == 3, F.lit(False)).alias("flag_for_review"),
+    )
+
+
+def grounding_by_segment(grounded: DataFrame) -> DataFrame:
+    """Per segment, from grounded keywords with segment_id: counts, mean and deviation of gaps, and the gap at which the
+    confidence of the smaller ones first holds half of all."""
+    d, visual = F.col("delta_t"), F.col("is_visual")
+    weight = F.coalesce(*[F.when(F.col("confidence") == c, w) for c, w in CONFIDENCE_WEIGHTS.items()], F.lit(0.5))
+    keys = ("video_id", "segment_id")
+    per = grounded.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_keywords"), F.count_if(F.col("groundability") != "LOW").alias("n_groundable"), F.count_if(visual).alias("n_grounded"), F.count_if(~visual).alias("n_not_visual"),
+        F.avg(d).alias("delta_t_mean"), F.stddev_pop(d).alias("delta_t_std"),
+    )
+    middle = weighted_median(grounded.where(d.isNotNull()).withColumn("cw_", weight), "delta_t", "cw_", keys)
+    return per.join(middle.withColumnRenamed("weighted_median", "delta_t_weighted_median"), list(keys), "left")
 
 
 def monotonic_violations(align: DataFrame, slack: float = 10.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..sources.shared import settled
-from .agreement import average_rank
+from .agreement import spearman
 from .text import discourse_signal_score, instructional_verb_score
 
 FEATURES = ("kw_density", "speech_rate", "word_count", "instr_verb", "discourse", "first_mention")
@@ -112,15 +112,18 @@ def sensitivity_sweep(features: DataFrame, configs: list[tuple]) -> DataFrame:
     rows = rated_by_config(settled(features, "importance-features"), configs)
     first = F.max(F.when(F.col("config") == configs[0][0], F.col("importance")))
     both = rows.withColumn("base", first.over(Window.partitionBy("video_id", "segment_id")))
-    ranked = average_rank(average_rank(both, "importance", ["video_id", "config"], "ra"), "base", ["video_id", "config"], "rb")
-    return ranked.groupBy("video_id", "config").agg(
+    both = settled(both, "importance-by-config")
+    keys = ["video_id", "config"]
+    per = both.groupBy(*keys).agg(
         F.avg("score").alias("mean_score"),
         F.stddev_samp("score").alias("std_score"),
         F.avg("importance").alias("mean_importance"),
-        F.when(F.count(F.lit(1)) > 2, F.corr("ra", "rb")).otherwise(1.0).alias("rank_corr"),
         (100 * F.avg((F.col("importance") == F.col("base")).cast("double"))).alias("pct_same"),
         F.max(F.abs(F.col("importance") - F.col("base"))).alias("max_change"),
     )
+    ranked = spearman(both.select(*keys, F.col("importance").alias("a"), F.col("base").alias("b")), keys)
+    out = per.join(ranked, keys, "left").withColumn("rank_corr", F.when(F.col("n") > 2, F.col("spearman")).otherwise(1.0))
+    return out.select(*keys, "mean_score", "std_score", "mean_importance", "rank_corr", "pct_same", "max_change")
 
 
 def scoring_sensitivity(scored: DataFrame, features: DataFrame, configs: list[tuple]) -> DataFrame:

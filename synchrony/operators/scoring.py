@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .timejoin import nearest_segment
 
 def is_matched() -> Column:
     return F.col("match_case") != "F"
@@ -265,16 +266,64 @@ def video_aggregates(events: DataFrame) -> DataFrame:
     )
 
 
-def score_scenes_v21(events: DataFrame, importance: DataFrame, tau: float = S.TAU) -> DataFrame:
-    """Second generation: Gaussian score of the gap, weighted by the importance of the nearest segment."""
-    out = scorable(events).withColumn("S_temporal", F.when(F.col("match_type") == "no_match", 0.0).otherwise(100 * S.bell(F.col("delta_t"), tau)))
-    out = out.join(importance.select("video_id", "segment_id", "importance"), ["video_id", "segment_id"], "left")
-    w = S.weight(F.coalesce("importance", F.lit(3)), F.lit("llm"))
-    return out.withColumn("w", w).groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.avg("S_temporal").alias("mean_S"),
-        F.try_divide(F.sum(F.col("S_temporal") * F.col("w") * F.col("alpha")), F.sum(F.col("w") * F.col("alpha"))).alias("weighted_S"),
+def scores_v21(rows: DataFrame, tau: float = S.TAU) -> DataFrame:
+    """Second generation: + S_temporal (a bell of the gap, null without one) and zone, for scenes or keywords with delta_t."""
+    return rows.withColumns({"S_temporal": F.when(F.col("delta_t").isNotNull(), 100 * S.bell(F.col("delta_t"), tau)), "zone": F.coalesce(S.symmetric_zone(F.col("delta_t")), F.lit("No Match"))})
+
+
+def score_scenes_v21(events: DataFrame, segments: DataFrame, importance: DataFrame, tau: float = S.TAU) -> DataFrame:
+    """One row per scene (video_id, scene_id, t_keyframe, delta_t, alpha): score, zone, the weight of the importance of the
+    segment whose middle is nearest (3 where there is none), the weighted score, and the priority for mending, which is 0
+    without a gap. segments: video_id, segment_id, start_time, end_time."""
+    near = nearest_segment(scores_v21(events, tau), segments, "t_keyframe", "scene_id")
+    rated = importance.groupBy("video_id", "segment_id").agg(F.min("importance").alias("i_"))
+    out = near.join(rated, ["video_id", "segment_id"], "left").withColumn("importance_weight", S.weight(F.coalesce("i_", F.lit(3)), F.lit("llm")))
+    w, s = F.col("importance_weight"), F.col("S_temporal")
+    return out.withColumns({"S_weighted": s * w, "priority": F.when(s.isNotNull(), (100 - s) * w * F.col("alpha")).otherwise(0.0)}).drop("i_")
+
+
+def scene_aggregates_v21(scenes: DataFrame) -> DataFrame:
+    """Per recording, from scored scenes (match_type, delta_t, alpha, S_temporal, zone): scenes without a match count in the
+    counts only; the overall score weighs by alpha, or not where all alphas are 0."""
+    met = F.col("delta_t").isNotNull()
+    of = lambda c: F.when(met, c)
+    s, a, d = of(F.col("S_temporal")), of(F.col("alpha")), of(F.col("delta_t"))
+    out = scenes.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("n_scenes"),
+        F.count_if(F.col("match_type") != "non_content").alias("n_content_scenes"),
+        F.count_if(met).alias("n_matched"),
+        F.count_if(~met).alias("n_no_match"),
+        F.avg(s).alias("mean_S_temporal"),
+        F.median(s).alias("median_S_temporal"),
+        F.avg(a).alias("mean_alpha"),
+        (100 * F.avg(of((F.col("alpha") >= 0.6).cast("double")))).alias("pct_high_confidence"),
+        F.avg(d).alias("mean_delta_t"),
+        F.stddev_samp(d).alias("sd_delta_t"),
+        F.min(d).alias("min_delta_t"),
+        F.max(d).alias("max_delta_t"),
+        *[(100 * F.avg(of((F.col("zone") == z).cast("double")))).alias(f"pct_{z}") for z in S.ZONES],
+        F.sum(s * F.col("alpha")).alias("sa_"),
+        F.sum(a).alias("a_"),
+    )
+    score = F.when(F.col("a_") > 0, F.col("sa_") / F.col("a_")).otherwise(F.col("mean_S_temporal"))
+    return out.withColumn("overall_score", score).withColumn("overall_grade", S.grade(F.col("overall_score"))).drop("sa_", "a_")
+
+
+def keyword_aggregates_v21(keywords: DataFrame) -> DataFrame:
+    """Per recording, from grounded keywords (groundability, delta_t, is_visual, method, S_temporal): counts, mean and median
+    score of those with a gap, and how many each method found."""
+    met = F.col("delta_t").isNotNull()
+    s = F.when(met, F.col("S_temporal"))
+    counts = keywords.groupBy("video_id", "method").agg(F.count(F.lit(1)).alias("n")).groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("method", "n")))).alias("grounding_methods"))
+    out = keywords.groupBy("video_id").agg(
+        F.count(F.lit(1)).alias("n_keywords_total"),
+        F.count_if(F.col("groundability") != "LOW").alias("n_keywords_groundable"),
+        F.count_if(met).alias("n_keywords_grounded"),
+        F.count_if(~F.col("is_visual")).alias("n_not_visual"),
+        F.avg(s).alias("mean_S_temporal"),
+        F.median(s).alias("median_S_temporal"),
     )
+    return out.join(counts, "video_id")
 
 
 def weighted_median(rows: DataFrame, value: str, weight: str, keys: tuple[str, ...] = ("video_id",)) -> DataFrame:

@@ -208,24 +208,31 @@ def scene_words(scenes: DataFrame, ocr: DataFrame) -> DataFrame:
     return scenes.join(met, ["video_id", "scene_id"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
-def scenes_by_threshold(series: DataFrame, thresholds: list[float], shortest: float = 3.0) -> DataFrame:
+def scenes_by_threshold(series: DataFrame, thresholds: list[float], shortest: float = 3.0, new_words: int = 1, interval: float = 0.333) -> DataFrame:
     """series: video_id, frame_idx, t, ssim, new_words. One pass for all thresholds: a frame opens a scene if its
-    similarity is below the threshold or it brings three new words; scenes under the limit are dropped."""
+    similarity is below the threshold or it brings ``new_words`` new words; a scene lasts until one sampling interval
+    after its last frame; scenes under the limit are dropped."""
     rows = series.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     keys = ("video_id", "threshold")
     w = Window.partitionBy(*keys).orderBy("frame_idx")
-    opens = (F.col("ssim") < F.col("threshold")) | (F.col("new_words") >= 3) | (F.row_number().over(w) == 1)
-    rows = rows.withColumn("opens_", opens)
-    rows = rows.withColumn("island", F.sum(F.col("opens_").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max("t").over(Window.partitionBy(*keys))
-    per = rows.withColumn("last_", last).groupBy(*keys, "island").agg(F.min("t").alias("t_start"), F.max("last_").alias("last_"))
-    per = per.withColumn("t_end", F.coalesce(F.lead("t_start").over(Window.partitionBy(*keys).orderBy("island")), F.col("last_"))).where(F.col("t_end") - F.col("t_start") >= shortest)
-    return per.select("video_id", "threshold", (F.row_number().over(Window.partitionBy(*keys).orderBy("t_start")) - 1).cast("int").alias("scene_id"), "t_start", "t_end")
-
-
-def threshold_stats(scenes: DataFrame) -> DataFrame:
-    d = F.col("t_end") - F.col("t_start")
-    return scenes.groupBy("video_id", "threshold").agg(F.count(F.lit(1)).alias("n_scenes"), F.avg(d).alias("mean_duration"), F.min(d).alias("min_duration"), F.max(d).alias("max_duration"))
+    opens = (F.col("ssim") < F.col("threshold")) | (F.col("new_words") >= new_words) | (F.row_number().over(w) == 1)
+    rows = rows.withColumn("island", F.sum(F.coalesce(opens, F.lit(False)).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    per = rows.groupBy(*keys, "island").agg(F.min("t").alias("t_start"), (F.max("t") + interval).alias("t_end"), F.min("frame_idx").alias("start_frame_idx"), F.max("frame_idx").alias("end_frame_idx"))
+    per = per.where(F.col("t_end") - F.col("t_start") >= shortest)
+    number = (F.row_number().over(Window.partitionBy(*keys).orderBy("t_start")) - 1).cast("int").alias("scene_id")
+    edges = [F.round(c, 4).alias(c) for c in ("t_start", "t_end")]
+    return per.select(*keys, number, *edges, F.round(F.col("t_end") - F.col("t_start"), 4).alias("duration"), F.round("t_start", 4).alias("t_vis"), "start_frame_idx", "end_frame_idx")
+
+
+def threshold_stats(scenes: DataFrame, series: DataFrame, thresholds: list[float], new_words: int = 1) -> DataFrame:
+    """Per recording and threshold: scenes, their mean and median duration, frames that either sign would open a scene at,
+    and how many of these gave none. Recordings without scenes are there with zeros."""
+    d = F.col("duration")
+    per = scenes.groupBy("video_id", "threshold").agg(F.count(F.lit(1)).alias("n_scenes"), F.round(F.avg(d) + 1e-9, 2).alias("mean_duration"), F.round(F.median(d), 2).alias("median_duration"))
+    rows = series.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    signs = rows.groupBy("video_id", "threshold").agg(F.count_if(F.col("ssim") < F.col("threshold")).alias("n_ssim_boundaries"), F.count_if(F.col("new_words") >= new_words).alias("n_ocr_boundaries"))
+    out = signs.join(per, ["video_id", "threshold"], "left").fillna(0, ["n_scenes", "mean_duration", "median_duration"])
+    return out.withColumn("n_filtered_short", F.greatest(F.lit(0), F.col("n_ssim_boundaries") + F.col("n_ocr_boundaries") - F.col("n_scenes")))
 
 
 def uniform_scenes(durations: DataFrame, length: float = 10.0, shortest: float = 1.0) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import NON_CONTENT
+
 # Seconds before and after the word, by set; injected delays; label lists of frames.
 WINDOWS = {"manipulated": (5.0, 7.0), "fresh": (5.0, 10.0)}
 DELAYS = (0.0, 1.5, 5.0)
@@ -34,10 +36,15 @@ def study_validation(videos: DataFrame, moments: DataFrame) -> DataFrame:
     return empty.unionByName(sets).unionByName(todo)
 
 
-def content_flag(scenes: DataFrame, least: float = 0.4) -> DataFrame:
-    """+ is_content: a content label, low confidence or any text make a scene content; a non-content label does not."""
-    flag = F.when(F.col("label").isin(CONTENT_LABELS), True).when(F.col("confidence") < least, True).when(F.col("n_words") > 0, True).when(F.col("label").isin(NON_CONTENT_LABELS), False).otherwise(True)
-    return scenes.withColumn("is_content", flag)
+def content_flag(scenes: DataFrame, least: float = 0.55) -> DataFrame:
+    """scenes: label, confidence, ocr_text. + is_content, frame_type: a content label makes a scene content, a label that is
+    not sure does too and is marked, any text on screen does; a description that is the mark of no content, where the
+    table has one, makes it none unless there is text."""
+    unsure = F.col("confidence") < least
+    shown = F.coalesce(F.length(F.trim("ocr_text")) > 0, F.lit(False))
+    marked = F.coalesce(F.upper(F.trim("concept_text")) == NON_CONTENT, F.lit(False)) if "concept_text" in scenes.columns else F.lit(False)
+    flag = F.when(shown, True).when(marked, False).otherwise(F.coalesce(unsure, F.lit(False)) | F.coalesce(F.col("label").isin(CONTENT_LABELS), F.lit(True)))
+    return scenes.withColumns({"is_content": flag, "frame_type": F.when(unsure, F.concat("label", F.lit(" (low_conf)"))).otherwise(F.col("label"))})
 
 
 #: Parts that raters are dealt into.

@@ -157,9 +157,9 @@ register("e5_fleiss_kappa", "WITH n AS (SELECT item, rating, count(*) AS n FROM
 )
 register(
     "e6_icc_2k",
-    "WITH t AS (SELECT count(*) AS nk, sum(rating) AS total, sum(rating*rating) AS sq FROM fx_ratings), i AS (SELECT count(*) AS n, sum(s*s) AS i2 FROM (SELECT item, sum(rating) AS s FROM fx_ratings GROUP BY 1)), r AS (SELECT count(*) AS k, sum(s*s) AS r2 FROM (SELECT rater, sum(rating) AS s FROM fx_ratings GROUP BY 1)), x AS (SELECT *, total*total/nk AS c FROM t, i, r), y AS (SELECT *, i2/k-c AS ssr, r2/n-c AS ssc FROM x), z AS (SELECT *, ssr/(n-1) AS msr, ssc/(k-1) AS msc, (sq-c-ssr-ssc)/((n-1)*(k-1)) AS mse FROM y) SELECT n AS n_items, k AS n_raters, (msr-mse)/nullif(msr+(msc-mse)/n, 0) AS icc_2k FROM z",
+    "WITH t AS (SELECT count(*) AS nk, sum(rating) AS total, sum(rating*rating) AS sq FROM fx_panel), i AS (SELECT count(*) AS n, sum(s*s) AS i2 FROM (SELECT item, sum(rating) AS s FROM fx_panel GROUP BY 1)), r AS (SELECT count(*) AS k, sum(s*s) AS r2 FROM (SELECT rater, sum(rating) AS s FROM fx_panel GROUP BY 1)), x AS (SELECT *, total*total/nk AS c FROM t, i, r), y AS (SELECT *, i2/k-c AS ssr, r2/n-c AS ssc FROM x), z AS (SELECT *, ssr/(n-1) AS msr, ssc/(k-1) AS msc, (sq-c-ssr-ssc)/((n-1)*(k-1)) AS mse FROM y) SELECT n AS n_items, k AS n_raters, (msr-mse)/nullif(msr+(msc-mse)/n, 0) AS icc_2k FROM z",
     "icc_2k",
-)(lambda s: G.icc_2k(s("fx_ratings")))
+)(lambda s: G.icc_2k(s("fx_panel")))
 
 
 def kappa_sql(cost: str) -> str:
@@ -250,6 +250,13 @@ ps AS (SELECT *, row_number() OVER (PARTITION BY rater ORDER BY session, md5(con
 SELECT rater, CAST(session AS INT) AS session, video_id, CAST(position AS INT) AS position, printf('Video_R%02d', position) AS label FROM ps""",
 )(lambda s: E.assign_sessions(study(s).where("set <> 'odd'"), s("fx_ratings").select("rater").distinct()))
 LABEL = "[" + ", ".join(f"'{x}'" for x in E.CONTENT_LABELS + E.NON_CONTENT_LABELS) + "]"
-register("p5_content_flag", f"WITH x AS (SELECT video_id, scene_id, {LABEL}[scene_id % 13 + 1] AS label, (scene_id % 10)/10 AS confidence, CASE WHEN scene_id % 4 = 0 THEN 2 ELSE 0 END AS n_words FROM fx_scenes) SELECT video_id, scene_id, CASE WHEN list_contains({LABEL}[1:6], label) THEN TRUE WHEN confidence < 0.4 THEN TRUE WHEN n_words > 0 THEN TRUE ELSE FALSE END AS is_content FROM x")(
-    lambda s: E.content_flag(s("fx_scenes").select("video_id", "scene_id", F.element_at(F.array(*map(F.lit, E.CONTENT_LABELS + E.NON_CONTENT_LABELS)), F.col("scene_id") % 13 + 1).alias("label"), (F.col("scene_id") % 10 / 10).alias("confidence"), F.when(F.col("scene_id") % 4 == 0, 2).otherwise(0).alias("n_words"))).select("video_id", "scene_id", "is_content")
+TEXT = "CASE WHEN scene_id % 4 = 0 THEN ' shown ' WHEN scene_id % 4 = 1 THEN '  ' END"
+NOTE = "CASE WHEN scene_id % 9 < 3 THEN 'NON_CONTENT' ELSE 'terms' END"
+register(
+    "p5_content_flag",
+    f"WITH x AS (SELECT video_id, scene_id, {LABEL}[scene_id % 13 + 1] AS label, (scene_id % 20)/20 AS confidence, {TEXT} AS ocr_text, {NOTE} AS concept_text FROM fx_scenes) SELECT video_id, scene_id, CASE WHEN trim(coalesce(ocr_text, '')) <> '' THEN TRUE WHEN concept_text = 'NON_CONTENT' THEN FALSE WHEN confidence < 0.55e0 THEN TRUE ELSE list_contains({LABEL}[1:6], label) END AS is_content, label || CASE WHEN confidence < 0.55e0 THEN ' (low_conf)' ELSE '' END AS frame_type FROM x",
+)(
+    lambda s: E.content_flag(
+        s("fx_scenes").select("video_id", "scene_id", F.element_at(F.array(*map(F.lit, E.CONTENT_LABELS + E.NON_CONTENT_LABELS)), F.col("scene_id") % 13 + 1).alias("label"), (F.col("scene_id") % 20 / 20).alias("confidence"), F.expr(TEXT).alias("ocr_text"), F.expr(NOTE).alias("concept_text"))
+    ).select("video_id", "scene_id", "is_content", "frame_type")
 )

@@ -218,20 +218,52 @@ register(
 )(lambda s: A.scene_cascade(vector_scenes(s)[0].select("video_id", "scene_id", "is_content"), [A.scene_track_vector(*vector_scenes(s)), A.scene_track_vector(*vector_scenes(s), least=0.9, track="text")]))
 
 
-def grounding(s):
-    k, ocr, _, hits = parts(s)
-    near = lambda m, f: k.where(F.col("keyword_id") % m == 0).select("video_id", "keyword_id", (F.col("t_narr") + 5).alias("t"), f.alias("value"))
-    asked = k.where(F.col("keyword_id") % 4 == 0).select("video_id", "keyword_id", F.col("t_narr").alias("t"), F.lit(True).alias("yes"))
-    return A.keyword_grounding(keywords(s), hits, ocr, near(7, F.lit(0.5)), near(9, F.col("keyword_id") % 10 / 10), asked)
+#: Groundable keywords of either kind, and what the other steps were given: two detections for one keyword in seven, two
+#: pictures for one in nine, answers for one in four, a check of neighbouring frames for one in fourteen.
+GROUNDABILITY = "CASE WHEN keyword_id % 5 = 0 THEN 'LOW' WHEN keyword_id % 3 = 1 THEN 'MEDIUM' ELSE 'HIGH' END"
 
 
+def grounding(view):
+    def build(s):
+        k = settled(s(view).withColumn("groundability", F.expr(GROUNDABILITY)), "grounding")
+        ocr, i, t = settled(s("fx_ocr"), "grounding"), F.col("keyword_id"), F.col("t_narr")
+        hits = A.token_hits(k, ocr, None)
+
+        def given(of, *rows):
+            """Rows of (time from the word, value)."""
+            each = F.explode(F.array(*[F.struct(F.lit(float(d)).alias("d"), v.cast("double").alias("value")) for d, v in rows]))
+            return k.where(i % of == 0).select("video_id", "keyword_id", "t_narr", each.alias("x")).select("video_id", "keyword_id", (t + F.col("x.d")).alias("t"), "x.value")
+
+        seen = given(7, (5, F.lit(0.5)), (-4, F.lit(0.3))).withColumn("area", F.lit(4.0))
+        alike = given(9, (20, F.lit(0.9)), (2, i % 10 / 10), (31, F.lit(3.0)))
+        asked = given(4, (1, F.lit(1)), (-3, i % 8)).select("video_id", "keyword_id", "t", (F.col("value") == 1).alias("yes"))
+        passing = k.where(i % 14 == 0).select("video_id", "keyword_id", F.lit(True).alias("is_transient"))
+        return A.keyword_grounding(k, hits, ocr, seen, alike, asked, passing)
+
+    return build
+
+
+def grounding_sql(view: str) -> str:
+    return f"""k AS (SELECT *, {GROUNDABILITY} AS groundability FROM {view}), ab AS (SELECT * FROM k WHERE groundability <> 'LOW'),
+pt AS (SELECT DISTINCT video_id, keyword_id, t_narr, unnest(string_split(keyword_text, ' ')) AS part FROM ab), nd AS (SELECT video_id, keyword_id, count(*) AS n FROM pt GROUP BY 1, 2),
+fu AS (SELECT pt.video_id, pt.keyword_id, pt.t_narr, o.frame_time FROM pt JOIN fx_ocr o ON o.video_id = pt.video_id AND o.tok = pt.part AND abs(o.frame_time - pt.t_narr) <= 60 JOIN nd ON nd.video_id = pt.video_id AND nd.keyword_id = pt.keyword_id GROUP BY 1, 2, 3, 4, nd.n HAVING count(DISTINCT part) = nd.n),
+tx AS (SELECT video_id, keyword_id, frame_time FROM (SELECT *, row_number() OVER (PARTITION BY video_id, keyword_id ORDER BY abs(frame_time - t_narr), frame_time) AS rn FROM fu) WHERE rn = 1),
+m AS (SELECT ab.*, tx.frame_time, CASE WHEN frame_time IS NOT NULL THEN 'ocr' WHEN keyword_id % 7 = 0 THEN 'grounding_dino'
+ WHEN keyword_id % 9 = 0 THEN 'siglip_contextual' WHEN keyword_id % 4 = 0 AND groundability = 'HIGH' THEN 'vlm_classification' ELSE 'not_found' END AS method FROM ab LEFT JOIN tx USING (video_id, keyword_id)),
+v AS (SELECT *, CASE method WHEN 'ocr' THEN frame_time WHEN 'grounding_dino' THEN t_narr + 5 WHEN 'siglip_contextual' THEN t_narr + CASE WHEN (keyword_id % 10)/10e0*exp(-0.5e0*power(2/15e0, 2)) > 0.9e0*exp(-0.5e0*power(20/15e0, 2)) THEN 2 ELSE 20 END WHEN 'vlm_classification' THEN t_narr + CASE WHEN keyword_id % 8 = 1 THEN -3 ELSE 1 END END AS t_vis FROM m),
+gr AS (SELECT video_id, keyword_id, groundability, t_narr, t_vis, t_vis - t_narr AS delta_t, method, CASE method WHEN 'ocr' THEN 'HIGH' WHEN 'grounding_dino' THEN 'MEDIUM' WHEN 'not_found' THEN 'NONE' ELSE 'LOW' END AS confidence, CASE WHEN method = 'grounding_dino' THEN 4e0 END AS bbox_area, method NOT IN ('ocr', 'not_found') AND keyword_id % 14 = 0 AS is_transient, t_vis IS NOT NULL AS is_visual, method = 'vlm_classification' AS flag_for_review FROM v
+UNION ALL SELECT video_id, keyword_id, groundability, t_narr, NULL, NULL, 'skipped_low_groundability', 'NONE', NULL, FALSE, FALSE, FALSE FROM k WHERE groundability = 'LOW')"""
+
+
+for view, name in (("fx_keywords", "a12_keyword_grounding"), ("fx_phrases", "a12_keyword_grounding_phrases")):
+    register(name, f"WITH {grounding_sql(view)} SELECT * FROM gr", "t_narr t_vis delta_t bbox_area")(grounding(view))
 register(
-    "a12_keyword_grounding",
-    f"""WITH k AS (SELECT * FROM {KW} x WHERE groundability <> 'LOW'), tx AS (SELECT * FROM (SELECT k.video_id, k.keyword_id, o.frame_time, row_number() OVER (PARTITION BY k.video_id, k.keyword_id ORDER BY abs(o.frame_time-k.t_narr), o.frame_time) AS rn FROM k JOIN fx_ocr o ON o.video_id=k.video_id AND o.tok=k.keyword_text AND abs(o.frame_time-k.t_narr) <= 60) WHERE rn = 1),
-m AS (SELECT k.*, tx.frame_time, CASE WHEN frame_time IS NOT NULL THEN 'text' WHEN keyword_id % 7 = 0 THEN 'detection' WHEN keyword_id % 9 = 0 AND keyword_id % 10 >= 2 THEN 'vector' WHEN keyword_id % 4 = 0 THEN 'asked' ELSE 'none' END AS method FROM k LEFT JOIN tx USING (video_id, keyword_id))
-SELECT video_id, keyword_id, method, CASE method WHEN 'text' THEN 1e0 WHEN 'detection' THEN 0.7e0 WHEN 'vector' THEN 0.4e0 WHEN 'asked' THEN 0.2e0 ELSE 0e0 END AS confidence, CASE method WHEN 'text' THEN t_narr-frame_time WHEN 'detection' THEN -5e0 WHEN 'vector' THEN -5e0 WHEN 'asked' THEN 0e0 END AS delta_narr_vis FROM m""",
-    "confidence delta_narr_vis",
-)(grounding)
+    "a12_grounding_by_segment",
+    f"""WITH {grounding_sql("fx_keywords")}, g AS (SELECT gr.*, CAST(floor(keyword_id/12) AS BIGINT) AS segment_id, CASE confidence WHEN 'HIGH' THEN 1e0 WHEN 'MEDIUM' THEN 0.7e0 WHEN 'LOW' THEN 0.4e0 ELSE 0.5e0 END AS w FROM gr),
+c AS (SELECT *, sum(w) OVER (PARTITION BY video_id, segment_id ORDER BY delta_t) AS cum, sum(w) OVER (PARTITION BY video_id, segment_id) AS tot FROM g WHERE delta_t IS NOT NULL), md AS (SELECT video_id, segment_id, min(delta_t) FILTER (cum >= tot/2) AS delta_t_weighted_median FROM c GROUP BY 1, 2)
+SELECT g.video_id, g.segment_id, count(*) AS n_keywords, count(*) FILTER (groundability <> 'LOW') AS n_groundable, count(*) FILTER (is_visual) AS n_grounded, count(*) FILTER (NOT is_visual) AS n_not_visual, avg(delta_t) AS delta_t_mean, stddev_pop(delta_t) AS delta_t_std, min(delta_t_weighted_median) AS delta_t_weighted_median FROM g LEFT JOIN md USING (video_id, segment_id) GROUP BY 1, 2""",
+    "delta_t_mean delta_t_std delta_t_weighted_median",
+)(lambda s: A.grounding_by_segment(grounding("fx_keywords")(s).withColumn("segment_id", F.floor(F.col("keyword_id") / 12).cast("long"))))
 register(
     "w23_monotonic_violations",
     "WITH v AS (SELECT *, coalesce(t_narr < lag(t_narr) OVER (PARTITION BY video_id ORDER BY t_vis, keyword_id, segment_id, t_narr, alpha) - 10, FALSE) AS v FROM fx_align WHERE match_case <> 'F') SELECT video_id, count(*) FILTER (v) AS n_violations, count(*) AS n FROM v GROUP BY 1",

@@ -134,11 +134,42 @@ register(
     EVENTS + f"SELECT video_id, threshold, count(*) AS n_events, count(*) FILTER (match_type<>'no_match') AS n_matched, avg(S_event) AS mean_score, median(S_event) AS median_score, avg(delta_t) AS mean_delta_t, stddev_samp(delta_t) AS std_delta_t, {', '.join(f'''count(*) FILTER (zone='{z}') AS n_{z}''' for z in S.ZONES)} FROM f GROUP BY 1, 2",
     "mean_score median_score mean_delta_t std_delta_t",
 )(lambda s: O.video_aggregates(events(s)))
+#: Scenes of the second generation: a matched one has a gap and an alpha; segments of fifteen seconds.
+V21 = """e AS (SELECT video_id, keyword_id AS scene_id, min(t_narr) AS t_keyframe, min(delta_t) AS delta_t, min(alpha) AS alpha, CASE WHEN keyword_id % 7 = 0 THEN 'non_content' WHEN min(delta_t) IS NULL THEN 'no_match' ELSE 'match' END AS match_type FROM fx_align GROUP BY 1, 2),
+sg AS (SELECT DISTINCT video_id, segment_id, 15e0*segment_id + 7.5e0 AS mid FROM fx_align), ns AS (SELECT * FROM (SELECT e.*, sg.segment_id, row_number() OVER (PARTITION BY e.video_id, scene_id ORDER BY abs(mid-t_keyframe), sg.segment_id) AS rn FROM e JOIN sg USING (video_id)) WHERE rn = 1),
+sv AS (SELECT ns.video_id, ns.scene_id, ns.segment_id, delta_t, alpha, match_type, 100e0*exp(-0.5e0*power(delta_t/2.5e0, 2)) AS S_temporal, CASE WHEN delta_t IS NULL THEN 'No Match' WHEN abs(delta_t) <= 1 THEN 'Optimal' WHEN abs(delta_t) <= 3 THEN 'Suboptimal' WHEN abs(delta_t) <= 5 THEN 'Disruptive' ELSE 'Unacceptable' END AS zone, [0.3e0,0.6e0,1e0,1.5e0,2e0][coalesce(i.importance, 3)] AS importance_weight FROM ns LEFT JOIN fx_importance i ON i.video_id = ns.video_id AND i.segment_id = ns.segment_id),
+pv AS (SELECT *, S_temporal*importance_weight AS S_weighted, CASE WHEN S_temporal IS NULL THEN 0e0 ELSE (100-S_temporal)*importance_weight*alpha END AS priority FROM sv)"""
+
+
+def scenes_v21(s):
+    k = F.col("keyword_id")
+    e = s("fx_align").groupBy("video_id", k.alias("scene_id")).agg(F.min("t_narr").alias("t_keyframe"), F.min("delta_t").alias("delta_t"), F.min("alpha").alias("alpha"))
+    return e.withColumn("match_type", F.when(F.col("scene_id") % 7 == 0, "non_content").when(F.col("delta_t").isNull(), "no_match").otherwise("match"))
+
+
+def segments_v21(s):
+    return s("fx_align").select("video_id", "segment_id", (15.0 * F.col("segment_id")).alias("start_time"), (15.0 * F.col("segment_id") + 15).alias("end_time")).distinct()
+
+
+register("g18_score_scenes_v21", f"WITH {V21} SELECT * FROM pv", "delta_t alpha S_temporal importance_weight S_weighted priority")(
+    lambda s: O.score_scenes_v21(scenes_v21(s), segments_v21(s), s("fx_importance")).select("video_id", "scene_id", "segment_id", "delta_t", "alpha", "match_type", "S_temporal", "zone", "importance_weight", "S_weighted", "priority")
+)
+PCT = ", ".join(f"100*avg(CASE WHEN zone='{z}' THEN 1e0 ELSE 0e0 END) FILTER (m) AS pct_{z}" for z in S.ZONES)
+GRADE = "CASE WHEN {x} >= 80 THEN 'Excellent' WHEN {x} >= 60 THEN 'Good' WHEN {x} >= 40 THEN 'Acceptable' WHEN {x} >= 20 THEN 'Poor' WHEN {x} IS NOT NULL THEN 'Unacceptable' END"
+register(
+    "g18_scene_aggregates_v21",
+    f"WITH {V21}, a AS (SELECT video_id, count(*) AS n_scenes, count(*) FILTER (match_type <> 'non_content') AS n_content_scenes, count(*) FILTER (m) AS n_matched, count(*) FILTER (NOT m) AS n_no_match, avg(S_temporal) FILTER (m) AS mean_S_temporal, median(S_temporal) FILTER (m) AS median_S_temporal, avg(alpha) FILTER (m) AS mean_alpha, 100*avg(CASE WHEN alpha >= 0.6e0 THEN 1e0 ELSE 0e0 END) FILTER (m) AS pct_high_confidence, avg(delta_t) AS mean_delta_t, stddev_samp(delta_t) AS sd_delta_t, min(delta_t) AS min_delta_t, max(delta_t) AS max_delta_t, {PCT}, coalesce(sum(S_temporal*alpha)/nullif(sum(alpha) FILTER (m), 0), avg(S_temporal)) AS overall_score FROM (SELECT *, delta_t IS NOT NULL AS m FROM pv) GROUP BY 1) SELECT *, {GRADE.format(x='overall_score')} AS overall_grade FROM a",
+    "mean_S_temporal median_S_temporal mean_alpha pct_high_confidence mean_delta_t sd_delta_t min_delta_t max_delta_t pct_Optimal pct_Suboptimal pct_Disruptive pct_Unacceptable overall_score",
+)(lambda s: O.scene_aggregates_v21(O.scores_v21(scenes_v21(s))))
 register(
-    "g18_score_scenes_v21",
-    EVENTS + ", g AS (SELECT f.*, CASE WHEN match_type='no_match' THEN 0e0 ELSE 100e0*exp(-0.5e0*power(delta_t/2.5e0, 2)) END AS sg, [0.3e0,0.6e0,1e0,1.5e0,2e0][coalesce(i.importance, 3)] AS w FROM f LEFT JOIN fx_importance i USING (video_id, segment_id)) SELECT video_id, count(*) AS n_events, avg(sg) AS mean_S, sum(sg*w*alpha)/nullif(sum(w*alpha), 0) AS weighted_S FROM g GROUP BY 1",
-    "mean_S weighted_S",
-)(lambda s: O.score_scenes_v21(events(s), s("fx_importance")))
+    "g18_keyword_aggregates_v21",
+    "WITH k AS (SELECT video_id, groundability, delta_t, match_method AS method, 100e0*exp(-0.5e0*power(delta_t/2.5e0, 2)) AS S FROM fx_align) SELECT video_id, count(*) AS n_keywords_total, count(*) FILTER (groundability <> 'LOW') AS n_keywords_groundable, count(delta_t) AS n_keywords_grounded, count(*) FILTER (delta_t IS NULL) AS n_not_visual, avg(S) AS mean_S_temporal, median(S) AS median_S_temporal, (SELECT string_agg(method || '=' || n, ',' ORDER BY method) FROM (SELECT method, count(*) AS n FROM k x WHERE x.video_id = k.video_id GROUP BY 1)) AS methods FROM k GROUP BY 1",
+    "mean_S_temporal median_S_temporal",
+)(
+    lambda s: O.keyword_aggregates_v21(O.scores_v21(s("fx_align")).withColumnRenamed("match_method", "method").withColumn("is_visual", F.col("delta_t").isNotNull()))
+    .withColumn("methods", F.array_join(F.transform(F.map_entries("grounding_methods"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+    .drop("grounding_methods")
+)
 register(
     "g19_weighted_median",
     "WITH p AS (SELECT video_id, delta_t, sum(alpha) AS w FROM fx_align WHERE delta_t IS NOT NULL GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY video_id ORDER BY delta_t ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY video_id) AS tot FROM p) SELECT video_id, min(delta_t) FILTER (cum >= tot/2) AS weighted_median FROM c GROUP BY 1",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import series as W
 from ..operators import variants as V
 from ..sources import tables
+from ..sources.shared import settled
 from .registry import register
 
 DOT = "list_dot_product(list_transform({a}, lambda x: CAST(x AS DOUBLE)), list_transform({b}, lambda x: CAST(x AS DOUBLE)))"
@@ -131,17 +132,25 @@ register(
     f"WITH {SWD} SELECT video_id, count(*) AS n_scenes, avg(t_end-t_start) AS mean_duration, median(t_end-t_start) AS median_duration, min(t_end-t_start) AS min_duration, max(t_end-t_start) AS max_duration, stddev_pop(t_end-t_start) AS std_duration, avg(CASE WHEN len(words)>0 THEN 1e0 ELSE 0e0 END) AS with_words, avg(len(words)) AS mean_words FROM sx GROUP BY 1",
     "mean_duration median_duration min_duration max_duration std_duration with_words mean_words",
 )(lambda s: tables.scene_quality(W.scene_words(s("fx_scenes"), s("fx_ocr"))))
-BT = "x AS (SELECT s.*, frame_idx % 11 AS new_words, th.threshold FROM fx_series s, (SELECT unnest([0.9e0, 0.95e0]) AS threshold) th), o AS (SELECT *, sum(CASE WHEN ssim < threshold OR new_words >= 10 OR frame_idx = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, threshold ORDER BY frame_idx) AS isl, max(t) OVER (PARTITION BY video_id, threshold) AS lt FROM x), g AS (SELECT video_id, threshold, isl, min(t) AS t_start, max(lt) AS lt FROM o GROUP BY 1,2,3), e AS (SELECT *, coalesce(lead(t_start) OVER (PARTITION BY video_id, threshold ORDER BY isl), lt) AS t_end FROM g), bt AS (SELECT video_id, threshold, CAST(row_number() OVER (PARTITION BY video_id, threshold ORDER BY t_start)-1 AS INT) AS scene_id, t_start, t_end FROM e WHERE t_end-t_start >= 3)"
+NEW_WORDS = "CASE frame_idx % 11 WHEN 10 THEN 3 WHEN 5 THEN 1 ELSE 0 END"
+BT = f"x AS (SELECT s.*, {NEW_WORDS} AS new_words, th.threshold FROM fx_series s, (SELECT unnest([0.9e0, 0.95e0]) AS threshold) th), o AS (SELECT *, sum(CASE WHEN ssim < threshold OR new_words >= 1 OR frame_idx = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, threshold ORDER BY frame_idx) AS isl FROM x), g AS (SELECT video_id, threshold, isl, min(t) AS t_start, max(t) + 0.5e0 AS t_end, min(frame_idx) AS start_frame_idx, max(frame_idx) AS end_frame_idx FROM o GROUP BY 1,2,3), bt AS (SELECT video_id, threshold, CAST(row_number() OVER (PARTITION BY video_id, threshold ORDER BY t_start)-1 AS INT) AS scene_id, t_start, t_end, t_end - t_start AS duration, t_start AS t_vis, start_frame_idx, end_frame_idx FROM g WHERE t_end-t_start >= 3)"
+THRESHOLDS = [0.9, 0.95]
+
+
+def with_new_words(s):
+    return s("fx_series").withColumn("new_words", F.expr(NEW_WORDS))
 
 
 def by_threshold(s):
-    return W.scenes_by_threshold(s("fx_series").withColumn("new_words", F.when(F.col("frame_idx") % 11 == 10, 3).otherwise(0)), [0.9, 0.95])
+    return W.scenes_by_threshold(with_new_words(s), THRESHOLDS, interval=0.5)
 
 
-register("w14_scenes_by_threshold", f"WITH {BT} SELECT * FROM bt", "threshold t_start t_end")(by_threshold)
-register("w14_threshold_stats", f"WITH {BT} SELECT video_id, threshold, count(*) AS n_scenes, avg(t_end-t_start) AS mean_duration, min(t_end-t_start) AS min_duration, max(t_end-t_start) AS max_duration FROM bt GROUP BY 1, 2", "threshold mean_duration min_duration max_duration")(
-    lambda s: W.threshold_stats(by_threshold(s))
-)
+register("w14_scenes_by_threshold", f"WITH {BT} SELECT * FROM bt", "threshold t_start t_end duration t_vis")(by_threshold)
+register(
+    "w14_threshold_stats",
+    f"WITH {BT}, n AS (SELECT video_id, threshold, count(*) FILTER (ssim < threshold) AS n_ssim_boundaries, count(*) FILTER (new_words >= 1) AS n_ocr_boundaries FROM x GROUP BY 1, 2), p AS (SELECT video_id, threshold, count(*) AS n, avg(duration) AS m, median(duration) AS md FROM bt GROUP BY 1, 2) SELECT n.video_id, n.threshold, n_ssim_boundaries, n_ocr_boundaries, coalesce(n, 0) AS n_scenes, round(coalesce(m, 0) + 1e-9, 2) AS mean_duration, round(coalesce(md, 0), 2) AS median_duration, greatest(0, n_ssim_boundaries + n_ocr_boundaries - coalesce(n, 0)) AS n_filtered_short FROM n LEFT JOIN p USING (video_id, threshold)",
+    "threshold mean_duration median_duration",
+)(lambda s: W.threshold_stats(by_threshold(s), with_new_words(s), THRESHOLDS))
 register("w15_uniform_scenes", "WITH d AS (SELECT video_id, max(t) AS duration FROM fx_series GROUP BY 1), x AS (SELECT video_id, duration, unnest(range(0, CAST(greatest(ceil(duration/10), 1) AS BIGINT))) AS i FROM d) SELECT video_id, CAST(i AS INT) AS scene_id, i*10e0 AS t_start, least((i+1)*10e0, duration) AS t_end FROM x WHERE least((i+1)*10e0, duration)-i*10e0 >= 1", "t_start t_end")(
     lambda s: W.uniform_scenes(s("fx_series").groupBy("video_id").agg(F.max("t").alias("duration")))
 )
@@ -203,61 +212,133 @@ register(
 )(lambda s: V.plan_pairs(s("fx_variants")))
 
 
-def set_dips(s, whole=False):
+def set_dips(s):
+    """Dips of every recording: six recordings are the pairs of a set, and there are as many sets as the table gives."""
     n = F.substring("video_id", 2, 9).cast("int")
-    pair = F.element_at(F.array(*map(F.lit, ["0v1", "0v3", "1v3", "1v5"])), (n % 4 + 1).cast("int"))
-    d = W.dip_regions(s("fx_series")) if whole else W.dip_regions(s("fx_series")).where(n < 40)
-    number = F.floor(n / 4) if whole else F.floor(n / 4) % 5
-    return d.select(F.concat(F.lit("S"), number.cast("string")).alias("set_name"), pair.alias("pair"), F.when(pair.startswith("0"), "baseline").otherwise("inter").alias("kind"), "center", "duration")
+    pair = F.element_at(F.array(*map(F.lit, ["0v1", "0v3", "1v3", "1v5", "3v5", "0v5"])), (n % 6 + 1).cast("int"))
+    d = W.dip_regions(s("fx_series"))
+    return d.select(F.concat(F.lit("S"), F.floor(n / 6).cast("string")).alias("set_name"), pair.alias("pair"), F.when(pair.startswith("0"), "baseline").otherwise("inter").alias("kind"), "center", "duration")
+
+
+SDIPS = DIPS + """, sd AS (SELECT 'S' || CAST(floor(n/6) AS INT) AS set_name, ['0v1','0v3','1v3','1v5','3v5','0v5'][n % 6 + 1] AS pair, CASE WHEN n % 6 IN (2, 3, 4) THEN 'inter' ELSE 'baseline' END AS kind, center, duration FROM (SELECT *, CAST(substring(video_id, 2) AS INT) AS n FROM dp)),
+cl AS (SELECT *, sum(nw) OVER (PARTITION BY set_name ORDER BY center, pair, duration ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN center - lag(center) OVER (PARTITION BY set_name ORDER BY center, pair, duration) <= 3 THEN 0 ELSE 1 END AS nw FROM sd)),
+iv AS (SELECT set_name, cluster, pair, last(duration ORDER BY center, duration) AS d FROM cl WHERE kind = 'inter' GROUP BY 1, 2, 3),
+cc AS (SELECT set_name, cluster, avg(center) AS t, string_agg(DISTINCT pair, ',' ORDER BY pair) AS evidence, count(*) FILTER (kind='inter') AS n_inter, count(*) FILTER (kind='baseline') AS n_baseline FROM cl GROUP BY 1, 2),
+cd AS (SELECT cc.set_name, CAST(cc.cluster AS BIGINT) AS cluster, t, evidence, n_inter, n_baseline, CASE WHEN n_inter >= 2 THEN 'high' WHEN n_inter >= 1 THEN 'medium' ELSE 'low' END AS confidence,
+  round_even(coalesce(b.d/4, a.d/2), 1) AS delay_1, round_even(coalesce(c.d/2*3, a.d/2*3), 1) AS delay_3, round_even(coalesce(c.d/2*5, b.d/4*5), 1) AS delay_5
+  FROM cc LEFT JOIN iv a ON a.set_name=cc.set_name AND a.cluster=cc.cluster AND a.pair='1v3' LEFT JOIN iv b ON b.set_name=cc.set_name AND b.cluster=cc.cluster AND b.pair='1v5' LEFT JOIN iv c ON c.set_name=cc.set_name AND c.cluster=cc.cluster AND c.pair='3v5')"""
+register("a18_cluster_dips", f"WITH {SDIPS} SELECT * FROM cd", "t delay_1 delay_3 delay_5")(
+    lambda s: V.cluster_dips(set_dips(s)).select("set_name", "cluster", "t", "evidence", "n_inter", "n_baseline", "confidence", *[F.col("delays")[k].alias(f"delay_{k}") for k in (1, 3, 5)])
+)
+register("a19_delay_summary", f"WITH {SDIPS} SELECT set_name, count(*) AS n_delays, string_agg(printf('%.1f', t + 1e-9), ', ' ORDER BY t) AS times, bool_and(confidence='high') AS all_high FROM cd GROUP BY 1")(lambda s: V.delay_summary(V.cluster_dips(set_dips(s))))
 
+COMPARED = ["c1", "c2", "c3"]
 
-SDIPS = DIPS + ", sd AS (SELECT 'S' || CAST(floor(n/4) AS INT) % 5 AS set_name, ['0v1','0v3','1v3','1v5'][n % 4 + 1] AS pair, CASE WHEN n % 4 < 2 THEN 'baseline' ELSE 'inter' END AS kind, center, duration FROM (SELECT *, CAST(substring(video_id, 2) AS INT) AS n FROM dp) WHERE n < 40), cl AS (SELECT *, sum(nw) OVER (PARTITION BY set_name ORDER BY center, pair ROWS UNBOUNDED PRECEDING) AS cluster FROM (SELECT *, CASE WHEN center - lag(center) OVER (PARTITION BY set_name ORDER BY center, pair) <= 3 THEN 0 ELSE 1 END AS nw FROM sd)), cc AS (SELECT set_name, CAST(cluster AS BIGINT) AS cluster, avg(center) AS t, string_agg(DISTINCT pair, ',' ORDER BY pair) AS evidence, count(DISTINCT pair) FILTER (kind='inter') AS n_inter, avg(duration) FILTER (pair='0v1') AS base_1, avg(duration) FILTER (pair='0v3') AS base_3, avg(duration) FILTER (pair='0v5') AS base_5, arg_max(duration, pair || printf('%012.4f', center)) FILTER (kind='inter') AS inter_1 FROM cl GROUP BY 1, 2), cd AS (SELECT *, CASE WHEN n_inter >= 2 THEN 'high' WHEN n_inter = 1 OR length(evidence) > 3 THEN 'medium' ELSE 'low' END AS confidence FROM cc)"
-register("a18_cluster_dips", f"WITH {SDIPS} SELECT * FROM cd", "t base_1 base_3 base_5 inter_1")(lambda s: V.cluster_dips(set_dips(s)))
-register("a19_delay_summary", f"WITH {SDIPS} SELECT set_name, count(*) AS n_delays, string_agg(printf('%.1f', t + 1e-9), ', ' ORDER BY t) AS times, bool_and(confidence='high') AS all_high FROM cd GROUP BY 1")(lambda s: V.delay_summary(V.cluster_dips(set_dips(s))))
-#: The same over the dips of every recording: four recordings are a set, and there are as many sets as the table gives.
-SDIPS_ALL = SDIPS.replace("CAST(floor(n/4) AS INT) % 5", "CAST(floor(n/4) AS INT)").replace(" WHERE n < 40", "")
-register("a18_cluster_dips_all", f"WITH {SDIPS_ALL} SELECT * FROM cd", "t base_1 base_3 base_5 inter_1")(lambda s: V.cluster_dips(set_dips(s, True)))
-register("a19_delay_summary_all", f"WITH {SDIPS_ALL} SELECT set_name, count(*) AS n_delays, string_agg(printf('%.1f', t + 1e-9), ', ' ORDER BY t) AS times, bool_and(confidence='high') AS all_high FROM cd GROUP BY 1")(lambda s: V.delay_summary(V.cluster_dips(set_dips(s, True))))
 
+def recordings(s):
+    """A reference and three recordings of every conversation. A scene is what all frames of eight seconds show; each
+    recording shows words of other lengths, a little later. Every third scene of the reference and every fourth of the
+    last recording show words of their own, so that some scenes have no partner."""
+    o = settled(s("fx_ocr").groupBy("video_id", F.floor(F.col("frame_time") / 8).cast("long").alias("scene_id")).agg(F.array_sort(F.collect_set("tok")).alias("w")), "recordings")
+    out = None
+    for k, label in enumerate(["ref", *COMPARED]):
+        words = F.filter("w", lambda w: F.length(w) % 4 != k)
+        own = {0: F.col("scene_id") % 3 == 1, 3: F.col("scene_id") % 4 == 2}.get(k)
+        words = words if own is None else F.when(own, F.transform(words, lambda w: F.concat(w, F.lit("_"), F.lit(label)))).otherwise(words)
+        rows = o.select(F.col("video_id").alias("set_name"), F.lit(label).alias("label"), "scene_id", (8.0 * F.col("scene_id") + 4 + 1.5 * k).alias("t"), words.alias("words"))
+        out = rows if out is None else out.unionByName(rows)
+    return settled(out, "recordings")
 
-def side(s, r):
-    """A scene is what all frames of eight seconds show."""
-    o = s("fx_ocr").groupBy("video_id", (8 * F.floor(F.col("frame_time") / 8) + 4).cast("double").alias("frame_time")).agg(F.array_sort(F.collect_set("tok")).alias("words"))
-    keep = F.filter("words", lambda w: F.length(w) % 3 != r)
-    return o.select(F.col("video_id").alias("set_name"), F.floor(F.col("frame_time") / 8).cast("long").alias("scene_id"), (F.col("frame_time") + r).alias("t"), keep.alias("words"))
 
+def reference(r):
+    return r.where("label = 'ref'").drop("label")
+
+
+def others(r):
+    return r.where("label <> 'ref'")
+
+
+def pairs_sql(name: str, left: str, right: str) -> str:
+    """Scenes of two tables (set_name, label, id, t, w) with their score."""
+    score = "round(CASE WHEN u = 0 THEN CASE WHEN abs(b_t-a_t) <= 5 THEN 0.5e0*n ELSE 0 END WHEN i/u < 0.1e0 THEN 0 ELSE i/u*n END, 12)"
+    return f"""{name} AS (SELECT set_name, label, a_id, b_id, a_t, b_t, {score} AS score FROM (SELECT l.set_name, r.label, l.id AS a_id, r.id AS b_id, l.t AS a_t, r.t AS b_t, len(list_intersect(l.w, r.w)) AS i, len(list_distinct(list_concat(l.w, r.w))) AS u, exp(-0.5e0*power((r.t-l.t)/10e0, 2)) AS n FROM {left} l JOIN {right} r ON r.set_name = l.set_name AND abs(r.t-l.t) < 30) WHERE {score} > 0.05e0)"""
+
+
+def greedy_sql(name: str, pairs: str, order: str) -> str:
+    """Pairs one by one in an order, those whose ends are free."""
+    return f"""{name} AS (SELECT set_name, label, m.a AS a_id, m.b AS b_id, m.at AS a_t, m.bt AS b_t, m.s AS score FROM (SELECT set_name, label, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: q.a = x[1].a OR q.b = x[1].b)) > 0 THEN acc ELSE list_append(acc, x[1]) END)) AS m
+  FROM (SELECT set_name, label, list([{{'a': a_id, 'b': b_id, 'at': a_t, 'bt': b_t, 's': score}}] ORDER BY {order}) AS l FROM {pairs} GROUP BY 1, 2)))"""
 
-FP = "o AS (SELECT video_id, CAST(8*floor(frame_time/8)+4 AS DOUBLE) AS frame_time, list_sort(list(DISTINCT tok)) AS w FROM fx_ocr GROUP BY 1, 2), l AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS a_id, frame_time AS a_t, list_filter(w, lambda x: length(x) % 3 <> 0) AS aw FROM o), r AS (SELECT video_id AS set_name, CAST(floor(frame_time/8) AS BIGINT) AS b_id, frame_time+1 AS b_t, list_filter(w, lambda x: length(x) % 3 <> 1) AS bw FROM o), p AS (SELECT *, len(list_intersect(aw, bw)) AS i, len(list_distinct(list_concat(aw, bw))) AS u, exp(-0.5e0*power((b_t-a_t)/15e0, 2)) AS n FROM l JOIN r USING (set_name) WHERE abs(b_t-a_t) <= 30), fp AS (SELECT set_name, a_id, b_id, a_t, b_t, round(CASE WHEN u=0 THEN CASE WHEN abs(b_t-a_t) <= 5 THEN 0.5e0*n ELSE 0 END WHEN i/u < 0.1e0 THEN 0 ELSE i/u*n END, 12) AS score FROM p)"
-register("a13_fingerprint_pairs", f"WITH {FP} SELECT * FROM fp WHERE score > 0.05e0", "a_t b_t score")(lambda s: V.fingerprint_pairs(side(s, 0), side(s, 1)))
-register(
-    "a13_scene_fingerprint_match",
-    f"WITH {FP}, ls AS (SELECT set_name, list([{{'a': a_id, 'b': b_id, 'at': a_t, 'bt': b_t, 's': score}}] ORDER BY score DESC, a_id, b_id) AS l FROM fp WHERE score > 0.05e0 GROUP BY 1), mt AS (SELECT set_name, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda q: q.a = x[1].a OR q.b = x[1].b)) > 0 THEN acc ELSE list_append(acc, x[1]) END)) AS m FROM ls) SELECT set_name, m.a AS a_id, m.b AS b_id, m.at AS a_t, m.bt AS b_t, m.s AS score FROM mt",
-    "a_t b_t score",
-)(lambda s: V.mutual_best(V.fingerprint_pairs(side(s, 0), side(s, 1))))
-register(
-    "a14_group_leftovers",
-    f"WITH {FP}, ls AS (SELECT set_name, list([{{'w': aw, 't': a_t, 'v': concat('x', a_id % 3), 'i': a_id, 'g': CAST(0 AS BIGINT), 'h': TRUE}}] ORDER BY a_t, concat('x', a_id % 3), a_id) AS l FROM l GROUP BY 1), "
-    "gr AS (SELECT set_name, unnest(list_reduce(l, lambda acc, x: list_append(acc, {'w': x[1].w, 't': x[1].t, 'v': x[1].v, 'i': x[1].i, "
-    "'g': coalesce(list_filter(acc, lambda q: q.h AND abs(q.t - x[1].t) <= 30 AND len(list_intersect(q.w, x[1].w)) >= 0.3e0*len(list_distinct(list_concat(q.w, x[1].w))) AND len(q.w) + len(x[1].w) > 0)[1].g, len(list_filter(acc, lambda q: q.h))), "
-    "'h': len(list_filter(acc, lambda q: q.h AND abs(q.t - x[1].t) <= 30 AND len(list_intersect(q.w, x[1].w)) >= 0.3e0*len(list_distinct(list_concat(q.w, x[1].w))) AND len(q.w) + len(x[1].w) > 0)) = 0}))) AS m FROM ls) SELECT set_name, m.v AS video_id, m.i AS scene_id, m.g AS group_id FROM gr",
-)(lambda s: V.group_leftovers(side(s, 0).withColumn("video_id", F.concat(F.lit("x"), (F.col("scene_id") % 3).cast("string")))))
 
+def recording_sql(k: int, label: str) -> str:
+    own = {0: "id % 3 = 1", 3: "id % 4 = 2"}.get(k, "FALSE")
+    return f"SELECT video_id AS set_name, '{label}' AS label, id, 8e0*id + 4 + 1.5e0*{k} AS t, CASE WHEN {own} THEN list_transform(list_filter(w, lambda x: length(x) % 4 <> {k}), lambda x: x || '_{label}') ELSE list_filter(w, lambda x: length(x) % 4 <> {k}) END AS w FROM o"
 
-def groups(s):
-    v = s("fx_align").where("match_case <> 'F'").join(s("fx_variants"), "video_id")
-    return v.groupBy((F.col("segment_id") * 10 + F.substring("set_name", 2, 1).cast("int")).alias("group_id"), F.concat(F.lit("L"), F.col("delay_level").cast("string")).alias("label")).agg(F.min("t_vis").alias("t_vis"), F.min("delta_t").alias("delta"))
 
+RECORDINGS = "o AS (SELECT video_id, CAST(floor(frame_time/8) AS BIGINT) AS id, list_sort(list(DISTINCT tok)) AS w FROM fx_ocr GROUP BY 1, 2), sc AS (" + " UNION ALL ".join(recording_sql(k, x) for k, x in enumerate(["ref", *COMPARED])) + "), rf AS (SELECT * FROM sc WHERE label = 'ref'), ot AS (SELECT * FROM sc WHERE label <> 'ref'), " + pairs_sql("fp", "rf", "ot")
+MATCHED = RECORDINGS + ", " + greedy_sql("mt", "fp", "score DESC, a_id, b_id")
+register("a13_fingerprint_pairs", f"WITH {RECORDINGS} SELECT * FROM fp", "a_t b_t score")(lambda s: (lambda r: V.fingerprint_pairs(reference(r), others(r)))(recordings(s)))
+register("a13_scene_fingerprint_match", f"WITH {MATCHED} SELECT * FROM mt", "a_t b_t score")(lambda s: (lambda r: V.scene_matches(reference(r), others(r)))(recordings(s)))
+IN_TURN = "a_id, score DESC, b_id"
+LEFTOVERS = (
+    MATCHED
+    + ", f1 AS (SELECT * FROM ot WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.set_name = ot.set_name AND mt.label = ot.label AND mt.b_id = ot.id)), h1 AS (SELECT * FROM f1 WHERE label = 'c1'), r1 AS (SELECT * FROM f1 WHERE label IN ('c2', 'c3')), "
+    + pairs_sql("p1", "h1", "r1") + ", " + greedy_sql("g1", "p1", IN_TURN)
+    + ", f2 AS (SELECT * FROM r1 WHERE NOT EXISTS (SELECT 1 FROM g1 WHERE g1.set_name = r1.set_name AND g1.label = r1.label AND g1.b_id = r1.id)), h2 AS (SELECT * FROM f2 WHERE label = 'c2'), r2 AS (SELECT * FROM f2 WHERE label = 'c3'), "
+    + pairs_sql("p2", "h2", "r2") + ", " + greedy_sql("g2", "p2", IN_TURN)
+    + ", h3 AS (SELECT * FROM r2 WHERE NOT EXISTS (SELECT 1 FROM g2 WHERE g2.set_name = r2.set_name AND g2.b_id = r2.id))"
+    + ", lo AS (" + " UNION ALL ".join(f"SELECT set_name, label AS head_label, id AS head_id, label, id AS scene_id FROM {h}" for h in ("h1", "h2", "h3"))
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT set_name, '{x}' AS head_label, a_id AS head_id, label, b_id AS scene_id FROM {g}" for x, g in (("c1", "g1"), ("c2", "g2"))) + ")"
+)
 
-LV = ["L0", "L1", "L3", "L5"]
-CT = "gg AS (SELECT a.segment_id*10 + CAST(substring(v.set_name, 2, 1) AS INT) AS group_id, 'L' || v.delay_level AS label, min(t_vis) AS t_vis, min(delta_t) AS delta FROM fx_align a JOIN fx_variants v USING (video_id) WHERE match_case <> 'F' GROUP BY 1, 2), ct AS (SELECT group_id, " + ", ".join(f"max({c}) FILTER (label='{x}') AS {x}_{c}" for x in LV for c in ("t_vis", "delta")) + ", max(t_vis)-min(t_vis) AS tvis_shift, max(delta)-min(delta) AS dt_spread, count(DISTINCT label) AS n_videos FROM gg GROUP BY 1)"
-register("a15_comparison_table", f"WITH {CT} SELECT * FROM ct", " ".join(f"{x}_{c}" for x in LV for c in ("t_vis", "delta")) + " tvis_shift dt_spread")(lambda s: V.comparison_table(groups(s), LV))
-register("a16_delay_points", f"WITH {CT} SELECT group_id, tvis_shift FROM ct WHERE tvis_shift > 0.5e0 ORDER BY tvis_shift DESC, group_id LIMIT 10", "tvis_shift")(lambda s: V.delay_points(V.comparison_table(groups(s), LV)).select("group_id", "tvis_shift"))
-one = "SELECT segment_id AS keyword_id, min(delta_t) AS delta_t FROM fx_align WHERE video_id='{v}' AND segment_id % {m} <> 0 GROUP BY 1"
+
+def leftovers(s):
+    r = recordings(s)
+    matched = V.scene_matches(reference(r), others(r)).select("set_name", "label", F.col("b_id").alias("scene_id"))
+    return V.group_leftovers(others(r).join(matched, ["set_name", "label", "scene_id"], "left_anti"), COMPARED)
+
+
+register("a14_group_leftovers", f"WITH {LEFTOVERS} SELECT * FROM lo")(leftovers)
+
+LV = ["ref", *COMPARED]
+#: Content groups with the alignment of their scenes: gaps by time and scene, two of five scenes without an event, one without a track.
+EVENT = "id % 5 NOT IN (0, 3)"
+GROUPED = LEFTOVERS + f""", gr AS (SELECT g.*, sc.t, sc.w FROM (SELECT set_name, 'ref' AS head_label, id AS head_id, label, id AS scene_id FROM rf UNION ALL SELECT set_name, 'ref' AS head_label, a_id AS head_id, label, b_id AS scene_id FROM mt UNION ALL SELECT * FROM lo) g JOIN sc ON sc.set_name = g.set_name AND sc.label = g.label AND sc.id = g.scene_id),
+al AS (SELECT set_name, label, id AS scene_id, (id*7 % 40 - 20)/8e0 + t % 3 AS delta_t, CASE WHEN id % 10 <> 1 THEN 'text' END AS match_track FROM sc WHERE {EVENT}),
+gw AS (SELECT gr.*, delta_t, coalesce(match_track, '?') AS track FROM gr LEFT JOIN al USING (set_name, label, scene_id)),
+ct AS (SELECT set_name, head_label, head_id, {", ".join(f"max(scene_id) FILTER (label='{x}') AS {x}_sid, round(max(t) FILTER (label='{x}'), 2) AS {x}_tvis, round(max(delta_t) FILTER (label='{x}'), 2) AS {x}_dt, coalesce(max(track) FILTER (label='{x}'), 'missing') AS {x}_track" for x in LV)},
+  round(max(t) - min(t), 2) AS tvis_shift, round(coalesce(max(delta_t) - min(delta_t), 0), 2) AS dt_spread, count(*) AS n_videos,
+  CASE WHEN len(flatten(list(w))) = 0 THEN '(no text)' ELSE array_to_string(list_sort(list_distinct(flatten(list(w))))[1:8], ' ') END AS content_words FROM gw GROUP BY 1, 2, 3)"""
+
+
+def compared(s):
+    r = recordings(s)
+    i = F.col("scene_id")
+    events = r.where(~(i % 5).isin(0, 3)).select("set_name", "label", "scene_id", F.lit(1).alias("event_id"), ((i * 7 % 40 - 20) / 8 + F.col("t") % 3).alias("delta_t"), F.when(i % 10 != 1, "text").alias("match_track"))
+    later = events.select("set_name", "label", "scene_id", F.lit(2).alias("event_id"), F.lit(99.0).alias("delta_t"), F.lit("later").alias("match_track"))
+    return V.comparison_table(V.content_groups(reference(r), others(r), COMPARED), events.unionByName(later), LV)
+
+
+def pictures(table):
+    """Delays of pictures of the compared recordings: none for some."""
+    label = F.explode(F.array(*map(F.lit, COMPARED))).alias("label")
+    rows = table.select("set_name", "head_label", "head_id", label)
+    k = F.substring("label", 2, 1).cast("long")
+    return rows.withColumn("visual_delay", F.when((F.col("head_id") + k) % 4 != 0, (F.col("head_id") * k % 9) / 4))
+
+
+PICTURES = "vs AS (SELECT set_name, head_label, head_id, max(d) - min(d) AS visual_delay_spread FROM (SELECT set_name, head_label, head_id, CASE WHEN (head_id + k) % 4 <> 0 THEN (head_id*k % 9)/4e0 END AS d FROM ct, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY 1, 2, 3)"
+NUMBERS = " ".join(f"{x}_{c}" for x in LV for c in ("tvis", "dt")) + " tvis_shift dt_spread"
+register("a15_comparison_table", f"WITH {GROUPED} SELECT * FROM ct", NUMBERS)(compared)
+TOLD = "set_name, CAST(rank AS INT) AS rank, head_label, head_id, tvis_shift"
+register("a16_delay_points", f"WITH {GROUPED} SELECT {TOLD} FROM (SELECT *, row_number() OVER (PARTITION BY set_name ORDER BY tvis_shift DESC, head_label, head_id) AS rank FROM ct WHERE tvis_shift > 0.5e0) WHERE rank <= 10", "tvis_shift")(
+    lambda s: V.delay_points(compared(s)).select("set_name", "rank", "head_label", "head_id", "tvis_shift")
+)
 register(
-    "j13_variant_diff",
-    f"SELECT coalesce(a.keyword_id, b.keyword_id) AS keyword_id, a.delta_t AS dt_a, b.delta_t AS dt_b, b.delta_t-a.delta_t AS shift, CASE WHEN a.keyword_id IS NULL THEN 'b' WHEN b.keyword_id IS NULL THEN 'a' ELSE 'both' END AS side FROM ({one.format(v='v0', m=5)}) a FULL JOIN ({one.format(v='v3', m=7)}) b ON a.keyword_id=b.keyword_id",
-    "dt_a dt_b shift",
-)(lambda s: V.variant_diff(*[s("fx_align").where((F.col("video_id") == v) & (F.col("segment_id") % m != 0)).groupBy(F.col("segment_id").alias("keyword_id")).agg(F.min("delta_t").alias("delta_t")) for v, m in (("v0", 5), ("v3", 7))]))
+    "a16_delay_points_visual",
+    f"WITH {GROUPED}, {PICTURES} SELECT {TOLD}, visual_delay_spread FROM (SELECT ct.*, visual_delay_spread, row_number() OVER (PARTITION BY ct.set_name ORDER BY visual_delay_spread DESC NULLS LAST, ct.head_label, ct.head_id) AS rank FROM ct LEFT JOIN vs USING (set_name, head_label, head_id) WHERE tvis_shift > 0.5e0 OR visual_delay_spread > 0.5e0) WHERE rank <= 10",
+    "tvis_shift visual_delay_spread",
+)(lambda s: (lambda t: V.delay_points(V.with_visual_spread(t, pictures(t))).select("set_name", "rank", "head_label", "head_id", "tvis_shift", "visual_delay_spread"))(compared(s)))
 
 
 def variant_pairs(s):
@@ -270,7 +351,7 @@ def variant_pairs(s):
 
 
 register(
-    "j13_variant_diff_all",
+    "j13_variant_diff",
     "WITH d AS (SELECT CAST(substring(video_id, 2) AS INT) AS n, segment_id AS keyword_id, min(delta_t) AS delta_t FROM fx_align GROUP BY 1, 2), v AS (SELECT DISTINCT n FROM d), p AS (SELECT a.n AS na, b.n AS nb FROM v a JOIN v b ON CAST(floor(a.n/4) AS INT) = CAST(floor(b.n/4) AS INT) AND a.n < b.n), l AS (SELECT na, nb, keyword_id, delta_t FROM p JOIN d ON n = na), r AS (SELECT na, nb, keyword_id, delta_t FROM p JOIN d ON n = nb) "
     "SELECT 'v' || na AS video_a, 'v' || nb AS video_b, keyword_id, l.delta_t AS dt_a, r.delta_t AS dt_b, r.delta_t-l.delta_t AS shift, CASE WHEN l.na IS NULL THEN 'b' WHEN r.na IS NULL THEN 'a' ELSE 'both' END AS side FROM l FULL JOIN r USING (na, nb, keyword_id)",
     "dt_a dt_b shift",

@@ -225,25 +225,70 @@ SELECT video_id, keyword_id, one, two, ratio FROM p JOIN g USING (one, two)""",
 )(lambda s: phrase_pairs(s).withColumn("ratio", K.token_set_ratio("one", "two")))
 
 # --- sources ----------------------------------------------------------------------------------------------------------
+#: A span between brackets of a text can fail to be JSON.
 register(
     "s7_parse_rating_json",
-    """WITH r AS (SELECT doc_id, regexp_extract(response, '(?s)\\[.*\\]', 0) AS j FROM fx_llm) SELECT doc_id, try_cast(json_extract_string(nullif(j, ''), '$[0].segment_id') AS BIGINT) AS segment_id, CASE WHEN j = '' THEN NULL ELSE least(greatest(coalesce(try_cast(json_extract_string(nullif(j, ''), '$[0].importance') AS INT), 3), 1), 5) END AS importance, CASE WHEN j <> '' THEN json_extract_string(nullif(j, ''), '$[0].reason') END AS reason, j <> '' AS parsed FROM r""",
+    """WITH x AS (SELECT doc_id, regexp_extract(response, '(?s)\\[.*\\]', 0) AS j FROM fx_llm), r AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j ELSE '' END AS j FROM x) SELECT doc_id, try_cast(json_extract_string(nullif(j, ''), '$[0].segment_id') AS BIGINT) AS segment_id, CASE WHEN j = '' THEN NULL ELSE least(greatest(coalesce(try_cast(json_extract_string(nullif(j, ''), '$[0].importance') AS INT), 3), 1), 5) END AS importance, CASE WHEN j <> '' THEN json_extract_string(nullif(j, ''), '$[0].reason') END AS reason, j <> '' AS parsed FROM r""",
 )(lambda s: tables.rating_rows(s("fx_llm")))
-#: The same over responses that hold whole texts; a span between brackets of a text can fail to be JSON.
-register(
-    "s7_parse_rating_json_all",
-    """WITH x AS (SELECT doc_id, regexp_extract(response, '(?s)\\[.*\\]', 0) AS j FROM fx_llm_all), r AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j ELSE '' END AS j FROM x) SELECT doc_id, try_cast(json_extract_string(nullif(j, ''), '$[0].segment_id') AS BIGINT) AS segment_id, CASE WHEN j = '' THEN NULL ELSE least(greatest(coalesce(try_cast(json_extract_string(nullif(j, ''), '$[0].importance') AS INT), 3), 1), 5) END AS importance, CASE WHEN j <> '' THEN json_extract_string(nullif(j, ''), '$[0].reason') END AS reason, j <> '' AS parsed FROM r""",
-)(lambda s: tables.rating_rows(s("fx_llm_all")))
-#: Every text as a model's answer: one in three as a JSON list of its words, the others as they are.
+
+
+def strip_sql(x: str, marks: str = tables.SPACE) -> str:
+    marks = marks.replace("'", "''")
+    return f"regexp_replace({x}, '\\A[{marks}]+|[{marks}]+\\z', '', 'g')"
+
+
+def quoted(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+#: Every text as a model's answer: one in three as a JSON list of its words with prose around it, one as a list that is not
+#: JSON, the others as they are.
 register(
     "s8_parse_concepts",
-    "WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN list_transform(string_split(text, ' '), lambda x: lower(trim(x))) ELSE list_transform(string_split_regex(text, '[\\n,]'), lambda x: lower(trim(regexp_replace(trim(x), '^([-*•]|[0-9]+[.)])\\s*', '')))) END AS c FROM documents) SELECT doc_id, unnest(list_filter(c, lambda x: x <> '')) AS concept FROM r",
-)(lambda s: s("documents").select("doc_id", F.explode(tables.parse_concepts(F.when(F.col("doc_id") % 3 == 0, F.to_json(F.split("text", " "))).otherwise(F.col("text")))).alias("concept")))
-LINES = f"string_split(regexp_replace(regexp_replace(text, '{tables.BOILERPLATE.replace(chr(39), chr(39) * 2)}', '', 'g'), '[*_`#]+', '', 'g'), chr(10))"
+    f"""WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Sure, here it is: ' || to_json(string_split(text, ' ')) || ' - done' WHEN 1 THEN '* ["' || text || '"], ' || text ELSE text END AS response FROM documents),
+i AS (SELECT *, regexp_extract(response, '(?s)\\[.*\\]') AS j FROM r),
+c AS (SELECT doc_id, CASE WHEN j <> '' AND json_valid(j) THEN list_filter(list_transform(json_extract_string(j, '$[*]'), lambda x: lower({strip_sql("coalesce(x, 'none')")})), lambda x: x <> '')
+  ELSE list_transform(list_filter(list_transform(string_split_regex(response, '[\n,]'), lambda x: {strip_sql(strip_sql(strip_sql('x'), tables.BULLETS))}), lambda x: length(x) > 1), lambda x: lower(x)) END AS c FROM i)
+SELECT doc_id, unnest(c) AS concept FROM c""",
+)(
+    lambda s: s("documents").select(
+        "doc_id",
+        F.explode(
+            tables.parse_concepts(
+                F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Sure, here it is: "), F.to_json(F.split("text", " ")), F.lit(" - done")))
+                .when(F.col("doc_id") % 3 == 1, F.concat(F.lit('* ["'), "text", F.lit('"], '), "text"))
+                .otherwise(F.col("text"))
+            )
+        ).alias("concept"),
+    )
+)
+#: Every text as a model's description, most of them with an opening in front.
+DESCRIBED = """CASE doc_id % 9 WHEN 0 THEN concat('Here are the key terms: ', text) WHEN 1 THEN concat('  This frame shows what is said there: the instructional content shows: ', text) WHEN 2 THEN concat(text, ' I cannot read more.')
+ WHEN 3 THEN concat('"The image shows ', text, '"') WHEN 4 THEN concat('non-content ', text) WHEN 5 THEN 'A channel logo and a subscribe button' WHEN 6 THEN concat('In this frame, are ', text) WHEN 7 THEN concat('- Key terms: - stacks') ELSE text END"""
+
+
+def opening_sql() -> str:
+    rest = lambda x: strip_sql(f"substr(r, strpos(r, '{x}') + {len(x)})")
+    cases = " ".join(f"WHEN strpos(r, '{x}') BETWEEN 1 AND {tables.NEAR} THEN CASE WHEN length({rest(x)}) > {tables.LEAST} THEN {rest(x)} ELSE acc END" for x in tables.SEPARATORS)
+    return f"list_transform([strpos(lower(acc), p)], lambda a: CASE WHEN a = 0 THEN acc ELSE list_transform([substr(acc, a + length(p))], lambda r: CASE {cases} ELSE acc END)[1] END)[1]"
+
+
+def starter_sql() -> str:
+    rest, marks = "substr(acc, length(p) + 1)", "\"'.: -"
+    cases = " ".join(f"WHEN starts_with(lower({rest}), '{v}') THEN {strip_sql(f'substr({rest}, {len(v) + 1})', marks)}" for v in tables.VERBS)
+    return f"CASE WHEN starts_with(lower(acc), p) THEN CASE {cases} ELSE acc END ELSE acc END"
+
+
+QUOTES = "\"'"
 register(
     "s9_clean_description",
-    f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{'|'.join(tables.NON_CONTENT)}') THEN NULL ELSE array_to_string(list_filter(list_transform({LINES}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), ' ') END AS text FROM documents",
-)(lambda s: s("documents").select("doc_id", tables.clean_description(F.col("text")).alias("text")))
+    f"""WITH d AS (SELECT doc_id, {strip_sql('t')} AS x FROM (SELECT doc_id, {DESCRIBED} AS t FROM documents)),
+o AS (SELECT *, list_reduce(list_prepend(x, {quoted(tables.OPENINGS)}), lambda acc, p: {opening_sql()}) AS y FROM d),
+s AS (SELECT *, list_reduce(list_prepend({strip_sql('y', QUOTES)}, {quoted(tables.STARTERS)}), lambda acc, p: {starter_sql()}) AS z FROM o),
+l AS (SELECT *, list_filter(list_transform(string_split(z, chr(10)), lambda v: {strip_sql('v')}), lambda v: length(v) > 5 AND length(v) < 150) AS ls FROM s),
+u AS (SELECT *, CASE WHEN length(z) > {tables.LONG} AND len(ls) > 0 THEN array_to_string(list_transform(ls, lambda v: {strip_sql(strip_sql('v', '•*-'))})[1:{tables.LINES}], '; ') ELSE z END AS w FROM l)
+SELECT doc_id, CASE WHEN contains(replace(upper(x), 'NON-CONTENT', 'NON_CONTENT'), 'NON_CONTENT') OR len(list_filter({quoted(tables.REFUSALS)}, lambda v: contains(lower(x), v))) > 0 OR (length(x) < {tables.SHORT} AND len(list_filter({quoted(tables.SHORT_ONLY)}, lambda v: contains(lower(x), v))) > 0) THEN 'NON_CONTENT' WHEN w = '' THEN x ELSE w END AS text FROM u""",
+)(lambda s: s("documents").select("doc_id", tables.clean_description(F.expr(DESCRIBED)).alias("text")))
 register("s6_discover_variants", "SELECT substring(p, 1, 2) AS set_name, CAST(substring(p, 3, 1) AS INT) AS delay_level, p || '.mp4' AS path FROM (SELECT DISTINCT set_name || delay_level AS p FROM fx_variants)")(
     lambda s: tables.discover_variants(s("fx_variants").select(F.concat("set_name", F.col("delay_level").cast("string"), F.lit(".mp4")).alias("path")).distinct(), r"^(.*[A-Za-z][0-9]?)([0-9])\.mp4$")
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -59,23 +58,5 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, q in REGISTRY.items() if (sql := q.oracle()) is not None}
 
 
-#: Queries that are registered once more over all rows, and the views that take the place of the small ones.
-WHOLE = {
-    **dict.fromkeys(("e1_assign_sessions", "e2_explode_submission", "e3_rater_progress", "e4_rater_stringency", "e5_fleiss_kappa", "e8_srocc_by_fold", "e9_curation_robustness", "e9_principle_concordance"), {"fx_ratings": "fx_ratings_all"}),
-    "e6_icc_2k": {"fx_ratings": "fx_panel"},
-    **dict.fromkeys(("a15_comparison_table", "a16_delay_points", "a17_plan_pairs", "i17_series_monotonic", "s5_share_transcript", "s6_discover_variants", "w26_rebase_timeline"), {"fx_variants": "fx_variants_all"}),
-}
-
-
-def register_whole(name: str, views: dict[str, str]) -> None:
-    """name_all: the same query and SQL over other views."""
-    q = REGISTRY[name]
-    sql = re.sub(r"\bfx_\w+", lambda m: views.get(m[0], m[0]), q.sql)
-    register(f"{name}_all", sql, q.doubles)(lambda s: q.build(lambda v: s(views.get(v, v))))
-
-
 def load() -> None:
     from . import q_agreement, q_align, q_scoring, q_series, q_sources, q_streams, q_text  # noqa: F401
-
-    for name, views in WHOLE.items():
-        register_whole(name, views)

@@ -61,21 +61,16 @@ SELECT video_id, word_id AS keyword_id, CAST(floor(word_id/12) AS BIGINT) AS seg
  (row_number() OVER (PARTITION BY label ORDER BY vec_id)-1)*0.5e0 AS frame_time, vec_id, embedding FROM embeddings""",
     "fx_series": """SELECT concat('u', CAST(user_id AS VARCHAR(9))) AS video_id, CAST(i AS INT) AS frame_idx, i*0.5e0 AS t, value/100.0e0 AS mad, 1/(1+value/2000.0e0) AS ssim
  FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS i FROM events) x""",
-    "fx_ratings": """SELECT item, rater, rating, ts FROM (SELECT concat('i', CAST(event_id % 40 AS VARCHAR(9))) AS item, concat('r', CAST(user_id % 5 AS VARCHAR(9))) AS rater, 1+CAST(floor(value) AS BIGINT) % 5 AS rating, ts,
- row_number() OVER (PARTITION BY event_id % 40, user_id % 5 ORDER BY ts, event_id) AS rn FROM events) x WHERE rn=1""",
     "fx_tiers": """WITH b AS (SELECT o_custkey % 12 AS vn, o_orderkey % 50 AS segment_id, min(o_orderkey) AS k, count(*) AS n FROM orders GROUP BY 1,2),
  t AS (SELECT 't1' AS tier UNION ALL SELECT 't2' UNION ALL SELECT 't3')
  SELECT concat('v',CAST(vn AS VARCHAR(4))) AS video_id, segment_id, tier, 1 + CASE tier WHEN 't1' THEN k WHEN 't2' THEN k + n ELSE segment_id + vn END % 5 AS importance FROM b CROSS JOIN t""",
-    "fx_variants": """SELECT video_id, concat('S',CAST(CAST(floor(n/4) AS INT) AS VARCHAR(3))) AS set_name, CAST(CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END AS INT) AS delay_level
- FROM (SELECT DISTINCT video_id, CAST(substring(video_id,2) AS INT) AS n FROM fx_align) x WHERE n<16""",
-    # Whole forms: every event is a rating (a rater's further ratings of eight events in a row are of sibling items), every recording a variant.
-    "fx_ratings_all": """SELECT concat('i', CAST(CAST(floor(event_id/8) AS BIGINT)*13 + rn - 1 AS VARCHAR(20))) AS item, concat('r', CAST(user_id AS VARCHAR(20))) AS rater, 1+CAST(floor(value) AS BIGINT) % 5 AS rating, ts
+    # Every event is a rating (a rater's further ratings of eight events in a row are of sibling items), every recording a variant.
+    "fx_ratings": """SELECT concat('i', CAST(CAST(floor(event_id/8) AS BIGINT)*13 + rn - 1 AS VARCHAR(20))) AS item, concat('r', CAST(user_id AS VARCHAR(20))) AS rater, 1+CAST(floor(value) AS BIGINT) % 5 AS rating, ts
  FROM (SELECT *, row_number() OVER (PARTITION BY CAST(floor(event_id/8) AS BIGINT), user_id ORDER BY ts, event_id) AS rn FROM events) x""",
     "fx_panel": """SELECT concat('i', CAST(CAST(floor(event_id/5) AS BIGINT) AS VARCHAR(20))) AS item, concat('r', CAST(event_id % 5 AS VARCHAR(9))) AS rater, 1+CAST(floor(value) AS BIGINT) % 5 AS rating, ts FROM events""",
-    "fx_variants_all": """SELECT video_id, concat('S',CAST(CAST(floor(n/4) AS INT) AS VARCHAR(3))) AS set_name, CAST(CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END AS INT) AS delay_level
+    "fx_variants": """SELECT video_id, concat('S',CAST(CAST(floor(n/4) AS INT) AS VARCHAR(3))) AS set_name, CAST(CASE n % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 5 END AS INT) AS delay_level
  FROM (SELECT DISTINCT video_id, CAST(substring(video_id,2) AS INT) AS n FROM fx_align) x""",
-    "fx_llm": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substring(text,1,40) ELSE concat('Sure: [{"segment_id": ', CAST(doc_id AS VARCHAR(9)), ', "importance": ', CAST(doc_id % 9 AS VARCHAR(9)), ', "reason": "r"}] done') END AS response FROM documents""",
-    "fx_llm_all": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text ELSE concat(text, ' Sure: [{"segment_id": ', CAST(doc_id AS VARCHAR(20)), ', "importance": ', CAST(doc_id % 9 AS VARCHAR(9)), ', "reason": "r"}] done ', text) END AS response FROM documents""",
+    "fx_llm": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text ELSE concat(text, ' Sure: [{"segment_id": ', CAST(doc_id AS VARCHAR(20)), ', "importance": ', CAST(doc_id % 9 AS VARCHAR(9)), ', "reason": "r"}] done ', text) END AS response FROM documents""",
     "fx_concepts": """SELECT s.video_id, s.scene_id, s.t_start, s.t_end, s.t_keyframe, k.keyword_text AS concept FROM fx_scenes s JOIN fx_keywords k ON k.video_id = s.video_id AND k.t_narr >= s.t_start AND k.t_narr < s.t_end""",
 }
 

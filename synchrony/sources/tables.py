@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import settled
+
 SCHEMAS = {
     "words": "word_id long, word string, start_time double, end_time double, timestamp_reliable boolean",
     "segments_raw": "segment_id long, text string, start_time double, end_time double",
@@ -19,16 +24,40 @@ SCHEMAS = {
 SETS = {"words": r"\s+", "ocr_words": r"\s+", "gemini_concepts": r"\|"}
 
 
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """file_, names_: the columns that each CSV file under a path names in its first line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_"), F.col("_metadata.file_block_start").alias("at_"), "value", F.monotonically_increasing_id().alias("row_"))
+    first = lines.where("at_ = 0").groupBy("file_").agg(F.min_by("value", "row_").alias("line_"))
+    names = F.transform(F.split(F.regexp_replace("line_", r"\A\x{FEFF}|\r\z", ""), ","), lambda x: F.trim(F.regexp_replace(F.trim(x), r'\A"|"\z', "")))
+    return settled(first.select("file_", names.alias("names_")), "csv-headers")
+
+
+def read_csv_by_name(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
+    """file_ and the wanted columns of all CSV files under a path as text. Each file's own first line tells where a column
+    stands, so files may order their columns differently, lack some or hold more; one reader scans them all, and its rows
+    meet the header of their file."""
+    known = headers(spark, path)
+    width = known.agg(F.max(F.size("names_"))).first()[0] or 1
+    fields = [f"field_{i}_" for i in range(width)]
+    raw = spark.read.schema(", ".join(f"{f} string" for f in fields)).option("multiLine", True).option("escape", '"').csv(path)
+    partitions = [c for c in raw.columns if c not in fields]
+    rows = raw.select(F.col("_metadata.file_path").alias("file_"), F.array(*fields).alias("values_"), *partitions).join(known, "file_")
+    own = F.transform(F.slice("values_", 1, F.size("names_")), lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    rows = rows.where(own != F.col("names_"))
+    value = lambda c: F.get("values_", F.array_position("names_", c).cast("int") - 1)
+    return rows.select("file_", *[(F.coalesce(value(c), F.col(c).cast("string")) if c in partitions else value(c)).alias(c) for c in wanted])
+
+
 def read_table(spark: SparkSession, kind: str, path: str, video_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
-    """A table of many recordings: fixed column types by name, NaN as null, sets as arrays, video_id from the path.
-    CSV files may lack columns or hold more; those are null or dropped."""
+    """A table of many recordings: fixed column types by name, NaN as null, sets as arrays, video_id from a column, a
+    partition folder or the path. Files may lack columns, hold more or order them differently; what lacks is null."""
+    wanted = [f.strip().split(" ", 1) for f in SCHEMAS[kind].split(",")]
     if path.endswith(".parquet"):
-        raw = spark.read.parquet(path)
+        raw = spark.read.option("mergeSchema", True).parquet(path).withColumn("file_", F.col("_metadata.file_path"))
+        raw = raw if "video_id" in raw.columns else raw.withColumn("video_id", F.lit(None).cast("string"))
     else:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    wanted = [f.strip().split(" ", 1) for f in SCHEMAS[kind].split(",")]
-    out = raw if "video_id" in raw.columns else raw.withColumn("video_id", F.regexp_extract(F.input_file_name(), video_pattern, 1))
-    cols: list[Column] = [F.col("video_id")]
+        raw = read_csv_by_name(spark, path, ["video_id", *(name for name, _ in wanted)])
+    cols: list[Column] = [F.coalesce("video_id", F.regexp_extract("file_", video_pattern, 1)).alias("video_id")]
     for name, type_ in wanted:
         value = F.col(name) if name in raw.columns else F.lit(None).cast("string")
         if name in SETS and kind in ("ocr_frames", "scenes"):
@@ -40,7 +69,7 @@ def read_table(spark: SparkSession, kind: str, path: str, video_pattern: str = r
             if type_ in ("int", "long"):
                 v = v.try_cast("double")
             cols.append(v.try_cast(type_).alias(name))
-    return out.select(*cols)
+    return raw.select(*cols)
 
 
 def read_results(spark: SparkSession, path: str, video_pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
@@ -57,8 +86,8 @@ def write_stage(df: DataFrame, path: str, skip_done: bool = False) -> None:
         try:
             done = spark.read.parquet(path).select(F.col("video_id").cast("string").alias("video_id")).distinct()
             df = df.join(done, "video_id", "left_anti")
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # something else than that nothing has been written yet
                 raise
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(path)
 
@@ -69,11 +98,17 @@ def results_json(results: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     return results.select("video_id", F.to_json(F.struct("video_id", *parts)).alias("json"))
 
 
+#: Parts that a transcript is shared in.
+SHARED_PARTS = 64
+
+
 def share_transcript(words: DataFrame, source: str, targets: DataFrame) -> DataFrame:
-    """The rows of one recording for every target recording: the target list is small and is broadcast."""
-    own = words.where(F.col("video_id") == source).drop("video_id").withColumn("k_", F.lit(0))
-    names = targets.select("video_id").distinct().withColumn("k_", F.lit(0))
-    return own.join(names, "k_").select("video_id", *[c for c in words.columns if c != "video_id"])
+    """The rows of one recording for every target recording. The rows are dealt into parts, and each target asks for each
+    part, so that the join has a key whatever the sizes."""
+    own = words.where(F.col("video_id") == source).drop("video_id")
+    own = own.withColumn("part_", F.pmod(F.xxhash64(*own.columns), F.lit(SHARED_PARTS)).cast("int"))
+    names = targets.select("video_id").distinct().withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(SHARED_PARTS - 1))))
+    return names.join(own, "part_").drop("part_")
 
 
 def discover_variants(paths: DataFrame, pattern: str = r"^(.*[A-Za-z])([0-9])\.mp4$", levels: tuple[int, ...] = (0, 1, 3, 5)) -> DataFrame:
@@ -99,23 +134,103 @@ def rating_rows(responses: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode_outer("r_").alias("x"), F.col("r_").isNotNull().alias("parsed")).select("doc_id", "x.segment_id", "x.importance", "x.reason", "parsed")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body``, inside one expression."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: White space that is cut off at the ends of texts.
+SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def strip(text: Column, marks: str = SPACE) -> Column:
+    """Without these characters at both ends; marks: what stands between the brackets of a pattern."""
+    return F.regexp_replace(text, rf"\A[{marks}]+|[{marks}]+\z", "")
+
+
+#: Marks around a concept in a list that is not JSON.
+BULLETS = "*•\"'-"
+
+
 def parse_concepts(response: Column) -> Column:
-    """A JSON array of strings, else lines and comma-separated parts without bullets; lower case, trimmed, not empty."""
-    as_json = F.from_json(F.trim(response), "array<string>")
-    parts = F.transform(F.split(response, r"[\n,]"), lambda x: F.regexp_replace(F.trim(x), r"^([-*•]|[0-9]+[.)])\s*", ""))
-    return F.filter(F.transform(F.coalesce(as_json, parts), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    """The concepts of a response: what stands between the first "[" and the last "]" as a JSON array, wherever in the text
+    it is; if it is none, the parts between lines and commas without white space, bullets and quotes around them, of
+    two characters or more. Lower case; empty ones are left out; a null response has none."""
+    text = F.coalesce(response, F.lit(""))
+    inner = F.regexp_extract(text, r"(?s)\[.*\]", 0)
+    # as the only element of an array: anything behind the list makes it two elements, or no JSON
+    parsed = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<array<string>>", {"allowSingleQuotes": "false"})
+    listed = F.when((inner != "") & (F.size(parsed) == 1), parsed[0])
+    concepts = F.filter(F.transform(listed, lambda x: F.lower(strip(F.coalesce(x, F.lit("none"))))), lambda x: x != "")
+    parts = F.transform(F.split(text, r"[\n,]"), lambda x: strip(strip(strip(x), BULLETS)))
+    return F.coalesce(concepts, F.transform(F.filter(parts, lambda x: F.length(x) > 1), F.lower))
+
+
+#: The mark of a description without content; what says so anywhere; what says so in a short text; openings
+#: that lead to the content, with what may stand between; words that open a sentence about the picture; marks of lists.
+NON_CONTENT = "NON_CONTENT"
+REFUSALS = ["doesn't contain any text", "does not contain any text", "no text or visual elements", "appears to be a graphic rather", "no readable text", "cannot determine", "i cannot", "no instructional content"]
+SHORT_ONLY = ["channel logo", "subscribe button", "intro screen", "outro screen", "end screen", "channel name only"]
+OPENINGS = [
+    "the primary concept being explained", "the key technical terms", "the instructional content shows", "the main readable text", "the text visible in this",
+    "the image contains the following text:", "the visible text reads:", "this frame shows", "the frame shows", "in this frame,", "here are the key", "key terms:", "terms:",
+]
+SEPARATORS = [":", " is ", " are ", ". ", "- "]
+STARTERS = ["the text ", "the image ", "the frame "]
+VERBS = ["reads ", "shows ", "contains ", "displays "]
+SHORT, NEAR, LEAST, LONG, LINES = 80, 30, 5, 250, 5
+
+
+def after(text: Column, at: Column, size: int) -> Column:
+    """What follows ``size`` characters from a place counted from 1."""
+    return F.substring(text, at + size, F.length(text))
+
+
+def without_opening(text: Column, opening: Column) -> Column:
+    """If the opening stands anywhere: what follows the first separator near behind it, if that is long enough."""
+
+    def cut(rest: Column) -> Column:
+        out = text
+        for sep in reversed(SEPARATORS):
+            at = F.instr(rest, sep)
+            candidate = strip(after(rest, at, len(sep)))
+            out = F.when((at > 0) & (at <= NEAR), F.when(F.length(candidate) > LEAST, candidate).otherwise(text)).otherwise(out)
+        return out
+
+    return let(F.call_function("locate", opening, F.lower(text)), lambda at: F.when(at == 0, text).otherwise(let(F.substring(text, at + F.length(opening), F.length(text)), cut)))
+
+
+def without_starter(text: Column, starter: Column) -> Column:
+    def cut(rest: Column) -> Column:
+        out = text
+        for verb in reversed(VERBS):
+            out = F.when(F.startswith(F.lower(rest), F.lit(verb)), strip(after(rest, F.lit(1), len(verb)), "\"'.: -")).otherwise(out)
+        return out
+
+    return F.when(F.startswith(F.lower(text), starter), let(F.substring(text, F.length(starter) + 1, F.length(text)), cut)).otherwise(text)
 
 
-#: Openings and phrases of descriptions that carry no content.
-NON_CONTENT = ["no visible content", "blank screen", "black screen", "title slide", "talking head", "nothing is shown"]
-BOILERPLATE = r"(?im)^(here is|here's|sure[,!.]|the (image|frame|slide) (shows|depicts|contains)|this (image|frame|slide) (shows|depicts|contains))[:,]?\s*"
+def useful_lines(text: Column) -> Column:
+    """The first lines that look like terms or short descriptions, in place of a long text; the text if there is none."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: (F.length(x) > 5) & (F.length(x) < 150))
+    return let(lines, lambda x: F.when(F.size(x) > 0, F.array_join(F.slice(F.transform(x, lambda y: strip(strip(y, "•*-"))), 1, LINES), "; ")).otherwise(text))
 
 
 def clean_description(text: Column) -> Column:
-    """Free text without boilerplate openings, markup and empty lines; null if it says that there is no content."""
-    plain = F.regexp_replace(F.regexp_replace(text, BOILERPLATE, ""), r"[*_`#]+", "")
-    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
-    return F.when(F.lower(text).rlike("|".join(NON_CONTENT)), None).otherwise(F.array_join(lines, " "))
+    """A model's description without what leads up to its content: ``NON_CONTENT`` if it says so, refuses, or is short and
+    speaks of logos and end screens only. Openings are cut one after another, each from what the one before it left; then
+    quotes and a sentence about the picture; long texts are held to a few useful lines. A null text stays null."""
+
+    def told(x: Column) -> Column:
+        lower = F.lower(x)
+        has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(lower, w))
+        none = F.contains(F.replace(F.upper(x), F.lit("NON-CONTENT"), F.lit("NON_CONTENT")), F.lit("NON_CONTENT")) | has(REFUSALS) | ((F.length(x) < SHORT) & has(SHORT_ONLY))
+        opened = F.aggregate(F.array(*map(F.lit, OPENINGS)), x, without_opening)
+        started = F.aggregate(F.array(*map(F.lit, STARTERS)), strip(opened, "\"'"), without_starter)
+        short = let(started, lambda y: F.when(F.length(y) > LONG, useful_lines(y)).otherwise(y))
+        return F.when(none, NON_CONTENT).otherwise(let(short, lambda y: F.when(y != "", y).otherwise(x)))
+
+    return F.when(text.isNotNull(), let(strip(text), told))
 
 
 # --- quality summaries ------------------------------------------------------------------------------------------------
