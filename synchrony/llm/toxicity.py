@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import columns_of, text_or_empty, unused, written
 
 #: At most so many labelled rows of each class are fitted, those with the smallest seeded hash.
 SAMPLE = 4000
@@ -231,26 +231,27 @@ def evidence(text: str, theta: dict[str, float], memory: dict[str, tuple[str, ..
     return sum(theta[f] * math.log1p(n) for f, n in sorted(seen.items()))
 
 
-def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents with tox_score__."""
+def scored(docs: DataFrame, labels: DataFrame, name: str, **options) -> DataFrame:
+    """The documents with their score as one more column."""
     model, intercept = trained(docs, labels, **options)
-    name = hashlib.sha256(repr((sorted(model.items()), intercept)).encode()).hexdigest()
+    digest = hashlib.sha256(repr((sorted(model.items()), intercept)).encode()).hexdigest()
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        memory = remembered(name)
+        memory = remembered(digest)
         z = [intercept + evidence(t, weights.value, memory) for t in texts]
         return pd.Series([1 / (1 + math.exp(-min(max(x, -500), 500))) for x in z], dtype=float)
 
-    return docs.withColumn("tox_score__", score(text_or_empty()))
+    return docs.withColumn(name, score(text_or_empty()))
 
 
 def op5_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    found = scored(docs.select("doc_id", "text"), labels, **options)
-    return found.select("doc_id", held_out().alias("held_out"), F.col("tox_score__").alias("score"), (F.col("tox_score__") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs.select("doc_id", "text"), labels, "score", **options)
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents whose score is below the threshold."""
-    return scored(docs, labels, **options).where(F.col("tox_score__") < THRESHOLD).select(*docs.columns)
+    """The documents whose score is below the threshold, with the columns that they came with, whatever these are called."""
+    (name,) = unused(docs, "tox_score__")
+    return scored(docs, labels, name, **options).where(F.col(name) < THRESHOLD).select(*columns_of(docs))
