@@ -40,7 +40,7 @@ FEATURES, LEAST_DOCS = 4000, 4
 #: Least z-score of the difference between a feature's shares of documents of the two classes.
 STRENGTH = 4.0
 #: Weights of the ridge and of the counterfactual penalty.
-RIDGE, COUNTERFACTUAL = 1.0, 50.0
+RIDGE, COUNTERFACTUAL = 0.1, 50.0
 #: Words (of at most LONGEST characters) whose features a Python worker remembers, for one model at a time: about 20 MB.
 REMEMBERED, LONGEST = 100_000, 40
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -198,7 +198,9 @@ def trained(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, seed: int =
         # sorted: any order of arrival gives the same fit
         rows = sorted((list(a), list(v), y, w) for a, v, y, w in zip(group["at"], group["value"], group["label"], group["weight"]))
         cases, swaps = [x for x in rows if x[2] >= 0], [(a, v, w) for a, v, y, w in rows if y < 0]
-        theta, b = minimised([(a, v, w) for a, v, _, w in cases], [y for _, _, y, _ in cases], swaps + bare_terms(index), len(index))
+        # the rarer class weighs more, by the root of the shares: half way to equal classes
+        each = [math.sqrt(sum(totals) / (2 * n)) for n in totals]
+        theta, b = minimised([(a, v, w * each[y]) for a, v, y, w in cases], [y for _, _, y, _ in cases], swaps + bare_terms(index), len(index))
         return pd.DataFrame({"position": [-1, *range(len(theta))], "weight": [b, *theta]})
 
     rows = sample.mapInPandas(rows_for_fit(index), ROWS).groupBy("at", "value", "label").agg(F.sum("weight").alias("weight"))
