@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.tokens import indel_ratio_arrow, may_reach, normalize_word, token_set_ratio
 from ..sources.shared import settled
+from .scans import SECONDS, previous, scan
 from .scoring import weighted_median
 from .timejoin import bucketed_range_join, nearest_frame, nearest_segment, scene_at
 
@@ -341,7 +342,7 @@ def grounding_by_segment(grounded: DataFrame) -> DataFrame:
 
 
 def monotonic_violations(align: DataFrame, slack: float = 10.0) -> DataFrame:
-    """Events in visual order whose word comes more than the slack before that of the event before. The order runs through
-    a whole recording, so a recording is one partition of the window, sorted on disk where it is long."""
-    w = Window.partitionBy("video_id").orderBy("t_vis", "keyword_id", "segment_id", "t_narr", "alpha")
-    return align.withColumn("violates", F.coalesce(F.col("t_narr") < F.lag("t_narr").over(w) - slack, F.lit(False)))
+    """Events in visual order whose word comes more than the slack before that of the event before."""
+    order = [F.col(c) for c in ("t_vis", "keyword_id", "segment_id", "t_narr", "alpha")]
+    rows = scan(align, F.floor(F.col("t_vis") / SECONDS), order, before_=previous(F.struct("t_narr")))
+    return rows.withColumn("violates", F.coalesce(F.col("t_narr") < F.col("before_.t_narr") - slack, F.lit(False))).drop("before_")

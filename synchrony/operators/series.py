@@ -1,15 +1,21 @@
 """Ordered series: change signals, thresholds, boundaries, scenes, runs, dips and delays.
 
-Series are keyed by video_id (or a pair) and ordered by frame_idx; all windows are per recording.
+Series are keyed by video_id (or a pair) and ordered by frame_idx. Runs, events and shifts along a whole recording are scans
+over buckets (``scans``); other windows are per recording.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.tokens import jaccard_distance
+from .scans import PLACES, SECONDS, previous, scan, sum_before
 from .timejoin import bucketed_range_join
 
 KEY = ("video_id",)
@@ -23,9 +29,14 @@ def whole(keys=KEY):
     return Window.partitionBy(*keys)
 
 
-def islands(rows: DataFrame, new: Column, order: str, keys=KEY) -> DataFrame:
-    """+ island: number of the run that a row belongs to; ``new`` says that a row opens one."""
-    return rows.withColumn("new_", F.coalesce(new, F.lit(True)).cast("long")).withColumn("island", F.sum("new_").over(by(order, keys=keys).rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
+def islands(rows: DataFrame, new: Callable[[Column], Column], order: str, keys=KEY, size: float = PLACES) -> DataFrame:
+    """+ island: the place in the order at which the run of a row begins; ``new`` tells from the place of the row before
+    whether a row opens one, as the first row does."""
+    here = F.col(order)
+    bucket = lambda: F.floor(here / size)
+    rows = scan(rows, bucket(), [here], keys, before_=previous(here))
+    opens = F.coalesce(new(F.col("before_")), F.lit(True))
+    return scan(rows.withColumn("opens_", F.when(opens, here)), bucket(), [here], keys, island=previous(F.col("opens_"), current=True)).drop("before_", "opens_")
 
 
 # --- signals ----------------------------------------------------------------------------------------------------------
@@ -97,8 +108,7 @@ def otsu_threshold(series: DataFrame, column: str = "signal", steps: int = 50, k
 def find_boundaries(series: DataFrame, column: str, threshold: Column, keys=KEY) -> DataFrame:
     """Rows at or above the threshold, grouped while at most two frames apart; the first peak of each group."""
     hot = series.where(F.col(column) >= threshold)
-    gap = F.col("frame_idx") - F.lag("frame_idx").over(by("frame_idx", keys=keys)) > 2
-    rows = islands(hot, gap, "frame_idx", keys)
+    rows = islands(hot, lambda before: F.col("frame_idx") - before > 2, "frame_idx", keys)
     peaks = rows.groupBy(*keys, "island").agg(F.max_by(F.struct("frame_idx", "t", column), F.struct(F.col(column), -F.col("frame_idx"))).alias("p"))
     return peaks.select(*keys, F.col("p.frame_idx").alias("frame_idx"), F.col("p.t").alias("t"), F.col(f"p.{column}").alias("score"))
 
@@ -155,28 +165,43 @@ def centroid_keyframe(scenes: DataFrame, frames: DataFrame) -> DataFrame:
     return scenes.join(long.unionByName(middle), ["video_id", "scene_id"], "left")
 
 
-def merge_similar_short(scenes: DataFrame, shortest: float = 2.0, similarity: float = 0.85) -> DataFrame:
-    """scenes: video_id, scene_id, t_start, t_end, embedding (of the keyframe), words. A short scene whose keyframe is
-    similar to that of the running group's head is taken into it. The fold runs over one recording's scenes, which are
-    few; it keeps head, end and words."""
-    row = F.struct("scene_id", "t_start", "t_end", "embedding", "words")
-    item = "struct<t_start:double,t_end:double,embedding:array<float>,words:array<string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        head = F.element_at(acc, -1)
-        short = (x["t_end"] - x["t_start"] < shortest) & (S.cosine(head["embedding"], x["embedding"]) > similarity)
-        plain = F.struct(x["t_start"].alias("t_start"), x["t_end"].alias("t_end"), x["embedding"].alias("embedding"), x["words"].alias("words"))
-        grown = F.struct(head["t_start"].alias("t_start"), x["t_end"].alias("t_end"), head["embedding"].alias("embedding"), F.array_union(head["words"], x["words"]).alias("words"))
-        return F.when((F.size(acc) > 0) & short, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(plain)))
+MERGED = "video_id string, head long, t_start double, t_end double, words array<string>"
 
-    # element_at fails on an empty array, so the first scene starts the list
-    def fold(sorted_rows: Column) -> Column:
-        first = F.element_at(sorted_rows, 1)
-        start = F.array(F.struct(first["t_start"].alias("t_start"), first["t_end"].alias("t_end"), first["embedding"].alias("embedding"), first["words"].alias("words"))).cast(f"array<{item}>")
-        return F.aggregate(F.slice(sorted_rows, 2, F.greatest(F.size(sorted_rows) - 1, F.lit(0))), start, lambda acc, x: step(acc, x).cast(f"array<{item}>"))
 
-    per = scenes.groupBy("video_id").agg(F.array_sort(F.collect_list(row)).alias("rows_"))
-    return per.select("video_id", F.posexplode(fold(F.col("rows_"))).alias("scene_id", "s")).select("video_id", "scene_id", "s.t_start", "s.t_end", F.array_sort("s.words").alias("words"))
+def merge_similar_short(scenes: DataFrame, shortest: float = 2.0, similarity: float = 0.85) -> DataFrame:
+    """scenes: video_id, scene_id, t_start, t_end, embedding (of the keyframe), words. A short scene whose keyframe is
+    similar to that of the running group's head is taken into it; a group keeps its head's picture, its last end and all
+    words. Scenes of a recording come in order from a sorted partition, and a task holds the head of one group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, head, group = None, None, None
+
+        def closed(rows: list) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["video_id", "head", "t_start", "t_end", "words"])
+
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                v = None if r["embedding"] is None else np.array(r["embedding"], float)
+                near = False
+                if group is not None and r["video_id"] == video and r["t_end"] - r["t_start"] < shortest and v is not None and head is not None and len(v) == len(head):
+                    norm = np.sqrt((v * v).sum() * (head * head).sum())
+                    near = bool(norm > 0 and (v * head).sum() / norm > similarity)
+                if near:
+                    group[3] = r["t_end"]
+                    group[4].update(r["words"] or [])
+                    continue
+                if group is not None:
+                    rows.append((*group[:4], sorted(group[4])))
+                video, head = r["video_id"], v
+                group = [video, r["scene_id"], r["t_start"], r["t_end"], set(r["words"] or [])]
+            yield closed(rows)
+        if group is not None:
+            yield closed([(*group[:4], sorted(group[4]))])
+
+    rows = scenes.select("video_id", F.col("scene_id").cast("long").alias("scene_id"), "t_start", "t_end", "embedding", "words")
+    merged = rows.repartition("video_id").sortWithinPartitions("video_id", "scene_id").mapInArrow(run, MERGED)
+    return merged.select("video_id", (F.row_number().over(by("head")) - 1).cast("int").alias("scene_id"), "t_start", "t_end", "words")
 
 
 def force_split(scenes: DataFrame, series: DataFrame, longest: float = 30.0) -> DataFrame:
@@ -250,7 +275,7 @@ def freeze_runs(series: DataFrame, threshold: float = 0.5, shortest: float = 0.5
     """Longest runs of differences under the threshold. A difference belongs to the pair that ends in its frame, so a run
     starts one frame earlier. series: frame_idx from 1 on holds the difference to the frame before."""
     low = series.where((F.col("frame_idx") > 0) & (F.col("mad") < threshold))
-    rows = islands(low, F.col("frame_idx") - F.lag("frame_idx").over(by("frame_idx")) > 1, "frame_idx")
+    rows = islands(low, lambda before: F.col("frame_idx") - before > 1, "frame_idx")
     runs = rows.groupBy("video_id", "island").agg((F.min("frame_idx") - 1).alias("start_frame"), F.max("frame_idx").alias("end_frame"))
     n = F.col("end_frame") - F.col("start_frame") + 1
     return runs.where(n >= int(shortest * fps)).select("video_id", "start_frame", "end_frame", (F.col("start_frame") / fps).alias("start_sec"), (F.col("end_frame") / fps).alias("end_sec"), (n / fps).alias("duration_sec"), n.alias("n_frames"))
@@ -270,13 +295,11 @@ def freezes_side_by_side(runs: DataFrame, most: int = 5) -> DataFrame:
 def transitions(series: DataFrame, threshold: float, both_sides: bool = False) -> DataFrame:
     """diverge: the difference reaches the threshold after being below it; resync: the other way. The sample before the
     first counts as matching, unless both sides are asked for. + t_mid, the middle of the two samples."""
-    low = F.col("mad") < threshold
-    w = by("frame_idx")
-    first = None if both_sides else True
-    before = F.lag("low_", 1, first).over(w)
-    rows = series.withColumn("low_", low).withColumn("before_", before).withColumn("prev_t_", F.lag("t").over(w))
-    event = F.when(F.col("before_") & ~F.col("low_"), "diverge").when(~F.col("before_") & F.col("low_"), "resync")
-    return rows.withColumn("event", event).where("event is not null").select("video_id", "frame_idx", "t", "event", F.coalesce((F.col("t") + F.col("prev_t_")) / 2, F.col("t")).alias("t_mid"))
+    rows = series.withColumn("low_", F.col("mad") < threshold)
+    rows = scan(rows, F.floor(F.col("frame_idx") / PLACES), [F.col("frame_idx")], before_=previous(F.struct("low_", "t")))
+    before = F.col("before_.low_") if both_sides else F.when(F.col("before_").isNull(), True).otherwise(F.col("before_.low_"))
+    event = F.when(before & ~F.col("low_"), "diverge").when(~before & F.col("low_"), "resync")
+    return rows.withColumn("event", event).where("event is not null").select("video_id", "frame_idx", "t", "event", F.coalesce((F.col("t") + F.col("before_.t")) / 2, F.col("t")).alias("t_mid"))
 
 
 def mismatch_duration(events: DataFrame) -> DataFrame:
@@ -303,7 +326,7 @@ def adaptive_dip_threshold(series: DataFrame) -> DataFrame:
 def dip_regions(series: DataFrame, threshold: Column | None = None, merge_gap: float = 2.0, shortest: float = 0.5) -> DataFrame:
     """Points under the threshold, chained while close in time; single short points are dropped."""
     low = series.where(F.col("ssim") < (F.lit(0.95) if threshold is None else threshold))
-    rows = islands(low, F.col("t") - F.lag("t").over(by("t")) > merge_gap, "t")
+    rows = islands(low, lambda before: F.col("t") - before > merge_gap, "t", size=SECONDS)
     out = rows.groupBy("video_id", "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), (F.max("t") - F.min("t")).alias("duration"), F.min("ssim").alias("min_ssim"), F.avg("ssim").alias("mean_ssim"), F.avg("t").alias("center"), F.count(F.lit(1)).alias("n_points"))
     return out.where((F.col("duration") >= shortest) | (F.col("n_points") >= 2)).drop("island")
 
@@ -340,10 +363,8 @@ def check_expected_delay(dips: DataFrame, estimates: DataFrame, tolerance: float
 
 def rebase_timeline(events: DataFrame, delays: DataFrame) -> DataFrame:
     """events: video_id, event_id, t; delays: video_id, t_delay, delay. Time in the baseline: less all delays injected
-    before. One running sum over the union of both."""
-    e = events.select("video_id", F.col("t").alias("at"), F.lit(0.0).alias("d"), F.col("event_id"))
-    d = delays.select("video_id", F.col("t_delay").alias("at"), F.col("delay").alias("d"), F.lit(None).cast("long").alias("event_id"))
-    w = by("at").rangeBetween(Window.unboundedPreceding, 0)
-    sums = F.sum("d").over(w)
-    here = F.sum("d").over(Window.partitionBy("video_id", "at"))
-    return e.unionByName(d).withColumn("t_base", F.col("at") - (sums - here)).where("event_id is not null").select("video_id", "event_id", F.col("at").alias("t"), "t_base")
+    before. One running sum over the union of both, in which an event stands before the delays of its time."""
+    e = events.select("video_id", F.col("t").alias("at"), F.lit(None).cast("double").alias("d"), F.col("event_id"), F.lit(0).alias("late_"))
+    d = delays.select("video_id", F.col("t_delay").alias("at"), F.col("delay").cast("double").alias("d"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(1).alias("late_"))
+    rows = scan(e.unionByName(d), F.floor(F.col("at") / SECONDS), [F.col("at"), F.col("late_")], sum_=sum_before(F.col("d")))
+    return rows.where("late_ = 0").select("video_id", "event_id", F.col("at").alias("t"), (F.col("at") - F.col("sum_")).alias("t_base"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
+from .scans import SECONDS, following, previous, scan
 
 
 def bucket_of(t: Column, width: float) -> Column:
@@ -54,15 +55,12 @@ def scene_at(points: DataFrame, scenes: DataFrame, point: str, id_column: str, w
 
 def nearest_middle(points: DataFrame, spans: DataFrame, id_column: str) -> DataFrame:
     """points: video_id, id, t_; spans: video_id, t_ (middle), s -> video_id, id, s of the nearest middle, the smaller s on
-    a tie. The two neighbours in time order are found by an as-of window over the union, so no point meets all spans;
-    a recording is one partition of that window, which Spark sorts on disk."""
+    a tie. The two neighbours in time order are found by a scan over the union, so no point meets all spans."""
     one = spans.where("t_ is not null").groupBy("video_id", "t_").agg(F.min("s").alias("s"))
     a = points.select("video_id", F.col(id_column).alias("pid_"), "t_", F.lit(None).cast(one.select(F.struct("t_", "s")).schema[0].dataType).alias("m_"))
     b = one.select("video_id", F.lit(None).cast(points.schema[id_column].dataType).alias("pid_"), "t_", F.struct("t_", "s").alias("m_"))
-    w = Window.partitionBy("video_id").orderBy("t_", F.col("pid_").isNotNull())
-    u = a.unionByName(b)
-    u = u.withColumn("prev_", F.last("m_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    u = u.withColumn("next_", F.first("m_", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("pid_ is not null")
+    u = scan(a.unionByName(b), F.floor(F.col("t_") / SECONDS), [F.col("t_"), F.col("pid_").isNotNull()], prev_=previous(F.col("m_"), current=True), next_=following(F.col("m_"), current=True))
+    u = u.where("pid_ is not null")
     gap = lambda c: F.abs(F.col(f"{c}.t_") - F.col("t_"))
     take_prev = F.col("next_").isNull() | (F.col("prev_").isNotNull() & ((gap("prev_") < gap("next_")) | ((gap("prev_") == gap("next_")) & (F.col("prev_.s") < F.col("next_.s")))))
     return u.select("video_id", F.col("pid_").alias(id_column), F.when(take_prev, F.col("prev_.s")).otherwise(F.col("next_.s")).alias("s")).where("s is not null")

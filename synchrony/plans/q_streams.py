@@ -27,7 +27,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     def put(batch: DataFrame, _: int) -> None:
         batch.write.mode(write).parquet(f"{path}/out")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    with jobs.with_state_store(spark):
+        q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import scores as S
 from ..operators.scoring import score_keywords
@@ -16,57 +17,100 @@ from ..operators.study import SUBMISSION
 RUN = "video_id string, start_frame int, end_frame int"
 
 
-def stream_freeze_runs(frames: DataFrame, threshold: float = 0.5, shortest: float = 0.5, fps: float = 2.0, idle: str = "30 seconds", delay: str = "10 seconds") -> DataFrame:
-    """frames: video_id, frame_idx, mad, ts. State per recording: first and last frame of the open run. A run closes when
-    the series goes on without it, or when its recording is idle past the watermark. Frames of one recording come in
-    order up to the watermark; later ones are dropped."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    least = int(shortest * fps)
-
-    def rows(key, runs) -> pd.DataFrame:
-        good = [(key[0], a, b) for a, b in runs if b - a + 1 >= least]
+class FreezeRuns(StatefulProcessor):
+    """State per recording: first and last frame of the open run, and the timer that closes it. A timer that has been put
+    off stays registered until the one in the state is told apart from it, so an old one is deleted when a new one is set."""
+
+    def __init__(self, threshold: float, least: int, idle_ms: int):
+        self.threshold, self.least, self.idle_ms = threshold, least, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start int, end int, timer long")
+
+    def rows(self, key, runs) -> pd.DataFrame:
+        good = [(key[0], a, b) for a, b in runs if b - a + 1 >= self.least]
         return pd.DataFrame(good, columns=["video_id", "start_frame", "end_frame"])
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end = state.get if state.exists else (-1, -1)
-        if state.hasTimedOut:
-            state.remove()
-            yield rows(key, [(start, end)] if start >= 0 else [])
-            return
-        data = pd.concat(list(batches)).sort_values("frame_idx")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start, end, timer = self.open.get() if self.open.exists() else (-1, -1, -1)
+        data = pd.concat(list(rows)).sort_values("frame_idx")
         done = []
         for i, mad in zip(data["frame_idx"].astype(int), data["mad"]):
-            low = i > 0 and mad < threshold
+            low = i > 0 and mad < self.threshold
             if start >= 0 and (not low or i != end + 1):
                 done.append((start, end))
                 start, end = -1, -1
             if low:
                 start, end = (i - 1 if start < 0 else start), i
-        state.update((start, end))
-        latest = int(data["ts"].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
-        yield rows(key, done)
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        timer = max(int(data["ts"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.idle_ms
+        self.handle.registerTimer(timer)
+        self.open.update((start, end, timer))
+        yield self.rows(key, done)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, end, _ = self.open.get() if self.open.exists() else (-1, -1, -1)
+        self.open.clear()
+        yield self.rows(key, [(start, end)] if start >= 0 else [])
 
+    def close(self) -> None:
+        pass
+
+
+def stream_freeze_runs(frames: DataFrame, threshold: float = 0.5, shortest: float = 0.5, fps: float = 2.0, idle: str = "30 seconds", delay: str = "10 seconds") -> DataFrame:
+    """frames: video_id, frame_idx, mad, ts. A run closes when the series goes on without it, or by a timer when its
+    recording is idle past the watermark. Frames of one recording come in order up to the watermark; later ones are
+    dropped. The query needs the RocksDB state store (``with_state_store``)."""
+    processor = FreezeRuns(threshold, int(shortest * fps), int(pd.Timedelta(idle).total_seconds() * 1000))
     grouped = frames.withWatermark("ts", delay).groupBy("video_id")
-    return grouped.applyInPandasWithState(step, RUN, "start int, end int", "append", GroupStateTimeout.EventTimeTimeout)
+    return grouped.transformWithStateInPandas(processor, RUN, "append", "eventTime")
 
 
-def stream_transitions(frames: DataFrame, threshold: float = 0.5, delay: str = "10 seconds") -> DataFrame:
-    """frames: video_id, frame_idx, t, mad, ts -> diverge and resync events. State: whether the last sample matched."""
+class Transitions(StatefulProcessor):
+    """State per recording: whether the last sample matched."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (low,) = state.get if state.exists else (True,)
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.low = handle.getValueState("low", "low boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        (low,) = self.low.get() if self.low.exists() else (True,)
         out = []
-        for r in pd.concat(list(batches)).sort_values("frame_idx").itertuples():
-            now = bool(r.mad < threshold)
+        for r in pd.concat(list(rows)).sort_values("frame_idx").itertuples():
+            now = bool(r.mad < self.threshold)
             if now != low:
                 out.append((key[0], int(r.frame_idx), float(r.t), "resync" if now else "diverge"))
             low = now
-        state.update((low,))
+        self.low.update((low,))
         yield pd.DataFrame(out, columns=["video_id", "frame_idx", "t", "event"])
 
+    def close(self) -> None:
+        pass
+
+
+def stream_transitions(frames: DataFrame, threshold: float = 0.5, delay: str = "10 seconds") -> DataFrame:
+    """frames: video_id, frame_idx, t, mad, ts -> diverge and resync events. The query needs the RocksDB state store."""
     grouped = frames.withWatermark("ts", delay).groupBy("video_id")
-    return grouped.applyInPandasWithState(step, "video_id string, frame_idx int, t double, event string", "low boolean", "append", GroupStateTimeout.NoTimeout)
+    return grouped.transformWithStateInPandas(Transitions(threshold), "video_id string, frame_idx int, t double, event string", "append", "eventTime")
+
+
+#: The state store that processors with timers and named state need.
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside use the RocksDB state store; the session's setting comes back."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def stream_rater_progress(posts: DataFrame, delay: str = "1 hour") -> DataFrame:

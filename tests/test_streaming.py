@@ -22,7 +22,8 @@ def replay(spark, df, order, parts, build, mode="append"):
         rows.where(F.col("part_") == i).drop("part_").coalesce(1).write.mode("append").parquet(f"{path}/{i:03d}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
     name = f"s{uuid.uuid4().hex[:8]}"
-    q = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).start()
+    with jobs.with_state_store(spark):
+        q = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).start()
     try:
         q.processAllAvailable()
     finally:
@@ -44,6 +45,37 @@ def test_freeze_runs(spark, frames):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_late_and_idle_recordings(spark):
+    """v is idle twice and late once; w goes on before its timer, which then counts from its last frame."""
+    arrivals = [
+        [("v", i, 0.1, 0.5 * i) for i in range(5)] + [("w", 1, 0.1, 1.0), ("w", 2, 0.1, 1.0)],
+        [("w", 3, 0.1, 25.0), ("w", 4, 0.1, 25.0)],
+        [("other", 0, 9.0, 50.0)],
+        [("other", 1, 9.0, 51.0)],  # the watermark is at 40: v is idle since 2, w since 25
+        [("w", 5, 0.1, 42.0)],
+        [("other", 2, 9.0, 100.0)],
+        [("other", 3, 9.0, 101.0)],
+        [("v", 5, 0.1, 2.5)],  # late: dropped
+        [("v", 300, 0.1, 150.0)],
+        [("other", 4, 9.0, 1000.0)],
+        [("other", 5, 9.0, 1001.0)],
+    ]
+    rows = [(v, i, mad, t, k) for k, part in enumerate(arrivals) for v, i, mad, t in part]
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    df = spark.createDataFrame(rows, "video_id string, frame_idx int, mad double, t double, k int").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t")))
+    for k in range(len(arrivals)):
+        df.where(F.col("k") == k).drop("k").coalesce(1).write.parquet(f"{path}/{k:03d}")
+    stream = spark.readStream.schema(df.drop("k").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+    with jobs.with_state_store(spark):
+        q = jobs.stream_freeze_runs(stream).writeStream.outputMode("append").format("memory").queryName("late_idle").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(map(tuple, spark.table("late_idle").collect())) == [("v", 0, 4), ("v", 299, 300), ("w", 0, 5)]
+    assert spark.conf.get(jobs.PROVIDER) != jobs.ROCKS
+
+
 def test_transitions(spark, frames):
     got = replay(spark, frames, "ts", 4, jobs.stream_transitions)
     want = series.transitions(frames, 0.5).select("video_id", "frame_idx", "t", "event").collect()
