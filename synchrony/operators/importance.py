@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..sources.shared import settled
 from .agreement import spearman
+from .scans import quantiles
 from .text import discourse_signal_score, instructional_verb_score
 
 FEATURES = ("kw_density", "speech_rate", "word_count", "instr_verb", "discourse", "first_mention")
@@ -45,12 +46,12 @@ def importance_score(weights: dict[str, float] | None = None) -> Column:
 
 def percentile_bin(rows: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """+ importance: 1..5 by the 20, 40, 60 and 80 percentiles of each group."""
-    cuts = rows.groupBy(*keys).agg(F.percentile(F.col(column), F.array(*[F.lit(p) for p in (0.2, 0.4, 0.6, 0.8)])).alias("cuts_"))
+    cuts = quantiles(rows, keys, **{f"cut_{i}_": (F.col(column), p) for i, p in enumerate((0.2, 0.4, 0.6, 0.8))})
     x = F.round(F.col(column), 9)
     value = F.lit(1)
     for i in range(4):
-        value = value + (x > F.round(F.col("cuts_")[i], 9)).cast("int")
-    return rows.join(cuts, keys).withColumn("importance", value).drop("cuts_")
+        value = value + (x > F.round(F.col(f"cut_{i}_"), 9)).cast("int")
+    return rows.join(cuts, keys).withColumn("importance", value).drop(*[f"cut_{i}_" for i in range(4)])
 
 
 def merge_double_run(first: DataFrame, second: DataFrame, tolerance: int = 1) -> DataFrame:

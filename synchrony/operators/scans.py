@@ -61,3 +61,21 @@ def scan(rows: DataFrame, bucket: Column, order: list[Column], keys: tuple[str,
 
     out = met.withColumns({n: value(n, k, c) for n, (k, _, c) in asked.items()})
     return out.drop("bucket__", *own.values(), *carried.values(), *named.values())
+
+
+def quantiles(rows: DataFrame, keys: list[str], **asked: tuple[Column, float]) -> DataFrame:
+    """keys and one column for each quantile asked for (a value and a share), exact and interpolated as ``percentile`` does,
+    nulls left out. Values are counted first and summed up along their order by a scan, so no task holds a group's
+    values; groups without a value are not there."""
+    items = F.array(*[F.struct(F.lit(i).alias("which"), value.cast("double").alias("x")) for i, (value, _) in enumerate(asked.values())])
+    counts = rows.select(*keys, F.explode(items).alias("i")).select(*keys, "i.*").where("x is not null").groupBy(*keys, "which", "x").agg(F.count(F.lit(1)).alias("n"))
+    run = scan(counts, F.floor("x"), [F.col("x")], (*keys, "which"), upto=sum_before(F.col("n"), current=True))
+    total = run.groupBy(*[F.col(k).alias(f"{k}_of__") for k in (*keys, "which")]).agg(F.sum("n").alias("total"))
+    met = run.join(total, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_of__")) for k in (*keys, "which")]))
+    out = []
+    for i, (name, (_, share)) in enumerate(asked.items()):
+        place = share * (F.col("total") - 1)
+        low, high = (F.min(F.when((F.col("which") == i) & (F.col("upto") > at), F.col("x"))) for at in (F.floor(place), F.ceil(place)))
+        part = F.max(F.when(F.col("which") == i, place - F.floor(place)))
+        out.append(F.when(part > 0, (1 - part) * low + part * high).otherwise(low).alias(name))
+    return met.groupBy(*keys).agg(*out)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .scans import quantiles
 from .timejoin import nearest_segment
 
 def is_matched() -> Column:
@@ -132,16 +133,14 @@ def video_results(rows: DataFrame) -> DataFrame:
     tier = lambda hit, c: F.avg(F.when(hit, F.col(c)))
     share = lambda test: 100 * F.avg(m(test.cast("double")))
     medium = is_matched() & (F.col("alpha") < 0.8)
-    return rows.groupBy("video_id").agg(
+    out = rows.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_total"),
         F.count_if(F.col("groundability") != "LOW").alias("n_groundable"),
         count_matched().alias("n_matched"),
         (count_matched() / F.count(F.lit(1))).alias("match_rate"),
         *[weighted_mean(f"S_{k}", confidence()).alias(f"mean_S_{k}_weighted") for k in ("gaussian", "piecewise", "temporal")],
         *[F.avg(m(zero(f"S_{k}"))).alias(f"mean_S_{k}_unweighted") for k in ("gaussian", "piecewise", "temporal")],
-        F.median(m("S_temporal")).alias("median_S_temporal"),
         F.avg(d).alias("mean_delta_t"),
-        F.median(d).alias("median_delta_t"),
         F.stddev_samp(d).alias("std_delta_t"),
         F.min(d).alias("min_delta_t"),
         F.max(d).alias("max_delta_t"),
@@ -157,6 +156,7 @@ def video_results(rows: DataFrame) -> DataFrame:
         tier(medium, "S_temporal").alias("medium_mean_S"),
         tier(medium, "delta_t").alias("medium_mean_delta_t"),
     )
+    return out.join(quantiles(rows, ["video_id"], median_S_temporal=(m("S_temporal"), 0.5), median_delta_t=(d, 0.5)), "video_id", "left")
 
 
 def overall_score(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.tokens import jaccard_distance
-from .scans import PLACES, SECONDS, previous, scan, sum_before
+from .scans import PLACES, SECONDS, previous, quantiles, scan, sum_before
 from .timejoin import bucketed_range_join
 
 KEY = ("video_id",)
@@ -317,10 +317,12 @@ def mad_split_stats(series: DataFrame, threshold: float) -> DataFrame:
 
 
 def adaptive_dip_threshold(series: DataFrame) -> DataFrame:
-    p = series.groupBy("video_id").agg(F.percentile("ssim", F.array(F.lit(0.5), F.lit(0.01))).alias("p"))
-    med, low = F.col("p")[0], F.col("p")[1]
+    """From the median and the first percentile of the similarity; 0.95 for recordings without a value."""
+    p = quantiles(series, ["video_id"], med_=(F.col("ssim"), 0.5), low_=(F.col("ssim"), 0.01))
+    med, low = F.col("med_"), F.col("low_")
     inner = F.greatest(F.lit(0.90), F.least(F.lit(0.999), med - 0.3 * (med - low)))
-    return p.select("video_id", F.when(med.isNull(), 0.95).when(med >= 0.999, 0.999).otherwise(inner).alias("threshold"))
+    out = series.select("video_id").distinct().join(p, "video_id", "left")
+    return out.select("video_id", F.when(med.isNull(), 0.95).when(med >= 0.999, 0.999).otherwise(inner).alias("threshold"))
 
 
 def dip_regions(series: DataFrame, threshold: Column | None = None, merge_gap: float = 2.0, shortest: float = 0.5) -> DataFrame:

@@ -79,3 +79,12 @@ def test_no_recording_is_one_window(spark):
     for out in (series.freeze_runs(df), series.transitions(df, 0.5), series.dip_regions(df.select("video_id", "t", F.col("mad").alias("ssim")))):
         windows = [x for x in plan_of(out).splitlines() if "Window [" in x]
         assert windows and all("bucket__" in x or "_carried__" in x for x in windows), windows
+
+
+def test_quantiles_equal_percentiles(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["a", "b", "c"]), rng.choice([None, rng.randint(-300, 300) / 7, float(rng.randint(0, 4))])) for _ in range(500)] + [("d", 2.5), ("e", None)]
+    df = spark.createDataFrame(rows, "video_id string, x double")
+    got = scans.quantiles(df, ["video_id"], low=(F.col("x"), 0.01), middle=(F.col("x"), 0.5), high=(-F.col("x"), 0.8)).collect()
+    want = df.groupBy("video_id").agg(F.percentile("x", 0.01).alias("low"), F.median("x").alias("middle"), F.percentile(-F.col("x"), 0.8).alias("high")).where("middle is not null").collect()
+    assert {r.video_id: pytest.approx((r.low, r.middle, r.high)) for r in want} == {r.video_id: (r.low, r.middle, r.high) for r in got}
