@@ -1,13 +1,13 @@
 """Exact top-k search by inner product, in three phases with a uniform threshold.
 
 A vector's score is the sum of its partial scores on a few blocks of dimensions, each a score list of its own. Phase one
-gathers the lists of a bounded, seeded sample of candidates and takes, per query, the k-th best total among them: no
-answer can be worse, so it is a safe cutoff. Phase two hands the cutoff to all blocks of candidates and goes through their
-lists one after another: a pair goes on while its lists so far, and the most that its norms allow on the others, can reach
-the cutoff and while some list can hold an equal share of it. Phase three resolves the pairs that are left exactly, on
-their own rows only. The k-th best of what a block has resolved raises the cutoff for the rest of it.
+gathers the top of every local list: in each block of candidates the k best of each list, with their totals; the k-th best
+of all these totals is a safe cutoff, as they are totals of candidates. Phase two hands the cutoff to all blocks and
+collects what can reach it: a pair goes on while some list holds or can hold its equal share of the cutoff, and while its
+lists so far and the most that its norms allow on the others add up to it. Phase three resolves the pairs that are left
+exactly, on their own rows only. The k-th best of what a block has resolved raises the cutoff for the rest of it.
 
-Queries and candidates are dealt into blocks, so a task holds one block of each; only the sample is broadcast.
+Queries and candidates are dealt into blocks, so a task holds one block of each; nothing is broadcast.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; shorter vectors count as ending
 in zeros; ties go to the smaller vec_id; rows that repeat a vec_id and vector count once; an id with several vectors is a
@@ -30,8 +30,6 @@ from .common import written
 
 #: Rows of a block of candidates and of queries; rows of each that are multiplied at a time.
 CANDIDATES, QUERIES, TILE = 4096, 4096, (128, 1024)
-#: Candidates that phase one looks at.
-SAMPLE = 2048
 #: Score lists: blocks of dimensions.
 LISTS = 8
 #: Share of pairs still open under which only these are carried on.
@@ -74,6 +72,10 @@ def kind_of(*tables: np.ndarray) -> type:
     return np.float64 if top[0] * top[1] * max(1, tables[0].shape[1]) < 1 << 53 else object
 
 
+def kind_of_parts(*sides: Lists) -> type:
+    return next((p.dtype for side in sides for p in side.parts), np.dtype(float))
+
+
 def cuts_of(width: int, lists: int) -> list[slice]:
     """Equal blocks of dimensions; the first half of them is looked at in one go, as little can be told before."""
     edges = np.linspace(0, width, min(lists, max(width, 1)) + 1).astype(int)
@@ -89,27 +91,32 @@ def reaching(q: Lists, c: Lists, cutoff: np.ndarray, tally: Counter | None = Non
     # a total that reaches the cutoff reaches a share of it, by the number of dimensions, on some list
     size = np.array([p.shape[1] for p in q.parts], float)
     share = np.multiply.outer(size / (size.sum() or 1), low) - 1e-9 * np.abs(low) - 1e-3  # less what rounding may add
-    parts, total, pairs, hit = [], 0, None, None
+    total, pairs = np.zeros(shape, kind_of_parts(q, c)), None
+    hit = np.zeros(shape, bool)
+    # the lists from one on that can still hold their share
+    later = [np.zeros(shape, bool)]
+    for k in range(m - 1, 0, -1):
+        later.append(later[-1] | (np.multiply.outer(q.norms[k], c.norms[k]) * (1 + 1e-9) + 1e-3 >= share[k][:, None]))
+    later = later[::-1]
     for k in range(m):
         if pairs is None:
-            parts.append(q.parts[k] @ c.parts[k].T)
-            total = total + parts[k]
+            part = q.parts[k] @ c.parts[k].T
+            total = total + part
+            hit |= part.astype(float) >= share[k][:, None]
             if total.dtype == object or k == m - 1:
                 continue
-            alive = total >= low[:, None] - np.multiply.outer(q.rest[k + 1], c.rest[k + 1]) * (1 + 1e-9) - 1e-3
+            alive = (total >= low[:, None] - np.multiply.outer(q.rest[k + 1], c.rest[k + 1]) * (1 + 1e-9) - 1e-3) & (hit | later[k])
             if np.count_nonzero(alive) >= SPARSE * alive.size:
                 continue
             i, j = pairs = np.nonzero(alive)
-            total = total[pairs]
-            hit = np.logical_or.reduce([p[pairs] >= share[x, i] for x, p in enumerate(parts)])
-        else:
-            part = np.einsum("ij,ij->i", q.parts[k][i], c.parts[k][j])
-            total = total + part
-            if k == m - 1:
-                continue
-            hit = hit | (part >= share[k, i])
-        coming = np.logical_or.reduce([q.norms[x][i] * c.norms[x][j] * (1 + 1e-9) + 1e-3 >= share[x, i] for x in range(k + 1, m)])
-        alive = (total >= low[i] - q.rest[k + 1][i] * c.rest[k + 1][j] * (1 + 1e-9) - 1e-3) & (hit | coming)
+            total, hit = total[pairs], hit[pairs]
+            continue
+        part = np.einsum("ij,ij->i", q.parts[k][i], c.parts[k][j])
+        total = total + part
+        if k == m - 1:
+            continue
+        hit = hit | (part >= share[k, i])
+        alive = (total >= low[i] - q.rest[k + 1][i] * c.rest[k + 1][j] * (1 + 1e-9) - 1e-3) & (hit | later[k][i, j])
         i, j = pairs = i[alive], j[alive]
         total, hit = total[alive], hit[alive]
     if tally is not None:
@@ -165,33 +172,52 @@ def cell(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int, ta
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(empty + x) for x in out))))
 
 
-def with_cutoffs(vectors: DataFrame, queries: DataFrame, k: int, lists: int) -> DataFrame:
-    """The queries with the k-th best score that each has in the sample; the least long where the sample has fewer."""
-    rows = vectors.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id", "v").limit(SAMPLE).collect()
-    sample = vectors.sparkSession.sparkContext.broadcast(([r["vec_id"] for r in rows], [r["v"] for r in rows]))
+LISTED = "query_id long, total long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = pd.DataFrame({"vec_id": np.array(sample.value[0], np.int64), "v": sample.value[1]})
-        for pdf in batches:
-            pdf = pdf.assign(cutoff=LEAST)
-            # rows by position: an id with several vectors has a cutoff for each, all of them safe
-            found = cell(pdf, known, k, lists)
-            worst = found.groupby("query_id")["score"].agg(["size", "min"])
-            good = worst[worst["size"] >= k]["min"]
-            yield pdf.assign(cutoff=[int(good.get(i, LEAST)) for i in pdf["vec_id"]])
 
-    return queries.mapInPandas(run, "vec_id long, v array<long>, cutoff long")
+def listed(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, lists: int) -> pd.DataFrame:
+    """Per query the at most k best totals of the candidates that stand in the top k of some list of this block."""
+    ids, best = [], []
+    if len(queries) and len(candidates):
+        width = max(max(map(len, queries["v"])), max(map(len, candidates["v"])), 1)
+        qs, cs = matrix(queries["v"], width), matrix(candidates["v"], width)
+        kind = kind_of(qs, cs)
+        qs, cs = qs.astype(kind), cs.astype(kind)
+        edges = np.linspace(0, width, min(lists, width) + 1).astype(int)
+        q_ids, c_ids = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+        for at in range(0, len(q_ids), TILE[0]):
+            q, own = qs[at : at + TILE[0]], q_ids[at : at + TILE[0], None] == c_ids[None, :]
+            tops = []
+            for a, b in zip(edges, edges[1:]):
+                part = (q[:, a:b] @ cs[:, a:b].T).astype(float)
+                part[own] = -np.inf
+                tops.append(np.argpartition(-part, min(k, len(c_ids)) - 1, axis=1)[:, :k])
+            for row, some in enumerate(np.hstack(tops)):
+                some = np.unique(some)
+                some = some[~own[row, some]]
+                totals = sorted((min(max(int(x), LEAST), MOST) for x in cs[some] @ q[row]), reverse=True)[:k]
+                ids += [q_ids[at + row]] * len(totals)
+                best += totals
+    return pd.DataFrame({"query_id": np.array(ids, np.int64), "total": np.array(best, np.int64)})
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, lists: int = LISTS) -> DataFrame:
     """query_id, rank, vec_id, score. Both tables: vec_id, v (array of long)."""
     vectors, queries = written(vectors.distinct(), "topk-vectors"), queries.distinct()
-    queries = written(with_cutoffs(vectors, queries, k, lists), "topk-queries")
     n, m = vectors.count(), queries.count()
     rows, cols = max(1, -(-m // QUERIES)), max(1, -(-n // CANDIDATES))
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    left = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int"))
     right = vectors.withColumn("cb", F.pmod(F.xxhash64("vec_id"), F.lit(cols)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(lambda a, b: cell(a, b, k, lists), FOUND)
+
+    def cells(asked: DataFrame):
+        spread = asked.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+        return spread.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
+
+    tops = cells(left).applyInPandas(lambda a, b: listed(a, b, k, lists), LISTED)
+    place = Window.partitionBy("query_id").orderBy(F.col("total").desc())
+    cutoffs = tops.withColumn("place", F.row_number().over(place)).where(F.col("place") == k).select(F.col("query_id").alias("q_"), F.col("total").alias("cut_"))
+    asked = left.join(cutoffs, F.col("vec_id") == F.col("q_"), "left").select("vec_id", "v", "qb", F.coalesce("cut_", F.lit(LEAST)).alias("cutoff"))
+    found = cells(written(asked, "topk-queries")).applyInPandas(lambda a, b: cell(a, b, k, lists), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -355,7 +355,6 @@ def test_cutoff_spares_exact_scores():
 def test_top_k_over_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 50)
     monkeypatch.setattr(topk, "QUERIES", 3)
-    monkeypatch.setattr(topk, "SAMPLE", 20)
     random.seed(16)
     rows = [(i, [random.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(6)], "x", 1, 1) for i in range(0, 400)] + [(None, [1.0] * 6, "x", 1, 1), (7, [], "x", 1, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, cutoff long, rank int")
