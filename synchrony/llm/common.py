@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +61,27 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 def columns_of(df: DataFrame) -> list[Column]:
     """All columns of a table, whatever characters their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns]
+
+
+#: Bits of a bitmap for each value that it holds; the least and the most bits of one (the most is 64 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 16, 1 << 29
+
+
+def bitmap(values: DataFrame, most: int = MOST_BITS) -> bytes:
+    """A bitmap over the low bits of a column of well-mixed longs, sized by their number: at most ``most / 32768`` rows of
+    4 KB reach the driver. Beyond ``most / 32`` values it lets more others through and loses none."""
+    bits = min(most, max(LEAST_BITS, 1 << (BITS_EACH * values.count()).bit_length()))
+    low = values.select((F.col(values.columns[0]).bitwiseAND(bits - 1) + 1).alias("low"))
+    rows = low.groupBy(F.bitmap_bucket_number("low").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("low")).alias("map"))
+    out = bytearray(bits // 8)
+    for r in rows.collect():
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = bytes(r["map"]).ljust(4096, b"\0")
+    return bytes(out)
+
+
+def may_hold(bits: bytes, values: np.ndarray) -> np.ndarray:
+    """Whether 64-bit values may be in a bitmap."""
+    table = np.frombuffer(bits, np.uint8)
+    low = (values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+    return (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0

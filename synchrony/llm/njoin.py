@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, unused, written
+from .common import bitmap, may_hold, text_or_empty, unused, written
 from .substrings import K1, mixed, split_words, word_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -253,6 +253,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) whose id may be among the ids, by a bitmap of these; no id among them is lost."""
+    hashed = lambda df, c: df.select(F.xxhash64(F.col(c).cast("long")).alias("h"), *([] if c == "id" else ["doc_id", "text"]))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(hashed(ids, "id")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(bits.value, batch.column("h").to_numpy(zero_copy_only=False).astype(np.int64)))).select(["doc_id", "text"])
+
+    return hashed(docs, "doc_id").mapInArrow(keep, "doc_id long, text string")
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), text_id (of equal texts, the smallest doc_id), n_links:
     number of other texts with a similarity of at least the threshold, key (MD5 of the text that counts)."""
@@ -279,8 +291,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     members = placed.select("rep", "block").join(survivors.where("id is not null").select(F.col("id").alias("rep")).distinct(), "rep", "left_semi")
     sides = pairs.select("lo", "hi").distinct().withColumn("block", F.explode(F.array_distinct(F.array("lo", "hi"))))
     wanted = members.join(sides, "block").select("lo", "hi", F.col("rep").alias("id"))
-    # text is dealt by doc_id at every size, so the plan stays the same as tables grow
-    texts = narrow.join(wanted.hint("merge"), F.col("doc_id") == F.col("id"))
+    wanted = written(wanted, "njoin-wanted")
+    # text is dealt by doc_id at every size, so the plan stays the same as tables grow; texts without a survivor stay where they are
+    texts = thinned(narrow, wanted.select("id").distinct()).join(wanted.hint("merge"), F.col("doc_id") == F.col("id"))
     empty = F.array().cast("array<long>")
     texts = texts.select("lo", "hi", "id", "text", empty.alias("firsts"), empty.alias("seconds"))
     cells = texts.unionByName(pairs).repartition("lo", "hi").sortWithinPartitions("lo", "hi")

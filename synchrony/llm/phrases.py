@@ -9,7 +9,7 @@ has for it (its pointer), a run that differs is counted as what it is, and only
 The final counts are those of phrases as text, so fingerprints that meet by chance decide nothing; pointers do not leave
 their task.
 
-A bitmap has at most ``MOST_BITS`` (32 MB); with more than 8 million frequent runs in one it lets more others through,
+A bitmap has at most 64 MB; with more than 16 million frequent runs in one it lets more others through,
 which costs shuffle and changes no result. Counts leave a task pre-added, so a common phrase is one row per task and flush.
 
 Defined cases: null texts equal empty ones; a null lang is ``und`` and joins that language; rows that repeat a text or a
@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-from .substrings import K1, bitmap, mixed
+from .common import bitmap, may_hold, written
+from .substrings import K1, mixed
 
 #: Words of the longest candidate, occurrences of the rarest, phrases told per language, per cent of the occurrences of a
 #: candidate that a longer one must have to take its place.
 LONGEST, LEAST, TOP, COVERED = 5, 100, 2000, 100
-#: Bits of a bitmap of frequent fingerprints: this many for each, and the most.
-BITS_EACH, MOST_BITS = 32, 1 << 28
 #: Fingerprints and phrases that a task keeps before it hands on their counts.
 KEPT_RUNS, KEPT_PHRASES = 4_000_000, 200_000
 #: Bytes of text that are numbered together.
@@ -102,13 +100,6 @@ class Runs:
         return out
 
 
-def may_be(bits: bytes, prints: np.ndarray) -> np.ndarray:
-    """Whether fingerprints may be in a bitmap."""
-    table = np.frombuffer(bits, np.uint8)
-    low = (prints & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
-    return (table[low >> 3] >> (low & 7).astype(np.uint8)) & 1 > 0
-
-
 def rows(prints: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     none = pa.nulls(len(prints), pa.string())
     return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), none, none, pa.array(counts.astype(np.int64))], ["fp", "lang", "phrase", "n"])
@@ -148,7 +139,7 @@ class Pass:
             return runs.at
         m, bits = self.chain
         at = runs.at(m)
-        at = at[may_be(bits.value, runs.prints(at, m))]
+        at = at[may_hold(bits.value, runs.prints(at, m))]
         good = np.zeros(len(runs.room) + LONGEST * 8, bool)
         good[at] = True
 
@@ -172,7 +163,7 @@ class Pass:
                 at = starts(n)
                 prints = runs.prints(at, n)
                 if self.bits is not None:
-                    good = may_be(self.bits.value, prints)
+                    good = may_hold(self.bits.value, prints)
                     at, prints = at[good], prints[good]
                 phrases.update(runs.verified(at, prints, n))
             if len(phrases) >= KEPT_PHRASES:
@@ -202,9 +193,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         kept = written(found.where((F.col("n") >= least) | (F.col("fp").isNull() & F.col("phrase").isNull())), "phrases")
         results.append(kept.where("fp is null").select("lang", "phrase", "n"))
         if what.fresh:
-            prints = kept.where("fp is not null").select("fp")
-            bits = min(MOST_BITS, 1 << max(16, (BITS_EACH * prints.count()).bit_length()))
-            return context.broadcast(bitmap(prints, bits))
+            return context.broadcast(bitmap(kept.where("fp is not null").select("fp")))
 
     words = read(Pass([1]))
     pairs = read(Pass([2] if longest > 1 else [], [1], (1, words)))

@@ -9,8 +9,8 @@ hash, with the first place of each. Neighbouring windows with one source become
 SHA-256 of its words and that of the source's words must agree, else its windows stay.
 
 First places are counted map-side and written; the join that brings them back has two plain sides, so that a hot window is
-split by AQE's skew join. Which anchors are shared reaches the second pass as a bitmap of fixed size; it only spares work,
-as windows that it lets through by chance find no partner.
+split by AQE's skew join. Which anchors are shared reaches the second pass as a bitmap sized by their number (32 bits for
+each, up to 64 MB); it only spares work, as windows that it lets through by chance find no partner.
 
 Defined cases: null and empty texts have no words; texts under 50 words keep all of them; copies of an earlier document
 lose every word; windows are judged on the input; rows that repeat a doc_id do not count as earlier than each other; a
@@ -29,11 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import bitmap, may_hold, text_or_empty, written
 
 WINDOW, RUN = 50, 20
-#: Bits of the bitmap of shared anchors.
-BITS = 1 << 24
 K1 = 0x9E3779B97F4A7C15
 
 
@@ -133,22 +131,10 @@ class AnchorIndex:
         return met
 
 
-def bitmap(values: DataFrame, bits: int = BITS) -> bytes:
-    """A bitmap of fixed size over the low bits of a column of longs: at most ``bits / 32768`` rows of 4 KB."""
-    low = values.select((F.col(values.columns[0]).bitwiseAND(bits - 1) + 1).alias("low"))
-    rows = low.groupBy(F.bitmap_bucket_number("low").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("low")).alias("map"))
-    out = bytearray(bits // 8)
-    for r in rows.collect():
-        at = (r["bucket"] - 1) * 4096
-        out[at : at + 4096] = bytes(r["map"]).ljust(4096, b"\0")
-    return bytes(out)
-
-
 def windows_of(shared):
     """The windows whose anchor may be shared: h, doc_id, tp (mark and position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [])
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -156,7 +142,7 @@ def windows_of(shared):
                 if doc_id is None or len(words) < WINDOW:
                     continue
                 h = word_hashes(words)
-                at = np.flatnonzero(bits[(anchors(h) & np.uint64(BITS - 1)).astype(np.int64)])
+                at = np.flatnonzero(may_hold(shared.value, anchors(h)))
                 if len(at):
                     cols[0].append(rolled(h, WINDOW, K1)[at].view(np.int64))
                     cols[1].append(np.full(len(at), doc_id, np.int64))
@@ -255,7 +241,7 @@ def shared_windows(docs: DataFrame, info: DataFrame, batches: int = 3) -> DataFr
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     # each batch meets the runs of those before it; an anchor is returned by the batch that brings its second document
     met = [index.add(info.where(part == b).select("doc_id", "anchors"), compact=b < batches - 1) for b in range(batches)]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(reduce(DataFrame.unionByName, met)))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(written(reduce(DataFrame.unionByName, met).distinct(), "substring-shared")))
     found = docs.select("doc_id", "text").mapInArrow(windows_of(shared), "h long, doc_id long, tp long")
     firsts = found.groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).where("src < last")
     firsts = written(firsts.select(F.col("h").alias("h_"), "src"), "substring-firsts")
