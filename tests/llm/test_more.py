@@ -103,3 +103,26 @@ def test_clashing_columns_in_every_filtering_stage(spark):
             assert out.columns == docs.columns and out.count() > 0
             assert all(r["a.b"] == 0 and r["tox_score__"] == 1 for r in out.collect())
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_thinned_texts_keep_all_that_are_wanted(spark):
+    from synchrony.llm import njoin
+
+    docs = spark.range(20_000).select(F.col("id").cast("int").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id")], "doc_id int, text string"))
+    wanted = {r.doc_id for r in docs.where("doc_id % 97 = 5").collect()}
+    kept = {r.doc_id for r in njoin.thinned(docs, docs.where("doc_id % 97 = 5").select(F.col("doc_id").cast("long").alias("id"))).collect()}
+    assert wanted <= kept and len(kept) < 3 * len(wanted)
+    assert njoin.thinned(docs, docs.where("false").select(F.col("doc_id").cast("long").alias("id"))).count() == 0
+
+
+def test_bitmaps_grow_with_what_they_hold(spark):
+    import numpy as np
+
+    from synchrony.llm import common
+
+    few, many = (spark.range(n).select(F.xxhash64("id").alias("h")) for n in (100, 60_000))
+    assert len(common.bitmap(few)) * 8 == common.LEAST_BITS and len(common.bitmap(many)) * 8 >= 32 * 60_000
+    held = np.array([r.h for r in many.collect()], np.int64)
+    assert common.may_hold(common.bitmap(many), held).all() and common.may_hold(common.bitmap(many, 1 << 16), held).all()
+    assert common.may_hold(common.bitmap(many), held + 12345).mean() < 0.05
