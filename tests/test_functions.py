@@ -63,3 +63,19 @@ def test_token_set_ratio():
 def test_token_set_null_and_nan(spark):
     r = one(spark, K.token_set(F.lit(None).cast("string")), K.token_set(F.lit("nan")), K.token_set(F.lit("The k-NN, the map")))
     assert list(r) == [[], [], ["knn", "map", "the"]]
+
+
+def test_token_sets_of_either_length(spark):
+    text = F.lit("A to-do, the  AI of x nan")
+    three, two, none, nan = one(spark, K.token_set(text), K.token_set(text, 2), K.token_set(F.lit(None).cast("string")), K.token_set(F.lit("NaN")))
+    assert three == ["nan", "the", "todo"] and two == ["ai", "nan", "of", "the", "todo"] and none == nan == []
+
+
+def test_unit_vectors(spark):
+    long, zero, empty = one(spark, S.unit(F.array(F.lit(3.0), F.lit(-4.0))), S.unit(F.array(F.lit(0), F.lit(0))), S.unit(F.array().cast("array<double>")))
+    assert long == pytest.approx([0.6, -0.8]) and zero == [0.0, 0.0] and empty == []
+
+
+@pytest.mark.parametrize(("delta", "text"), [(2.0, "+2.0s"), (-0.4, "-0.4s"), (0.0, "+0.0s")])
+def test_format_delta(spark, delta, text):
+    assert one(spark, S.format_delta(F.lit(delta)))[0] == text
