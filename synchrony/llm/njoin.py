@@ -255,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents (doc_id, text) whose id may be among the ids, by a bitmap of these; no id among them is lost."""
-    hashed = lambda df, c: df.select(F.xxhash64(F.col(c).cast("long")).alias("h"), *([] if c == "id" else ["doc_id", "text"]))
+    hashed = lambda df, c: df.select(F.xxhash64(F.col(c).cast("long")).alias("h"), *([] if c == "id" else [F.col("doc_id").cast("long").alias("doc_id"), "text"]))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(hashed(ids, "id")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +268,7 @@ def thinned(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), text_id (of equal texts, the smallest doc_id), n_links:
     number of other texts with a similarity of at least the threshold, key (MD5 of the text that counts)."""
-    narrow = docs.select("doc_id", "text")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = narrow.where(F.col("doc_id").isNotNull()).mapInArrow(signatures, "doc_id long, key string, sig array<int>")
     info = written(info.groupBy("doc_id").agg(F.min(F.struct("key", "sig")).alias("s")).select("doc_id", "s.*"), "njoin-signatures")
     reps = info.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("rep"), "sig")).alias("r")).select("key", "r.*")
