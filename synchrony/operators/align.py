@@ -8,6 +8,7 @@ joins that pair table on equal tokens and a bucket of time, so no keyword meets
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions.tokens import indel_ratio_arrow, may_reach, normalize_word, token_set_ratio
 from ..sources.shared import settled
-from .scans import SECONDS, previous, scan
+from .scans import SECONDS, least_after, least_before, previous, scan
 from .scoring import weighted_median
 from .timejoin import bucketed_range_join, nearest_frame, nearest_segment, scene_at
 
@@ -228,27 +229,57 @@ def scene_track_a(scene_words: DataFrame, words: DataFrame, window: float = 30.0
     return out.join(good, ["video_id", "scene_id"], "left_semi")
 
 
+#: Sigmas within which a scene looks for its segment, one after another.
+REACHES = (6, 12, 24, 48)
+
+
+def first_outside(scenes: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+    """video_id, scene_id, t_vis, segment_id: the first segment of those further away than ``reach``."""
+    key = ["video_id", "scene_id", "t_vis"]
+    place = F.struct("scene_id", "t_vis")
+    middles = segments.select("video_id", F.col("t_mid").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(scenes.select(place.alias("p")).schema["p"].dataType).alias("p"), "segment_id")
+
+    def least(edge: Column, side: int, ask) -> DataFrame:
+        points = scenes.select("video_id", edge.alias("at"), F.lit(side).alias("side"), place.alias("p"), F.lit(None).cast(segments.schema["segment_id"].dataType).alias("segment_id"))
+        order = [F.col("at"), F.col("side"), F.col("p"), F.col("segment_id")]
+        out = scan(points.unionByName(middles), F.floor(F.col("at") / SECONDS), order, least_=ask(F.col("segment_id"))).where("p is not null")
+        return out.select("video_id", "p.*", F.col("least_").alias("segment_id"))
+
+    # a point stands before the middles at its lower edge and behind those at its upper edge
+    both = least(F.col("t_vis") - reach, 0, least_before).unionByName(least(F.col("t_vis") + reach, 2, least_after))
+    return both.groupBy(*key).agg(F.min("segment_id").alias("segment_id")).where("segment_id is not null")
+
+
 def scene_track_vector(scenes: DataFrame, segments: DataFrame, sigma: float = 15.0, least: float = 0.2, track: str = "vector", windows: DataFrame | None = None) -> DataFrame:
     """scenes: video_id, scene_id, t_vis, embedding; segments: video_id, segment_id, t_mid, embedding. The segment with
     the best similarity times nearness, accepted by its similarity; the same for image and text vectors. With ``windows``
     (video_id, segment_id, window_id, t_center, embedding: runs of three words) the most similar run inside the chosen
     segment gives the time; a segment without runs keeps its middle.
 
-    A similarity of at least ``least`` whose product no far segment can reach is found near the scene: segments within a
-    band of six sigma meet first, by buckets of time. Only scenes whose best product there is no more than what nearness
-    leaves outside the band meet the other segments of their recording."""
+    A scene meets the segments within six sigma first, by buckets of time; if its best product there is no more than what
+    nearness leaves outside, those within twice as many, up to 48 sigma. Beyond that nearness is 0 in doubles, so of all
+    segments there only the first one can count, which a scan of least numbers finds; no scene meets a whole recording."""
     s = segments.select("video_id", "segment_id", "t_mid", F.col("embedding").alias("b_"))
     a = scenes.select("video_id", "scene_id", "t_vis", F.col("embedding").alias("a_"))
-    band = 6 * sigma
+    key = ["video_id", "scene_id", "t_vis"]
 
     def best_of(pairs: DataFrame) -> DataFrame:
         pairs = pairs.withColumn("sim", S.cosine(F.col("a_"), F.col("b_"))).withColumn("w", F.col("sim") * S.bell(F.col("t_mid") - F.col("t_vis"), sigma))
-        return pairs.groupBy("video_id", "scene_id", "t_vis").agg(F.max_by(F.struct("segment_id", "t_mid", "sim", "w"), F.struct("w", -F.col("segment_id"))).alias("b"))
-
-    near = settled(best_of(bucketed_range_join(a, s, F.col("t_vis") - band, F.col("t_vis") + band, "t_mid", sigma)), "vector-near")
-    sure = near.where(F.col("b.w") > math.exp(-0.5 * 6**2))
-    far = best_of(a.join(sure, ["video_id", "scene_id"], "left_anti").join(s, "video_id"))
-    out = sure.unionByName(far).select("video_id", "scene_id", "t_vis", "b.*").where(F.col("sim") >= least)
+        return pairs.groupBy(*key).agg(F.max_by(F.struct("segment_id", "t_mid", "sim", "w"), F.struct("w", -F.col("segment_id"))).alias("b"))
+
+    rest, found = a, []
+    for n in REACHES:
+        near = settled(best_of(bucketed_range_join(rest, s, F.col("t_vis") - n * sigma, F.col("t_vis") + n * sigma, "t_mid", n * sigma / 6)), "vector-near")
+        sure = near.where(F.col("b.w") > math.exp(-0.5 * n**2))
+        found.append(sure)
+        rest = settled(rest.join(sure.select("video_id", "scene_id"), ["video_id", "scene_id"], "left_anti"), "vector-rest")
+        if rest.isEmpty():
+            break
+    else:
+        far = best_of(rest.join(first_outside(rest, s, REACHES[-1] * sigma), key).join(s, ["video_id", "segment_id"]))
+        both = near.join(rest.select(*key), key, "left_semi").unionByName(far)
+        found.append(both.groupBy(*key).agg(F.max_by("b", F.struct("b.w", -F.col("b.segment_id"))).alias("b")))
+    out = reduce(DataFrame.unionByName, found).select("video_id", "scene_id", "t_vis", "b.*").where(F.col("sim") >= least)
     t = F.col("t_mid")
     if windows is not None:
         w = windows.select("video_id", "segment_id", "window_id", "t_center", F.col("embedding").alias("c_"))

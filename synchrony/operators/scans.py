@@ -1,6 +1,6 @@
 """Running values along the order of a recording, without a recording in one task.
 
-The order is cut into buckets. Each bucket is summed up to one row (its last value, its first, its sum), these rows are
+The order is cut into buckets. Each bucket is summed up to one row (its last value, its first, its least, its sum), these rows are
 carried on over the buckets of a recording, and every row takes what is carried to its bucket if its own bucket has
 nothing before it. Rows meet in windows of a bucket only; the window over a recording sees a row per bucket.
 """
@@ -31,6 +31,16 @@ def sum_before(value: Column, current: bool = False) -> tuple[str, Column, bool]
     return "sum", value, current
 
 
+def least_before(value: Column, current: bool = False) -> tuple[str, Column, bool]:
+    """The least value of the rows before, or up to the row; nulls left out."""
+    return "least_before", value, current
+
+
+def least_after(value: Column, current: bool = False) -> tuple[str, Column, bool]:
+    """The least value of the rows after, or from the row on; nulls left out."""
+    return "least_after", value, current
+
+
 def scan(rows: DataFrame, bucket: Column, order: list[Column], keys: tuple[str, ...] = ("video_id",), **asked: tuple[str, Column, bool]) -> DataFrame:
     """+ a column for each thing asked for. ``order`` ascends, is total inside the keys, and ``bucket`` ascends with it."""
     own, carried = {n: f"{n}_own__" for n in asked}, {n: f"{n}_carried__" for n in asked}
@@ -39,12 +49,16 @@ def scan(rows: DataFrame, bucket: Column, order: list[Column], keys: tuple[str,
 
     def total(kind: str, column: str) -> Column:
         here = F.when(F.col(column).isNotNull(), place)
+        if kind.startswith("least"):
+            return F.min(column)
         return F.sum(column) if kind == "sum" else F.max_by(column, here) if kind == "previous" else F.min_by(column, here)
 
     up = Window.partitionBy(*keys).orderBy("bucket__")
     before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(1, Window.unboundedFollowing)
 
     def carry(kind: str, column: str) -> Column:
+        if kind.startswith("least"):
+            return F.min(column).over(before if kind == "least_before" else after)
         return F.sum(column).over(before) if kind == "sum" else F.last(column, True).over(before) if kind == "previous" else F.first(column, True).over(after)
 
     per = rows.groupBy(*keys, "bucket__").agg(*[total(k, own[n]).alias(n) for n, (k, _, _) in asked.items()])
@@ -57,6 +71,8 @@ def scan(rows: DataFrame, bucket: Column, order: list[Column], keys: tuple[str,
         back, on = inside.rowsBetween(Window.unboundedPreceding, 0 if current else -1), inside.rowsBetween(0 if current else 1, Window.unboundedFollowing)
         if kind == "sum":
             return F.coalesce(F.sum(own[name]).over(back), F.lit(0)) + F.coalesce(carried[name], F.lit(0))
+        if kind.startswith("least"):
+            return F.least(F.min(own[name]).over(back if kind == "least_before" else on), carried[name])
         return F.coalesce(F.last(own[name], True).over(back) if kind == "previous" else F.first(own[name], True).over(on), F.col(carried[name]))
 
     out = met.withColumns({n: value(n, k, c) for n, (k, _, c) in asked.items()})

@@ -88,3 +88,28 @@ def test_quantiles_equal_percentiles(spark):
     got = scans.quantiles(df, ["video_id"], low=(F.col("x"), 0.01), middle=(F.col("x"), 0.5), high=(-F.col("x"), 0.8)).collect()
     want = df.groupBy("video_id").agg(F.percentile("x", 0.01).alias("low"), F.median("x").alias("middle"), F.percentile(-F.col("x"), 0.8).alias("high")).where("middle is not null").collect()
     assert {r.video_id: pytest.approx((r.low, r.middle, r.high)) for r in want} == {r.video_id: (r.low, r.middle, r.high) for r in got}
+
+
+def test_scenes_far_from_every_segment(spark):
+    """Best similarity times nearness, nearness being 0 in doubles far away; the first segment of equal ones."""
+    import math
+
+    rng = random.Random(13)
+    vector = lambda: [rng.choice([-1.0, 0.5, 1.0]), rng.choice([-1.0, 0.2, 1.0])]
+    segments = [("v", i, rng.choice([0.0, 50.0, 300.0, 700.0, 5000.0, 9000.0]) + i, vector()) for i in range(40)] + [("w", 3, 10_000.0, [1.0, 1.0]), ("w", 9, 0.0, [1.0, 0.0])]
+    scenes = [("v", i, rng.choice([0.0, 150.0, 450.0, 1500.0, 3000.0, 20_000.0]) + 3 * i, vector()) for i in range(60)] + [("w", 0, 5000.0, [1.0, 0.0]), ("none", 0, 5.0, [1.0, 0.0])]
+    a = spark.createDataFrame(scenes, "video_id string, scene_id long, t_vis double, embedding array<double>")
+    b = spark.createDataFrame(segments, "video_id string, segment_id long, t_mid double, embedding array<double>")
+    got = {(r.video_id, r.scene_id): r.segment_id for r in align.scene_track_vector(a, b).collect()}
+    want = {}
+    for v, i, t, x in scenes:
+        best = None
+        for w, k, m, y in segments:
+            if w == v:
+                sim = sum(p * q for p, q in zip(x, y)) / math.sqrt(sum(p * p for p in x) * sum(q * q for q in y))
+                product = sim * math.exp(-0.5 * ((m - t) / 15) ** 2)
+                if best is None or product > best[0]:
+                    best = (product, k, sim)
+        if best and best[2] >= 0.2:
+            want[v, i] = best[1]
+    assert got == want and len(want) > 10
