@@ -14,8 +14,8 @@ holds ``RECALL`` of their true neighbours. A query that finds fewer than k is as
 at which every row is retrieved; so nothing is cut off.
 
 Queries in blocks meet every shard: a shard is sent once per block of queries. On vectors without structure, as in the
-test tables, a radius of 28 of 64 bits holds 0.97 of the neighbours and a fifth of all rows; the index then spares four
-fifths of the exact products, and work stays proportional to queries times rows.
+test tables, a radius of 29 of 64 bits holds 0.97 of the neighbours and a quarter of all rows; the index then spares three
+quarters of the exact products, and work stays proportional to queries times rows.
 
 Defined cases: vectors null, zero, or with null or non-finite components take no part; shorter vectors count as ending in
 zeros; rows that repeat vec_id and vector count once; an id with several vectors is a candidate with each of them, and as a
