@@ -1,35 +1,42 @@
-"""Substring de-duplication over a log-structured fingerprint index.
+"""Incremental substring de-duplication over a log-structured fingerprint index.
 
-A window is 50 consecutive words of a document. Each window has an anchor: the least hash of the 20-word runs inside it.
-Equal windows have equal anchors, and a document has about one anchor for every sixteen words, so anchors are a sample of
-window hashes from which nothing that recurs is missing. The index keeps them in sorted immutable runs, each with the first
-and the last document that has it; every new batch becomes a run, is merge-joined with the runs before it, and the runs
-are compacted. What the merge-joins found in several documents decides which windows go on: these are met by their own
-hash, with the first place of each. Neighbouring windows with one source become a range, and every range is verified: the
-SHA-256 of its words and that of the source's words must agree, else its windows stay.
+A window is 50 consecutive words of a document, and its hash has two parts: its anchor, the least hash of the 20-word runs
+inside it, and a tail, 48 bits of the hash of all its words. About sixteen neighbouring windows share an anchor, so a run
+of the index keeps one row for them: the anchor, their tails, the document. Every window of every document is in the index.
+
+``FingerprintIndex`` is a folder of sorted immutable runs and a manifest of those that count, and can be opened again. A new
+batch becomes a run, sorted by anchor where it was read; the anchors of the batch are merge-joined with those of the
+history, and the windows under anchors that stand in several documents are met by their hash, with the first place of each.
+Only texts of the batch are read for that: the history gives its hashes. Runs are compacted into one, equal rows once.
+
+Neighbouring windows with one source become a range, and every range is verified: the SHA-256 of its words and that of the
+source's words must agree, else its windows stay. Of earlier texts, only those that are sources are looked at.
 
 First places are counted map-side and written; the join that brings them back has two plain sides, so that a hot window is
-split by AQE's skew join. Which anchors are shared reaches the second pass as a bitmap sized by their number (32 bits for
-each, up to 64 MB); it only spares work, as windows that it lets through by chance find no partner.
+split by AQE's skew join. Which anchors are shared reaches the tasks as a bitmap sized by their number (32 bits for each, up
+to 64 MB); it only spares work, as windows that it lets through by chance find no partner.
 
 Defined cases: null and empty texts have no words; texts under 50 words keep all of them; copies of an earlier document
 lose every word; windows are judged on the input; rows that repeat a doc_id do not count as earlier than each other; a
-null doc_id keeps its words; an empty table gives no rows.
+null doc_id keeps its words; an empty table gives no rows. Documents of an earlier batch are earlier than those of a later
+one, inside a batch the smaller doc_id is; a source whose text is not given proves nothing, so the words stay.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, may_hold, text_or_empty, written
+from .common import bitmap, may_hold, shared_dir, text_or_empty, written
 
 WINDOW, RUN = 50, 20
 K1 = 0x9E3779B97F4A7C15
@@ -86,69 +93,88 @@ def split_words(text: str | None) -> tuple[bytes, list[bytes]]:
     return raw, raw.split()
 
 
-INFO = "doc_id long, mark long, n_words long, whole_sha256 string, anchors array<long>"
+#: Bytes of a tail; windows in one row, and words of texts in one batch of rows, at most.
+TAIL, ROW, AT_ONCE = 6, 4096, 1 << 20
+K2 = 0xD6E8FEB86659FD93
+
+
+def named(anchor: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The hash of windows, from both parts."""
+    return mixed(anchor ^ (tail * np.uint64(K2))).view(np.int64)
+
+
+def window_hashes(words: list[bytes]) -> np.ndarray:
+    h = word_hashes(words)
+    return named(anchors(h), rolled(h, WINDOW, K1) & np.uint64((1 << 8 * TAIL) - 1))
+
+
+#: Rows of a run: the tails of neighbouring windows with one anchor, the first of them at word ``at``. A fresh run has one row
+#: per text besides, without an anchor: its mark (CRC), number of words and the digest of all its words.
+RUN_ROW = "anchor long, tails binary, doc_id long"
+FRESH = RUN_ROW + ", mark long, at int, n_words long, whole_sha256 string"
+
 
+def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    names = [x.split()[0] for x in FRESH.split(", ")]
+
+    def rows(ids, marks, counts, shas, found) -> Iterator[pa.RecordBatch]:
+        none = [None] * len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, none, ids, marks, none, counts, shas), kinds)], names)
+        if found:
+            anchor, at, sizes, doc, mark = (np.concatenate([f[k] for f in found]) for k in range(5))
+            tails = np.concatenate([f[5] for f in found])
+            edges = np.concatenate([[0], np.cumsum(sizes) * TAIL]).astype(np.int32)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(edges), pa.py_buffer(tails)])
+            cols = [anchor, packed, doc, mark, at, pa.nulls(len(at)), pa.nulls(len(at))]
+            yield pa.RecordBatch.from_arrays([c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per document: its mark (CRC of the text), number of words, digest of all words, distinct anchors."""
     for batch in batches:
-        marks, counts, shas, found = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            raw, words = split_words(text)
-            marks.append(zlib.crc32(raw))
-            counts.append(len(words))
-            shas.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            found.append(np.unique(anchors(word_hashes(words))).view(np.int64) if len(words) >= WINDOW else np.zeros(0, np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks, pa.int64()), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), lists], ["doc_id", "mark", "n_words", "whole_sha256", "anchors"])
-
-
-class AnchorIndex:
-    """Sorted immutable runs of (anchor, first_doc, last_doc)."""
-
-    def __init__(self):
-        self.run: DataFrame | None = None
-        self.met: DataFrame | None = None
-
-    @staticmethod
-    def sorted_run(rows: DataFrame, label: str) -> DataFrame:
-        merged = rows.groupBy("anchor").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"))
-        return written(merged.sortWithinPartitions("anchor"), label)
-
-    def add(self, batch: DataFrame, compact: bool = True) -> DataFrame:
-        """batch: doc_id, anchors. Adds a run, merge-joins it with the history and compacts both, unless no batch
-        follows. Returns the anchors of the batch that now stand in more than one document."""
-        rows = batch.where(F.col("doc_id").isNotNull()).select(F.explode("anchors").alias("anchor"), F.col("doc_id").alias("first_doc"), F.col("doc_id").alias("last_doc"))
-        run = self.sorted_run(rows, "anchor-run")
-        if self.run is None:
-            self.run = run
-            return run.where("first_doc < last_doc").select("anchor")
-        old = self.run.select("anchor", F.col("first_doc").alias("f_"), F.col("last_doc").alias("l_")).hint("merge")
-        met = run.join(old, "anchor", "left").where("least(first_doc, coalesce(f_, first_doc)) < greatest(last_doc, coalesce(l_, last_doc))").select("anchor")
-        if compact:
-            self.run = self.sorted_run(self.run.unionByName(run), "anchor-compacted")
-        return met
-
-
-def windows_of(shared):
-    """The windows whose anchor may be shared: h, doc_id, tp (mark and position)."""
+        pending: tuple[list, ...] = ([], [], [], [], [])
+        held = 0
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            raw, words = split_words(text.as_py())
+            mark = zlib.crc32(raw)
+            for col, x in zip(pending, (doc_id, mark, len(words), hashlib.sha256(b" ".join(words)).hexdigest())):
+                col.append(x)
+            if doc_id is not None and len(words) >= WINDOW:
+                h = word_hashes(words)
+                a, t = anchors(h), rolled(h, WINDOW, K1)
+                new = np.arange(len(a)) % ROW == 0
+                new[1:] |= a[1:] != a[:-1]
+                at = np.flatnonzero(new)
+                tails = np.ascontiguousarray(t.view(np.uint8).reshape(-1, 8)[:, :TAIL]).ravel()
+                pending[4].append((a[at].view(np.int64), at, np.diff(np.append(at, len(a))), np.full(len(at), doc_id, np.int64), np.full(len(at), mark, np.int64), tails))
+            held += len(words)
+            if held > AT_ONCE:
+                yield from rows(*pending)
+                pending, held = ([], [], [], [], []), 0
+        if pending[0]:
+            yield from rows(*pending)
+
+
+def windows_of(shared, places: bool):
+    """Rows of a run whose anchor may be shared, taken apart into windows: h, doc_id and, if asked for, tp (mark and
+    position)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw, words = split_words(text)
-                if doc_id is None or len(words) < WINDOW:
-                    continue
-                h = word_hashes(words)
-                at = np.flatnonzero(may_hold(shared.value, anchors(h)))
-                if len(at):
-                    cols[0].append(rolled(h, WINDOW, K1)[at].view(np.int64))
-                    cols[1].append(np.full(len(at), doc_id, np.int64))
-                    cols[2].append(at + (zlib.crc32(raw) << 31))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], ["h", "doc_id", "tp"])
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(may_hold(shared.value, batch.column("anchor").to_numpy())))
+            if not batch.num_rows:
+                continue
+            tails = batch.column("tails")
+            edges = np.frombuffer(tails.buffers()[1], np.int32)[tails.offset : tails.offset + len(tails) + 1]
+            wide = np.zeros(((edges[-1] - edges[0]) // TAIL, 8), np.uint8)
+            wide[:, :TAIL] = np.frombuffer(tails.buffers()[2], np.uint8)[edges[0] : edges[-1]].reshape(-1, TAIL)
+            sizes = np.diff(edges) // TAIL
+            many = lambda c: np.repeat(batch.column(c).to_numpy(), sizes)
+            cols = [named(many("anchor").view(np.uint64), wide.view("<u8").ravel()), many("doc_id")]
+            if places:
+                inside = np.arange(len(wide)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                cols.append(many("at").astype(np.int64) + inside + (many("mark") << 31))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "doc_id", "tp"][: len(cols)])
 
     return run
 
@@ -221,7 +247,7 @@ def answered(with_text: bool):
                     rows.append((0, i, mark, None, None, None, None, hashlib.sha256(joined).hexdigest(), len(words), len(words) - len(kept), joined.decode("utf-8", "replace") if with_text else None))
                     rows += [(1, i, mark, x["at"], x["n"], x["src"], x["h"], passage(words, x["at"], x["n"]), None, None, None) for x in own]
                 if lent is not None:
-                    hashes = rolled(word_hashes(words), WINDOW, K1).view(np.int64)
+                    hashes = window_hashes(words)
                     place = dict(zip(hashes[::-1].tolist(), range(len(hashes) - 1, -1, -1)))  # the first place of every window
                     for x in lent:
                         at = place.get(x["h"])
@@ -235,33 +261,87 @@ def answered(with_text: bool):
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def shared_windows(docs: DataFrame, info: DataFrame, batches: int = 3) -> DataFrame:
-    """doc_id, mark, at, n, src, h: ranges of windows that also start in an earlier document."""
-    index = AnchorIndex()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    # each batch meets the runs of those before it; an anchor is returned by the batch that brings its second document
-    met = [index.add(info.where(part == b).select("doc_id", "anchors"), compact=b < batches - 1) for b in range(batches)]
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(written(reduce(DataFrame.unionByName, met).distinct(), "substring-shared")))
-    found = docs.select("doc_id", "text").mapInArrow(windows_of(shared), "h long, doc_id long, tp long")
-    firsts = found.groupBy("h").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).where("src < last")
-    firsts = written(firsts.select(F.col("h").alias("h_"), "src"), "substring-firsts")
-    again = found.join(firsts.hint("merge"), F.col("h") == F.col("h_")).where("src < doc_id")
-    hit = F.struct(F.col("tp").bitwiseAND((1 << 31) - 1).cast("int").alias("at"), "src", "h")
-    hits = again.groupBy("doc_id", F.shiftright("tp", 31).alias("mark")).agg(F.collect_list(hit).alias("hits"))
-    return written(hits.mapInArrow(ranges_of, RANGES), "substring-ranges")
+class FingerprintIndex:
+    """Sorted immutable runs of window hashes under ``path``, and a manifest: one row per run that counts, with the runs that
+    it replaces. A run without such a row is of a job that did not finish and is not read. When ``fan`` runs count, they
+    are compacted before the next batch comes."""
+
+    MANIFEST = "run string, replaces array<string>"
+
+    def __init__(self, spark: SparkSession, path: str, fan: int = 4):
+        self.spark, self.path, self.fan = spark, path.rstrip("/"), fan
+
+    def runs(self) -> list[str]:
+        try:
+            log = self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifest").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return sorted({r.run for r in log} - {x for r in log for x in r.replaces})
+
+    def read(self) -> DataFrame | None:
+        """The hashes of all batches so far: anchor, tails, doc_id."""
+        found = [f"{self.path}/{x}" for x in self.runs()]
+        return self.spark.read.schema(RUN_ROW).parquet(*found).where("anchor is not null") if found else None
+
+    def record(self, run: str, replaces: list[str]) -> None:
+        self.spark.createDataFrame([(run, replaces)], self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def compact(self) -> None:
+        """All runs into one: equal rows once, with their least doc_id."""
+        old, run = self.runs(), f"run-{uuid.uuid4().hex}"
+        if len(old) > 1:
+            rows = self.read().groupBy("anchor", "tails").agg(F.min("doc_id").alias("doc_id"))
+            rows.sortWithinPartitions("anchor").write.parquet(f"{self.path}/{run}")
+            self.record(run, old)
+
+    def shared(self, fresh: DataFrame, old: DataFrame | None) -> DataFrame:
+        """Anchors of a batch that stand in several documents: in two of its own, or in the history."""
+        mine = fresh.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        if old is None:
+            return mine.where("first < last").select("anchor")
+        there = old.select(F.col("anchor").alias("there")).distinct().hint("merge")
+        return mine.join(there, F.col("anchor") == F.col("there"), "left").where("first < last or there is not null").select("anchor")
+
+    def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """batch: doc_id, text. Returns what is known of its texts (doc_id, mark, n_words, whole_sha256) and the ranges of
+        windows that are also in an earlier document (doc_id, mark, at, n, src, h)."""
+        if len(self.runs()) >= self.fan:
+            self.compact()
+        old, run = self.read(), f"run-{uuid.uuid4().hex}"
+        batch.select("doc_id", "text").mapInArrow(fingerprinted, FRESH).sortWithinPartitions("anchor").write.parquet(f"{self.path}/{run}")
+        rows = self.spark.read.schema(FRESH).parquet(f"{self.path}/{run}")
+        fresh = rows.where("anchor is not null").select("anchor", "tails", "doc_id", "mark", "at")
+        bits = self.spark.sparkContext.broadcast(bitmap(written(self.shared(fresh, old), "substring-shared")))
+        found = fresh.mapInArrow(windows_of(bits, True), "h long, doc_id long, tp long")
+        none = F.lit(None).cast("long")
+        met = found.select("h", "doc_id", none.alias("known"))
+        if old is not None:
+            met = met.unionByName(old.mapInArrow(windows_of(bits, False), "h long, doc_id long").select("h", none.alias("doc_id"), F.col("doc_id").alias("known")))
+        firsts = met.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("known").alias("known"))
+        firsts = firsts.where("first is not null and (first < last or known is not null)").select(F.col("h").alias("h_"), F.coalesce("known", "first").alias("src"), F.col("known").isNotNull().alias("old"))
+        firsts = written(firsts, "substring-firsts")
+        again = found.join(firsts.hint("merge"), F.col("h") == F.col("h_")).where("src < doc_id or (old and src > doc_id)")
+        hit = F.struct(F.col("tp").bitwiseAND((1 << 31) - 1).cast("int").alias("at"), "src", "h")
+        hits = again.groupBy("doc_id", F.shiftright("tp", 31).alias("mark")).agg(F.collect_list(hit).alias("hits"))
+        ranges = written(hits.mapInArrow(ranges_of, RANGES), "substring-ranges")
+        self.record(run, [])
+        return rows.where("anchor is null").select("doc_id", "mark", "n_words", "whole_sha256"), ranges
 
 
 def asked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The texts that have ranges or lent some, with both lists: doc_id, mark, text, own, lent."""
+    """The texts that have ranges or lent some, with both lists: doc_id, mark, text, own, lent. docs: doc_id, text, fresh;
+    only fresh ones have ranges."""
     own = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "src", "h")).alias("own")).withColumnsRenamed({"doc_id": "d_", "mark": "m_"})
     lent = ranges.select("src", "h", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("h", "n")).alias("lent"))
     crc = F.crc32(F.encode(text_or_empty(), "UTF-8"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", crc.alias("mark"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "fresh", crc.alias("mark"))
     # one list of requests by document, so that texts are dealt once
     both = own.groupBy("d_").agg(F.map_from_entries(F.collect_list(F.struct("m_", "own"))).alias("owns")).join(lent, F.col("d_") == F.col("src"), "full")
     # written, so that the planner knows its size: few requests meet the texts without a shuffle of those
     both = written(both.select(F.coalesce("d_", "src").alias("d_"), "owns", "lent"), "substring-requests")
-    met = texts.join(both, F.col("doc_id") == F.col("d_")).select("doc_id", "mark", "text", F.col("owns")[F.col("mark")].alias("own"), "lent")
+    met = texts.join(both, F.col("doc_id") == F.col("d_")).select("doc_id", "mark", "text", F.when(F.col("fresh"), F.col("owns")[F.col("mark")]).alias("own"), "lent")
     return met.where("own is not null or lent is not null")
 
 
@@ -284,7 +364,7 @@ def windows_in(docs: DataFrame, ranges: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for i, mark, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mark", "text", "own"))):
-                h = rolled(word_hashes(split_words(text)[1]), WINDOW, K1).view(np.int64)
+                h = window_hashes(split_words(text)[1]) if own else []
                 rows += [(i, mark, at, 1, x["src"], int(h[at])) for x in own or [] for at in range(x["at"], x["at"] + x["n"])]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], PLACES)
@@ -292,28 +372,47 @@ def windows_in(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return asked(docs, ranges).mapInArrow(run, RANGES).distinct()
 
 
-def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text of every document."""
+def deduplicated(docs: DataFrame, with_text: bool = True, batches: int = 3, index: FingerprintIndex | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept_text of every document. They come to an empty index in batches, by
+    ascending doc_id; where these are cut has no bearing on the result."""
+    spark = docs.sparkSession
+    index = index or FingerprintIndex(spark, f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}", fan=2)
     narrow = docs.select("doc_id", "text")
-    info = written(narrow.mapInArrow(described, INFO), "substring-info")
-    ranges = shared_windows(narrow, info)
-    cut, wrong = verified(narrow, ranges, with_text)
+    cuts = narrow.select(F.col("doc_id").cast("double").alias("id")).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)
+    part = reduce(lambda n, c: n + F.when(F.col("doc_id") > c, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
+    known = [index.add(narrow.where(part == b)) for b in range(len(set(cuts)) + 1)]
+    info, ranges = (reduce(DataFrame.unionByName, x) for x in zip(*known))
+    return resolved(narrow, narrow.withColumn("fresh", F.lit(True)), info, ranges, with_text)
+
+
+def deduplicated_batch(index: FingerprintIndex, batch: DataFrame, earlier: DataFrame, with_text: bool = True) -> DataFrame:
+    """The same for a new batch alone, which is added to the index. earlier: doc_id, text of the documents before it; their
+    hashes come from the index, and only texts that the batch repeats are looked at, to verify."""
+    narrow = batch.select("doc_id", "text")
+    info, ranges = index.add(narrow)
+    both = narrow.withColumn("fresh", F.lit(True)).unionByName(earlier.select("doc_id", "text", F.lit(False).alias("fresh")))
+    return resolved(narrow, both, info, ranges, with_text)
+
+
+def resolved(narrow: DataFrame, texts: DataFrame, info: DataFrame, ranges: DataFrame, with_text: bool) -> DataFrame:
+    """Ranges verified and cut out of the texts of a batch."""
+    cut, wrong = verified(texts, ranges, with_text)
     if not wrong.isEmpty():
         # hashes that met by chance, or a source with gaps: such ranges are verified window by window, by the texts' own hashes
-        singles = written(windows_in(narrow, wrong), "substring-single")
-        _, false = verified(narrow, singles, False)
+        singles = written(windows_in(texts, wrong), "substring-single")
+        _, false = verified(texts, singles, False)
         bad = wrong.select(F.col("doc_id").alias("d_"), F.col("mark").alias("m_")).distinct()
         on = (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))
         true = written(ranges.join(bad, on, "left_semi").exceptAll(wrong).unionByName(singles.exceptAll(false)), "substring-true")
-        again, _ = verified(narrow, true, with_text)
+        again, _ = verified(texts, true, with_text)
         cut = cut.join(bad, on, "left_anti").unionByName(again)
     cut = cut.select("doc_id", "mark", "n_words", "n_removed", F.col("digest").alias("kept_sha256"), "kept_text")
     keys = cut.select(F.col("doc_id").alias("d_"), F.col("mark").alias("m_")).distinct()
     on = (F.col("doc_id") == F.col("d_")) & (F.col("mark") == F.col("m_"))
     rest = info.join(keys, on, "left_anti")
     if with_text:
-        texts = narrow.withColumn("mark", F.crc32(F.encode(text_or_empty(), "UTF-8")))
-        return cut.drop("mark").unionByName(texts.join(keys, on, "left_anti").mapInArrow(untouched, KEPT))
+        marked = narrow.withColumn("mark", F.crc32(F.encode(text_or_empty(), "UTF-8")))
+        return cut.drop("mark").unionByName(marked.join(keys, on, "left_anti").mapInArrow(untouched, KEPT))
     whole = rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole_sha256").alias("kept_sha256"))
     return cut.drop("mark", "kept_text").unionByName(whole)
 

@@ -103,13 +103,53 @@ def test_substrings_by_brute_force(spark):
     assert got == brute_substrings(rows)
 
 
-def test_anchor_index_compacts_runs(spark):
-    index = substrings.AnchorIndex()
-    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, anchors array<long>")
-    index.add(rows((1, [10, 11]), (2, [12])))
-    met = index.add(rows((3, [11, 13]), (4, [13])))
-    assert sorted(r.anchor for r in met.collect()) == [11, 13]
-    assert sorted(map(tuple, index.run.collect())) == [(10, 1, 1), (11, 1, 3), (12, 2, 2), (13, 3, 4)]
+def test_stored_index_takes_batches_and_reads_no_earlier_texts(spark, tmp_path):
+    """Batches through an index that is opened again each time: each result is that of brute force over all documents so
+    far, though of earlier texts only those that the batch repeats are given."""
+    random.seed(15)
+    base = [f"w{random.randint(0, 200)}" for _ in range(300)]
+    rows = []
+    for i in range(36):
+        a = random.randint(0, 220)
+        rows.append((i, " ".join([f"o{i}x{k}" for k in range(random.randint(0, 30))] + base[a : a + random.randint(40, 80)] + [f"p{i}"])))
+    rows += [(36, rows[2][1]), (37, None), (38, "b " * 200), (39, "b " * 90), (40, rows[36 % 7][1])]
+    path, sizes = str(tmp_path / "index"), []
+    for start in range(0, len(rows), 9):
+        batch, before = rows[start : start + 9], rows[:start]
+        first = {}
+        for i, t in before:
+            w = WORDS(t or "")
+            for p in range(len(w) - 49):
+                first.setdefault(tuple(w[p : p + 50]), i)
+        mine = {tuple(w[p : p + 50]) for _, t in batch for w in [WORDS(t or "")] for p in range(len(w) - 49)}
+        sources = {first[k] for k in mine if k in first}
+        given = documents(spark, [(i, t if i in sources else "never looked at") for i, t in before] or [(-1, None)])
+        index = substrings.FingerprintIndex(spark, path, fan=2)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.deduplicated_batch(index, documents(spark, batch), given).collect()}
+        assert got == {i: x for i, x in brute_substrings(rows[: start + 9]).items() if i in dict(batch)}
+        sizes.append(len(index.runs()))
+    assert sizes == [1, 2, 2, 2, 2]
+    # a run without a line in the manifest is of a job that failed
+    index, held = substrings.FingerprintIndex(spark, path), lambda x: sorted((r.anchor, bytes(r.tails), r.doc_id) for r in x.read().collect())
+    rows_held = held(index)
+    index.read().write.parquet(f"{path}/run-failed")
+    assert held(index) == rows_held
+    index.compact()
+    least = {}
+    for a, t, i in rows_held:
+        least[a, t] = min(i, least.get((a, t), i))
+    assert len(index.runs()) == 1 and held(index) == sorted((a, t, i) for (a, t), i in least.items())
+
+
+def test_history_comes_first_whatever_its_ids(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(55))
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+    old = documents(spark, [(9, passage)])
+    assert [r.n_removed for r in substrings.deduplicated_batch(index, old, documents(spark, [])).collect()] == [0]
+    new = substrings.deduplicated_batch(index, documents(spark, [(4, f"{passage} end"), (9, passage)]), old)
+    assert {r.doc_id: (r.n_removed, r.kept_text) for r in new.collect()} == {4: (55, "end"), 9: (0, passage)}
+    gone = substrings.deduplicated_batch(index, documents(spark, [(12, passage)]), documents(spark, []))
+    assert [r.n_removed for r in gone.collect()] == [0]  # its source's text is not given, so nothing is proven
 
 
 def test_mix_meets_targets(spark):
@@ -542,8 +582,8 @@ def test_merge_joins_of_the_index_decide_which_windows_go_on(spark, monkeypatch)
     docs = spark.createDataFrame([(i, f"a{i} {passage} b{i}") for i in range(20)], "doc_id long, text string")
     removed = {r.doc_id: r.n_removed for r in substrings.op3_substring_dedup(docs).collect()}
     assert removed == {i: 60 if i else 0 for i in range(20)}
-    add = substrings.AnchorIndex.add
-    monkeypatch.setattr(substrings.AnchorIndex, "add", lambda self, batch, **k: add(self, batch, **k).where("false"))
+    shared = substrings.FingerprintIndex.shared
+    monkeypatch.setattr(substrings.FingerprintIndex, "shared", lambda self, *a: shared(self, *a).where("false"))
     assert all(r.n_removed == 0 for r in substrings.op3_substring_dedup(docs).collect())
 
 
