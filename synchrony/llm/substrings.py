@@ -94,7 +94,7 @@ def split_words(text: str | None) -> tuple[bytes, list[bytes]]:
 
 
 #: Bytes of a tail; windows in one row, and words of texts in one batch of rows, at most.
-TAIL, ROW, AT_ONCE = 6, 4096, 1 << 20
+TAIL, ROW, AT_ONCE = 6, 4096, 1 << 18
 K2 = 0xD6E8FEB86659FD93
 
 
@@ -108,8 +108,8 @@ def window_hashes(words: list[bytes]) -> np.ndarray:
     return named(anchors(h), rolled(h, WINDOW, K1) & np.uint64((1 << 8 * TAIL) - 1))
 
 
-#: Rows of a run: the tails of neighbouring windows with one anchor, the first of them at word ``at``. A fresh run has one row
-#: per text besides, without an anchor: its mark (CRC), number of words and the digest of all its words.
+#: Rows of a run, of kind "windows": the tails of neighbouring windows with one anchor, the first of them at word ``at``. A
+#: fresh run has one row per text besides, of kind "texts": its mark (CRC), number of words and the digest of all its words.
 RUN_ROW = "anchor long, tails binary, doc_id long"
 FRESH = RUN_ROW + ", mark long, at int, n_words long, whole_sha256 string"
 
@@ -261,10 +261,15 @@ def answered(with_text: bool):
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
+def emptied(spark: SparkSession, path: str, schema: str) -> None:
+    """Remove the rows of a table that nothing reads any more."""
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 class FingerprintIndex:
     """Sorted immutable runs of window hashes under ``path``, and a manifest: one row per run that counts, with the runs that
     it replaces. A run without such a row is of a job that did not finish and is not read. When ``fan`` runs count, they
-    are compacted before the next batch comes."""
+    are compacted before the next batch comes, and the windows of the runs replaced are removed. One job writes at a time."""
 
     MANIFEST = "run string, replaces array<string>"
 
@@ -280,10 +285,19 @@ class FingerprintIndex:
             return []
         return sorted({r.run for r in log} - {x for r in log for x in r.replaces})
 
+    def rows(self, run: str, schema: str, kind: str) -> DataFrame:
+        found = self.spark.read.schema(schema + ", kind string").parquet(f"{self.path}/{run}")
+        return found.where(F.col("kind") == kind).drop("kind")
+
     def read(self) -> DataFrame | None:
         """The hashes of all batches so far: anchor, tails, doc_id."""
-        found = [f"{self.path}/{x}" for x in self.runs()]
-        return self.spark.read.schema(RUN_ROW).parquet(*found).where("anchor is not null") if found else None
+        found = [self.rows(x, RUN_ROW, "windows") for x in self.runs()]
+        return reduce(DataFrame.unionByName, found) if found else None
+
+    def write(self, rows: DataFrame, run: str) -> None:
+        """Each task sorts the rows that it has."""
+        kind = F.when(F.col("anchor").isNull(), "texts").otherwise("windows")
+        rows.withColumn("kind", kind).sortWithinPartitions("kind", "anchor").write.partitionBy("kind").parquet(f"{self.path}/{run}")
 
     def record(self, run: str, replaces: list[str]) -> None:
         self.spark.createDataFrame([(run, replaces)], self.MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
@@ -293,8 +307,10 @@ class FingerprintIndex:
         old, run = self.runs(), f"run-{uuid.uuid4().hex}"
         if len(old) > 1:
             rows = self.read().groupBy("anchor", "tails").agg(F.min("doc_id").alias("doc_id"))
-            rows.sortWithinPartitions("anchor").write.parquet(f"{self.path}/{run}")
+            self.write(rows, run)
             self.record(run, old)
+            for x in old:
+                emptied(self.spark, f"{self.path}/{x}/kind=windows", RUN_ROW)
 
     def shared(self, fresh: DataFrame, old: DataFrame | None) -> DataFrame:
         """Anchors of a batch that stand in several documents: in two of its own, or in the history."""
@@ -310,9 +326,8 @@ class FingerprintIndex:
         if len(self.runs()) >= self.fan:
             self.compact()
         old, run = self.read(), f"run-{uuid.uuid4().hex}"
-        batch.select("doc_id", "text").mapInArrow(fingerprinted, FRESH).sortWithinPartitions("anchor").write.parquet(f"{self.path}/{run}")
-        rows = self.spark.read.schema(FRESH).parquet(f"{self.path}/{run}")
-        fresh = rows.where("anchor is not null").select("anchor", "tails", "doc_id", "mark", "at")
+        self.write(batch.select("doc_id", "text").mapInArrow(fingerprinted, FRESH), run)
+        fresh = self.rows(run, FRESH, "windows").select("anchor", "tails", "doc_id", "mark", "at")
         bits = self.spark.sparkContext.broadcast(bitmap(written(self.shared(fresh, old), "substring-shared")))
         found = fresh.mapInArrow(windows_of(bits, True), "h long, doc_id long, tp long")
         none = F.lit(None).cast("long")
@@ -321,13 +336,17 @@ class FingerprintIndex:
             met = met.unionByName(old.mapInArrow(windows_of(bits, False), "h long, doc_id long").select("h", none.alias("doc_id"), F.col("doc_id").alias("known")))
         firsts = met.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("known").alias("known"))
         firsts = firsts.where("first is not null and (first < last or known is not null)").select(F.col("h").alias("h_"), F.coalesce("known", "first").alias("src"), F.col("known").isNotNull().alias("old"))
-        firsts = written(firsts, "substring-firsts")
+        path = f"{shared_dir(self.spark)}/substring-firsts-{run}"
+        firsts.write.parquet(path)
+        firsts = self.spark.read.schema(firsts.schema).parquet(path)
         again = found.join(firsts.hint("merge"), F.col("h") == F.col("h_")).where("src < doc_id or (old and src > doc_id)")
         hit = F.struct(F.col("tp").bitwiseAND((1 << 31) - 1).cast("int").alias("at"), "src", "h")
         hits = again.groupBy("doc_id", F.shiftright("tp", 31).alias("mark")).agg(F.collect_list(hit).alias("hits"))
         ranges = written(hits.mapInArrow(ranges_of, RANGES), "substring-ranges")
+        emptied(self.spark, path, "h_ long")
+        bits.unpersist()
         self.record(run, [])
-        return rows.where("anchor is null").select("doc_id", "mark", "n_words", "whole_sha256"), ranges
+        return self.rows(run, FRESH, "texts").select("doc_id", "mark", "n_words", "whole_sha256"), ranges
 
 
 def asked(docs: DataFrame, ranges: DataFrame) -> DataFrame:
