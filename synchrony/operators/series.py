@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.tokens import jaccard_distance
+from ..sources.shared import large
 from .scans import PLACES, SECONDS, previous, quantiles, scan, sum_before
 from .timejoin import bucketed_range_join
 
@@ -62,7 +63,7 @@ def jaccard_change_signal(frames: DataFrame, step: int = 3, threshold: float = 0
     before = F.lag("words").over(by("frame_idx"))
     change = sampled.withColumn("p_", before).select("video_id", "frame_idx", F.when(F.col("p_").isNull(), 0.0).otherwise(jaccard_distance(F.col("words"), F.col("p_"))).alias("d_"))
     change = change.select("video_id", "frame_idx", F.when(F.col("d_") > threshold, F.col("d_")).otherwise(0.0).alias("d_"))
-    rows = frames.select("video_id", "frame_idx").join(change, ["video_id", "frame_idx"], "left")
+    rows = frames.select("video_id", "frame_idx").join(large(change), ["video_id", "frame_idx"], "left")
     ahead = by("frame_idx").rowsBetween(0, step - 1)
     rows = rows.withColumn("signal", F.coalesce(F.first("d_", ignorenulls=True).over(ahead), F.lit(0.0))).drop("d_")
     return normalize_by_max(rows, "signal")
@@ -229,8 +230,8 @@ def scene_words(scenes: DataFrame, ocr: DataFrame) -> DataFrame:
 
     marks = scenes.select("video_id", "scene_id", F.explode(F.array(F.struct(F.col("t_keyframe").alias("at"), F.lit(0).alias("k")), F.struct(F.col("t_start").alias("at"), F.lit(1).alias("k")))).alias("m")).select("video_id", F.concat_ws(":", "scene_id", "m.k").alias("mark"), "scene_id", "m.at")
     near = nearest_frame(marks, ocr, "at", "mark", 1.0)
-    met = near.join(ocr, ["video_id", "frame_time"]).groupBy("video_id", "scene_id").agg(F.array_sort(F.collect_set("tok")).alias("words"))
-    return scenes.join(met, ["video_id", "scene_id"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    met = near.join(large(ocr), ["video_id", "frame_time"]).groupBy("video_id", "scene_id").agg(F.array_sort(F.collect_set("tok")).alias("words"))
+    return scenes.join(large(met), ["video_id", "scene_id"], "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
 
 def scenes_by_threshold(series: DataFrame, thresholds: list[float], shortest: float = 3.0, new_words: int = 1, interval: float = 0.333) -> DataFrame:

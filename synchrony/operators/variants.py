@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.tokens import jaccard
-from ..sources.shared import settled
+from ..sources.shared import large, settled
 from .timejoin import bucketed_range_join
 
 
@@ -101,7 +101,7 @@ def greedy(pairs: DataFrame, keys: tuple[str, ...], order: list[Column], rounds:
             return reduce(DataFrame.unionByName, taken) if taken else now
         taken.append(now)
         used = lambda side: now.select(*keys, side)
-        rest = ranked.where("not now_").drop("now_").join(used("a_id"), [*keys, "a_id"], "left_anti").join(used("b_id"), [*keys, "b_id"], "left_anti")
+        rest = ranked.where("not now_").drop("now_").join(large(used("a_id")), [*keys, "a_id"], "left_anti").join(large(used("b_id")), [*keys, "b_id"], "left_anti")
     return reduce(DataFrame.unionByName, [*taken, walked(settled(rest, "greedy-rest"), keys, order)])
 
 
@@ -151,7 +151,7 @@ def group_leftovers(scenes: DataFrame, labels: list[str], gap: float = 20.0) ->
         taken = greedy(fingerprint_pairs(heads.drop("label"), rest, gap), ("set_name", "label"), [F.col("a_id").asc(), F.col("score").desc(), F.col("b_id").asc()])
         taken = settled(taken.select("set_name", F.lit(label).alias("head_label"), F.col("a_id").alias("head_id"), "label", F.col("b_id").alias("scene_id")), "leftover-groups")
         groups.append(taken)
-        free = settled(rest.join(taken.select("set_name", "label", "scene_id"), ["set_name", "label", "scene_id"], "left_anti"), "leftovers")
+        free = settled(rest.join(large(taken.select("set_name", "label", "scene_id")), ["set_name", "label", "scene_id"], "left_anti"), "leftovers")
     return reduce(DataFrame.unionByName, groups)
 
 
@@ -159,12 +159,12 @@ def content_groups(reference: DataFrame, others: DataFrame, labels: list[str], n
     """All content groups of a set: every reference scene heads one, alone if nothing matches it, and the leftovers of the
     other recordings (in the order of ``labels``) have their own. -> set_name, head_label, head_id, label, scene_id, t, words."""
     matched = settled(scene_matches(reference, others, gap), "scene-matches")
-    left = others.join(matched.select("set_name", "label", F.col("b_id").alias("scene_id")), ["set_name", "label", "scene_id"], "left_anti")
+    left = others.join(large(matched.select("set_name", "label", F.col("b_id").alias("scene_id"))), ["set_name", "label", "scene_id"], "left_anti")
     own = reference.select("set_name", F.lit(name).alias("label"), "scene_id", "t", "words")
     heads = own.select("set_name", F.col("label").alias("head_label"), F.col("scene_id").alias("head_id"), "label", "scene_id")
     taken = matched.select("set_name", F.lit(name).alias("head_label"), F.col("a_id").alias("head_id"), "label", F.col("b_id").alias("scene_id"))
     groups = heads.unionByName(taken).unionByName(group_leftovers(left, labels, gap))
-    return groups.join(own.unionByName(others.select(*own.columns)), ["set_name", "label", "scene_id"]).select("set_name", "head_label", "head_id", "label", "scene_id", "t", "words")
+    return groups.join(large(own.unionByName(others.select(*own.columns))), ["set_name", "label", "scene_id"]).select("set_name", "head_label", "head_id", "label", "scene_id", "t", "words")
 
 
 GROUP = ["set_name", "head_label", "head_id"]
@@ -175,7 +175,7 @@ def comparison_table(groups: DataFrame, align: DataFrame, labels: list[str], n_w
     scene's first event counts. One row per content group: its first words, each recording's scene, time, gap and track
     ("missing" without a scene, "?" without an event), how far times and gaps are apart, and in how many recordings it is."""
     first = align.groupBy("set_name", "label", "scene_id").agg(F.min_by(F.struct("delta_t", F.coalesce("match_track", F.lit("?")).alias("track")), "event_id").alias("e"))
-    rows = groups.join(first, ["set_name", "label", "scene_id"], "left").select(*GROUP, "label", "scene_id", "t", "words", "e.delta_t", F.coalesce("e.track", F.lit("?")).alias("track"))
+    rows = groups.join(large(first), ["set_name", "label", "scene_id"], "left").select(*GROUP, "label", "scene_id", "t", "words", "e.delta_t", F.coalesce("e.track", F.lit("?")).alias("track"))
     rows = settled(rows, "comparison-rows")
     wide = rows.groupBy(*GROUP).pivot("label", labels).agg(F.min("scene_id").alias("sid"), F.round(F.min("t"), 2).alias("tvis"), F.round(F.min("delta_t"), 2).alias("dt"), F.coalesce(F.min("track"), F.lit("missing")).alias("track"))
     wide = wide.withColumns({f"{x}_track": F.coalesce(f"{x}_track", F.lit("missing")) for x in labels})
@@ -184,14 +184,14 @@ def comparison_table(groups: DataFrame, align: DataFrame, labels: list[str], n_w
     words = F.array_sort(F.array_distinct(F.flatten(F.collect_list("words"))))
     stats = rows.groupBy(*GROUP).agg(words.alias("w_"), spread("t").alias("tvis_shift"), spread("delta_t").alias("dt_spread"), F.count_distinct("label").alias("n_videos"))
     stats = stats.withColumn("content_words", F.when(F.size("w_") > 0, F.array_join(F.slice("w_", 1, n_words), " ")).otherwise("(no text)")).drop("w_")
-    return wide.join(stats, GROUP)
+    return wide.join(large(stats), GROUP)
 
 
 def with_visual_spread(table: DataFrame, delays: DataFrame) -> DataFrame:
     """+ visual_delay_spread: how far the delays of a group's pictures are apart over the compared recordings. delays:
     set_name, head_label, head_id, label, visual_delay (null where no picture was found)."""
     per = delays.groupBy(*GROUP).agg((F.max("visual_delay") - F.min("visual_delay")).alias("visual_delay_spread"))
-    return table.join(per, GROUP, "left")
+    return table.join(large(per), GROUP, "left")
 
 
 def delay_points(table: DataFrame, shift: float = 0.5, visual: float = 0.5, top: int = 10) -> DataFrame:

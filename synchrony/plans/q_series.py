@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import series as W
 from ..operators import variants as V
 from ..sources import tables
-from ..sources.shared import settled
+from ..sources.shared import large, settled
 from .registry import register
 
 DOT = "list_dot_product(list_transform({a}, lambda x: CAST(x AS DOUBLE)), list_transform({b}, lambda x: CAST(x AS DOUBLE)))"
@@ -295,7 +295,7 @@ LEFTOVERS = (
 def leftovers(s):
     r = recordings(s)
     matched = V.scene_matches(reference(r), others(r)).select("set_name", "label", F.col("b_id").alias("scene_id"))
-    return V.group_leftovers(others(r).join(matched, ["set_name", "label", "scene_id"], "left_anti"), COMPARED)
+    return V.group_leftovers(others(r).join(large(matched), ["set_name", "label", "scene_id"], "left_anti"), COMPARED)
 
 
 register("a14_group_leftovers", f"WITH {LEFTOVERS} SELECT * FROM lo")(leftovers)

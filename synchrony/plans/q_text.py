@@ -8,6 +8,7 @@ from ..functions import tokens as K
 from ..operators import text as T
 from ..operators import timejoin as J
 from ..sources import tables
+from ..sources.shared import large
 from . import sqltext
 from .registry import register
 
@@ -108,7 +109,7 @@ SCENE_WORDS = "(SELECT s.video_id, s.scene_id, list_sort(list(DISTINCT o.tok) FI
 
 def scene_words(s):
     o = s("fx_ocr").withColumnRenamed("frame_time", "t_start")
-    rows = s("fx_scenes").select("video_id", "scene_id", "t_start").join(o, ["video_id", "t_start"], "left")
+    rows = s("fx_scenes").select("video_id", "scene_id", "t_start").join(large(o), ["video_id", "t_start"], "left")
     return rows.groupBy("video_id", "scene_id").agg(F.array_sort(F.collect_set(F.when(F.col("scene_id") % 3 != 1, F.col("tok")))).alias("words"))
 
 
