@@ -47,10 +47,11 @@ def read_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times that are missing stand as NaN in the files."""
+    """Times that are missing stand as NaN in the files. A file holds many recordings, named by a column: a file of its own for
+    each costs its opening and its listing, whatever it holds."""
     path = place(spark, "words")
     words = fixtures.view(spark, sf_dir, "fx_words").select("video_id", "word_id", "word", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in ("start_time", "end_time")])
-    words.write.partitionBy("video_id").option("header", True).option("escape", '"').csv(path)
+    words.write.option("header", True).option("escape", '"').csv(path)
     return tables.read_table(spark, "words", path).select("video_id", "word_id", "word", "start_time", "end_time", F.col("timestamp_reliable").isNull().alias("no_flag"))
 
 

@@ -51,3 +51,8 @@ def test_a_list_is_parsed_once(spark):
 
 def test_a_description_is_lowered_once_and_after_cuts(spark):
     assert plan("s9_clean_description", spark).count("lower(") <= 12
+
+
+def test_files_of_words_hold_many_recordings(spark):
+    words = registry.queries()["s1_read_words"](spark, FOLDER)
+    assert len(words.inputFiles()) < words.select("video_id").distinct().count() / 2
