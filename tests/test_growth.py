@@ -49,8 +49,8 @@ def test_a_list_is_parsed_once(spark):
     assert column(spark, ['x ["A ", "b"] y', "[1]", "[] []", "[", None, "a, bb"], tables.parse_concepts(F.col("text"))) == [["a", "b"], ["1"], ["[] []"], [], [], ["bb"]]
 
 
-def test_a_description_is_lowered_once_and_after_cuts(spark):
-    assert plan("s9_clean_description", spark).count("lower(") <= 12
+def test_ends_of_descriptions_need_no_pattern(spark):
+    assert "regexp_replace" not in plan("s9_clean_description", spark)
 
 
 def test_files_of_words_hold_many_recordings(spark):
