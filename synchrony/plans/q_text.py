@@ -8,7 +8,7 @@ from ..functions import tokens as K
 from ..operators import text as T
 from ..operators import timejoin as J
 from ..sources import tables
-from ..sources.shared import large
+from ..sources.shared import large, settled
 from . import sqltext
 from .registry import register
 
@@ -184,8 +184,8 @@ TOKENS = "list_sort(list_distinct(list_filter(list_transform(string_split_regex(
 
 
 def with_previous(s):
-    """Token sets of every text and of the text with the id before."""
-    d = s("documents").select("doc_id", K.token_set(F.col("text")).alias("a"))
+    """Token sets of every text and of the text with the id before. Both sides read the sets, so they are written once."""
+    d = settled(s("documents").select("doc_id", K.token_set(F.col("text")).alias("a")), "token-sets")
     return d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 
