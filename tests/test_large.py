@@ -21,6 +21,28 @@ def test_growing_tables_are_merged(spark, name):
     assert "BroadcastExchange" not in plan and "BroadcastNestedLoop" not in plan
 
 
+#: Queries that write tables on their way: what is joined for those must not be sent to the driver either.
+WRITING = """a14_group_leftovers a15_comparison_table a16_delay_points a16_delay_points_visual a6_no_match_reason j7_first_in_window j8_fuzzy_word_match j3_nearest_frame w13_scene_words w3_jaccard_change_signal
+t12_new_words_per_scene a12_grounding_by_segment a12_keyword_grounding a12_keyword_grounding_phrases a1_case_a_d a1_case_a_d_phrases a2_case_b_forward""".split()
+
+
+@pytest.mark.parametrize("name", WRITING)
+def test_no_step_of_a_query_is_broadcast(spark, name):
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = {e.executionId() for e in executions(store)}
+    registry.queries()[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+    bus.waitUntilEmpty()
+    plans = [e.physicalPlanDescription() for e in executions(store) if e.executionId() not in before]
+    assert plans and any("Join" in p for p in plans)
+    assert [line.strip() for p in plans for line in p.splitlines() if "Broadcast" in line] == []
+
+
+def executions(store):
+    found = store.executionsList()
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_hints_are_for_one_engine():
     assert not any("MERGE" in sql for sql in registry.oracle_sql().values())
 
