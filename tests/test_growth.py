@@ -85,3 +85,29 @@ def test_candidates_read_segments_once_and_count_without_joins(spark):
 
 def test_percentile_bins_read_scores_that_are_written(spark):
     assert "instr" not in plan("i3_percentile_bin", spark) and "regexp" not in plan("i3_percentile_bin", spark)
+
+
+def test_plans_of_raters_are_made_without_a_shuffle(spark):
+    # the plan of all raters is the product of raters and videos; only their lists may be written to disk
+    text = registry.queries()["e1_assign_sessions"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    top = text[: text.index("SortMergeJoin")]
+    assert "Generate posexplode" in top and "Exchange" not in top and "Sort " not in top and "Window" not in text
+
+
+def test_topics_without_all_delays_count_in_the_plan(spark):
+    from hashlib import md5
+
+    from synchrony.operators import study
+
+    videos = [(f"m{t}{i}", "manipulated", t, d) for t in range(7) for i, d in enumerate((0.0, 1.5, 5.0)) if (t, i) != (3, 1)] + [("x", "manipulated", 5, 2.0), ("y", "manipulated", None, 1.5), ("f1", "fresh", None, None), ("f2", "fresh", None, None), ("f2", "fresh", None, None)]
+    raters = ["a", "b", "c"]
+    df = study.assign_sessions(spark.createDataFrame(videos, "video_id string, set string, topic long, delay double"), spark.createDataFrame([(r,) for r in raters], "rater string"))
+    code = lambda *x: md5("|".join(str(y) for y in ("1", *x) if y is not None).encode()).hexdigest()
+    want = []
+    for r in raters:
+        topics = sorted([*range(7), None], key=lambda t: (code(r, t), t))
+        rows = [(s, v) for i, t in enumerate(topics) for s in range(3) for v, _, u, d in videos if t is not None and u == t and d == (0.0, 1.5, 5.0)[(i // 2 + s) % 3]]
+        fresh = sorted((v for v, kind, *_ in videos if kind == "fresh"), key=lambda v: (code(r, v), v))
+        rows += [((i + int(code(r)[:8], 16) % 3) % 3, v) for i, v in enumerate(fresh)]
+        want += [(r, s, v, i + 1, f"Video_R{i + 1:02d}") for i, (s, v) in enumerate(sorted(rows, key=lambda x: (x[0], code(r, x[1], x[0]), x[1])))]
+    assert sorted(map(tuple, df.collect())) == sorted(want)
