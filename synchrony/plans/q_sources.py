@@ -21,8 +21,9 @@ def place(spark: SparkSession, name: str) -> str:
 
 
 def read_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file holds many recordings, as those of words do."""
     path = place(spark, "segments")
-    fixtures.view(spark, sf_dir, "fx_segments").write.partitionBy("video_id").option("header", True).option("escape", '"').csv(path)
+    fixtures.view(spark, sf_dir, "fx_segments").write.option("header", True).option("escape", '"').csv(path)
     return tables.read_table(spark, "segments", path)
 
 
