@@ -57,12 +57,13 @@ def read_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets stand as text in the files: words apart by spaces, concepts by bars; some columns are missing."""
+    """Sets stand as text in the files: words apart by spaces, concepts by bars; some columns are missing. A file holds many
+    recordings, as those of words do."""
     path = place(spark, "scenes")
     concepts = fixtures.view(spark, sf_dir, "fx_concepts").groupBy("video_id", "scene_id").agg(F.array_sort(F.collect_list("concept")).alias("c"))
     rows = fixtures.view(spark, sf_dir, "fx_scenes").join(concepts, ["video_id", "scene_id"], "left")
     rows = rows.select("video_id", "scene_id", "t_start", "t_end", "t_keyframe", F.coalesce(F.array_join("c", " "), F.lit("nan")).alias("ocr_words"), F.coalesce(F.array_join("c", "|"), F.lit("nan")).alias("gemini_concepts"))
-    rows.write.partitionBy("video_id").option("header", True).csv(path)
+    rows.write.option("header", True).csv(path)
     out = tables.read_table(spark, "scenes", path)
     return out.select("video_id", "scene_id", "t_start", "t_end", "t_keyframe", "n_frames", *[F.array_join(F.array_sort(c), " ").alias(c) for c in ("ocr_words", "gemini_concepts")])
 
