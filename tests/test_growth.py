@@ -165,3 +165,18 @@ def test_packed_frames_are_those_of_the_table(spark):
     got = align.by_keyword(align.frames_between(hits, packed, "low", "high")).select("keyword_id", "frame_time").collect()
     assert sorted(map(tuple, got)) == [(1, t / 4) for t in range(13, 133)] + [(2, 16.0)]
     assert align.frame_times(packed).count() == align.frame_times(ocr.where("frame_time is not null")).count() == 200
+
+
+def test_letters_spare_what_characters_would(spark):
+    words = ["", "a", "abc", "abd", "aabb", "bbaa", "letter", "letters", "setter", "été", "x😀y", "x😁y", "😀", "a1p", "0px"]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for threshold in (0.3, 0.8):
+        cheap = K.letters_may_reach(K.letters(F.col("a")), F.length("a"), K.letters(F.col("b")), F.length("b"), threshold)
+        rows = pairs.select("a", "b", cheap.alias("cheap"), K.may_reach(F.col("a"), F.col("b"), threshold).alias("may")).collect()
+        assert not [r for r in rows if r.may and not r.cheap] and [r for r in rows if not r.cheap]
+
+
+def test_letters_are_tried_first_and_distances_once(spark):
+    text = registry.queries()["j8_fuzzy_word_match"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    join = next(line for line in text.splitlines() if "SortMergeJoin" in line and "translate" in line)
+    assert "bit_count" in join and join.index("bit_count") < join.index("translate") and text.count("ArrowEvalPython") == 1
